@@ -151,12 +151,11 @@ def decide(pages: DataFrame, least_bytes: int) -> DataFrame:
     return known.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(salted, ["digest", "size", "salt"]).where("page_id IS DISTINCT FROM keeper").select("page_id", "digest", "size", "keeper").distinct()
 
 
-def write_warc(pages: DataFrame, out_dir: str, *, least_bytes: int = 1000, files: int | None = None, date: str = "2020-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
+def write_warc(pages: DataFrame, out_dir: str, *, least_bytes: int = 1000, date: str = "2020-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
     """Archive `pages` in files below `out_dir`; returns the manifest: path, records, bytes.
 
-    Each html is shuffled once, by page_id, to meet its page's decision. A repeated task writes the same name anew.
+    Each html is shuffled at most once, by page_id, to meet its page's decision. A repeated task writes the same name anew.
     """
-    n = files or partitions(pages.sparkSession)
     own = own_columns(pages, page_id=id_col, url=url_col, html=html_col).selectExpr("CAST(page_id AS BIGINT) page_id", "url", "html")
     revisits = decide(own, least_bytes).select(F.col("page_id").alias("of"), F.col("digest").alias("same"), F.col("size").alias("long"), "keeper")
     keyed = own.withColumn("digest", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))).withColumn("size", F.coalesce(F.octet_length("html"), F.lit(0)).cast("long"))
@@ -183,8 +182,8 @@ def write_warc(pages: DataFrame, out_dir: str, *, least_bytes: int = 1000, files
         size = write_atomically(name, fill)
         yield batch_of({"path": [name], "records": [said["records"]], "bytes": [size]}, MANIFEST)
 
-    # A page's file is its page_id's, in order, so that a repeated task meets the same rows in the same order.
-    dealt = rows.repartition(n, F.xxhash64("page_id", "digest")).sortWithinPartitions(F.col("page_id").asc_nulls_first(), "url", "digest")
+    # Each task of the join writes a file, in page_id order, so that a repeated task writes the same records in the same order.
+    dealt = rows.sortWithinPartitions(F.col("page_id").asc_nulls_first(), "url", "digest")
     return materialize(dealt.mapInArrow(write, "path string, records long, bytes long"), "warc-manifest")
 
 
