@@ -17,7 +17,9 @@ from __future__ import annotations
 import bisect
 import functools
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,8 +37,8 @@ SKIPPABLE_SEEK_TABLE = 0x184D2A5E
 SEEKABLE_FOOTER = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
-#: Words whose ids a worker remembers, and the longest of them in characters.
-REMEMBERED, REMEMBERED_CHARS = 600_000, 40
+#: Words, and parts of words, whose ids a worker remembers (some 150 bytes each), and the longest of them in characters.
+REMEMBERED, REMEMBERED_CHARS = 800_000, 40
 
 
 class CorruptFrame(ValueError):
@@ -137,38 +139,60 @@ class TokenFileReader:
 
 @functools.lru_cache(maxsize=2)
 def _words(path: str):
+    """The tokenizer; packed ids of words; packed ids of their parts, which alone go through the library."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer, {}
+    return tokenizer, {}, {}
+
+
+def _parts(word: str) -> tuple[str, str]:
+    """A word and the punctuation behind it, if that follows a letter or number; A-Z lowered where all is ASCII."""
+    core = word.rstrip(".,;:!?")
+    last = core[-1:].lower()
+    if len(last) != 1 or not last.isalnum():
+        return word, ""
+    return (core.lower() if core.isascii() else core), word[len(core) :]
 
 
 def encode_packed(texts: list[str], path: str, end_id: int | None, id_bytes: int) -> list[bytes]:
     """Packed ids of each text by the library's tokenizer, add_special_tokens=False, then the end id.
 
-    The tokenizer's pre-tokens never span a blank or line feed, and its normalizer changes no character because of one, so
-    text is cut there and each distinct word goes through the library once; `separable` says whether a tokenizer is so.
+    The tokenizer's pre-tokens never span a blank or line feed, nor a letter or number and the punctuation behind it, and its
+    normalizer changes no character because of those; so text is cut there and each distinct part goes through the
+    library once. `separable` says whether a tokenizer is so.
     """
-    tokenizer, known = _words(path)
+    tokenizer, known, parts = _words(path)
     dtype = np.dtype(f"<u{id_bytes}")
     end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
     if not separable(path):
         return [np.array(e.ids, dtype).tobytes() + end for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     cut = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list(set().union(*cut).difference(known))
+    new = set().union(*cut).difference(known)
     if len(known) + len(new) > REMEMBERED:
         known.clear()
-        new = list(set().union(*cut))
-    fresh = {}
-    for i in range(0, len(new), 10_000):
-        part = new[i : i + 10_000]
-        fresh.update((w, np.array(e.ids, dtype).tobytes()) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-    known.update(fresh)
+        new = set().union(*cut)
+    cores = [(w, *_parts(w)) for w in new]
+    fresh = {p for _, *two in cores for p in two}.difference(parts)
+    if len(parts) + len(fresh) > REMEMBERED:
+        parts.clear()
+        fresh = {p for _, *two in cores for p in two}
+    todo = list(fresh)
+    for i in range(0, len(todo), 10_000):
+        some = todo[i : i + 10_000]
+        parts.update((p, array("H" if id_bytes == 2 else "I", e.ids)) for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
+    for p in todo:
+        ids = parts[p]
+        if sys.byteorder == "big":
+            ids.byteswap()
+        parts[p] = ids.tobytes()
+    known.update((w, parts[core] + parts[tail]) for w, core, tail in cores)
     packed = [b"".join(map(known.__getitem__, words)) + end for words in cut]
-    for w in fresh:
+    for w, core, _ in cores:
         if len(w) > REMEMBERED_CHARS:
-            del known[w]
+            known.pop(w, None)
+            parts.pop(core, None)
     return packed
 
 
