@@ -2,7 +2,7 @@
 
 Ranks come from a public rank file (one `base64(token) rank` a line); nothing is trained here. Each match of the
 pre-tokenizer pattern is merged on its own. Live pairs wait in buckets, one a rank, that hold positions in a linked
-list of tokens; a three-level bitmap over the ranks gives the next non-empty bucket by find-first-set. A merge does not
+list of tokens; a hierarchical bitmap over the ranks gives the next non-empty bucket by find-first-set. A merge does not
 search for the entries it outdates: an entry whose rank is not the live rank of its position is skipped when it
 comes up. A pre-token of n bytes costs O(n log n), however long it is.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from .common import batch_of, own_columns
 
 #: Longest pre-token (bytes) and most pre-tokens whose ids a worker remembers; memory stays near 250 bytes times the latter.
-REMEMBERED_BYTES, REMEMBERED = 48, 600_000
+REMEMBERED_BYTES, REMEMBERED = 48, 1_200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,11 +36,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by rank, smallest rank first and leftmost first within it."""
+    """Positions by rank, smallest rank first and leftmost first within it.
+
+    Two levels of bits: `low` has a word for each 64 ranks, `top` a bit for each word that isn't zero.
+    """
 
     def __init__(self, ranks: int):
         words = (ranks + 63) // 64
-        self.low, self.middle, self.top = [0] * words, [0] * ((words + 63) // 64), 0
+        self.low, self.top = [0] * words, 0
+        self.bit = [1 << i for i in range(max(64, words))]
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
@@ -50,29 +54,40 @@ class RankQueue:
             return
         self.buckets[rank] = [position]
         word = rank >> 6
-        self.low[word] |= 1 << (rank & 63)
-        self.middle[word >> 6] |= 1 << (word & 63)
-        self.top |= 1 << (word >> 6)
+        self.low[word] |= self.bit[rank & 63]
+        self.top |= self.bit[word]
+
+    def fill(self, ranks: list[int]) -> None:
+        """Push position p by ranks[p], for all that aren't negative, into an empty queue."""
+        buckets, low, bit, top = self.buckets, self.low, self.bit, 0
+        for position, rank in enumerate(ranks):
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank].append(position)
+                else:
+                    buckets[rank] = [position]
+                    word = rank >> 6
+                    low[word] |= bit[rank & 63]
+                    top |= bit[word]
+        self.top = top
 
     def first(self) -> int:
-        """The smallest rank with a bucket, or -1."""
-        if not self.top:
+        """The smallest rank with a bucket, by find-first-set on both levels; -1 if there is none."""
+        top = self.top
+        if not top:
             return -1
-        top = (self.top & -self.top).bit_length() - 1
-        word = self.middle[top]
-        word = (top << 6) | ((word & -word).bit_length() - 1)
+        word = (top & -top).bit_length() - 1
         bits = self.low[word]
-        return (word << 6) | ((bits & -bits).bit_length() - 1)
+        return (word << 6) + (bits & -bits).bit_length() - 1
 
     def drop(self, rank: int) -> None:
         """Forget an emptied bucket."""
         del self.buckets[rank]
         word = rank >> 6
-        self.low[word] &= ~(1 << (rank & 63))
-        if not self.low[word]:
-            self.middle[word >> 6] &= ~(1 << (word & 63))
-            if not self.middle[word >> 6]:
-                self.top &= ~(1 << (word >> 6))
+        bits = self.low[word] ^ self.bit[rank & 63]
+        self.low[word] = bits
+        if not bits:
+            self.top ^= self.bit[word]
 
 
 class Codec:
@@ -97,37 +112,43 @@ class Codec:
             return [whole]
         n = len(piece)
         after, before = list(range(1, n + 1)), list(range(-1, n))
-        live = [-1] * n  # rank of the pair that starts here
-        push = queue.push
-        for p in range(n - 1):
-            rank = ranks.get(piece[p : p + 2])
-            if rank is not None:
-                live[p] = rank
-                push(rank, p)
-        buckets = queue.buckets
-        while (rank := queue.first()) >= 0:
+        push, get = queue.push, ranks.get
+        live = [get(piece[p : p + 2], -1) for p in range(n - 1)]  # rank of the pair that starts here
+        live.append(-1)
+        queue.fill(live)
+        buckets, first, drop, heads = queue.buckets, queue.first, queue.drop, n
+        while buckets:
+            rank = first()
             bucket = buckets[rank]
-            p = heappop(bucket)
-            if not bucket:
-                queue.drop(rank)
+            if len(bucket) == 1:
+                p = bucket[0]
+                drop(rank)
+            else:
+                p = heappop(bucket)
             if live[p] != rank:
                 continue
             gone = after[p]
-            end = after[gone]
-            after[p], live[gone], live[p] = end, -1, -1
+            after[p] = end = after[gone]
+            live[gone] = live[p] = -1
+            heads -= 1
             if end < n:
                 before[end] = p
-                if after[end] - p <= longest and (new := ranks.get(piece[p : after[end]])) is not None:
-                    live[p] = new
-                    push(new, p)
+                far = after[end]
+                if far - p <= longest:
+                    new = get(piece[p:far])
+                    if new is not None:
+                        live[p] = new
+                        push(new, p)
             left = before[p]
             if left >= 0:
                 live[left] = -1
-                if end - left <= longest and (new := ranks.get(piece[left:end])) is not None:
-                    live[left] = new
-                    push(new, left)
+                if end - left <= longest:
+                    new = get(piece[left:end])
+                    if new is not None:
+                        live[left] = new
+                        push(new, left)
         ids, p = [], 0
-        while p < n:
+        for _ in range(heads):
             ids.append(ranks[piece[p : after[p]]])
             p = after[p]
         return ids
