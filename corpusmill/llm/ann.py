@@ -112,7 +112,7 @@ def nearest(vectors: DataFrame, *, every: int = 50, k: int = 5, enough: int = EN
         norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
         begin, end = spans(array, asks["s"].to_numpy().view(np.uint64), asks["depth"].to_numpy())
         out = []
-        for c, v, b, e in zip(asks["c"], asks["v"], begin, end):
+        for c, v, b, e in zip(asks["c"], asks["asked"], begin, end):
             v = np.asarray(v, np.float64)
             near = vectors[b:e] @ v / (norms[b:e] * np.sqrt(v @ v))
             most = min(k + 1, len(near))
@@ -123,7 +123,7 @@ def nearest(vectors: DataFrame, *, every: int = 50, k: int = 5, enough: int = EN
         return pd.concat(out) if out else pd.DataFrame({"c": [], "other": [], "score": []})
 
     with_vectors = index.join(classes.select("c", "v"), "c")
-    with_depths = queries.join(depths, "c").join(classes.select("c", "v"), "c")
+    with_depths = queries.join(depths, "c").join(classes.select("c", F.col("v").alias("asked")), "c")
     gathered = with_vectors.groupBy("tree", "part").cogroup(with_depths.groupBy("tree", "part")).applyInPandas(gather, "c long, other long, score double")
     pairs = gathered.groupBy("c", "other").agg(F.max("score").alias("score"))
     in_order = Window.partitionBy("c").orderBy(F.desc("score"), "other")

@@ -84,7 +84,7 @@ def removed_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
         k += 1
         levels.append(level.select(*DOC, "p", "rank").withColumn("k", F.lit(k)))
     ranks = reduce(DataFrame.unionAll, levels)
-    asked = runs.withColumn("k", F.floor(F.log2("m")).cast("int")).withColumn("t", F.col("s") + F.col("m") - F.shiftleft(F.lit(1), F.col("k")))
+    asked = runs.withColumn("k", F.floor(F.log2("m")).cast("int")).withColumn("t", F.col("s") + F.col("m") - F.expr("shiftleft(1, k)"))
     begin = ranks.select(*DOC, F.col("p").alias("s"), "k", F.col("rank").alias("one"))
     end = ranks.select(*DOC, F.col("p").alias("t"), "k", F.col("rank").alias("two"))
     named = materialize(asked.join(begin, [*DOC, "s", "k"]).join(end, [*DOC, "t", "k"]).select(*DOC, F.col("s").alias("p"), "m", "one", "two"), "line-named")

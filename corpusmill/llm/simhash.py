@@ -57,7 +57,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 4096):
         part = hashes[i : i + 4096]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = (2 * counts > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
