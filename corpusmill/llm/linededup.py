@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 DOC = ["d", "h"]
+SALTS = 16
 
 
 def _lines(own: DataFrame) -> DataFrame:
@@ -35,9 +36,15 @@ def _lines(own: DataFrame) -> DataFrame:
 
 
 def _ranked(positions: DataFrame, key: list[str], keep: list[str]) -> DataFrame:
-    """`rank` of each position: the first position with the same key; positions whose key is unique are left out."""
+    """`rank` of each position: the first position with the same key; positions whose key is unique are left out.
+
+    Classes of several positions are partial sums, hence small; for the join back each is dealt to SALTS keys, so that a very
+    common line's positions spread over as many tasks.
+    """
     classes = positions.groupBy(*key).agg(F.count("*").alias("n_"), F.min(F.struct("d", "h", "p")).alias("rank")).where("n_ > 1").drop("n_")
-    return positions.join(classes, key).select(*DOC, "p", *keep, "rank")
+    salted = classes.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = positions.withColumn("salt_", F.pmod(F.hash("d", "p"), F.lit(SALTS)))
+    return dealt.join(salted, [*key, "salt_"]).select(*DOC, "p", *keep, "rank")
 
 
 def _islands(ranked: DataFrame, min_words: int) -> DataFrame:
