@@ -1,14 +1,17 @@
 """Approximate nearest neighbours by a forest of sorted hash strings (longest-prefix matches), largest cosine first.
 
-Each of `TREES` trees gives every vector a string of 64 bits, the signs of 64 random projections, and holds the strings in
-sorted order. A query descends each tree to its longest-prefix matches; then all trees ascend together, one bit at a
-time, until the vectors met number `ENOUGH`: a query's depth is the largest prefix length at which its subtrees, over all
-trees, hold that many. Everything below that depth is a candidate, none is capped; candidates' cosines are exact, in
-double precision on the original vectors.
+Each of `TREES` trees gives every vector a string of 64 bits, the signs of 64 random projections, and holds the strings in sorted
+order. A query descends each tree to its longest-prefix matches; then all trees ascend together, one bit at a time,
+until the strings that share so long a prefix number `enough` over all trees. All vectors below that depth are candidates, none is
+capped; their cosines are exact, in double precision on the original vectors.
 
-A tree is dealt out by the first `lead` bits of its strings, as many as keep an even part near `PART` strings, and each part is
-one sorted array. Subtrees above `lead` bits are not met (a part is all that a query can see of a tree). Equal vectors
-are one entry with their 6 smallest ids (5 neighbours and the query itself), so copies cost nothing.
+How many are enough depends on the data (vectors without clusters need a large share of them), so it is measured: for `SAMPLE`
+queries the true neighbours are found by brute force, and `enough` is the least number with which the forest finds `RECALL` of
+them. That sample is a bound on fitting only; every vector is indexed and every query searched.
+
+The forest is dealt over shards of about `SHARD` vectors, each with its own sorted arrays; queries, a stated set, meet all
+shards in blocks of `QUERIES`, which are broadcast. Subtree sizes are summed over the shards, so depths don't depend on them.
+Equal vectors are one entry with their k + 1 smallest ids (k neighbours and the query itself), so copies cost nothing.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, and neither do vectors
 whose length isn't the most frequent one (ties: the smaller length); null ids take no part; rows that repeat a vec_id
@@ -18,7 +21,8 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import materialize, own_columns
 
 TREES, BITS = 12, 64
-ENOUGH = 2400
-PART = 4000
+SHARD, QUERIES, SAMPLE = 4096, 4096, 128
+RECALL = 0.97
 
 
 def projections(dimensions: int, tree: int) -> np.ndarray:
@@ -37,16 +41,28 @@ def projections(dimensions: int, tree: int) -> np.ndarray:
 
 
 def strings(vectors: np.ndarray, trees: int = TREES) -> np.ndarray:
-    """(vectors, trees) hash strings as unsigned 64-bit numbers, the first projection in the highest bit."""
+    """(trees, vectors) hash strings as unsigned 64-bit numbers, the first projection in the highest bit."""
     powers = np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)
-    return np.stack([((vectors @ projections(vectors.shape[1], t)) >= 0).astype(np.uint64) @ powers for t in range(trees)], axis=1)
+    return np.stack([((vectors @ projections(vectors.shape[1], t)) >= 0).astype(np.uint64) @ powers for t in range(trees)])
 
 
-def spans(sorted_strings: np.ndarray, queries: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of the subtree that shares the first `depth` bits with each query, by binary search."""
-    keep = np.where(depth <= 0, np.uint64(0), ~np.uint64(0) << (np.uint64(BITS) - np.clip(depth, 1, BITS).astype(np.uint64)))
+def spans(array: np.ndarray, queries: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end, in a sorted array, of the strings that share the first `depth` bits with each query: by binary search."""
+    free = np.uint64(BITS) - np.clip(depth, 1, BITS).astype(np.uint64)
+    keep = np.where(depth <= 0, np.uint64(0), (~np.uint64(0) >> free) << free)
     low = queries & keep
-    return np.searchsorted(sorted_strings, low, "left"), np.searchsorted(sorted_strings, low | ~keep, "right")
+    return np.searchsorted(array, low, "left"), np.searchsorted(array, low | ~keep, "right")
+
+
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of equal leading bits."""
+    differ = a ^ b
+    bits = np.zeros(differ.shape, np.int64)
+    for step in (32, 16, 8, 4, 2, 1):
+        high = differ >> np.uint64(step) != 0
+        bits += high * step
+        differ = np.where(high, differ >> np.uint64(step), differ)
+    return BITS - (bits + (differ != 0))
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -59,79 +75,132 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return good.join(F.broadcast(usual.select("n")), F.size("v") == F.col("n")).select("id", "v")  # one row
 
 
-def nearest(vectors: DataFrame, *, every: int = 50, k: int = 5, enough: int = ENOUGH, part: int = PART, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _unit(vectors) -> np.ndarray:
+    found = np.stack(list(vectors)).astype(np.float64)
+    return found / np.sqrt(np.einsum("ij,ij->i", found, found))[:, None]
+
+
+class Block:
+    """A broadcast block of queries: their classes, unit vectors and hash strings."""
+
+    def __init__(self, rows: list):
+        self.c = np.array([r.c for r in rows], np.int64)
+        self.v = _unit(r.v for r in rows)
+        self.s = strings(self.v)
+
+
+def _over_shards(classes: DataFrame, block: Block, f, schema: str) -> DataFrame:
+    """f(classes' ids, unit vectors, strings, block) of each shard."""
+    shared = classes.sparkSession.sparkContext.broadcast(block)
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        v = _unit(own["v"])
+        return f(own["c"].to_numpy(), v, strings(v), shared.value)
+
+    return classes.select("shard", "c", "v").groupBy("shard").applyInPandas(run, schema)
+
+
+def _sizes(c: np.ndarray, v: np.ndarray, s: np.ndarray, block: Block) -> pd.DataFrame:
+    """How many strings of the shard share each prefix length with a query, over all trees."""
+    counts = np.zeros((len(block.c), BITS + 1), np.int64)
+    for tree in range(TREES):
+        array = np.sort(s[tree])
+        for depth in range(BITS + 1):
+            begin, end = spans(array, block.s[tree], np.full(len(block.c), depth))
+            if not (end > begin).any():
+                break
+            counts[:, depth] += end - begin
+    return pd.DataFrame({"c": block.c, "counts": list(counts)})
+
+
+def _true(k: int):
+    """The nearest of the shard by brute force, and the longest prefix that each shares with the query in any tree."""
+
+    def f(c: np.ndarray, v: np.ndarray, s: np.ndarray, block: Block) -> pd.DataFrame:
+        near = block.v @ v.T
+        near[block.c[:, None] == c[None, :]] = -2
+        n = min(k, len(c))
+        at = np.argpartition(-near, n - 1, axis=1)[:, :n]
+        prefix = common_prefix(block.s[:, :, None], s[:, at]).max(axis=0)
+        score = np.take_along_axis(near, at, axis=1)
+        out = pd.DataFrame({"c": np.repeat(block.c, n), "score": score.ravel(), "prefix": prefix.ravel()})
+        return out[out["score"] > -2]
+
+    return f
+
+
+def _candidates(k: int, depth: np.ndarray):
+    """The nearest of the shard's candidates; all that rounding could put among the first k + 1."""
+
+    def f(c: np.ndarray, v: np.ndarray, s: np.ndarray, block: Block) -> pd.DataFrame:
+        order = [np.argsort(s[tree], kind="stable") for tree in range(TREES)]
+        both = [spans(s[tree][order[tree]], block.s[tree], depth) for tree in range(TREES)]
+        out_c, out_other, out_score = [], [], []
+        for q in range(len(block.c)):
+            met = np.zeros(len(c), bool)
+            for tree in range(TREES):
+                met[order[tree][both[tree][0][q] : both[tree][1][q]]] = True
+            at = np.flatnonzero(met)
+            if not len(at):
+                continue
+            near = v[at] @ block.v[q]
+            if len(at) > k + 1:
+                near_enough = near >= np.partition(near, len(near) - k - 1)[len(near) - k - 1] - 1e-9
+                at, near = at[near_enough], near[near_enough]
+            out_c.append(np.full(len(at), block.c[q]))
+            out_other.append(c[at])
+            out_score.append(near)
+        none = [np.empty(0, np.int64)]
+        return pd.DataFrame({"c": np.concatenate(out_c or none), "other": np.concatenate(out_other or none), "score": np.concatenate(out_score or none)})
+
+    return f
+
+
+def _enough(classes: DataFrame, block: Block, counts: dict[int, list[int]], k: int, recall: float) -> int:
+    """The least number of strings with which the forest finds `recall` of the block's true neighbours.
+
+    A neighbour that shares L bits at most is met once a query ascends to depth L: once more than the strings that share L + 1 are wanted.
+    """
+    best = Window.partitionBy("c").orderBy(F.desc("score"), F.desc("prefix"))
+    true = _over_shards(classes, block, _true(k), "c long, score double, prefix long").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    rows = true.select("c", "prefix").collect()  # SAMPLE * k rows at most
+    needs = sorted(counts[r.c][r.prefix + 1] + 1 if r.prefix < BITS else 1 for r in rows)
+    return needs[min(len(needs) - 1, math.ceil(recall * len(needs)))] if needs else 1
+
+
+def nearest(vectors: DataFrame, *, every: int = 50, k: int = 5, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by `every`."""
     first = Window.partitionBy("v").orderBy("id")
     members = usable(vectors, id_col, vector_col).distinct()
-    is_query = F.col("id") % every == 0
     # The smallest ids of each distinct vector (a limit that each task applies before the shuffle), and its queries.
     small = members.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
-    classes = materialize(small.groupBy("v").agg(F.min("id").alias("c"), F.array_sort(F.collect_list("id")).alias("ids")), "ann-classes")
-    asked = materialize(members.where(is_query).select(F.col("id").alias("q"), "v").join(classes.select("v", "c"), "v").select("q", "c"), "ann-queries")
-    count = classes.count()
-    lead = max(0, int(np.ceil(np.log2(max(1, count / part)))))
+    grouped = materialize(small.groupBy("v").agg(F.min("id").alias("c"), F.array_sort(F.collect_list("id")).alias("ids")), "ann-classes")
+    asked = materialize(members.where(F.col("id") % every == 0).select(F.col("id").alias("q"), "v").join(grouped.select("v", "c"), "v").select("q", "c"), "ann-queries")
+    shards = max(1, -(-grouped.count() // SHARD))
+    classes = grouped.withColumn("shard", F.pmod(F.xxhash64("c"), F.lit(shards)).cast("int"))
     searched = classes.join(asked.select("c").distinct(), "c", "left_semi").select("c", "v")
-
-    def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                found = strings(np.stack(batch["v"].to_numpy()).astype(np.float64))
-                n = len(batch)
-                yield pd.DataFrame({"tree": np.repeat(np.arange(TREES, dtype=np.int32), n), "s": found.T.ravel().view(np.int64), "c": np.tile(batch["c"].to_numpy(), TREES)})
-
-    def part_of(df: DataFrame) -> DataFrame:
-        lead_bits = F.shiftrightunsigned("s", BITS - lead) if lead else F.lit(0).cast("long")
-        return df.withColumn("part", lead_bits)
-
-    schema = "tree int, s long, c long"
-    index = materialize(part_of(classes.select("c", "v").mapInPandas(trees, schema)), "ann-index")
-    queries = materialize(part_of(searched.mapInPandas(trees, schema)), "ann-asked")
-
-    def sizes(key, own: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        """How many strings share each prefix length with a query, by binary search in the sorted array."""
-        array, s = np.sort(own["s"].to_numpy().view(np.uint64)), asks["s"].to_numpy().view(np.uint64)
-        counts = np.zeros((len(s), BITS + 1), np.int64)
-        for depth in range(lead, BITS + 1):
-            begin, end = spans(array, s, np.full(len(s), depth))
-            counts[:, depth] = end - begin
-        return pd.DataFrame({"c": asks["c"].to_numpy(), "counts": list(counts)})
-
-    per_tree = index.groupBy("tree", "part").cogroup(queries.groupBy("tree", "part")).applyInPandas(lambda k, a, b: sizes(k, a, b), "c long, counts array<long>")
-    total = per_tree.groupBy("c").agg(*[F.sum(F.get("counts", F.lit(d))).alias(f"n{d}") for d in range(lead, BITS + 1)])
-    depth = F.lit(lead)
-    for d in range(lead + 1, BITS + 1):  # synchronous ascent: the deepest level with enough vectors
-        depth = F.when(F.col(f"n{d}") >= enough, d).otherwise(depth)
-    depths = materialize(total.select("c", depth.alias("depth")), "ann-depths")
-
-    def gather(own: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(asks):
-            return pd.DataFrame({"c": [], "other": [], "score": []})
-        order = np.argsort(own["s"].to_numpy().view(np.uint64), kind="stable")
-        array, ids = own["s"].to_numpy().view(np.uint64)[order], own["c"].to_numpy()[order]
-        vectors = np.stack(own["v"].to_numpy()[order]).astype(np.float64)
-        norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-        begin, end = spans(array, asks["s"].to_numpy().view(np.uint64), asks["depth"].to_numpy())
-        out = []
-        for c, v, b, e in zip(asks["c"], asks["asked"], begin, end):
-            v = np.asarray(v, np.float64)
-            near = vectors[b:e] @ v / (norms[b:e] * np.sqrt(v @ v))
-            most = min(k + 1, len(near))
-            if most:
-                edge = np.partition(near, len(near) - most)[len(near) - most]
-                keep = np.flatnonzero(near >= edge - 1e-9)  # all that rounding could put among the nearest
-                out.append(pd.DataFrame({"c": c, "other": ids[b:e][keep], "score": near[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"c": [], "other": [], "score": []})
-
-    with_vectors = index.join(classes.select("c", "v"), "c")
-    with_depths = queries.join(depths, "c").join(classes.select("c", F.col("v").alias("asked")), "c")
-    gathered = with_vectors.groupBy("tree", "part").cogroup(with_depths.groupBy("tree", "part")).applyInPandas(gather, "c long, other long, score double")
-    pairs = gathered.groupBy("c", "other").agg(F.max("score").alias("score"))
+    blocks = max(1, -(-searched.count() // QUERIES))
+    enough, found = None, []
+    for b in range(blocks):
+        rows = searched.where(F.pmod(F.hash("c"), F.lit(blocks)) == b).orderBy(F.xxhash64("c"), "c").collect()  # about QUERIES rows
+        if not rows:
+            continue
+        block = Block(rows)
+        sums = _over_shards(classes, block, _sizes, "c long, counts array<long>").groupBy("c").agg(*[F.sum(F.get("counts", F.lit(d))).alias(f"n{d}") for d in range(BITS + 1)])
+        counts = {r[0]: list(r[1:]) for r in sums.collect()}  # the block's queries
+        if enough is None:
+            enough = _enough(classes, Block(rows[:SAMPLE]), counts, k, recall)
+        depth = np.array([max((d for d in range(BITS + 1) if counts[c][d] >= enough), default=0) for c in block.c.tolist()])
+        found.append(_over_shards(classes, block, _candidates(k, depth), "c long, other long, score double"))
+    if not found:
+        return asked.select(F.col("q").alias("query_id"), F.lit(1).alias("rank"), F.col("q").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
+    pairs = reduce(DataFrame.unionAll, found)
+    # Each class has one id at least and k + 1 classes (with all that tie nearly) hold every answer.
     in_order = Window.partitionBy("c").orderBy(F.desc("score"), "other")
-    # Each class brings k + 1 ids at most, so k + 1 classes (with all that tie nearly) hold every answer.
-    edge = pairs.withColumn("r", F.row_number().over(in_order)).where(F.col("r") == k + 1).select("c", F.col("score").alias("edge"))
-    kept = pairs.join(edge, "c", "left").where("edge IS NULL OR score >= edge - 1e-9").select("c", "other")
-    # Scores anew, summed in one fixed order, so that equal vectors and repeated runs give equal numbers.
-    scored = kept.join(classes.select("c", F.col("v").alias("a")), "c").join(classes.select(F.col("c").alias("other"), F.col("v").alias("b"), "ids"), "other")
+    edge = F.min(F.when(F.col("r") <= k + 1, F.col("score"))).over(Window.partitionBy("c"))
+    kept = pairs.withColumn("r", F.row_number().over(in_order)).withColumn("edge", edge).where("score >= edge - 1e-9").select("c", "other")
+    # Scores anew on the original vectors, summed in one fixed order, so that repeated runs give equal numbers.
+    scored = kept.join(grouped.select("c", F.col("v").alias("a")), "c").join(grouped.select(F.col("c").alias("other"), F.col("v").alias("b"), "ids"), "other")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
     cosine = dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))
     rows = asked.join(scored.select("c", cosine.alias("score"), F.explode("ids").alias("vec_id")), "c").where("vec_id <> q")

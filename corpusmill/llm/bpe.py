@@ -228,18 +228,25 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def digest_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode in one pass over `docs`: doc_id, n_tokens, ids_sha256, decoded_sha256; ids never leave the task."""
+def digest_documents(docs: DataFrame, path: str, pattern: str, *, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode and decode in one pass over `docs`: doc_id, n_tokens, ids_sha256, decoded_sha256; keep_ids: and the packed ids."""
+    schema = DIGEST.append(pa.field("ids", pa.binary())) if keep_ids else DIGEST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
-            n, ids_sha, text_sha = [], [], []
-            for t in batch.column(1):
-                packed = own.encode_packed(t.as_py() or "")
-                n.append(len(packed) // 4)
-                ids_sha.append(hashlib.sha256(packed).hexdigest())
-                text_sha.append(hashlib.sha256(own.decode(unpack(packed))).hexdigest())
-            yield batch_of({"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha}, DIGEST)
-
-    return own_columns(docs, doc_id=id_col, text=text_col).selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                out: dict[str, list] = {name: [] for name in schema.names}
+                out["doc_id"] = batch.column(0)
+                for t in batch.column(1):
+                    packed = own.encode_packed(t.as_py() or "")
+                    out["n_tokens"].append(len(packed) // 4)
+                    out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(own.decode(unpack(packed))).hexdigest())
+                    if keep_ids:
+                        out["ids"].append(packed)
+                yield batch_of(out, schema)
+
+    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
+    return own_columns(docs, doc_id=id_col, text=text_col).selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(run, ddl)

@@ -57,10 +57,11 @@ def windows(net: Network, data: np.ndarray) -> np.ndarray:
     return view
 
 
-def pooled(net: Network, data: np.ndarray) -> np.ndarray:
-    """The maximum of each filter over each block, before the ReLU (which keeps order)."""
-    answers = windows(net, data) @ net.filters
-    return answers.reshape(-1, BLOCK // STRIDE, FILTERS)
+def answered(net: Network, data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each filter's answer at each window, by blocks; the padding's windows that reach into the next text never win."""
+    answers = (windows(net, data) @ net.filters).reshape(-1, BLOCK // STRIDE, FILTERS)
+    answers[first[1:] - 1, 1 - WIDTH // STRIDE :] = -np.inf
+    return answers
 
 
 def chunks_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,8 +76,8 @@ def chunks_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def forward(net: Network, texts: list[bytes], keep: bool = False):
     data, first = blocks_of(texts)
-    answers = pooled(net, data)
-    tops = answers.max(axis=1)
+    answers = answered(net, data, first)
+    tops = answers.max(axis=1)  # before the ReLU, which keeps order
     begin, doc = chunks_of(first)
     ends = first[doc + 1]
     member = np.minimum(begin[:, None] + np.arange(CHUNK), ends[:, None] - 1)  # the last block again beyond the end

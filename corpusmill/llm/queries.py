@@ -51,7 +51,7 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +78,40 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = (op1_byte_bpe, op2_decontamination, op3_sharding, op4_toxicity, op5_quality, op6_nearest, op7_simhash, op8_line_dedup, op9_token_files, op10_warc)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in OPERATORS}
+    return {f.__name__: f for f in (*OPERATORS, pipeline)}
+
+
+OP8_SQL = """
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, p, greatest(1, len(regexp_extract_all(ls[p], '[^ \t\n\x0B\f\r]+'))) AS w FROM docs, unnest(range(1, len(ls) + 1)) AS u(p)),
+sums AS (SELECT doc_id, p, w, sum(w) OVER (PARTITION BY doc_id ORDER BY p) AS e FROM lines),
+runs AS (
+  SELECT s.doc_id, s.p AS s, min(t.p) AS e FROM sums s JOIN sums t ON s.doc_id = t.doc_id AND t.p >= s.p AND t.e - s.e + s.w >= 50 GROUP BY ALL
+  UNION
+  SELECT t.doc_id, max(s.p) AS s, t.p AS e FROM sums s JOIN sums t ON s.doc_id = t.doc_id AND t.p >= s.p AND t.e - s.e + s.w >= 50 GROUP BY t.doc_id, t.p
+),
+named AS (SELECT r.doc_id, r.s, r.e, array_to_string(list_slice(d.ls, r.s, r.e), chr(10)) AS run FROM runs r JOIN docs d USING (doc_id)),
+later AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, s) > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM later, unnest(range(s, e + 1)) AS u(p) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN g IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(g, i)), lambda i: ls[i]), chr(10)) END AS text,
+  CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed
+FROM docs LEFT JOIN gone USING (doc_id)
+"""
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS keeper FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM k
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Equal rows by SQL. Learned models, tokenizers, seeded hashes and approximate search have tests in tests/llm instead."""
+    return {"op8_line_dedup": OP8_SQL, "op10_warc": OP10_SQL}

@@ -163,20 +163,21 @@ def forest(members: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 KEYS = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("waits", pa.int64())])
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long), one row for each row of `docs`."""
+    """doc_id, text_hash, fp (the fingerprint's bits as a signed long), one row for each row of `docs`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield batch_of({"doc_id": batch.column(0), "fp": found}, FINGERPRINTS)
+            found = np.array([fingerprint(t.as_py(), words) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield batch_of({"doc_id": batch.column(0), "text_hash": batch.column(1), "fp": found}, FINGERPRINTS)
 
-    return own_columns(docs, doc_id=id_col, text=text_col).selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    own = own_columns(docs, doc_id=id_col, text=text_col).selectExpr("CAST(doc_id AS BIGINT) doc_id", "xxhash64(text) text_hash", "text")
+    return own.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,12 +188,12 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of({"key": key, "fp": own[of]}, KEYS)
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in key order. Links of each key's group; a group of more than GROUP says how many it has instead (a: key, waits)."""
+def _linked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows in key order. Links of each key's group; a group of more than `most` says how many it has instead (a: key, waits)."""
     key, held, count = None, [], 0
 
     def close(a: list, b: list, waits: list) -> None:
-        if count > GROUP:
+        if count > most:
             a.append(key), b.append(0), waits.append(count)
         elif count > 1:
             group = np.concatenate(held)
@@ -215,7 +216,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     close(a, b, waits)
                     key, held, count = None, [], 0
                 key, count = int(ks[s]), count + e - s
-                if count <= GROUP:
+                if count <= most:
                     held.append(fps[s:e].copy())
                 else:
                     held = []
@@ -223,7 +224,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if key is not None:
                     close(a, b, waits)
                     key, held, count = None, [], 0
-                if e - s > GROUP:
+                if e - s > most:
                     a.append(int(ks[s])), b.append(0), waits.append(e - s)
                 else:
                     for i, j in forest(fps[s:e].view(np.uint64)):
@@ -235,31 +236,35 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of({"a": a, "b": b, "waits": waits}, LINKS)
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, most: int = GROUP) -> DataFrame:
     """a, b: links among the distinct fingerprints `fp`, enough of them to connect all that linked pairs connect."""
     n = partitions(distinct.sparkSession)
     schema = "a long, b long, waits long"
 
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _linked(batches, most)
+
     def pairs() -> DataFrame:
         return distinct.select("fp").mapInArrow(_keyed, "key long, fp long")
 
-    found = materialize(pairs().repartition(n, "key").sortWithinPartitions("key").mapInArrow(_linked, schema), "simhash-links")
+    found = materialize(pairs().repartition(n, "key").sortWithinPartitions("key").mapInArrow(linked, schema), "simhash-links")
     edges = found.where("waits = 0").select("a", "b").distinct()
-    waiting = found.where("waits > 0").select(F.col("a").alias("key"), F.ceil(F.col("waits") / (GROUP // 4)).cast("int").alias("blocks"))
+    waiting = found.where("waits > 0").select(F.col("a").alias("key"), F.ceil(F.col("waits") / max(1, most // 4)).cast("int").alias("blocks"))
     if waiting.isEmpty():
         return edges
-    # A large group: every member goes to each pair of blocks that its own block is part of, some GROUP / 2 members a pair.
+    # A large group: every member goes to each pair of blocks that its own block is part of, about half of `most` members a pair.
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = pairs().join(waiting, "key").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
-    more = materialize(dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_linked, schema), "simhash-links")
+    more = materialize(dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(linked, schema), "simhash-links")
     if not more.where("waits > 0").isEmpty():
         raise RuntimeError("a block pair exceeds its bound")
     return edges.unionAll(more.select("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 lower-case hex digits), component_id (the smallest doc_id reachable, itself included).
+    """doc_id, fingerprint (16 lower-case hex digits), component_id (the smallest doc_id reachable, itself included), text_hash,
+    component (names the component even where it has no id).
 
     Defined results: null text has no words, so its fingerprint is zero, and it links like any other; null doc_id takes part
     but names a component only if the component has no other id (component_id is null then); each row of a repeated doc_id
@@ -271,5 +276,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of = components(links(classes))
     named = classes.join(of.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "component").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = named.join(least, "component").select("fp", "component_id", "component")
+    return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "component")
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """`docs` with one row of each component: that with the smallest doc_id (null is the smallest), then the smallest text hash."""
+    names = docs.columns
+    near = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words)
+    first = near.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("d_"), F.col("k.text_hash").alias("h_"))
+    keyed = docs.toDF(*[f"c{i}_" for i in range(len(names))])
+    keyed = keyed.withColumn("d", F.col(f"c{names.index(id_col)}_").cast("long")).withColumn("h", F.xxhash64(f"c{names.index(text_col)}_"))
+    kept = keyed.join(first, F.col("d").eqNullSafe(F.col("d_")) & (F.col("h") == F.col("h_")), "left_semi")
+    return kept.dropDuplicates(["d", "h"]).drop("d", "h").toDF(*names)

@@ -26,7 +26,7 @@ from .common import batch_of, own_columns
 from .words import joined, mix, odd, word_hashes
 
 BITS = 22
-TRAIN_DOCS = 8000
+TRAIN_DOCS = 10_000
 GAP = 2
 BATCH_WORDS = 400_000
 
@@ -54,7 +54,7 @@ def features(text: str | None) -> np.ndarray:
 class Ftrl:
     """Per-coordinate FTRL-proximal; coordinate 2^BITS is the bias, without L1."""
 
-    def __init__(self, alpha: float = 0.2, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0):
+    def __init__(self, alpha: float = 3.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
@@ -77,7 +77,7 @@ class Ftrl:
         return at.astype(np.uint32), w[at].astype(np.float32), float(w[-1])
 
 
-def fit(examples: list[tuple[np.ndarray, int]], epochs: int = 6) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(examples: list[tuple[np.ndarray, int]], epochs: int = 12) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights of the examples (coordinates, label), in the same order every time."""
     positive = sum(y for _, y in examples)
     none = np.empty(0, np.uint32), np.empty(0, np.float32)

@@ -1,0 +1,105 @@
+import random
+
+import numpy as np
+import pytest
+
+from corpusmill.llm import decontam
+from corpusmill.llm.words import WORD
+
+
+def brute(docs, items, least=13, similarity=0.8):
+    """Every diagonal of every document and item."""
+    found = set()
+    for d, t in docs:
+        a = WORD.findall((t or "").lower())
+        for i, u in items:
+            b = WORD.findall((u or "").lower())
+            need = min(least, len(b))
+            if len(b) < 5:
+                continue
+            for diagonal in range(-len(b), len(a)):
+                same = [a[diagonal + j] == b[j] if 0 <= diagonal + j < len(a) else None for j in range(len(b))]
+                if any(None not in same[k : k + need] and sum(same[k : k + need]) >= similarity * need - 1e-9 for k in range(len(b) - need + 1)):
+                    found.add((d, i))
+                    break
+    return found
+
+
+def words(r, n):
+    return [r.choice(["the", "of", "and"]) if r.random() < 0.3 else f"w{r.randrange(5000)}" for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    r = random.Random(8)
+    items = [(i, " ".join(words(r, n))) for i, n in enumerate([4, 5, 9, 13, 14, 20, 40, 60])] + [(90, None), (91, ""), (92, "solo")]
+    docs = []
+    for k in range(120):
+        own = words(r, r.randrange(0, 150))
+        if k % 3:
+            part = items[r.randrange(8)][1].split()
+            if k % 3 == 2:
+                for at in r.sample(range(len(part)), len(part) // r.choice([5, 6, 10])):
+                    part[at] = f"changed{at}"
+            if r.random() < 0.3:
+                part = part[r.randrange(len(part)) :]
+            at = r.randrange(len(own) + 1)
+            own[at:at] = part
+        docs.append((k, " ".join(w.upper() if r.random() < 0.1 else w + r.choice(["", ",", "."]) for w in own)))
+    docs += [(200, None), (201, ""), (None, items[6][1]), (7, items[7][1]), (7, items[7][1])]
+    return docs, items
+
+
+def test_overlaps_equal_brute_force(spark, tables):
+    docs, items = tables
+    d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, item_id int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.overlaps(d, b).collect()}
+    want = brute(docs, items)
+    assert got <= want  # every hit is verified
+    missed = want - got
+    assert len(missed) <= 0.02 * len(want), missed  # a mask must fit between the substitutions
+    kept = decontam.decontaminate(d, b)
+    bad_texts = {docs_text for docs_id, docs_text in docs if any((docs_id, i) in got for i, _ in items)}
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(i), str(t)) for i, t in docs if t not in bad_texts)
+    assert kept.columns == d.columns
+
+
+def test_substitutions_of_every_fifth_word(spark):
+    item = " ".join(f"i{k}" for k in range(30))
+    for phase in range(5):
+        text = "before " + " ".join(f"i{k}" if k % 5 != phase else f"x{k}" for k in range(30)) + " after"
+        d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        rows = decontam.overlaps(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+        assert len(rows) == 1 and rows[0].n_words >= 13 and rows[0].n_equal >= 0.7 * rows[0].n_words
+
+
+def test_blocks_give_the_same_rows(spark, tables, monkeypatch):
+    docs, items = tables
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    one = {tuple(r) for r in decontam.overlaps(d, b).collect()}
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
+    assert {tuple(r) for r in decontam.overlaps(d, b).collect()} == one
+
+
+def test_empty_tables(spark):
+    d = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    assert decontam.overlaps(d, b).count() == 1
+    assert decontam.overlaps(d.where("false"), b).count() == 0
+    assert decontam.overlaps(d, b.where("false")).count() == 0
+    assert decontam.decontaminate(d, b.where("false")).count() == 1
+
+
+def test_seed_keys_ignore_masked_places():
+    a = np.arange(1, 30, dtype=np.uint64)
+    for mask, shape in enumerate(decontam.MASKS):
+        b = a.copy()
+        for i, c in enumerate(shape):
+            if c == "0":
+                b[i] += np.uint64(99)
+        assert decontam.seed_keys(a, mask)[0] == decontam.seed_keys(b, mask)[0]
+        b[0] += np.uint64(1)
+        assert decontam.seed_keys(a, mask)[0] != decontam.seed_keys(b, mask)[0]
+        assert not len(decontam.seed_keys(a[:2], mask))
