@@ -1,0 +1,66 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusmill.operators import model
+
+
+def test_attention_of_relations_equals_arrays(spark):
+    r = np.random.default_rng(0)
+    x = r.normal(size=(2, 5, 8))
+    df = spark.createDataFrame([(s, t, x[s, t].tolist()) for s in range(2) for t in range(5)], "seq int, t int, x array<double>")
+    h = model.heads(df, 2)
+    p = model.attention(model.attention_scores(h))
+    got = np.zeros((2, 2, 5, 4))
+    for row in model.attend(p, h).collect():
+        got[row.seq, row["head"], row.t, row.dim] = row.o
+    for s in range(2):
+        for k in range(2):
+            v = x[s][:, k * 4 : k * 4 + 4]
+            w = v @ v.T / 2
+            w = np.where(np.tri(5, dtype=bool), w, -np.inf)
+            e = np.exp(w - w.max(1, keepdims=True))
+            assert got[s, k] == pytest.approx(e / e.sum(1, keepdims=True) @ v)
+    assert model.mean_over_heads(p).groupBy("seq", "q").agg(F.sum("p").alias("s")).where("abs(s - 1) > 1e-9").isEmpty()
+
+
+def test_heads_must_divide(spark):
+    df = spark.createDataFrame([(0, 0, [1.0] * 5)], "seq int, t int, x array<double>")
+    with pytest.raises(Exception, match="multiple of the heads"):
+        model.heads(df, 2).collect()
+
+
+def test_column_functions(spark):
+    z = [1.0, -2.0, 3.5, 3.5]
+    row = spark.createDataFrame([(z,)], "z array<double>").select(
+        model.softmax(F.col("z")).alias("s"), model.layer_norm(F.col("z")).alias("n"), model.cross_entropy(F.col("z"), F.lit(2)).alias("c"), model.relu(model.linear(F.col("z"), [[1, 0, 0, 0], [0, 1, 0, 0]], [0.5, 0.5])).alias("l")
+    ).first()
+    a = np.array(z)
+    e = np.exp(a - a.max())
+    assert row.s == pytest.approx(e / e.sum())
+    assert row.n == pytest.approx((a - a.mean()) / np.sqrt(a.var() + 1e-5))
+    assert row.c == pytest.approx(-np.log((e / e.sum())[2]))
+    assert row.l == [1.5, 0.0]
+
+
+@pytest.mark.parametrize("u,want", [(0.0, 0), (0.2, 0), (0.2000001, 1), (0.99, 2), (1.5, 2)])
+def test_pick(spark, u, want):
+    assert spark.createDataFrame([([0.2, 0.3, 0.5],)], "p array<double>").select(model.pick(F.col("p"), F.lit(u)).alias("i")).first().i == want
+
+
+def test_decoder_is_causal_and_bounded():
+    params = model.random_decoder(20, 6, 8, 2, 16)
+    ids = np.array([1, 2, 3, 4])
+    logits, maps = model.decoder(params, ids, 2)
+    longer, _ = model.decoder(params, np.append(ids, 9), 2)
+    assert logits == pytest.approx(longer[:4]) and len(maps) == 2 and maps[0].sum(1) == pytest.approx(np.ones(4))
+    with pytest.raises(ValueError):
+        model.decoder(params, np.arange(7), 2)
+
+
+def test_generation_is_repeatable(spark):
+    prompts = spark.createDataFrame([(1, [1, 2]), (2, [3])], "key long, ids array<int>")
+    params = model.random_decoder(20, 6, 8, 1, 16)
+    one = {r.key: r.output for r in model.generate(prompts, params, 2, steps=9).collect()}
+    assert one == {r.key: r.output for r in model.generate(prompts.repartition(3), params, 2, steps=9).collect()}
+    assert one[1][:2] == [1, 2] and len(one[1]) == 11
