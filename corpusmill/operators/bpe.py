@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: Distinct words that one task's memory holds with ease (some 500 bytes each).
+MOST_WORDS = 5_000_000
+
+
 def word_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word (pre-token), n: how often each occurs; a partial count in every task, then one shuffle of distinct words."""
     return docs.select(F.explode(T.pretokens(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
@@ -132,12 +136,17 @@ class WordMerger:
                 self.places.pop(p, None)
 
 
-def train(docs: DataFrame, vocab_size: int, specials: list[str] = (), text_col: str = "text") -> DataFrame:
+def train(docs: DataFrame, vocab_size: int, specials: list[str] = (), text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
     """rank, l, r (hex), n of the merges up to a vocabulary of `vocab_size` (specials and the 256 bytes included).
 
-    Words are counted over the cluster; the distinct ones, which grow far slower than the corpus, meet in one task.
+    Words are counted over the cluster. Up to `most_words` distinct ones, which grow far slower than the corpus, meet in one task;
+    beyond that each merge is a distributed step. Both give the same merges.
     """
     wanted = max(0, vocab_size - 256 - len(specials))
+    counted = word_table(docs, text_col).persist()
+    if counted.count() > most_words:
+        found = train_by_steps(docs, wanted, text_col)
+        return docs.sparkSession.createDataFrame([(i, *m) for i, m in enumerate(found)], "rank int, l string, r string, n long")
 
     def run(words: pd.DataFrame) -> pd.DataFrame:
         merger = WordMerger({w.encode(): int(n) for w, n in zip(words["word"], words["n"])})
@@ -146,7 +155,7 @@ def train(docs: DataFrame, vocab_size: int, specials: list[str] = (), text_col:
             rows.append((len(rows), merge[0].hex(), merge[1].hex(), merge[2]))
         return pd.DataFrame(rows, columns=["rank", "l", "r", "n"])
 
-    return word_table(docs, text_col).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "rank int, l string, r string, n long")
+    return counted.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "rank int, l string, r string, n long")
 
 
 @dataclass

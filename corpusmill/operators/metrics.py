@@ -80,3 +80,14 @@ def counts(tokens: DataFrame, block: int, batch: int) -> DataFrame:
     """documents, tokens, samples, batches of a (doc_id, n) table."""
     total = tokens.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
     return total.withColumn("samples", F.greatest(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / block).cast("long"))).withColumn("batches", F.ceil(F.col("samples") / batch).cast("long"))
+
+
+def eval_records(log: DataFrame, k: int, total: int) -> DataFrame:
+    """Every k-th step of (step, loss, val_loss, lr) as a log row: step, total_steps, loss, train_ppl, val_ppl, lr."""
+    return every_k(log, k).select("step", F.lit(total).alias("total_steps"), "loss", F.exp("loss").alias("train_ppl"), F.exp("val_loss").alias("val_ppl"), "lr")
+
+
+def final_metrics(log: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """The last row's value and the best one of each run; NaN is never the best."""
+    number = F.when(~F.isnan(value), F.col(value))
+    return log.groupBy(*by).agg(F.max_by(value, F.struct(*order)).alias("final"), F.min(number).alias("best"), F.count("*").alias("rows"))

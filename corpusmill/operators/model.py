@@ -89,6 +89,20 @@ def attend(probabilities: DataFrame, x: DataFrame, value: str = "x") -> DataFram
     return out.agg(F.sum(F.col("p") * F.col("v").cast("double")).alias("o"))
 
 
+def last_position(x: DataFrame, value: str = "x") -> DataFrame:
+    """seq, and the value at its last position."""
+    return x.groupBy("seq").agg(F.max_by(value, "t").alias(value))
+
+
+def residual(x: Column, y: Column) -> Column:
+    return F.zip_with(x, y, lambda a, b: a + b)
+
+
+def feed_forward(x: Column, up: list[list[float]], up_bias: list[float], down: list[list[float]], down_bias: list[float]) -> Column:
+    """Linear, ReLU, linear; dropout is the identity."""
+    return let(relu(linear(x, up, up_bias)), lambda h: linear(h, down, down_bias))
+
+
 def embed(tokens: DataFrame, token_table: DataFrame, position_table: DataFrame) -> DataFrame:
     """seq, t, x: token vector plus position vector of (seq, t, id); two equi-joins with (id, v) and (t, v)."""
     at = tokens.join(token_table.select("id", F.col("v").alias("a")), "id").join(position_table.select("t", F.col("v").alias("b")), "t")

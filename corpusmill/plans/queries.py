@@ -277,6 +277,18 @@ def ppl_unweighted(spark, sf_dir):
     return metrics.perplexity(metrics.batch_means(losses, "value", F.floor(F.col("event_id") / 32), ["event_type"]), ["event_type"]).select("event_type", F.round("ppl", 6).alias("ppl"))
 
 
+@query("SELECT user_id, arg_max(value, struct_pack(ts := ts, event_id := event_id)) AS final, min(value) AS best, count(*) AS rows FROM events GROUP BY user_id")
+def final_metrics(spark, sf_dir):
+    return metrics.final_metrics(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
+
+
+@query("SELECT event_id AS step, 10000 AS total_steps, round(value / 100, 6) AS loss, round(exp(value / 100), 6) AS train_ppl, round(exp(value / 200), 6) AS val_ppl, 0.5 * event_id AS lr FROM events WHERE event_id % 100 = 0")
+def eval_log(spark, sf_dir):
+    log = read(spark, sf_dir, "events").select(F.col("event_id").alias("step"), (F.col("value") / 100).alias("loss"), (F.col("value") / 200).alias("val_loss"), (0.5 * F.col("event_id")).alias("lr"))
+    rows = metrics.eval_records(log, 100, 10_000)
+    return rows.select("step", "total_steps", F.round("loss", 6).alias("loss"), F.round("train_ppl", 6).alias("train_ppl"), F.round("val_ppl", 6).alias("val_ppl"), "lr")
+
+
 @query("SELECT event_id AS step, round(exp(value / 100), 6) AS ppl FROM events WHERE event_id % 50 = 0")
 def ppl_every_k(spark, sf_dir):
     return metrics.every_k(read(spark, sf_dir, "events"), 50, "event_id").select(F.col("event_id").alias("step"), F.round(F.exp(F.col("value") / 100), 6).alias("ppl"))
@@ -377,6 +389,11 @@ def embedding_gather(spark, sf_dir):
     return found.select("seq", "t", "dim", F.round("x", 6).alias("x"))
 
 
+@query(f"SELECT seq, arg_max(x, t) AS x FROM ({_SEQ}) GROUP BY seq")
+def last_position(spark, sf_dir):
+    return model.last_position(_sequences(spark, sf_dir))
+
+
 _U = "(CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 6) AS BIGINT) / 16777216.0)"
 
 
