@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from .common import batch_of, own_columns
 
 #: Longest pre-token (bytes) and most pre-tokens whose ids a worker remembers; memory stays near 250 bytes times the latter.
-REMEMBERED_BYTES, REMEMBERED = 48, 1_200_000
+REMEMBERED_BYTES, REMEMBERED = 48, 900_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -72,9 +72,10 @@ class Ftrl:
 
     def compact(self) -> tuple[np.ndarray, np.ndarray, float]:
         """Coordinates and weights that aren't zero, and the bias."""
-        w = self.weights(np.arange((1 << BITS) + 1))
-        at = np.flatnonzero(w[:-1])
-        return at.astype(np.uint32), w[at].astype(np.float32), float(w[-1])
+        at = np.flatnonzero(self.n)  # coordinates ever met; the bias is the last
+        w = self.weights(at)
+        kept = (w != 0) & (at < 1 << BITS)
+        return at[kept].astype(np.uint32), w[kept].astype(np.float32), float(w[-1])
 
 
 def fit(examples: list[tuple[np.ndarray, int]], epochs: int = 12) -> tuple[np.ndarray, np.ndarray, float]:
@@ -84,10 +85,10 @@ def fit(examples: list[tuple[np.ndarray, int]], epochs: int = 12) -> tuple[np.nd
     if not 0 < positive < len(examples):
         return *none, 30.0 if positive else -30.0
     model, order = Ftrl(), np.random.default_rng(7)
-    withbias = [(np.append(x.astype(np.int64), 1 << BITS), y) for x, y in examples]
     for _ in range(epochs):
-        for i in order.permutation(len(withbias)):
-            model.learn(*withbias[i])
+        for i in order.permutation(len(examples)):
+            at, label = examples[i]
+            model.learn(np.append(at.astype(np.int64), 1 << BITS), label)
     return model.compact()
 
 
@@ -107,8 +108,9 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int
             yield batch_of({"doc_id": batch.column(0), "label": batch.column(2), "at": [features(t.as_py()).tobytes() for t in batch.column(1)]}, schema)
 
     rows = labelled(docs, labels, label, most).mapInArrow(run, "doc_id long, label int, at binary").toArrow()
-    found = sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_pylist()))
-    return fit([(np.frombuffer(at, np.uint32), y) for _, y, at in found])
+    examples = [(i.as_py(), y.as_py(), np.frombuffer(at.as_buffer(), np.uint32)) for i, y, at in zip(*rows.columns)]  # views, no copies
+    examples.sort(key=lambda e: (e[0], e[1], len(e[2]), e[2].tobytes()))
+    return fit([(at, y) for _, y, at in examples])
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("score", pa.float64())])

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 WORD = re.compile(r"\w+")
-REMEMBERED = 500_000
+REMEMBERED = 200_000  # words whose hash a worker remembers, some 200 bytes each
 
 
 class _Hashes(dict):
