@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusmill.llm import bpe, decontam, linededup, simhash, toxicity
 from corpusmill.llm.common import materialize, table
@@ -21,9 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of runs of lines of 50 words or more go; so do documents of which no line is left. n_chars follows the text."""
-    found = linededup.deduplicate_lines(docs, 50)
-    kept = found.where("n_removed_ = 0 OR n_removed_ < n_lines_")
-    return kept.withColumn("n_chars", F.when(F.col("n_removed_") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("n_lines_", "n_removed_")
+    return linededup.drop_repeated_lines(docs, 50)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

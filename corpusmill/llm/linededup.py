@@ -30,7 +30,7 @@ SALTS = 16
 
 
 def _lines(own: DataFrame) -> DataFrame:
-    """d, h, p, line (MD5), w: every line of every distinct document."""
+    """d, h, p, line (MD5), w: every line of every document."""
     lines = own.select("d", "h", F.posexplode(F.split("text", "\n")).alias("p", "line"))
     return lines.select("d", "h", "p", F.unhex(F.md5("line")).alias("line"), F.greatest(F.lit(1), F.regexp_count("line", F.lit(r"\S+"))).cast("long").alias("w"))
 
@@ -75,8 +75,9 @@ def _shortest_runs(islands: DataFrame, min_words: int) -> DataFrame:
 
 def removed_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """d, h, removed (ascending places of lines that go) of the documents (d, h, text) that lose lines."""
-    lines = _lines(docs)
-    ranked = _ranked(lines, ["line"], ["w"])
+    lines = materialize(_lines(docs), "lines")
+    # A document's repeated rows have the same positions: they add no class of their own, and are put together where few lines are left.
+    ranked = _ranked(lines, ["line"], ["w"]).repartition(*DOC).dropDuplicates([*DOC, "p"])
     level = islands = materialize(_islands(ranked, min_words), "line-islands")
     runs = materialize(_shortest_runs(islands, min_words), "line-runs")
     longest = runs.agg(F.max("m")).first()[0]
@@ -100,24 +101,40 @@ def removed_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     return places.groupBy(*DOC).agg(F.array_sort(F.collect_set("p")).alias("removed"))
 
 
-def deduplicate_lines(docs: DataFrame, min_words: int = 50, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with its text less the later copies of repeated runs, and n_lines_, n_removed_ (long)."""
+def _deduplicated(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> tuple[DataFrame, Column, Column, Column, list[Column]]:
+    """`docs` with its columns renamed by place and what is to be removed; the new text, lines, removed lines; its columns."""
     names = docs.columns
     at_id, at_text = names.index(id_col), names.index(text_col)
     plain = docs.toDF(*[f"c{i}_" for i in range(len(names))])
     keyed = plain.withColumn("d", F.coalesce(F.col(f"c{at_id}_").cast("long"), F.lit(-(2**63)).cast("long"))).withColumn("text", F.col(f"c{at_text}_")).withColumn("h", F.xxhash64("text"))
-    removed = removed_lines(keyed.where("text IS NOT NULL").select("d", "h", "text").dropDuplicates(["d", "h"]), min_words)
+    removed = removed_lines(keyed.where("text IS NOT NULL").select("d", "h", "text"), min_words)
     removed = removed.select(F.col("d").alias("d_"), F.col("h").alias("h_"), "removed")
     joined = keyed.join(removed, (F.col("d") == F.col("d_")) & (F.col("h") == F.col("h_")), "left")
     lines, gone = F.split("text", "\n"), F.col("removed")
+    before = lambda i: F.when(i == 0, -1).otherwise(F.get(gone, i - 1))  # noqa: E731  the removed line before the i-th
     kept = F.flatten(
         F.concat(
-            F.transform(gone, lambda r, i: F.slice(lines, F.when(i == 0, 1).otherwise(F.get(gone, i - 1) + 2), r - F.when(i == 0, -1).otherwise(F.get(gone, i - 1)) - 1)),
+            F.transform(gone, lambda r, i: F.slice(lines, before(i) + 2, r - before(i) - 1)),
             F.array(F.slice(lines, F.element_at(gone, -1) + 2, F.greatest(F.lit(0), F.size(lines) - F.element_at(gone, -1) - 1))),
         )
     )
     text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     n_removed = F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long")
-    columns = [(text if i == at_text else F.col(f"c{i}_")).alias(f"o{i}_") for i in range(len(names))]
-    return joined.select(*columns, n_lines.alias("n"), n_removed.alias("r")).toDF(*names, "n_lines_", "n_removed_")
+    return joined, text, n_lines, n_removed, [text if i == at_text else F.col(f"c{i}_") for i in range(len(names))]
+
+
+def deduplicate_lines(docs: DataFrame, min_words: int = 50, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with its text less the later copies of repeated runs, and n_lines_, n_removed_ (long)."""
+    joined, _, n_lines, n_removed, columns = _deduplicated(docs, min_words, id_col, text_col)
+    return joined.select(*columns, n_lines, n_removed).toDF(*docs.columns, "n_lines_", "n_removed_")
+
+
+def drop_repeated_lines(docs: DataFrame, min_words: int = 50, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """`docs` with its text less the later copies of repeated runs; documents of which no line is left go, and `chars_col`, where
+    there is one, has the new length of texts that lost lines."""
+    joined, text, n_lines, n_removed, columns = _deduplicated(docs, min_words, id_col, text_col)
+    if chars_col in docs.columns:
+        i = docs.columns.index(chars_col)
+        columns[i] = F.when(n_removed > 0, F.length(text).cast(docs.dtypes[i][1])).otherwise(columns[i])
+    return joined.where((n_removed == 0) | (n_removed < n_lines)).select(*columns).toDF(*docs.columns)

@@ -55,3 +55,23 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DATA)
     assert docs.count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    """Nulls in any column, empty and long texts, repeated rows, and columns whose names the stages use themselves."""
+    long = " ".join(f"word{i}" for i in range(40_000))
+    rows = [(1, "a clean text of its own", "en", "s", 23), (None, None, None, None, None), (2, "", None, "s", 0), (3, None, "en", None, None), (4, long, "en", "s", len(long)), (5, long, "en", "s", None), (5, long, "en", "s", None), (6, "\n".join([long] * 3), "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = "d long, h string, d_ int, h_ int, fp string, key int, removed string, label int, score double, text_hash int, item_id int, c0_ int, TEXT string"
+    docs = spark.createDataFrame([(*r, *[None] * 13) for r in rows], f"{schema}, {extra}")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        names, docs = docs.columns, stage(spark, docs, DATA)
+        if name != "bpe":
+            assert docs.columns == names
+            docs = docs.cache()
+        kept.append(sorted(str(r[0]) for r in docs.collect()))
+    assert kept[0] == ["1", "2", "3", "4", "5", "5", "6", "None"]
+    assert kept[1] == ["1", "2", "3", "4", "None"]  # 5 and 6 repeat the line of 4
+    assert kept[2] == ["1", "4", "None"]  # texts without words are one group, whose smallest doc_id is null
+    assert kept[3] == kept[4] == ["1", "4", "None"]
