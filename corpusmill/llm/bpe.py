@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batch_of, own_columns
+from .common import batch_of, batch_rows, own_columns
 
 #: Longest pre-token (bytes) and most pre-tokens whose ids a worker remembers; memory stays near 250 bytes times the latter.
 REMEMBERED_BYTES, REMEMBERED = 48, 900_000
@@ -203,6 +203,8 @@ ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", p
 def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers), one row for each row of `docs`."""
 
+    batch_rows(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
@@ -230,23 +232,22 @@ DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha2
 
 def digest_documents(docs: DataFrame, path: str, pattern: str, *, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode in one pass over `docs`: doc_id, n_tokens, ids_sha256, decoded_sha256; keep_ids: and the packed ids."""
+    batch_rows(docs.sparkSession)
     schema = DIGEST.append(pa.field("ids", pa.binary())) if keep_ids else DIGEST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                batch = whole.slice(i, 1000)
-                out: dict[str, list] = {name: [] for name in schema.names}
-                out["doc_id"] = batch.column(0)
-                for t in batch.column(1):
-                    packed = own.encode_packed(t.as_py() or "")
-                    out["n_tokens"].append(len(packed) // 4)
-                    out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(own.decode(unpack(packed))).hexdigest())
-                    if keep_ids:
-                        out["ids"].append(packed)
-                yield batch_of(out, schema)
+        for batch in batches:
+            out: dict[str, list] = {name: [] for name in schema.names}
+            out["doc_id"] = batch.column(0)
+            for t in batch.column(1):
+                packed = own.encode_packed(t.as_py() or "")
+                out["n_tokens"].append(len(packed) // 4)
+                out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(own.decode(unpack(packed))).hexdigest())
+                if keep_ids:
+                    out["ids"].append(packed)
+            yield batch_of(out, schema)
 
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
     return own_columns(docs, doc_id=id_col, text=text_col).selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(run, ddl)

@@ -43,6 +43,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def batch_rows(spark: SparkSession, rows: int = 512) -> None:
+    """Rows in an Arrow batch from here on: few for whole texts, whose batches both the JVM and a worker hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, own_columns
+from .common import batch_of, batch_rows, own_columns
 from .words import joined, mix, odd, word_hashes
 
 MASKS = ("11111", "110111", "11010011", "1011100101", "110010100111")
@@ -111,6 +111,7 @@ FOUND_DDL = "doc_id long, text_hash long, item_id long, doc_word long, item_word
 
 
 def _search(own: DataFrame, items: list[tuple], least_words: int, similarity: float) -> DataFrame:
+    batch_rows(own.sparkSession)
     shared = own.sparkSession.sparkContext.broadcast(Index(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

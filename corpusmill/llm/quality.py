@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch_of, own_columns
+from .common import batch_of, batch_rows, own_columns
 from .toxicity import SCORED, labelled, predictions
 
 WIDTH, STRIDE, VECTOR, FILTERS = 8, 2, 6, 24
@@ -165,6 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", most: i
 
 def score(docs: DataFrame, net: Network | float, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, score: one row for each row of `docs`."""
+    batch_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

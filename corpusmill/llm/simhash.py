@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialize, own_columns, partitions
+from .common import batch_of, batch_rows, materialize, own_columns, partitions
 from .components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -170,6 +170,7 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("waits", pa.int64())])
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """doc_id, text_hash, fp (the fingerprint's bits as a signed long), one row for each row of `docs`."""
+    batch_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,6 +240,7 @@ def _linked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
 def links(distinct: DataFrame, most: int = GROUP) -> DataFrame:
     """a, b: links among the distinct fingerprints `fp`, enough of them to connect all that linked pairs connect."""
     n = partitions(distinct.sparkSession)
+    batch_rows(distinct.sparkSession, 10_000)  # pairs of numbers
     schema = "a long, b long, waits long"
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

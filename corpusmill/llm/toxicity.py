@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, own_columns
+from .common import batch_of, batch_rows, own_columns
 from .words import joined, mix, odd, word_hashes
 
 BITS = 22
@@ -101,6 +101,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray, float]:
+    batch_rows(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("at", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,6 +119,7 @@ SCORED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("score",
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, score: one row for each row of `docs`."""
+    batch_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
