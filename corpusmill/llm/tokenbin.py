@@ -17,9 +17,7 @@ from __future__ import annotations
 import bisect
 import functools
 import struct
-import sys
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialize, new_dir, open_fs, own_columns, partitions, write_atomically
+from .common import batch_of, batch_rows, materialize, new_dir, open_fs, own_columns, partitions, write_atomically
 
 # Fixed values of the zstd seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -37,8 +35,8 @@ SKIPPABLE_SEEK_TABLE = 0x184D2A5E
 SEEKABLE_FOOTER = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
-#: Words, and parts of words, whose ids a worker remembers (some 150 bytes each), and the longest of them in characters.
-REMEMBERED, REMEMBERED_CHARS = 800_000, 40
+#: Words whose ids a worker remembers (some 200 bytes each), and the longest of them in characters.
+REMEMBERED, REMEMBERED_CHARS = 1_800_000, 40
 
 
 class CorruptFrame(ValueError):
@@ -107,6 +105,7 @@ class TokenFileReader:
         self.starts = np.concatenate([[0], np.cumsum(self.counts)])
         self.first = np.searchsorted(self.frame_of, np.arange(n))  # first document of each frame
         self.at, self.plain = -1, b""
+        self.wide_at, self.wide_ids = -1, memoryview(b"")
 
     def _read(self, at: int, size: int) -> bytes:
         self.stream.seek(at)
@@ -130,6 +129,14 @@ class TokenFileReader:
         begin = int(self.starts[i] - self.starts[self.first[k]]) * self.dtype.itemsize
         return np.frombuffer(self.frame(k)[begin : begin + int(self.counts[i]) * self.dtype.itemsize], self.dtype)
 
+    def wide(self, i: int) -> memoryview:
+        """Ids of the i-th document as little-endian unsigned 32-bit integers; a frame is converted once."""
+        k = int(self.frame_of[i])
+        if k != self.wide_at:
+            self.wide_at, self.wide_ids = k, memoryview(np.frombuffer(self.frame(k), self.dtype).astype("<u4").tobytes())
+        begin = int(self.starts[i] - self.starts[self.first[k]]) * 4
+        return self.wide_ids[begin : begin + int(self.counts[i]) * 4]
+
     def find(self, doc_id: int) -> int:
         """Place of a doc_id in the file (its documents ascend), or -1."""
         nulls = int(self.nulls.sum())
@@ -139,21 +146,47 @@ class TokenFileReader:
 
 @functools.lru_cache(maxsize=2)
 def _words(path: str):
-    """The tokenizer; packed ids of words; packed ids of their parts, which alone go through the library."""
+    """The tokenizer; packed ids of words; those among the words that don't end in a letter or number."""
+    import os
+
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer, {}, {}
+    return tokenizer, {}, set()
 
 
-def _parts(word: str) -> tuple[str, str]:
-    """A word and the punctuation behind it, if that follows a letter or number; A-Z lowered where all is ASCII."""
-    core = word.rstrip(".,;:!?")
-    last = core[-1:].lower()
-    if len(last) != 1 or not last.isalnum():
-        return word, ""
-    return (core.lower() if core.isascii() else core), word[len(core) :]
+@functools.lru_cache(maxsize=2)
+def _last_tokens(path: str) -> np.ndarray:
+    """For each id, whether its token ends a word."""
+    vocab = _words(path)[0].get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+    return ends
+
+
+def _ends_in_letter(word: str) -> bool:
+    """True if punctuation behind the word begins a pre-token of its own, before and after lower-casing."""
+    last = word[-1:].lower()
+    return len(last) == 1 and last.isalnum()
+
+
+def _cut(text: str) -> list[str] | None:
+    """The text's words in lower case, with the points and commas behind them apart; None if that could part what belongs together."""
+    t = text.replace("\n", " ")
+    try:
+        t.encode("latin-1")  # here lower-casing goes letter by letter and keeps the normal form
+    except UnicodeEncodeError:
+        pass
+    else:
+        t = t.lower()
+    t = t.replace(". ", " . ").replace(", ", " , ")
+    if t[-1:] in (".", ","):
+        t = f"{t[:-1]} {t[-1]}"
+    if ". ," in t or ", ." in t or ". ." in t or ", ," in t:
+        return None
+    return t.split(" ")
 
 
 def encode_packed(texts: list[str], path: str, end_id: int | None, id_bytes: int) -> list[bytes]:
@@ -161,38 +194,41 @@ def encode_packed(texts: list[str], path: str, end_id: int | None, id_bytes: int
 
     The tokenizer's pre-tokens never span a blank or line feed, nor a letter or number and the punctuation behind it, and its
     normalizer changes no character because of those; so text is cut there and each distinct part goes through the
-    library once. `separable` says whether a tokenizer is so.
+    library once. `separable` says whether a tokenizer is so. A text in which a point or comma was set apart behind
+    a word that doesn't end in a letter or number is cut at blanks only.
     """
-    tokenizer, known, parts = _words(path)
+    tokenizer, known, joined = _words(path)
     dtype = np.dtype(f"<u{id_bytes}")
     end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
     if not separable(path):
         return [np.array(e.ids, dtype).tobytes() + end for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    cut = [t.replace("\n", " ").split(" ") for t in texts]
+    cut = [_cut(t) or t.replace("\n", " ").split(" ") for t in texts]
     new = set().union(*cut).difference(known)
     if len(known) + len(new) > REMEMBERED:
         known.clear()
+        joined.clear()
         new = set().union(*cut)
-    cores = [(w, *_parts(w)) for w in new]
-    fresh = {p for _, *two in cores for p in two}.difference(parts)
-    if len(parts) + len(fresh) > REMEMBERED:
-        parts.clear()
-        fresh = {p for _, *two in cores for p in two}
-    todo = list(fresh)
-    for i in range(0, len(todo), 10_000):
-        some = todo[i : i + 10_000]
-        parts.update((p, array("H" if id_bytes == 2 else "I", e.ids)) for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
-    for p in todo:
-        ids = parts[p]
-        if sys.byteorder == "big":
-            ids.byteswap()
-        parts[p] = ids.tobytes()
-    known.update((w, parts[core] + parts[tail]) for w, core, tail in cores)
+    # Words of lower-case letters are one pre-token each, so many can share a call: a word ends where a token says so.
+    plain = [w for w in new if w.isalpha() and w.islower()]
+    rest = new.difference(plain)
+    joined.update(w for w in rest if not _ends_in_letter(w) and w not in ("", ".", ","))
+    for i, words in enumerate(cut):
+        if not joined.isdisjoint(words):
+            cut[i] = texts[i].replace("\n", " ").split(" ")
+            rest |= set(cut[i]).difference(known)
+    rest.difference_update(plain)
+    many = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+    for some, e in zip(many, tokenizer.encode_batch_fast([" ".join(p) for p in many], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, dtype)
+        stops = ((np.flatnonzero(_last_tokens(path)[ids]) + 1) * id_bytes).tolist()
+        known.update(zip(some, map(ids.tobytes().__getitem__, map(slice, [0, *stops], stops)), strict=True))
+    single = list(rest)
+    for w, e in zip(single, tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
+        known[w] = np.array(e.ids, dtype).tobytes()
     packed = [b"".join(map(known.__getitem__, words)) + end for words in cut]
-    for w, core, _ in cores:
-        if len(w) > REMEMBERED_CHARS:
-            known.pop(w, None)
-            parts.pop(core, None)
+    for w in [w for w in (*plain, *single) if len(w) > REMEMBERED_CHARS]:
+        del known[w]
+        joined.discard(w)
     return packed
 
 
@@ -215,6 +251,7 @@ def separable(path: str) -> bool:
         and split.get("pattern", {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         and all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") for x in before[1:])
         and not spec.get("post_processor")
+        and spec.get("model", {}).get("end_of_word_suffix") == "</w>"
     )
 
 
@@ -235,6 +272,7 @@ def write_token_files(docs: DataFrame, path: str, out_dir: str, *, end_id: int |
     """
     spark = docs.sparkSession
     n = shards or partitions(spark)
+    batch_rows(spark)
     own = own_columns(docs, doc_id=id_col, text=text_col).selectExpr("CAST(doc_id AS BIGINT) doc_id", "text")
     bounds = own.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n).alias("b")).first().b
     bounds = sorted(set(bounds or []))
@@ -242,9 +280,7 @@ def write_token_files(docs: DataFrame, path: str, out_dir: str, *, end_id: int |
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                yield batch_of({"doc_id": part.column(0), "ids": encode_packed([t or "" for t in part.column(1).to_pylist()], path, end_id, width)}, PACKED)
+            yield batch_of({"doc_id": batch.column(0), "ids": encode_packed([t or "" for t in batch.column(1).to_pylist()], path, end_id, width)}, PACKED)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((s, d, x.as_py()) for b in batches for s, d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)))
@@ -306,7 +342,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                                 "doc_id": [None if reader.nulls[k] else int(reader.doc_ids[k]) for k in part],
                                 "start": [start + int(reader.starts[k]) for k in part],
                                 "n_tokens": [int(reader.counts[k]) for k in part],
-                                "ids_crc32": [zlib.crc32(reader.ids(k).astype("<u4").tobytes()) for k in part],
+                                "ids_crc32": [zlib.crc32(reader.wide(k)) for k in part],
                             },
                             READ,
                         )
