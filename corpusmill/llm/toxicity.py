@@ -26,7 +26,7 @@ from .common import batch_of, batch_rows, own_columns
 from .words import joined, mix, odd, word_hashes
 
 BITS = 22
-TRAIN_DOCS = 10_000
+TRAIN_DOCS = 8000
 GAP = 2
 BATCH_WORDS = 400_000
 
@@ -56,7 +56,7 @@ class Ftrl:
 
     def __init__(self, alpha: float = 3.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+        self.z, self.n = np.zeros((1 << BITS) + 1, np.float32), np.zeros((1 << BITS) + 1, np.float32)
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         z, l1 = self.z[at], np.where(at == 1 << BITS, 0.0, self.l1)
