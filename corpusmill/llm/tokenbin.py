@@ -46,7 +46,7 @@ class CorruptFrame(ValueError):
 class TokenFileWriter:
     """Writes documents to a binary stream; close() adds index and seek table."""
 
-    def __init__(self, stream, *, id_bytes: int = 4, frame_bytes: int = 1 << 17, level: int = 3):
+    def __init__(self, stream, *, id_bytes: int = 4, frame_bytes: int = 1 << 17, level: int = 1):
         self.stream, self.dtype, self.frame_bytes = stream, np.dtype(f"<u{id_bytes}"), frame_bytes
         self.compress = zstandard.ZstdCompressor(level=level, write_checksum=True).compress
         self.waiting: list[bytes] = []
