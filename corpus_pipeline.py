@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, decontam, linededup, simhash, toxicity
+from corpusmill.llm import bpe, decontam, linededup, neardup, toxicity
 from corpusmill.llm.common import materialize, table
 
 
@@ -24,8 +24,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints stays, that with the smallest doc_id."""
-    return simhash.deduplicate(docs)
+    """One document of each component stays, that with the smallest doc_id; texts link at 0.8 of their five-word shingles."""
+    return neardup.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

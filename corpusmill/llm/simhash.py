@@ -282,12 +282,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "component")
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """`docs` with one row of each component: that with the smallest doc_id (null is the smallest), then the smallest text hash."""
+def keep_first(docs: DataFrame, near: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` with the first row (smallest doc_id, then text hash) of each component of `near` (doc_id, text_hash, component)."""
     names = docs.columns
-    near = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words)
     first = near.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("d_"), F.col("k.text_hash").alias("h_"))
     keyed = docs.toDF(*[f"c{i}_" for i in range(len(names))])
     keyed = keyed.withColumn("d", F.col(f"c{names.index(id_col)}_").cast("long")).withColumn("h", F.xxhash64(f"c{names.index(text_col)}_"))
     kept = keyed.join(first, F.col("d").eqNullSafe(F.col("d_")) & (F.col("h") == F.col("h_")), "left_semi")
     return kept.dropDuplicates(["d", "h"]).drop("d", "h").toDF(*names)
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """`docs` with one row of each component: that with the smallest doc_id (null is the smallest), then the smallest text hash."""
+    return keep_first(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, words=words), id_col, text_col)
