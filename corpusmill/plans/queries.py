@@ -410,8 +410,9 @@ def crop_context(spark, sf_dir):
 
 @query()
 def generate(spark, sf_dir):
-    prompts = read(spark, sf_dir, "benchmark").where("item_id < 3").select(F.col("item_id").alias("key"), F.slice(T.byte_ids(F.col("text")), 1, 12).alias("ids"))
-    return model.generate(prompts, model.random_decoder(256, 32, 32, 2, 64), 4, steps=40)
+    """Every benchmark item, its whole text as the prompt, and the operator's own number of steps."""
+    prompts = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), T.byte_ids(F.col("text")).alias("ids"))
+    return model.generate(prompts, model.random_decoder(256, 32, 32, 2, 64), 4)
 
 
 # --- sweeps

@@ -1,0 +1,20 @@
+import numpy as np
+
+import __spark_entry__ as entry
+from corpusmill.operators import model
+
+
+def test_generate_takes_every_item_and_all_its_bytes(spark, tmp_path):
+    """Prompts of any id and of more bytes than the block, against a plain loop."""
+    items = [(0, "short"), (7, "An item of more than thirty-two bytes, with é in it."), (41, "x")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    params = model.random_decoder(256, 32, 32, 2, 64)
+    want = {}
+    for key, text in items:
+        draws, now = np.random.default_rng([42, key]), list(text.encode())
+        for _ in range(300):
+            logits = model.decoder(params, np.array(now[-32:]), 4)[0][-1] / 0.1
+            p = np.exp(logits - logits.max())
+            now.append(min(int(np.searchsorted(np.cumsum(p / p.sum()), draws.random())), 255))
+        want[key] = now
+    assert {r.key: list(r.output) for r in entry.queries()["generate"](spark, str(tmp_path)).collect()} == want
