@@ -1,11 +1,13 @@
 """Near-duplicates by the Jaccard similarity of sets of word shingles: two texts link at 0.8 or more, found exactly.
 
-Candidates by prefix filter: put all shingles in one order; of two sets that link, the first n - ceil(0.8 n) + 1 shingles of
-each (n: its own size) have one in common. Any order will do, so shingles that a sample of texts holds often come last: they
-are keys of few texts then. Candidates are told apart by their sizes and places, and verified on the whole sets.
-
-Work runs over distinct sets. Members of each key are compared with a few of its others first; then every pair of a key whose
-members are still in different components is verified, so that a large group of near copies does not make pairs by its square. Nothing is
+Candidates by prefix filter: put all shingles in one order; of two sets that link, the first n - ceil(0.8 n) + K shingles of
+each (n: its own size) have K in common, or all of a smaller overlap. Any order will do, so shingles that a sample of texts
+holds often come last: they are keys of few texts then. Candidates are told apart by their sizes and places, and verified on
+the whole sets.
+
+Work runs over distinct sets. Keys of at most `SMALL` sets count how many keys a pair shares. A pair that shares a key of more
+sets needs no count: members of such a key are compared with a few others first; then every pair of the key whose members are
+still in different components is verified, so that a large group of near copies does not make pairs by its square. Nothing is
 dropped or capped.
 """
 
@@ -29,12 +31,15 @@ SHARE = (4, 5)  # least similarity, as a fraction
 SAMPLE = 32  # one text of so many is looked at for common shingles
 OFTEN, MOST_OFTEN = 3, 200_000  # a shingle is common if so many sampled texts hold it; how many of them are put last
 BITMAP = 1 << 22  # places of the filter of texts that are candidates
-WINDOWS = (4, 32, None)  # rounds: how many neighbours of a key's members are compared; at last all
-KEYS_AT_ONCE, PAIRS_AT_ONCE = 100_000, 1 << 20
+K = 4  # keys that linked sets share
+SMALL = 64  # sets of one key whose pairs are all counted
+WINDOWS = (48, None)  # rounds: how many neighbours of a key's members are compared; at last all
+KEYS_AT_ONCE, PAIRS_AT_ONCE = 100_000, 1 << 18
 
 MARKS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("rep", pa.int64())])
 KEYS = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("at", pa.int64())])
 SETS = pa.schema([("rep", pa.int64()), ("hashes", pa.binary())])
+COUNTS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("at", pa.int64()), ("shared", pa.int32()), ("need", pa.int32())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -80,49 +85,62 @@ def prefix(found: np.ndarray, often: np.ndarray, count: np.ndarray) -> np.ndarra
         at = np.minimum(np.searchsorted(often, found), len(often) - 1)
         rank = np.where(often[at] == found, count[at], 0)
     least = -(-SHARE[0] * len(found) // SHARE[1])
-    return found[np.lexsort((found, rank))[: len(found) - least + 1]]
+    return found[np.lexsort((found, rank))[: len(found) - least + K]]
 
 
 def _may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sets can link whose first common key is at these sizes and places (size << 32 | place)."""
+    """Whether sets can link that have one of their first K common keys at these sizes and places (size << 32 | place)."""
     (m, i), (n, j) = ((x >> 32, x & 0xFFFFFFFF) for x in (a, b))
-    most = np.minimum(m - i, n - j)
+    most = np.minimum(m - i, n - j) + K - 1
     return (SHARE[1] + SHARE[0]) * most >= SHARE[0] * (m + n)
 
 
-def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of key and rep: those of keys with two or more different reps, once each."""
-    held, joined = [np.zeros(0, np.int64)] * 3, False  # the last row, and whether the row before has its key
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
-        new = np.ones(len(cols[0]), bool)
-        new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
-        cols = [c[new] for c in cols]
-        same = cols[0][1:] == cols[0][:-1]
-        before = np.concatenate([[joined], same])
-        keep = (before[:-1]) | same
-        yield batch_of({f.name: c[:-1][keep] for f, c in zip(KEYS, cols)}, KEYS)
-        held, joined = [c[-1:] for c in cols], bool(before[-1])
-    if joined:
-        yield batch_of({f.name: c for f, c in zip(KEYS, held)}, KEYS)
-
-
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """rep, at, component of each key; rows in key order."""
+    """The key, and the other columns, of each key; rows in key order."""
     key, held = None, []
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
         starts = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]])) if batch.num_rows else []
         for s, e in zip(starts, [*starts[1:], batch.num_rows]):
             if key is not None and cols[0][s] != key:
-                yield [np.concatenate(c) for c in zip(*held)]
+                yield key, [np.concatenate(c) for c in zip(*held)]
                 held = []
             key = cols[0][s]
             held.append([c[s:e].copy() for c in cols[1:]])
     if held:
-        yield [np.concatenate(c) for c in zip(*held)]
+        yield key, [np.concatenate(c) for c in zip(*held)]
+
+
+def _counted(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, rep, at) in key order. Pairs of small keys that may link, with how many keys they share and need to share;
+    of larger keys the members instead (a: key, b: rep, at, shared: 0).
+    """
+    held, count = [], 0
+
+    def out() -> pa.RecordBatch:
+        return batch_of(dict(zip(COUNTS.names, map(np.concatenate, zip(*held)))), COUNTS)
+
+    for key, (rep, at) in _groups(batches):
+        if len(rep) < 2:
+            continue
+        rep, first = np.unique(rep, return_index=True)
+        at = at[first]
+        if len(rep) > small:
+            none = np.zeros(len(rep), np.int32)
+            held.append((np.full(len(rep), key), rep, at, none, none))
+        else:
+            i, j = np.triu_indices(len(rep), 1)
+            hit = _may_link(at[i], at[j])
+            i, j = i[hit], j[hit]
+            size = (at[i] >> 32) + (at[j] >> 32)
+            need = np.minimum(K, -(-SHARE[0] * size // sum(SHARE)))
+            held.append((rep[i], rep[j], np.zeros(len(i), np.int64), np.ones(len(i), np.int32), need.astype(np.int32)))
+        count += len(held[-1][0])
+        if count > PAIRS_AT_ONCE:
+            yield out()
+            held, count = [], 0
+    if held:
+        yield out()
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], window: int | None) -> Iterator[pa.RecordBatch]:
@@ -134,7 +152,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], window: int | None) -> Iterator[pa
         both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
         return batch_of({"a": both[0], "b": both[1]}, PAIRS)
 
-    for rep, at, component in _groups(batches):
+    for _, (rep, at, component) in _groups(batches):
         mixed = (rep.view(np.uint64) ^ np.uint64(window or 0)) * np.uint64(0xBF58476D1CE4E5B9)
         order = np.argsort(mixed >> np.uint64(7), kind="stable")
         rep, at, component = rep[order], at[order], component[order]
@@ -202,9 +220,19 @@ def links(texts: DataFrame) -> DataFrame:
             yield batch_of(dict(zip(KEYS.names, map(np.concatenate, zip(*held)))), KEYS)
 
     keys = texts.select("text").mapInArrow(keyed, "key long, rep long, at long")
-    groups = materialize(keys.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(_several, "key long, rep long, at long"), "neardup-keys")
+    schema = "a long, b long, at long, shared int, need int"
+    small = SMALL
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _counted(batches, small)
+
+    met = materialize(keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(counted, schema), "neardup-keys")
+    enough = met.where("shared > 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need")
+    pairs = materialize(enough.select("a", "b"), "neardup-pairs")
+    groups = met.where("shared = 0").selectExpr("a AS key", "b AS rep", "at")
+    nodes = materialize(groups.select("rep").unionAll(pairs.selectExpr("explode(array(a, b)) AS rep")).distinct(), "neardup-nodes")
     bitmap = np.zeros(BITMAP, bool)
-    bitmap[groups.select(F.pmod("rep", F.lit(BITMAP)).alias("x")).distinct().toPandas()["x"].to_numpy(np.int64)] = True
+    bitmap[nodes.select(F.pmod("rep", F.lit(BITMAP)).alias("x")).distinct().toPandas()["x"].to_numpy(np.int64)] = True
     wanted = spark.sparkContext.broadcast(np.packbits(bitmap))
 
     def kept_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,9 +248,17 @@ def links(texts: DataFrame) -> DataFrame:
             yield batch_of({"rep": names, "hashes": sets}, SETS)
 
     sets = texts.select("text").mapInArrow(kept_sets, "rep long, hashes binary")
-    sets = materialize(sets.join(groups.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]), "neardup-sets")
+    sets = materialize(sets.join(nodes, "rep", "left_semi").dropDuplicates(["rep"]), "neardup-sets")
 
-    linked = tested = spark.createDataFrame([], "a long, b long")
+    def verified(pairs: DataFrame) -> DataFrame:
+        batch_rows(spark, 128)  # pairs of whole sets
+        one, two = (sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "ab")
+        whole = pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
+        return materialize(whole.mapInArrow(_verified, "a long, b long"), "neardup-links")
+
+    linked, tested = verified(pairs), pairs
+    if groups.isEmpty():
+        return linked
     for window in WINDOWS:
         of = components(linked).select(F.col("node").alias("rep"), "component")
         named = groups.join(of, "rep", "left").select("key", "rep", "at", F.coalesce("component", "rep").alias("component"))
@@ -233,11 +269,7 @@ def links(texts: DataFrame) -> DataFrame:
 
         found = named.repartition(n, "key").sortWithinPartitions("key").mapInArrow(paired, "a long, b long").distinct()
         pairs = materialize(found.join(tested, ["a", "b"], "left_anti"), "neardup-pairs")
-        batch_rows(spark, 128)  # pairs of whole sets
-        one, two = (sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "ab")
-        whole = pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
-        linked = materialize(linked.unionAll(whole.mapInArrow(_verified, "a long, b long")), "neardup-links")
-        tested = tested.unionAll(pairs)
+        linked, tested = linked.unionAll(verified(pairs)), tested.unionAll(pairs)
     return linked
 
 
