@@ -389,6 +389,16 @@ def embedding_gather(spark, sf_dir):
     return found.select("seq", "t", "dim", F.round("x", 6).alias("x"))
 
 
+@query("SELECT seq, t, list_transform(list_zip(a.embedding, b.embedding), lambda z: round(CAST(z[1] AS DOUBLE) + CAST(z[2] AS DOUBLE), 6)) AS x FROM (SELECT event_id // 16 AS seq, event_id % 16 AS t, user_id AS id FROM events) e JOIN embeddings a ON a.vec_id = e.id JOIN embeddings b ON b.vec_id = e.t + 100")
+def embedding_gather_whole(spark, sf_dir):
+    """embedding_gather on whole vectors, for the token ids themselves."""
+    tokens = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 16).alias("seq"), (F.col("event_id") % 16).alias("t"), F.col("user_id").alias("id"))
+    vectors = read(spark, sf_dir, "embeddings")
+    by_id = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    by_place = vectors.where("vec_id BETWEEN 100 AND 115").select((F.col("vec_id") - 100).alias("t"), F.col("embedding").alias("v"))
+    return model.embed(tokens, by_id, by_place).select("seq", "t", F.transform("x", lambda x: F.round(x, 6)).alias("x"))
+
+
 @query(f"SELECT seq, arg_max(x, t) AS x FROM ({_SEQ}) GROUP BY seq")
 def last_position(spark, sf_dir):
     return model.last_position(_sequences(spark, sf_dir))
