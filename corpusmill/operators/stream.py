@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +55,30 @@ def _place(value: Column, bounds: list) -> Column:
     return tree(0, len(bounds))
 
 
+def next_byte_counts(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """token, target (two hex digits), n: how often a byte follows another in the stream of the texts in key order.
+
+    Each task adds up the pairs inside its texts; pairs over a border come from first and last bytes, by offsets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                own = np.frombuffer((text.as_py() or "").encode(), np.uint8).astype(np.int64)
+                total += np.bincount(own[:-1] << 8 | own[1:], minlength=1 << 16)
+        at = np.flatnonzero(total)
+        names = [f"{i:02x}" for i in range(256)]
+        yield pa.RecordBatch.from_pydict({"token": pa.array([names[i >> 8] for i in at], pa.string()), "target": pa.array([names[i & 255] for i in at], pa.string()), "n": total[at]})
+
+    own = docs.select(text_col).mapInArrow(run, "token string, target string, n long")
+    raw = F.encode(F.col(text_col), "UTF-8")
+    ends = docs.where(F.octet_length(text_col) > 0).select(key, *[F.lower(F.hex(F.substring(raw, at, 1))).alias(x) for x, at in (("first", 1), ("token", -1))], F.lit(1).cast("long").alias("n"))
+    placed = offsets(ends, key)
+    border = placed.select("offset", "token").join(placed.select((F.col("offset") - 1).alias("offset"), F.col("first").alias("target")), "offset")
+    return own.unionAll(border.select("token", "target", F.lit(1).cast("long").alias("n"))).groupBy("token", "target").agg(F.sum("n").alias("n"))
+
+
 def split_tail(n: Column, most: int = 1_000_000) -> Column:
     """Where validation begins in a stream of n tokens: its last tenth, `most` tokens at most."""
     return n - F.least(F.lit(most).cast("long"), F.floor(n / 10).cast("long"))

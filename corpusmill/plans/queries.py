@@ -111,6 +111,23 @@ def pair_best(spark, sf_dir):
     return bpe.best_pair(bpe.pair_counts(_benchmark_words(spark, sf_dir)))
 
 
+_SPELLED_DOCUMENTS = f"SELECT '<' || array_to_string({_bytes('word')}, '><') || '>' AS toks, n FROM ({_of(_WORDS, 'documents')})"
+
+
+def _document_words(spark, sf_dir):
+    return bpe.spelled_words(bpe.word_table(read(spark, sf_dir, "documents")))
+
+
+@query(_of(_PAIRS, _SPELLED_DOCUMENTS))
+def pair_counts_documents(spark, sf_dir):
+    return bpe.pair_counts(_document_words(spark, sf_dir))
+
+
+@query(f"SELECT * FROM ({_of(_PAIRS, _SPELLED_DOCUMENTS)}) ORDER BY n DESC, l, r LIMIT 1")
+def pair_best_documents(spark, sf_dir):
+    return bpe.best_pair(bpe.pair_counts(_document_words(spark, sf_dir)))
+
+
 _MERGED = f"SELECT replace(toks, '<' || l || '><' || r || '>', '<' || l || r || '>') AS toks, s.n FROM ({_SPELLED}) s, ({_BEST}) b"
 
 
@@ -237,6 +254,15 @@ def next_token_pairs(spark, sf_dir):
     return own.unionAll(border).groupBy("token", "target").agg(F.count("*").alias("n"))
 
 
+@query(
+    "WITH t AS (SELECT doc_id, unnest(range(octet_length(encode(text)))) AS i, lower(hex(encode(text))) AS h FROM documents), "
+    "p AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS token FROM t) "
+    "SELECT token, target, count(*) AS n FROM (SELECT token, lead(token) OVER (ORDER BY doc_id, i) AS target FROM p) WHERE target IS NOT NULL GROUP BY ALL"
+)
+def next_token_pairs_documents(spark, sf_dir):
+    return stream.next_byte_counts(read(spark, sf_dir, "documents"))
+
+
 @query("SELECT doc_id, place, place // 32 AS batch_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS place FROM documents)")
 def shuffle_batches(spark, sf_dir):
     return stream.shuffled_batches(read(spark, sf_dir, "documents").select("doc_id"), 32, key="doc_id").select("doc_id", "place", "batch_id")
