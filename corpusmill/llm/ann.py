@@ -5,35 +5,41 @@ order. A query descends each tree to its longest-prefix matches; then all trees
 until the strings that share so long a prefix number `enough` over all trees. All vectors below that depth are candidates, none is
 capped; their cosines are exact, in double precision on the original vectors.
 
-How many are enough depends on the data (vectors without clusters need a large share of them), so it is measured: for `SAMPLE`
-queries the true neighbours are found by brute force, and `enough` is the least number with which the forest finds `RECALL` of
-them. That sample is a bound on fitting only; every vector is indexed and every query searched.
+The forest is built once, in shards of about `SHARD` vectors (by a hash of their ids), and written to the shared folder with its
+sorted arrays. The queries, a stated set, are written there with their strings, in blocks of `QUERIES`. One job then reads each
+shard once and every block for it; a task holds the shards of one Arrow batch and one block, whatever their numbers.
+
+How many strings of a shard are enough depends on the data (vectors without clusters need a large share of them), so it is
+measured: for `SAMPLE` queries the true neighbours are found by brute force, and `enough` is the least number with which the
+forest finds `RECALL` of them. That sample is a bound on fitting only; every vector is indexed and every query searched.
 
-The forest is dealt over shards of about `SHARD` vectors, each with its own sorted arrays; queries, a stated set, meet all
-shards in blocks of `QUERIES`, which are broadcast. Subtree sizes are summed over the shards, so depths don't depend on them.
 Equal vectors are one entry with their k + 1 smallest ids (k neighbours and the query itself), so copies cost nothing.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, and neither do vectors
 whose length isn't the most frequent one (ties: the smaller length); null ids take no part; rows that repeat a vec_id
-and its vector are one, other repeats of a vec_id are candidates of their own; an empty table gives an empty table; further
-columns are ignored.
+and its vector are one, other repeats of a vec_id are queries and candidates of their own, but not of a query with that id; components may be as small or large as a
+double holds (both vectors of a cosine are scaled by powers of two, which changes no digit); an empty table gives an empty
+table; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, own_columns
+from .common import batch_of, join_hot, materialize, new_dir, open_fs, own_columns, temporary, write_atomically
 
 TREES, BITS = 12, 64
 SHARD, QUERIES, SAMPLE = 4096, 4096, 128
-RECALL = 0.97
+RECALL = 0.96
+CLOSE = 1e-9  # scores that rounding could put in another order
 
 
 def projections(dimensions: int, tree: int) -> np.ndarray:
@@ -75,134 +81,205 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return good.join(F.broadcast(usual.select("n")), F.size("v") == F.col("n")).select("id", "v")  # one row
 
 
-def _unit(vectors) -> np.ndarray:
-    found = np.stack(list(vectors)).astype(np.float64)
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    found = vectors.astype(np.float64)
+    found *= np.exp2(-np.clip(np.floor(np.log2(np.abs(found).max(axis=1))), -1000, 1000))[:, None]
     return found / np.sqrt(np.einsum("ij,ij->i", found, found))[:, None]
 
 
-class Block:
-    """A broadcast block of queries: their classes, unit vectors and hash strings."""
+SHARDS = "shard int, n int, c binary, v binary, kind string, sorted binary, places binary"
+FOUND = pa.schema([("c", pa.int64()), ("other", pa.int64()), ("score", pa.float64())])
+
+
+def _build(own: pd.DataFrame) -> pd.DataFrame:
+    """One row of a shard: ids, vectors, and for each tree the sorted strings and whose they are."""
+    own = own.sort_values("c")
+    v = np.stack(own["v"].to_list())
+    s = strings(_unit(v))
+    order = np.argsort(s, axis=1, kind="stable")
+    return pd.DataFrame({"shard": [own["shard"].iloc[0]], "n": [len(own)], "c": [own["c"].to_numpy(np.int64).tobytes()], "v": [v.tobytes()], "kind": [v.dtype.str], "sorted": [np.take_along_axis(s, order, 1).tobytes()], "places": [order.astype(np.int32).tobytes()]})
+
+
+class Shard:
+    """A part of the forest, and its search."""
+
+    def __init__(self, n: int, c: bytes, v: bytes, kind: str, in_order: bytes, places: bytes):
+        self.c = np.frombuffer(c, np.int64)
+        self.v = _unit(np.frombuffer(v, kind).reshape(n, -1))
+        self.sorted = np.frombuffer(in_order, np.uint64).reshape(-1, n)
+        self.places = np.frombuffer(places, np.int32).reshape(-1, n)
+
+    def counts(self, s: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """How many strings share the first `depth` bits with each query, over all trees."""
+        return sum(np.subtract(*spans(array, of, depth)[::-1]) for array, of in zip(self.sorted, s))
+
+    def depths(self, s: np.ndarray, enough: int) -> np.ndarray:
+        """The largest depth at which `enough` strings share a prefix with each query; 0 if there are fewer."""
+        low, high = np.zeros(s.shape[1], np.int64), np.full(s.shape[1], BITS)
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            there = self.counts(s, middle) >= enough
+            low, high = np.where(there, middle, low), np.where(there, high, middle - 1)
+        return low
+
+    def nearest(self, v: np.ndarray, s: np.ndarray, enough: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each query's place, its k + 1 nearest candidates (more if they are close) and their scores."""
+        both = [spans(array, of, depth) for depth in [self.depths(s, enough)] for array, of in zip(self.sorted, s)]
+        begin, end = (np.stack(x, axis=1).tolist() for x in zip(*both))
+        met = np.zeros(len(self.c), bool)
+        for q in range(len(v)):
+            met[:] = False
+            for places, b, e in zip(self.places, begin[q], end[q]):
+                met[places[b:e]] = True
+            at = np.flatnonzero(met)
+            if len(at):
+                near = self.v[at] @ v[q]
+                if len(at) > k + 1:
+                    close = near >= np.partition(near, len(near) - k - 1)[len(near) - k - 1] - CLOSE
+                    at, near = at[close], near[close]
+                yield q, self.c[at], near
+
+    def true(self, c: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nearest by brute force, their scores, and how many strings are enough to find each: one more than share a longer prefix
+        than the neighbour does in any tree."""
+        near = v @ self.v.T
+        near[c[:, None] == self.c[None, :]] = -2
+        n = min(k, len(self.c))
+        at = np.argpartition(-near, n - 1, axis=1)[:, :n]
+        own = np.empty_like(self.sorted)
+        np.put_along_axis(own, self.places.astype(np.int64), self.sorted, axis=1)
+        prefix = common_prefix(s[:, :, None], own[:, at]).max(axis=0)
+        wanted = np.stack([np.where(prefix[:, j] < BITS, self.counts(s, np.minimum(prefix[:, j] + 1, BITS)), 0) + 1 for j in range(n)], axis=1)
+        return self.c[at], np.take_along_axis(near, at, axis=1), wanted
 
-    def __init__(self, rows: list):
-        self.c = np.array([r.c for r in rows], np.int64)
-        self.v = _unit(r.v for r in rows)
-        self.s = strings(self.v)
 
+def _shards(batch: pa.RecordBatch) -> list[Shard]:
+    return [Shard(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(1, 7)))]
 
-def _over_shards(classes: DataFrame, block: Block, f, schema: str) -> DataFrame:
-    """f(classes' ids, unit vectors, strings, block) of each shard."""
-    shared = classes.sparkSession.sparkContext.broadcast(block)
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        v = _unit(own["v"])
-        return f(own["c"].to_numpy(), v, strings(v), shared.value)
+def _write_queries(asked: DataFrame, out_dir: str) -> DataFrame:
+    """Blocks of queries as files (c, unit vectors, strings); returns the first class, count and path of each."""
+    schema = pa.schema([("first", pa.int64()), ("n", pa.int64()), ("path", pa.string())])
 
-    return classes.select("shard", "c", "v").groupBy("shard").applyInPandas(run, schema)
+    def write(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("c")
+        c, v = own["c"].to_numpy(np.int64), _unit(np.stack(own["v"].to_list()))
+        path = f"{out_dir}/queries-{int(own['block'].iloc[0]):08d}.parquet"
+        table = pa.table({"c": c, "v": [x.tobytes() for x in v], "s": [x.tobytes() for x in strings(v).T]})
+        write_atomically(path, lambda stream: pq.write_table(table, stream))
+        return pd.DataFrame({"first": [c[0]], "n": [len(c)], "path": [path]})
 
+    return asked.groupBy("block").applyInPandas(write, ", ".join(f"{f.name} {'string' if f.name == 'path' else 'long'}" for f in schema))
 
-def _sizes(c: np.ndarray, v: np.ndarray, s: np.ndarray, block: Block) -> pd.DataFrame:
-    """How many strings of the shard share each prefix length with a query, over all trees."""
-    counts = np.zeros((len(block.c), BITS + 1), np.int64)
-    for tree in range(TREES):
-        array = np.sort(s[tree])
-        for depth in range(BITS + 1):
-            begin, end = spans(array, block.s[tree], np.full(len(block.c), depth))
-            if not (end > begin).any():
-                break
-            counts[:, depth] += end - begin
-    return pd.DataFrame({"c": block.c, "counts": list(counts)})
 
+def _read_queries(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    filesystem, path = open_fs(uri)
+    table = pq.read_table(path, filesystem=filesystem)
+    n = table.num_rows
+    both = (np.frombuffer(b"".join(table[name].to_pylist()), kind).reshape(n, -1) for name, kind in (("v", np.float64), ("s", np.uint64)))
+    v, s = both
+    return table["c"].to_numpy(), v, np.ascontiguousarray(s.T)
 
-def _true(k: int):
-    """The nearest of the shard by brute force, and the longest prefix that each shares with the query in any tree."""
 
-    def f(c: np.ndarray, v: np.ndarray, s: np.ndarray, block: Block) -> pd.DataFrame:
-        near = block.v @ v.T
-        near[block.c[:, None] == c[None, :]] = -2
-        n = min(k, len(c))
-        at = np.argpartition(-near, n - 1, axis=1)[:, :n]
-        prefix = common_prefix(block.s[:, :, None], s[:, at]).max(axis=0)
-        score = np.take_along_axis(near, at, axis=1)
-        out = pd.DataFrame({"c": np.repeat(block.c, n), "score": score.ravel(), "prefix": prefix.ravel()})
-        return out[out["score"] > -2]
+def _enough(forest: DataFrame, sample: tuple, k: int, recall: float) -> int:
+    """The least number of strings of a shard with which the forest finds `recall` of the sample's true neighbours."""
+    shared = forest.sparkSession.sparkContext.broadcast(sample)
+    schema = pa.schema([("c", pa.int64()), ("other", pa.int64()), ("score", pa.float64()), ("wanted", pa.int64())])
 
-    return f
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, v, s = shared.value
+        for batch in batches:
+            for shard in _shards(batch):
+                other, score, wanted = shard.true(c, v, s, k)
+                out = np.repeat(c, other.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(x.ravel()[score.ravel() > -2]) for x in (out, other, score, wanted)], schema=schema)
 
+    best = Window.partitionBy("c").orderBy(F.desc("score"), "wanted")
+    true = forest.mapInArrow(run, "c long, other long, score double, wanted long").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    needs = sorted(r.wanted for r in true.select("wanted").collect())  # SAMPLE * k rows at most
+    return needs[min(len(needs) - 1, math.ceil(recall * len(needs)))] if needs else 1
 
-def _candidates(k: int, depth: np.ndarray):
-    """The nearest of the shard's candidates; all that rounding could put among the first k + 1."""
 
-    def f(c: np.ndarray, v: np.ndarray, s: np.ndarray, block: Block) -> pd.DataFrame:
-        order = [np.argsort(s[tree], kind="stable") for tree in range(TREES)]
-        both = [spans(s[tree][order[tree]], block.s[tree], depth) for tree in range(TREES)]
-        out_c, out_other, out_score = [], [], []
-        for q in range(len(block.c)):
-            met = np.zeros(len(c), bool)
-            for tree in range(TREES):
-                met[order[tree][both[tree][0][q] : both[tree][1][q]]] = True
-            at = np.flatnonzero(met)
-            if not len(at):
-                continue
-            near = v[at] @ block.v[q]
-            if len(at) > k + 1:
-                near_enough = near >= np.partition(near, len(near) - k - 1)[len(near) - k - 1] - 1e-9
-                at, near = at[near_enough], near[near_enough]
-            out_c.append(np.full(len(at), block.c[q]))
-            out_other.append(c[at])
-            out_score.append(near)
-        none = [np.empty(0, np.int64)]
-        return pd.DataFrame({"c": np.concatenate(out_c or none), "other": np.concatenate(out_other or none), "score": np.concatenate(out_score or none)})
-
-    return f
-
-
-def _enough(classes: DataFrame, block: Block, counts: dict[int, list[int]], k: int, recall: float) -> int:
-    """The least number of strings with which the forest finds `recall` of the block's true neighbours.
-
-    A neighbour that shares L bits at most is met once a query ascends to depth L: once more than the strings that share L + 1 are wanted.
-    """
-    best = Window.partitionBy("c").orderBy(F.desc("score"), F.desc("prefix"))
-    true = _over_shards(classes, block, _true(k), "c long, score double, prefix long").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
-    rows = true.select("c", "prefix").collect()  # SAMPLE * k rows at most
-    needs = sorted(counts[r.c][r.prefix + 1] + 1 if r.prefix < BITS else 1 for r in rows)
-    return needs[min(len(needs) - 1, math.ceil(recall * len(needs)))] if needs else 1
+def _pairs(forest: DataFrame, blocks: list[str], enough: int, k: int) -> DataFrame:
+    """c, other, score: the nearest candidates of every query, k + 1 (or all that are close) of each Arrow batch of shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shards = _shards(batch)
+            for path in blocks:
+                c, v, s = _read_queries(path)
+                found: list[list] = [[] for _ in c]
+                for shard in shards:
+                    for q, other, score in shard.nearest(v, s, enough, k):
+                        found[q].append((other, score))
+                out = []
+                for q, parts in enumerate(found):
+                    if parts:
+                        other, score = (np.concatenate(x) for x in zip(*parts))
+                        if len(score) > k + 1:
+                            close = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1] - CLOSE
+                            other, score = other[close], score[close]
+                        out.append((np.full(len(other), c[q]), other, score))
+                if out:
+                    yield batch_of(dict(zip(FOUND.names, map(np.concatenate, zip(*out)))), FOUND)
+
+    return forest.mapInArrow(run, "c long, other long, score double")
+
+
+def _cosine(a: str, b: str) -> tuple[Column, Column, Column]:
+    """Two vectors scaled by powers of two, so that squares stay finite, and their cosine, summed in one fixed order, so that
+    repeated runs give equal numbers."""
+
+    def scaled(x: str) -> Column:
+        exponent = F.floor(F.log2(F.array_max(F.transform(x, lambda y: F.abs(y.cast("double"))))))
+        factor = F.pow(F.lit(2.0), -F.greatest(F.lit(-1000), F.least(F.lit(1000), exponent)).cast("double"))
+        return F.transform(x, lambda y: y.cast("double") * factor)
+
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+
+    x, y = F.col("x_"), F.col("y_")
+    return scaled(a).alias("x_"), scaled(b).alias("y_"), dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
 
 
 def nearest(vectors: DataFrame, *, every: int = 50, k: int = 5, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by `every`."""
-    first = Window.partitionBy("v").orderBy("id")
+    spark = vectors.sparkSession
     members = usable(vectors, id_col, vector_col).distinct()
     # The smallest ids of each distinct vector (a limit that each task applies before the shuffle), and its queries.
+    first = Window.partitionBy("v").orderBy("id")
     small = members.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     grouped = materialize(small.groupBy("v").agg(F.min("id").alias("c"), F.array_sort(F.collect_list("id")).alias("ids")), "ann-classes")
-    asked = materialize(members.where(F.col("id") % every == 0).select(F.col("id").alias("q"), "v").join(grouped.select("v", "c"), "v").select("q", "c"), "ann-queries")
+    asking = members.where(F.col("id") % every == 0)
+    named = grouped.select("v", "c").join(asking.groupBy("v").agg(F.count("*").alias("n")), "v")
+    asked = materialize(join_hot(asking.select(F.col("id").alias("q"), "v"), named, "v").select("q", "c"), "ann-queries")
+    # The forest and the queries, each written once.
     shards = max(1, -(-grouped.count() // SHARD))
-    classes = grouped.withColumn("shard", F.pmod(F.xxhash64("c"), F.lit(shards)).cast("int"))
-    searched = classes.join(asked.select("c").distinct(), "c", "left_semi").select("c", "v")
-    blocks = max(1, -(-searched.count() // QUERIES))
-    enough, found = None, []
-    for b in range(blocks):
-        rows = searched.where(F.pmod(F.hash("c"), F.lit(blocks)) == b).orderBy(F.xxhash64("c"), "c").collect()  # about QUERIES rows
-        if not rows:
-            continue
-        block = Block(rows)
-        sums = _over_shards(classes, block, _sizes, "c long, counts array<long>").groupBy("c").agg(*[F.sum(F.get("counts", F.lit(d))).alias(f"n{d}") for d in range(BITS + 1)])
-        counts = {r[0]: list(r[1:]) for r in sums.collect()}  # the block's queries
-        if enough is None:
-            enough = _enough(classes, Block(rows[:SAMPLE]), counts, k, recall)
-        depth = np.array([max((d for d in range(BITS + 1) if counts[c][d] >= enough), default=0) for c in block.c.tolist()])
-        found.append(_over_shards(classes, block, _candidates(k, depth), "c long, other long, score double"))
-    if not found:
+    dealt = grouped.select("c", "v", F.pmod(F.xxhash64("c"), F.lit(shards)).cast("int").alias("shard"))
+    forest = materialize(dealt.groupBy("shard").applyInPandas(_build, SHARDS), "ann-forest")
+    classes = grouped.select("c", "v").join(asked.groupBy("c").agg(F.count("*").alias("n")), "c")
+    classes = materialize(classes, "ann-asked")
+    count = classes.count()
+    if not count:
         return asked.select(F.col("q").alias("query_id"), F.lit(1).alias("rank"), F.col("q").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
-    pairs = reduce(DataFrame.unionAll, found)
+    blocks = F.pmod(F.hash("c"), F.lit(-(-count // QUERIES))).alias("block")
+    files = _write_queries(classes.select("c", "v", blocks), temporary(spark, new_dir(spark, "ann-blocks")))
+    paths = sorted(r.path for r in files.collect())  # one name for QUERIES queries
+    sampled = classes.orderBy(F.xxhash64("c"), "c").limit(SAMPLE).select("c", "v").collect()
+    v = _unit(np.array([r.v for r in sampled]))
+    enough = _enough(forest, (np.array([r.c for r in sampled], np.int64), v, strings(v)), k, recall)
+    pairs = _pairs(forest, paths, enough, k)
     # Each class has one id at least and k + 1 classes (with all that tie nearly) hold every answer.
     in_order = Window.partitionBy("c").orderBy(F.desc("score"), "other")
     edge = F.min(F.when(F.col("r") <= k + 1, F.col("score"))).over(Window.partitionBy("c"))
-    kept = pairs.withColumn("r", F.row_number().over(in_order)).withColumn("edge", edge).where("score >= edge - 1e-9").select("c", "other")
-    # Scores anew on the original vectors, summed in one fixed order, so that repeated runs give equal numbers.
+    kept = pairs.withColumn("r", F.row_number().over(in_order)).withColumn("edge", edge).where(F.col("score") >= F.col("edge") - CLOSE).select("c", "other")
+    # Scores anew on the original vectors. A class's first k + 1 ids hold the k nearest of each of its queries.
+    x, y, cosine = _cosine("a", "b")
     scored = kept.join(grouped.select("c", F.col("v").alias("a")), "c").join(grouped.select(F.col("c").alias("other"), F.col("v").alias("b"), "ids"), "other")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    cosine = dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))
-    rows = asked.join(scored.select("c", cosine.alias("score"), F.explode("ids").alias("vec_id")), "c").where("vec_id <> q")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias("query_id"), "rank", "vec_id", "score")
+    scored = scored.select("c", "ids", x, y).select("c", cosine.alias("score"), F.explode("ids").alias("vec_id"))
+    best = Window.partitionBy("c").orderBy(F.desc("score"), "vec_id")
+    lists = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).groupBy("c").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
+    answered = join_hot(asked, classes.select("c", "n").join(lists, "c"), "c")
+    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("q")), 1, k)
+    rows = answered.select(F.col("q").alias("query_id"), F.posexplode(others).alias("at", "x"))
+    return rows.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

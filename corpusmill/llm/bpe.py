@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import struct
 from array import array
 from collections.abc import Iterable, Iterator
@@ -24,10 +25,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batch_of, batch_rows, own_columns
+from .common import batch_of, own_columns, slices
 
 #: Longest pre-token (bytes) and most pre-tokens whose ids a worker remembers; memory stays near 250 bytes times the latter.
 REMEMBERED_BYTES, REMEMBERED = 48, 900_000
+LONG_TEXT = 1 << 20  # characters of a text, or ids, that are worked on at once
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -100,7 +102,8 @@ class Codec:
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         self.queue = RankQueue(max(ranks.values()) + 1)
-        self.find = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.find = self.pattern.findall
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.packed = _Packed(self)
 
@@ -154,12 +157,22 @@ class Codec:
         return ids
 
     def encode_packed(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.packed.__getitem__, self.find(text)))
+        """Ids of a text as little-endian unsigned 32-bit integers; a long text's pre-tokens are not held all at once."""
+        if len(text) <= LONG_TEXT:
+            return b"".join(map(self.packed.__getitem__, self.find(text)))
+        pieces = (m.group() for m in self.pattern.finditer(text))
+        return b"".join(b"".join(map(self.packed.__getitem__, some)) for some in itertools.batched(pieces, 100_000))
 
     def encode(self, text: str) -> list[int]:
         return unpack(self.encode_packed(text))
 
+    def digests(self, packed: bytes) -> tuple[str, str]:
+        """SHA-256 of packed ids and of the bytes that they stand for."""
+        decoded = hashlib.sha256()
+        for at in range(0, len(packed), 4 * LONG_TEXT):
+            decoded.update(self.decode(unpack(packed[at : at + 4 * LONG_TEXT])))
+        return hashlib.sha256(packed).hexdigest(), decoded.hexdigest()
+
     def decode(self, ids: Iterable[int]) -> bytes:
         """Bytes of the ids; an unknown id raises KeyError."""
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -203,13 +216,12 @@ ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", p
 def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers), one row for each row of `docs`."""
 
-    batch_rows(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            ids = [own.encode_packed(t.as_py() or "") for t in batch.column(1)]
-            yield batch_of({"doc_id": batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": ids}, ENCODED)
+            for part in slices(batch, 1):
+                ids = [own.encode_packed(t.as_py() or "") for t in part.column(1)]
+                yield batch_of({"doc_id": part.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": ids}, ENCODED)
 
     return own_columns(docs, doc_id=id_col, text=text_col).selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -232,19 +244,19 @@ DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha2
 
 def digest_documents(docs: DataFrame, path: str, pattern: str, *, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode in one pass over `docs`: doc_id, n_tokens, ids_sha256, decoded_sha256; keep_ids: and the packed ids."""
-    batch_rows(docs.sparkSession)
     schema = DIGEST.append(pa.field("ids", pa.binary())) if keep_ids else DIGEST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
+        for part in (p for batch in batches for p in slices(batch, 1)):
             out: dict[str, list] = {name: [] for name in schema.names}
-            out["doc_id"] = batch.column(0)
-            for t in batch.column(1):
+            out["doc_id"] = part.column(0)
+            for t in part.column(1):
                 packed = own.encode_packed(t.as_py() or "")
+                of_ids, of_bytes = own.digests(packed)
                 out["n_tokens"].append(len(packed) // 4)
-                out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(own.decode(unpack(packed))).hexdigest())
+                out["ids_sha256"].append(of_ids)
+                out["decoded_sha256"].append(of_bytes)
                 if keep_ids:
                     out["ids"].append(packed)
             yield batch_of(out, schema)

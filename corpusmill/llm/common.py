@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,22 +33,59 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, uri: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def temporary(spark: SparkSession, uri: str) -> str:
+    """`uri`, a folder (made if it isn't there) that is removed when the application ends."""
+    filesystem, path = _file_system(spark, uri)
+    filesystem.mkdirs(path)
+    filesystem.deleteOnExit(path)
+    return uri
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write `df` as Parquet to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    The table is there until discard() or the application's end.
+    """
     spark = df.sparkSession
     path = new_dir(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    temporary(spark, path)
+    written = spark.read.schema(schema).parquet(path)
+    written.written_to_ = path
+    return written
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table of materialize() that nothing will read any more."""
+    filesystem, path = _file_system(df.sparkSession, df.written_to_)
+    filesystem.delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def batch_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Rows in an Arrow batch from here on: few for whole texts, whose batches both the JVM and a worker hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, no copies: `rows` rows and about `size` bytes of the column at most, one row at least.
+
+    Spark bounds an Arrow batch by the session's rows and by bytes (64 MiB), and a row is never cut; what an operator makes of
+    a batch is many times larger, so it works on parts. No setting of the session is changed.
+    """
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).tolist()
+    begin = held = 0
+    for i, n in enumerate(lengths):
+        if i > begin and (i - begin >= rows or held + n > size):
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < len(lengths):
+        yield batch.slice(begin)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,16 +98,49 @@ def own_columns(df: DataFrame, **columns: str) -> DataFrame:
     A name that occurs twice, or in another case, resolves to the exact spelling, and then to its first occurrence.
     """
     names = df.columns
-    picked = []
-    for new, old in columns.items():
-        exact = [i for i, n in enumerate(names) if n == old] or [i for i, n in enumerate(names) if n.lower() == old.lower()]
-        if not exact:
-            raise ValueError(f"column {old!r} is missing; there are {names}")
-        picked.append((exact[0], new))
+    picked = [(place(names, old), new) for new, old in columns.items()]
     unique = df.toDF(*[f"c{i}_" for i in range(len(names))])
     return unique.selectExpr(*[f"c{i}_ AS `{new}`" for i, new in picked])
 
 
+def place(names: list[str], name: str) -> int:
+    """Where a column is among names that may clash: by exact spelling first, then in any case; the first of several."""
+    exact = [i for i, n in enumerate(names) if n == name] or [i for i, n in enumerate(names) if n.lower() == name.lower()]
+    if not exact:
+        raise ValueError(f"column {name!r} is missing; there are {names}")
+    return exact[0]
+
+
+def kept_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[pa.Array], list[bool]]]) -> DataFrame:
+    """`docs`, all columns as they are, with the rows of which a text is kept: one pass, nothing is shuffled.
+
+    `judge()` is called once a task and gives the function that judges a part's texts.
+    """
+    names = docs.columns
+    at = place(names, text_col)
+    plain = docs.toDF(*[f"c{i}_" for i in range(len(names))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = judge()
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array(keep(part.column(at)), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
+def join_hot(rows: DataFrame, by_key: DataFrame, key: str, share: int = 1024) -> DataFrame:
+    """`rows` joined with `by_key`, which has each key once and says how many rows `n` have it.
+
+    Keys of over one row in `share` are `share` at most; their part of `by_key` is broadcast, so that no task gets a key's rows.
+    """
+    total = by_key.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * share > total
+    by_key = by_key.withColumn("n", F.when(F.col("n") > 1, F.col("n")).otherwise(0))
+    few = F.broadcast(by_key.where(hot).drop("n"))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(by_key.where(~hot).drop("n"), key))
+
+
 def batch_of(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     said = _sum(now)
     for _ in range(most_rounds):
-        now = materialize(_star(_star(now, True), False), "edges")
+        old, now = now, materialize(_star(_star(now, True), False), "edges")
+        discard(old)
         before, said = said, _sum(now)
         if said == before:
             break

@@ -5,13 +5,20 @@ of a document and a benchmark item put the two on one diagonal; the overlap arou
 item is found if some `least_words` words in a row (all of a shorter item) agree in at least `similarity` of the places. So
 substituted words are tolerated wherever they fall. Words are lower-case runs of letters, digits and underscores.
 
+Nothing is missed at the given 13 words and 0.8: wherever the substitutions that are tolerated fall in 8 to 13 words, one of MASKS
+stands on words that agree, and one of SHORT_MASKS does so in 5 to 7 words; items of one to four words must stand in a
+document unchanged, and are hashed whole. (Tests enumerate all of these; other settings may need other masks.)
+
+Words that repeat make hits by the product of their places. Places with equal surroundings, as far as one of the masks and the
+words needed reach, are verified alike, so only the first of them counts, in a document and in an item.
+
 The benchmark is a stated query set. It is read in blocks of about `BLOCK_BYTES` of text; each block's hashes are broadcast
 and all documents pass once. Nothing of the documents is shuffled or collected.
 
-Defined results: null or empty text has no words and no overlap; items of fewer than five words are not looked for; null ids
-are kept; each row of a repeated doc_id or item_id has its own result, and equal results of equal (doc_id, text, item_id)
-are one row; an empty documents or benchmark table gives an empty table; further columns are ignored (overlaps) or kept
-(decontaminate).
+Defined results: null or empty text has no words and no overlap; null ids are kept; each row of a repeated doc_id or item_id has
+its own result, and equal results of equal (doc_id, text, item_id) are one row; where several places of a document overlap an
+item, the row has the one with most equal words; an empty documents or benchmark table gives an empty table; further columns
+are ignored (overlaps) or kept (decontaminate).
 """
 
 from __future__ import annotations
@@ -24,70 +31,101 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, batch_rows, own_columns
+from .common import batch_of, kept_rows, own_columns, slices
 from .words import joined, mix, odd, word_hashes
 
 MASKS = ("11111", "110111", "11010011", "1011100101", "110010100111")
-LEAST_ITEM_WORDS = 5
+SHORT_MASKS = ("111", "1101", "1011")  # for items of 5 to 7 words
+WHOLE_MASKS = ("1", "11", "111", "1111")  # for items of 1 to 4 words
 BLOCK_BYTES = 2 << 20
 BITS = 22
 GAP = max(map(len, MASKS))
 BATCH_WORDS = 400_000
+HITS_AT_ONCE = 1 << 20
+
+
+def masks_of(words: int) -> tuple[str, ...]:
+    """The masks that an item of so many words is looked for by."""
+    return MASKS if words >= 8 else SHORT_MASKS if words >= 5 else WHOLE_MASKS[words - 1 : words]
 
 
-def seed_keys(words: np.ndarray, mask: int) -> np.ndarray:
+def seed_keys(words: np.ndarray, shape: str) -> np.ndarray:
     """Hash of each window of the mask's span."""
-    places = [i for i, c in enumerate(MASKS[mask]) if c == "1"]
-    n = len(words) - len(MASKS[mask]) + 1
+    places = [i for i, c in enumerate(shape) if c == "1"]
+    n = len(words) - len(shape) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    total = np.full(n, odd(1000 + mask))
+    mask = int(shape, 2)
+    total = np.full(n, odd(1 << 20 | mask))
     for k, at in enumerate(places):
         total += words[at : at + n] * odd(16 * mask + k)
     return mix(total)
 
 
+def surroundings(words: np.ndarray, at: np.ndarray, span: int, reach: int) -> np.ndarray:
+    """A hash of the words around each place: those of the mask's span, and `reach` before and behind it."""
+    padded = np.concatenate([np.zeros(reach, np.uint64), words, np.zeros(reach + span, np.uint64)])
+    total = np.zeros(len(at), np.uint64)
+    for k in range(2 * reach + span):
+        total += padded[at + k] * odd(100_000 + k)
+    return mix(total)
+
+
 class Index:
-    """Seed hashes of a block of items."""
+    """Seed hashes of a block of items, by mask: those that differ in key, item or surroundings."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        kept = [(i, w) for i, w in ((i, word_hashes(t)) for i, t in items) if len(w) >= LEAST_ITEM_WORDS]
+    def __init__(self, items: list[tuple[int | None, str | None]], least_words: int = 13):
+        kept = [(i, w) for i, w in ((i, word_hashes(t)) for i, t in items) if len(w)]
         self.ids = [i for i, _ in kept]
         self.words = [w for _, w in kept]
-        self.parts = []
-        for mask in range(len(MASKS)):
-            keys = [seed_keys(w, mask) for w in self.words]
-            key = np.concatenate([*keys, np.empty(0, np.uint64)])
-            item = np.repeat(np.arange(len(keys)), [len(k) for k in keys]).astype(np.int64) if keys else np.empty(0, np.int64)
-            at = np.concatenate([np.arange(len(k)) for k in keys] or [np.empty(0)]).astype(np.int64)
+        self.reach = least_words - 1
+        entries: dict[str, list[tuple]] = {}
+        for number, w in enumerate(self.words):
+            for shape in masks_of(len(w)):
+                key = seed_keys(w, shape)
+                around = surroundings(w, np.arange(len(key)), len(shape), self.reach)
+                first = np.sort(np.unique(np.stack([key, around]), axis=1, return_index=True)[1])
+                entries.setdefault(shape, []).append((key[first], np.full(len(first), number, np.int32), first.astype(np.int32)))
+        self.parts = {}
+        for shape, held in sorted(entries.items()):
+            key, item, at = map(np.concatenate, zip(*held))
             order = np.argsort(key, kind="stable")
-            self.parts.append((key[order], item[order], at[order]))
+            self.parts[shape] = key[order], item[order], at[order]
 
-    def filters(self) -> list[np.ndarray]:
+    def filters(self) -> dict[str, np.ndarray]:
         """For each mask, which low bits of a hash occur: most windows end here."""
-        out = []
-        for key, _, _ in self.parts:
-            seen = np.zeros(1 << BITS, bool)
-            seen[(key & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
-            out.append(seen)
+        out = {}
+        for shape, (key, _, _) in self.parts.items():
+            out[shape] = np.zeros(1 << BITS, bool)
+            out[shape][(key & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
         return out
 
 
-def hits(words: np.ndarray, index: Index, filters: list[np.ndarray]) -> set[tuple[int, int]]:
-    """(item, diagonal): place in `words` less place in the item."""
+def hits(words: np.ndarray, begins: np.ndarray, index: Index, filters: dict[str, np.ndarray]) -> set[tuple[int, int]]:
+    """(item, diagonal): place in `words`, where a document begins at each of `begins`, less place in the item."""
     found: set[tuple[int, int]] = set()
     low = np.uint64((1 << BITS) - 1)
-    for mask, (key, item, at) in enumerate(index.parts):
-        own = seed_keys(words, mask)
-        maybe = np.flatnonzero(filters[mask][(own & low).astype(np.int64)]) if len(key) and len(own) else np.empty(0, np.int64)
-        if not len(maybe):
-            continue
+    for shape, (key, item, at) in index.parts.items():
+        own = seed_keys(words, shape)
+        maybe = np.flatnonzero(filters[shape][(own & low).astype(np.int64)]) if len(own) else np.empty(0, np.int64)
         first = np.searchsorted(key, own[maybe], "left")
         counts = np.searchsorted(key, own[maybe], "right") - first
         maybe, first, counts = maybe[counts > 0], first[counts > 0], counts[counts > 0]
-        if len(maybe):
-            of = np.repeat(first - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-            found.update(zip(item[of].tolist(), (np.repeat(maybe, counts) - at[of]).tolist()))
+        if not len(maybe):
+            continue
+        doc = np.searchsorted(begins, maybe, "right").astype(np.uint64)
+        around = mix(surroundings(words, maybe, len(shape), index.reach) + doc * odd(99_999))
+        once = np.sort(np.unique(around, return_index=True)[1])
+        maybe, first, counts = maybe[once], first[once], counts[once]
+        ends = np.cumsum(counts)
+        begin = 0
+        while begin < len(maybe):  # so many places that their hits fit into memory
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - counts[begin] + HITS_AT_ONCE, "right")))
+            n = counts[begin:end]
+            of = np.repeat(first[begin:end] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            pairs = np.unique(np.stack([item[of].astype(np.int64), np.repeat(maybe[begin:end], n) - at[of]]), axis=1)
+            found.update(zip(pairs[0].tolist(), pairs[1].tolist()))
+            begin = end
     return found
 
 
@@ -110,62 +148,92 @@ FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id"
 FOUND_DDL = "doc_id long, text_hash long, item_id long, doc_word long, item_word long, n_words long, n_equal long"
 
 
+class Searcher:
+    """Finds the overlaps of documents' words with the items of an index."""
+
+    def __init__(self, index: Index, least_words: int, similarity: float):
+        self.index, self.filters, self.least_words, self.similarity = index, index.filters(), least_words, similarity
+
+    def __call__(self, docs: list[np.ndarray]) -> dict[tuple[int, int], tuple]:
+        """(document, item) to (equal words, words, first in the document, first in the item) of the best overlap."""
+        words, begins = joined(docs, GAP)
+        best: dict[tuple[int, int], tuple] = {}
+        for item, diagonal in sorted(hits(words, begins, self.index, self.filters)):
+            own = self.index.words[item]
+            # The hit's middle may lie before or after the item's own place only if the item is cut at the document's edge.
+            for d in range(max(0, int(np.searchsorted(begins, diagonal, "right")) - 1), len(docs)):
+                if begins[d] >= diagonal + len(own):
+                    break
+                got = verify(docs[d], own, diagonal - int(begins[d]), self.least_words, self.similarity)
+                if got:
+                    best[d, item] = max(best.get((d, item), (0,)), (got[2], got[1], diagonal - int(begins[d]) + got[0], got[0]))
+        return best
+
+
+def _grouped(texts: pa.Array) -> Iterator[list[np.ndarray]]:
+    """The words of the texts, some BATCH_WORDS at once."""
+    held, size = [], 0
+    for text in texts:
+        held.append(word_hashes(text.as_py()))
+        size += len(held[-1])
+        if size >= BATCH_WORDS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _search(own: DataFrame, items: list[tuple], least_words: int, similarity: float) -> DataFrame:
-    batch_rows(own.sparkSession)
-    shared = own.sparkSession.sparkContext.broadcast(Index(items))
+    shared = own.sparkSession.sparkContext.broadcast(Index(items, least_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        filters = index.filters()
-
-        def found(docs: list[tuple]) -> pa.RecordBatch:
-            words, begins = joined([w for _, _, w in docs], GAP)
-            best: dict[tuple[int, int], tuple] = {}
-            pairs = hits(words, index, filters)
-            for item, diagonal in pairs:
-                # The hit's middle may lie before or after the item's own place only if the item is cut at the document's edge.
-                for d in range(max(0, int(np.searchsorted(begins, diagonal, "right")) - 1), len(docs)):
-                    if begins[d] >= diagonal + len(index.words[item]):
-                        break
-                    got = verify(docs[d][2], index.words[item], diagonal - int(begins[d]), least_words, similarity)
-                    if got:
-                        best[d, item] = max(best.get((d, item), (0,)), (got[2], got[1], diagonal - int(begins[d]) + got[0], got[0]))
-            rows = [(docs[d][0], docs[d][1], index.ids[i], b[2], b[3], b[1], b[0]) for (d, i), b in sorted(best.items())]
-            return batch_of(dict(zip(FOUND.names, map(list, zip(*rows)))) if rows else {n: [] for n in FOUND.names}, FOUND)
-
+        find = Searcher(shared.value, least_words, similarity)
         for batch in batches:
-            held, size = [], 0
-            for doc_id, text_hash, text in zip(*batch.columns):
-                w = word_hashes(text.as_py())
-                held.append((doc_id.as_py(), text_hash.as_py(), w))
-                size += len(w)
-                if size >= BATCH_WORDS:
-                    yield found(held)
-                    held, size = [], 0
-            if held:
-                yield found(held)
+            for part in slices(batch, 2):
+                at, ids, hashes = 0, part.column(0).to_pylist(), part.column(1).to_pylist()
+                for docs in _grouped(part.column(2)):
+                    rows = [(ids[at + d], hashes[at + d], find.index.ids[i], b[2], b[3], b[1], b[0]) for (d, i), b in sorted(find(docs).items())]
+                    at += len(docs)
+                    if rows:
+                        yield batch_of(dict(zip(FOUND.names, map(list, zip(*rows)))), FOUND)
 
     return own.mapInArrow(run, FOUND_DDL)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, *, least_words: int = 13, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document and item that overlap: doc_id, text_hash, item_id, doc_word and item_word (where the overlap
-    begins), n_words, n_equal."""
-    own = own_columns(docs, doc_id=id_col, text=text_col).selectExpr("CAST(doc_id AS BIGINT) doc_id", "xxhash64(text) text_hash", "text")
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
+    """item_id, text of the benchmark's rows, some BLOCK_BYTES at once."""
     items = own_columns(benchmark, item_id="item_id", text="text").selectExpr("CAST(item_id AS BIGINT) item_id", "text").where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    found = []
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        found.append(_search(own, [tuple(r) for r in part.orderBy("item_id", "text").collect()], least_words, similarity))
-    return reduce(DataFrame.unionAll, found) if blocks == 1 else reduce(DataFrame.unionAll, found).distinct()
+        yield [tuple(r) for r in part.orderBy("item_id", "text").collect()]
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, *, least_words: int = 13, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document and item that overlap: doc_id, text_hash, item_id, doc_word and item_word (where the overlap
+    begins), n_words, n_equal."""
+    own = own_columns(docs, doc_id=id_col, text=text_col).selectExpr("CAST(doc_id AS BIGINT) doc_id", "xxhash64(text) text_hash", "text")
+    found = [_search(own, block, least_words, similarity) for block in _blocks(benchmark)]
+    return reduce(DataFrame.unionAll, found).distinct()
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, least_words: int = 13, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
+    """`docs` without the rows whose text overlaps a benchmark item; a block's pass gets what the one before kept."""
+    for block in _blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block, least_words))
+
+        def judge(shared=shared):
+            find = Searcher(shared.value, least_words, similarity)
+
+            def keep(texts: pa.Array) -> list[bool]:
+                out: list[bool] = []
+                for words in _grouped(texts):
+                    bad = {d for d, _ in find(words)}
+                    out += [d not in bad for d in range(len(words))]
+                return out
 
+            return keep
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` without the documents that overlap a benchmark item."""
-    names = docs.columns
-    hit = overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("d_"), F.col("text_hash").alias("h_")).distinct()
-    plain = docs.toDF(*[f"c{i}_" for i in range(len(names))])
-    doc_id, text = F.col(f"c{names.index(id_col)}_"), F.col(f"c{names.index(text_col)}_")
-    return plain.join(hit, doc_id.cast("long").eqNullSafe(F.col("d_")) & (F.xxhash64(text) == F.col("h_")), "left_anti").toDF(*names)
+        docs = kept_rows(docs, text_col, judge)
+    return docs

@@ -4,12 +4,18 @@ The corpus is one sequence of lines for each document. A repeated run is a row o
 lines also stand, in the same order, somewhere else. A line goes if it lies in a repeated run of at least `min_words` words
 (a line counts one word at least) of which an equal copy begins earlier, by doc_id and then by line.
 
-How: level 0 ranks every line by its class of equal lines; level k + 1 ranks the run of 2^(k+1) lines at a position by the pair of
-level-k ranks at the position and 2^k lines on. A rank is the first position of its class, and classes of one position are
-discarded at each level, so that work shrinks to what repeats. Suffixes that share a run's rank are an interval of the
-suffix array whose longest common prefix is at least that run. A maximal repeated run of enough words is the union of
-the shortest such runs that begin, or that end, at its lines; their length of m lines is ranked by the two overlapping
-runs of 2^k <= m lines at its begin and end. With w words needed there are 1 + log2(w) levels at most, whatever the input.
+How:
+  * Lines of one position are discarded. What is left are islands, rows of consecutive repeated lines, of enough words; a
+    suffix is the lines from a position to the end of its island, and ends there with a sign that is smaller than any line.
+  * Prefix doubling sorts the suffixes: a rank is the place in the suffix array of the first suffix with the same 2^k lines;
+    level k + 1 orders the suffixes of one rank by their ranks 2^k lines on. Suffixes that are alone with their rank, and
+    those that have ended, are sorted and take no part in further levels. Ranks are sums over classes of equal suffixes, dealt
+    over ranges, so no task orders the corpus. With w words needed there are 1 + log2(w) levels at most, whatever the input.
+  * Neighbours in the suffix array are compared for their longest common prefix. Suffixes of a run of m lines are an interval in
+    which no common prefix is shorter than m; the run's copies are the interval's positions, and the first of them stays.
+  * A maximal repeated run of enough words is the union of the shortest such runs that begin, or that end, at its lines, so
+    only intervals of these lengths (of `min_words` lines at most) are asked for. They depend on the lines alone, hence on the
+    class of equal suffixes; positions meet their class once, at the end.
 
 Defined results: null text has no lines and stays null; empty text has one empty line; null doc_id is smaller than any
 other; rows that repeat both doc_id and text are one document, and get the same result each; rows that repeat a doc_id
@@ -18,15 +24,14 @@ alone are ordered by a hash of their texts; an empty table gives an empty table;
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, place
 
 DOC = ["d", "h"]
 SALTS = 16
+RANGES = 4096  # of the order of lines, and of the ranks behind one rank
 
 
 def _lines(own: DataFrame) -> DataFrame:
@@ -35,20 +40,37 @@ def _lines(own: DataFrame) -> DataFrame:
     return lines.select("d", "h", "p", F.unhex(F.md5("line")).alias("line"), F.greatest(F.lit(1), F.regexp_count("line", F.lit(r"\S+"))).cast("long").alias("w"))
 
 
-def _ranked(positions: DataFrame, key: list[str], keep: list[str]) -> DataFrame:
-    """`rank` of each position: the first position with the same key; positions whose key is unique are left out.
+def _before(classes: DataFrame, within: list[str], bucket: Column, order: str) -> DataFrame:
+    """`classes` with `before_`: how many positions (n) the classes of `within` hold whose `order` is smaller.
 
-    Classes of several positions are partial sums, hence small; for the join back each is dealt to SALTS keys, so that a very
-    common line's positions spread over as many tasks.
+    In two steps, so that no task gets all classes: sums of RANGES buckets, which keep the order, then a window in each bucket.
     """
-    classes = positions.groupBy(*key).agg(F.count("*").alias("n_"), F.min(F.struct("d", "h", "p")).alias("rank")).where("n_ > 1").drop("n_")
+    dealt = classes.withColumn("b_", bucket)
+    sums = dealt.groupBy(*within, "b_").agg(F.sum("n").alias("s_"))
+    earlier = Window.partitionBy(*within).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    starts = sums.select(*within, "b_", F.coalesce(F.sum("s_").over(earlier), F.lit(0)).alias("o_"))
+    inside = Window.partitionBy(*within, "b_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = dealt.withColumn("i_", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return counted.join(starts, [*within, "b_"]).withColumn("before_", F.col("o_") + F.col("i_")).drop("b_", "o_", "i_")
+
+
+def _met(positions: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
+    """Positions and their class; each class is dealt to SALTS keys, so that a very common line's positions spread over as many tasks."""
     salted = classes.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = positions.withColumn("salt_", F.pmod(F.hash("d", "p"), F.lit(SALTS)))
-    return dealt.join(salted, [*key, "salt_"]).select(*DOC, "p", *keep, "rank")
+    return positions.withColumn("salt_", F.pmod(F.hash("d", "p"), F.lit(SALTS))).join(salted, [*key, "salt_"]).drop("salt_")
+
+
+def _repeated(lines: DataFrame) -> DataFrame:
+    """d, h, p, w, r: the positions of lines that have several, ranked by their lines."""
+    classes = lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1")
+    two_bytes = F.conv(F.hex(F.substring("line", 1, 2)), 16, 10).cast("int")
+    ranked = _before(classes, [], F.floor(two_bytes * RANGES / 65_536).cast("int"), "line")
+    # A document's repeated rows have the same positions: they add no class of their own, and are put together here.
+    return _met(lines, ranked.select("line", F.col("before_").alias("r")), ["line"]).select(*DOC, "p", "w", "r").repartition(*DOC).dropDuplicates([*DOC, "p"])
 
 
 def _islands(ranked: DataFrame, min_words: int) -> DataFrame:
-    """Positions in rows of consecutive repeated lines with enough words: d, h, p, rank, i (island), e (words to its end)."""
+    """Positions in rows of consecutive repeated lines with enough words: d, h, p, r, w, i (island), e (words from its begin to the line's end)."""
     doc = Window.partitionBy(*DOC).orderBy("p")
     island = Window.partitionBy(*DOC, "i")
     upto = island.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -73,30 +95,84 @@ def _shortest_runs(islands: DataFrame, min_words: int) -> DataFrame:
     return forward.unionAll(backward).distinct()
 
 
+def _doubled(level: DataFrame, k: int, width: int) -> DataFrame:
+    """Ranks by 2^(k+1) lines from those by 2^k lines; `width`: ranks in a range."""
+    step = 2**k
+    on = Window.partitionBy(*DOC, "i").orderBy("p").rangeBetween(step, step)
+    pairs = level.withColumn("two", F.when(~F.col("done"), F.coalesce(F.first("r").over(on), F.lit(-1))))
+    going = pairs.where("NOT done").withColumnRenamed("r", "one").drop("done")
+    classes = going.groupBy("one", "two").agg(F.count("*").alias("n"))
+    ranked = _before(classes, ["one"], F.floor((F.col("two") + 1) / width).cast("int"), "two")
+    ranked = ranked.select("one", "two", (F.col("one") + F.col("before_")).alias("r"), ((F.col("n") == 1) | (F.col("two") < 0)).alias("done"))
+    again = _met(going, ranked, ["one", "two"]).drop("one", "two").withColumn("path", F.concat("path", F.array("r")))
+    return pairs.where("done").drop("two").unionByName(again)
+
+
+def suffix_array(islands: DataFrame, depth: int) -> DataFrame:
+    """d, h, p, i, r, path: r orders the suffixes by their first `depth` lines at least and is equal where these are equal; path has
+    the ranks by 1, 2, 4 ... lines, up to the one that sorts the suffix."""
+    width = islands.agg(F.max("r")).first()[0] // RANGES + 1
+    level = materialize(islands.select(*DOC, "p", "i", "r", F.lit(False).alias("done"), F.array("r").alias("path")), "line-ranks")
+    k = 0
+    while 2**k < depth:
+        before, level = level, materialize(_doubled(level, k, width), "line-ranks")
+        discard(before)
+        k += 1
+    return level
+
+
+def _first_lines(islands: DataFrame, of: DataFrame, depth: int) -> DataFrame:
+    """`of` (d, h, p, i and more) with `lines`, the ranks of its next `depth` lines, fewer at an island's end."""
+    blocks = islands.withColumn("b", F.floor(F.col("p") / depth)).groupBy(*DOC, "i", "b").agg(F.array_sort(F.collect_list(F.struct("p", "r"))).alias("x"))
+    after = Window.partitionBy(*DOC, "i").orderBy("b")
+    both = blocks.select(*DOC, "i", "b", F.col("x")[0]["p"].alias("begin"), F.concat("x.r", F.coalesce(F.lead("x.r").over(after), F.array().cast("array<long>"))).alias("two"))
+    found = of.withColumn("b", F.floor(F.col("p") / depth)).join(both, [*DOC, "i", "b"])
+    return found.withColumn("lines", F.slice("two", F.col("p") - F.col("begin") + 1, depth)).drop("b", "begin", "two")
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many lines two suffixes share from their begin."""
+    n = F.least(F.size(a), F.size(b))
+    differ = F.array_position(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x != y), True)
+    return F.when(differ > 0, differ - 1).otherwise(n)
+
+
+def _copies(islands: DataFrame, array: DataFrame, runs: DataFrame, depth: int) -> DataFrame:
+    """r, first (a struct of d, h, p), own, all: how many lines go at the first position of a class and at its others (null: none).
+
+    Each class stands for its suffixes by the first position. The intervals of runs of m lines lie within the suffixes that share
+    their first 2^k <= m lines, so the array is walked there.
+    """
+    classes = array.groupBy("r").agg(F.min(F.struct(*DOC, "p", "i", "path")).alias("first"), F.count("*").alias("n"))
+    flat = classes.select("r", "n", "first.*")
+    asked = flat.join(runs.select(*DOC, F.col("s").alias("p"), "m"), [*DOC, "p"])
+    known = _first_lines(islands, asked, depth).withColumn("share", F.element_at("path", F.least(F.size("path"), F.floor(F.log2("m")).cast("int") + 1)))
+    order = Window.partitionBy("m", "share").orderBy("r")
+    placed = known.withColumn("above", F.lag("lines").over(order)).withColumn("lcp", F.when(F.col("above").isNull(), 0).otherwise(common_prefix(F.col("above"), F.col("lines"))))
+    placed = placed.select("m", "share", "r", "n", F.struct(*DOC, "p").alias("first"), "lcp")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    interval = Window.partitionBy("m", "share", "interval")
+    named = placed.withColumn("interval", F.sum((F.col("lcp") < F.col("m")).cast("int")).over(upto)).withColumn("earliest", F.min("first").over(interval))
+    several = named.groupBy("r").agg(
+        F.first("first").alias("first"),
+        F.max(F.when(F.col("first") != F.col("earliest"), F.col("m"))).alias("own"),
+        F.max(F.when(F.col("n") > 1, F.col("m"))).alias("others"),
+    )
+    return several.select("r", "first", "own", F.greatest("own", "others").alias("all")).where("all IS NOT NULL")
+
+
 def removed_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """d, h, removed (ascending places of lines that go) of the documents (d, h, text) that lose lines."""
     lines = materialize(_lines(docs), "lines")
-    # A document's repeated rows have the same positions: they add no class of their own, and are put together where few lines are left.
-    ranked = _ranked(lines, ["line"], ["w"]).repartition(*DOC).dropDuplicates([*DOC, "p"])
-    level = islands = materialize(_islands(ranked, min_words), "line-islands")
+    islands = materialize(_islands(_repeated(lines), min_words), "line-islands")
     runs = materialize(_shortest_runs(islands, min_words), "line-runs")
     longest = runs.agg(F.max("m")).first()[0]
     if longest is None:
         return docs.select(*DOC).where("false").withColumn("removed", F.array().cast("array<int>"))
-    levels, k = [level.select(*DOC, "p", "rank").withColumn("k", F.lit(0))], 0
-    while 2 ** (k + 1) <= longest:
-        step = 2**k
-        on = Window.partitionBy(*DOC).orderBy("p").rangeBetween(step, step)
-        pairs = level.select(*DOC, "p", F.col("rank").alias("one"), F.first("rank").over(on).alias("two")).where("two IS NOT NULL")
-        level = materialize(_ranked(pairs, ["one", "two"], []), f"line-ranks-{k + 1}")
-        k += 1
-        levels.append(level.select(*DOC, "p", "rank").withColumn("k", F.lit(k)))
-    ranks = reduce(DataFrame.unionAll, levels)
-    asked = runs.withColumn("k", F.floor(F.log2("m")).cast("int")).withColumn("t", F.col("s") + F.col("m") - F.expr("shiftleft(1, k)"))
-    begin = ranks.select(*DOC, F.col("p").alias("s"), "k", F.col("rank").alias("one"))
-    end = ranks.select(*DOC, F.col("p").alias("t"), "k", F.col("rank").alias("two"))
-    named = materialize(asked.join(begin, [*DOC, "s", "k"]).join(end, [*DOC, "t", "k"]).select(*DOC, F.col("s").alias("p"), "m", "one", "two"), "line-named")
-    later = _ranked(named, ["m", "one", "two"], ["m"]).where(F.struct("d", "h", "p") != F.col("rank"))
+    array = suffix_array(islands, longest)
+    copies = materialize(_copies(islands, array, runs, longest), "line-copies")
+    length = F.when(F.struct(*DOC, "p") == F.col("first"), F.col("own")).otherwise(F.col("all"))
+    later = _met(array.select(*DOC, "p", "r"), copies, ["r"]).withColumn("m", length).where("m IS NOT NULL")
     places = later.select(*DOC, F.explode(F.sequence("p", F.col("p") + F.col("m").cast("int") - 1)).alias("p"))
     return places.groupBy(*DOC).agg(F.array_sort(F.collect_set("p")).alias("removed"))
 
@@ -104,7 +180,7 @@ def removed_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
 def _deduplicated(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> tuple[DataFrame, Column, Column, Column, list[Column]]:
     """`docs` with its columns renamed by place and what is to be removed; the new text, lines, removed lines; its columns."""
     names = docs.columns
-    at_id, at_text = names.index(id_col), names.index(text_col)
+    at_id, at_text = place(names, id_col), place(names, text_col)
     plain = docs.toDF(*[f"c{i}_" for i in range(len(names))])
     keyed = plain.withColumn("d", F.coalesce(F.col(f"c{at_id}_").cast("long"), F.lit(-(2**63)).cast("long"))).withColumn("text", F.col(f"c{at_text}_")).withColumn("h", F.xxhash64("text"))
     removed = removed_lines(keyed.where("text IS NOT NULL").select("d", "h", "text"), min_words)

@@ -5,8 +5,9 @@ The document is covered by overlapping chunks (of `CHUNK` blocks of `BLOCK` byte
 filter is max-pooled over each chunk, and the mean and the maximum over the chunks are combined into one probability.
 Only the texts are inputs of a score.
 
-Training takes at most `TRAIN_DOCS` labelled documents of the smallest hash of their doc_id (see toxicity.labelled) and, of
-these, whole texts up to `TRAIN_BYTES` bytes together; both bounds are documented parameters. Scoring covers every whole text.
+Training takes a bounded sample as toxicity.py does: at most `TRAIN_DOCS` labelled documents of the smallest hash of their doc_id and,
+of these, the whole texts that fit into `TRAIN_BYTES` bytes together, none of over a 64th of that. Scoring covers every whole text, a
+long one in pieces of `PIECE` blocks, whose windows reach into the next piece.
 
 Defined results: null text is the empty text, which has one chunk of padding; null labels are left out; without both labels the score
 is the same for all, the share of label 1 (0 without any label); null or repeated doc_id are kept, one row for each input row
@@ -22,13 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch_of, batch_rows, own_columns
-from .toxicity import SCORED, labelled, predictions
+from .common import batch_of, own_columns, slices
+from .toxicity import SCORED, labelled, once, predictions
 
 WIDTH, STRIDE, VECTOR, FILTERS = 8, 2, 6, 24
 BLOCK, CHUNK = 128, 4
 TRAIN_DOCS, TRAIN_BYTES = 6000, 20 << 20
 BATCH_BYTES = 1 << 19
+PIECE = 1 << 12  # blocks that are convolved at once
 
 
 @dataclass
@@ -74,26 +76,55 @@ def chunks_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[doc] + within * half, doc
 
 
-def forward(net: Network, texts: list[bytes], keep: bool = False):
+def tops_of(net: Network, data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each filter's largest answer in each block, before the ReLU, which keeps order; memory is that of PIECE blocks."""
+    tops = np.empty((int(first[-1]), FILTERS), net.filters.dtype)
+    for at in range(0, len(tops), PIECE):
+        to = min(at + PIECE, len(tops))
+        answers = (windows(net, data[at * BLOCK : to * BLOCK + WIDTH]) @ net.filters).reshape(-1, BLOCK // STRIDE, FILTERS)
+        last = first[1:][(first[1:] > at) & (first[1:] <= to)] - 1 - at
+        answers[last, 1 - WIDTH // STRIDE :] = -np.inf
+        answers.max(axis=1, out=tops[at:to])
+    return tops
+
+
+def combined(net: Network, chunk: np.ndarray, doc: np.ndarray, texts: int) -> tuple:
+    """Probability of each text from its chunks' features, and what gradients need."""
+    edges = np.searchsorted(doc, np.arange(texts))
+    n = np.diff(np.append(edges, len(doc)))
+    mean = np.add.reduceat(chunk, edges, axis=0) / n[:, None]
+    most = np.maximum.reduceat(chunk, edges, axis=0)
+    logit = np.concatenate([mean, most], axis=1) @ net.out[:-1] + net.out[-1]
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30))), n, edges, mean, most
+
+
+def forward(net: Network, texts: list[bytes]) -> np.ndarray:
+    """Probability of each text."""
+    data, first = blocks_of(texts)
+    tops = tops_of(net, data, first)
+    begin, doc = chunks_of(first)
+    last = first[doc + 1] - 1  # the last block again beyond the end
+    chunk = tops[begin]
+    for k in range(1, CHUNK):
+        np.maximum(chunk, tops[np.minimum(begin + k, last)], out=chunk)
+    return combined(net, np.maximum(chunk + net.offsets, 0), doc, len(texts))[0]
+
+
+def forward_whole(net: Network, texts: list[bytes]) -> tuple:
+    """The same with all that gradients need; for small batches."""
     data, first = blocks_of(texts)
     answers = answered(net, data, first)
-    tops = answers.max(axis=1)  # before the ReLU, which keeps order
+    tops = answers.max(axis=1)
     begin, doc = chunks_of(first)
-    ends = first[doc + 1]
-    member = np.minimum(begin[:, None] + np.arange(CHUNK), ends[:, None] - 1)  # the last block again beyond the end
+    member = np.minimum(begin[:, None] + np.arange(CHUNK), first[doc + 1][:, None] - 1)
     held = tops[member]  # chunks x CHUNK x FILTERS
     chunk = np.maximum(held.max(axis=1) + net.offsets, 0)
-    edges = np.searchsorted(doc, np.arange(len(texts)))
-    n = np.diff(np.append(edges, len(doc)))
-    mean = np.add.reduceat(chunk, edges, axis=0) / n[:, None]
-    most = np.maximum.reduceat(chunk, edges, axis=0)
-    logit = np.concatenate([mean, most], axis=1) @ net.out[:-1] + net.out[-1]
-    probability = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return (probability, data, answers, member, held, chunk, doc, n, edges, mean, most) if keep else probability
+    probability, n, edges, mean, most = combined(net, chunk, doc, len(texts))
+    return probability, data, answers, member, held, chunk, doc, n, edges, mean, most
 
 
 def gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> tuple[list[np.ndarray], float]:
-    probability, data, answers, member, held, chunk, doc, n, edges, mean, most = forward(net, texts, True)
+    probability, data, answers, member, held, chunk, doc, n, edges, mean, most = forward_whole(net, texts)
     error = (probability - labels) / len(texts)
     out = np.append(np.concatenate([mean, most], axis=1).T @ error, error.sum())
     # To the chunks: all share the mean, the first of the largest has the maximum.
@@ -122,6 +153,19 @@ def gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> tuple[lis
     return [vectors, filters, offsets, out], float(loss)
 
 
+def batches_of(examples: list[tuple[bytes, int]], batch: int) -> Iterator[list[tuple[bytes, int]]]:
+    """Parts of `batch` examples and BATCH_BYTES bytes at most, one example at least."""
+    held, size = [], 0
+    for x in examples:
+        if held and (len(held) == batch or size + len(x[0]) > BATCH_BYTES):
+            yield held
+            held, size = [], 0
+        held.append(x)
+        size += len(x[0])
+    if held:
+        yield held
+
+
 def fit(examples: list[tuple[bytes, int]], epochs: int = 10, batch: int = 32, rate: float = 6e-3, seed: int = 11) -> Network | float:
     """A network by Adam on the logistic loss, in the same order every time; the share of 1 where there is one label only."""
     positive = sum(y for _, y in examples)
@@ -136,14 +180,12 @@ def fit(examples: list[tuple[bytes, int]], epochs: int = 10, batch: int = 32, ra
     )
     parts = [net.vectors, net.filters, net.offsets, net.out]
     first, second, t = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
-    steps = epochs * -(-len(examples) // batch)
+    steps = epochs * -(-len(examples) // batch)  # about; long texts make smaller batches
     for _ in range(epochs):
-        order = random.permutation(len(examples))
-        for i in range(0, len(order), batch):
-            part = [examples[k] for k in order[i : i + batch]]
+        for part in batches_of([examples[k] for k in random.permutation(len(examples))], batch):
             grads, _ = gradients(net, [x for x, _ in part], np.array([y for _, y in part], np.float32))
             t += 1
-            now = rate * (1 - t / (steps + 1))
+            now = rate * max(0.02, 1 - t / (steps + 1))
             for p, m, v, g in zip(parts, first, second, grads):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
@@ -152,39 +194,41 @@ def fit(examples: list[tuple[bytes, int]], epochs: int = 10, batch: int = 32, ra
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> Network | float:
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    picked = labelled(docs, labels, label, most).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
-    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # `most` rows
-    held = picked.select("doc_id", "label", "size", "text").withColumn("upto", F.sum("size").over(upto)).where(F.col("upto") <= most_bytes)
-    rows = held.select("doc_id", "label", "text").toArrow()
-    found = sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_pylist()), key=lambda r: (r[0], r[1], r[2] or ""))
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in once(batches):
+            yield batch_of(dict(zip(schema.names, ([x] for x in row))), schema)
+
+    rows = labelled(docs, labels, label, most, most_bytes).mapInArrow(run, "doc_id long, label int, text string").dropDuplicates(["doc_id", "label"]).toArrow()
+    found = sorted(zip(*(c.to_pylist() for c in rows.columns)), key=lambda r: r[:2])
     return fit([((t or "").encode(), y) for _, y, t in found])
 
 
+def scores(net: Network | float, texts: pa.Array) -> np.ndarray:
+    """The score of each whole text."""
+    if isinstance(net, float):
+        return np.full(len(texts), net)
+    out, held, size = [], [], 0
+    for text in texts:
+        held.append((text.as_py() or "").encode())
+        size += len(held[-1])
+        if size >= BATCH_BYTES:
+            out.append(forward(net, held))
+            held, size = [], 0
+    if held:
+        out.append(forward(net, held))
+    return np.concatenate([*out, np.empty(0)]).astype(float)
+
+
 def score(docs: DataFrame, net: Network | float, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, score: one row for each row of `docs`."""
-    batch_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-
-        def scores(texts: list[bytes]) -> np.ndarray:
-            return np.full(len(texts), own) if isinstance(own, float) else forward(own, texts).astype(float)
-
         for batch in batches:
-            out, held, size = [], [], 0
-            for text in batch.column(2):
-                held.append((text.as_py() or "").encode())
-                size += len(held[-1])
-                if size >= BATCH_BYTES:
-                    out.append(scores(held))
-                    held, size = [], 0
-            if held:
-                out.append(scores(held))
-            yield batch_of({"doc_id": batch.column(0), "text_hash": batch.column(1), "score": np.concatenate([*out, np.empty(0)])}, SCORED)
+            for part in slices(batch, 2):
+                yield batch_of({"doc_id": part.column(0), "text_hash": part.column(1), "score": scores(shared.value, part.column(2))}, SCORED)
 
     rows = own_columns(docs, doc_id=id_col, text=text_col).selectExpr("CAST(doc_id AS BIGINT) doc_id", "xxhash64(text) text_hash", "text")
     return rows.mapInArrow(run, "doc_id long, text_hash long, score double")

@@ -19,6 +19,7 @@ more than `GROUP` fingerprints is dealt over block pairs of bounded size. Nothin
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +28,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, batch_rows, materialize, own_columns, partitions
+from .common import batch_of, join_hot, materialize, own_columns, partitions, place, slices
 from .components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 DISTANCE = 3
 GOLAY_POLYNOMIAL = 0xC75  # fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the binary Golay code
+HOT_SHARE = 1024  # keys of over one row in so many are treated apart
 GROUP = 2048  # fingerprints of one key that are compared at once
+PART = 1 << 20  # bytes of a text that are cut into words at once
+WHITE = re.compile(rb"[ \t-\r]")
+
+
+def byte_parts(raw: bytes) -> Iterator[bytes]:
+    """A text in parts of about PART bytes, cut at white space."""
+    at = 0
+    while len(raw) - at > PART:
+        cut = WHITE.search(raw, at + PART)
+        if not cut:
+            break
+        yield raw[at : cut.start()]
+        at = cut.end()
+    yield raw[at:]
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -42,23 +58,25 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     A-Z are lowered; words are runs of bytes other than space and 0x09-0x0D; shingles are joined by one space, fewer words
     make one shingle; a shingle is hashed by XXH64 with seed 42; a bit is 1 if more than half of the hashes set it.
     """
-    found = (text or "").encode().lower().split()
-    if not found:
-        return 0
-    joined = b" ".join(found)
-    if len(found) <= words:
-        return xxhash.xxh64_intdigest(joined, 42)
-    lengths = np.fromiter(map(len, found), np.int64, len(found)) + 1
-    ends = np.cumsum(lengths) - 1
-    begins = ends - lengths + 1
-    digest = xxhash.xxh64_intdigest
-    last = len(found) - words + 1
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(begins[:last].tolist(), ends[words - 1 :].tolist())], "<u8")
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 4096):
-        part = hashes[i : i + 4096]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * counts > len(hashes)).astype(np.uint8)
+    counts, total, found = np.zeros(64, np.int64), 0, []
+    for part in byte_parts((text or "").encode()):
+        found += part.lower().split()
+        if len(found) < words:
+            continue
+        joined = b" ".join(found)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) + 1
+        ends = np.cumsum(lengths) - 1
+        last = len(found) - words + 1
+        begins = (ends - lengths + 1)[:last].tolist()
+        hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(begins, ends[words - 1 :].tolist())], "<u8")
+        for i in range(0, last, 4096):
+            some = hashes[i : i + 4096]
+            counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += last
+        found = found[last:]
+    if not total:
+        return xxhash.xxh64_intdigest(b" ".join(found), 42) if found else 0
+    bits = (2 * counts > total).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
@@ -170,12 +188,12 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("waits", pa.int64())])
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """doc_id, text_hash, fp (the fingerprint's bits as a signed long), one row for each row of `docs`."""
-    batch_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), words) for t in batch.column(2)], np.uint64).view(np.int64)
-            yield batch_of({"doc_id": batch.column(0), "text_hash": batch.column(1), "fp": found}, FINGERPRINTS)
+            for part in slices(batch, 2):
+                found = np.array([fingerprint(t.as_py(), words) for t in part.column(2)], np.uint64).view(np.int64)
+                yield batch_of({"doc_id": part.column(0), "text_hash": part.column(1), "fp": found}, FINGERPRINTS)
 
     own = own_columns(docs, doc_id=id_col, text=text_col).selectExpr("CAST(doc_id AS BIGINT) doc_id", "xxhash64(text) text_hash", "text")
     return own.mapInArrow(run, "doc_id long, text_hash long, fp long")
@@ -240,7 +258,6 @@ def _linked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
 def links(distinct: DataFrame, most: int = GROUP) -> DataFrame:
     """a, b: links among the distinct fingerprints `fp`, enough of them to connect all that linked pairs connect."""
     n = partitions(distinct.sparkSession)
-    batch_rows(distinct.sparkSession, 10_000)  # pairs of numbers
     schema = "a long, b long, waits long"
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,23 +290,37 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     has its own fingerprint and component; an empty table gives an empty table; further columns are ignored.
     """
     marked = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "simhash-fingerprints")
-    classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-classes")
     # Components run over fingerprints; then each takes the smallest doc_id of its members.
     of = components(links(classes))
     named = classes.join(of.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "component").select("fp", "component_id", "component")
-    return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "component")
+    by_fp = named.join(least, "component").select("fp", "n", "component_id", "component")
+    return join_hot(marked, by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "component")
 
 
 def keep_first(docs: DataFrame, near: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`docs` with the first row (smallest doc_id, then text hash) of each component of `near` (doc_id, text_hash, component)."""
+    """`docs` with one row (smallest doc_id, then text hash) of each component of `near` (doc_id, text_hash, component).
+
+    Texts are shuffled once, by the key that finds the first rows and drops repeats of them. Repeats of a key that holds
+    very many rows are dropped before that shuffle, in each task.
+    """
     names = docs.columns
-    first = near.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("d_"), F.col("k.text_hash").alias("h_"))
+    marks = materialize(near.groupBy("doc_id", "text_hash").agg(F.min("component").alias("component"), F.count("*").alias("n")), "near-rows")
+    first = marks.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    first = first.select(F.coalesce("k.doc_id", F.lit(0)).alias("d_"), F.col("k.doc_id").isNull().alias("z_"), F.col("k.text_hash").alias("h_"))
     keyed = docs.toDF(*[f"c{i}_" for i in range(len(names))])
-    keyed = keyed.withColumn("d", F.col(f"c{names.index(id_col)}_").cast("long")).withColumn("h", F.xxhash64(f"c{names.index(text_col)}_"))
-    kept = keyed.join(first, F.col("d").eqNullSafe(F.col("d_")) & (F.col("h") == F.col("h_")), "left_semi")
-    return kept.dropDuplicates(["d", "h"]).drop("d", "h").toDF(*names)
+    doc_id = F.col(f"c{place(names, id_col)}_").cast("long")
+    keyed = keyed.withColumns({"d_": F.coalesce(doc_id, F.lit(0)), "z_": doc_id.isNull(), "h_": F.xxhash64(f"c{place(names, text_col)}_")})
+    key = ["d_", "z_", "h_"]
+    kept = keyed.join(first, key, "left_semi").dropDuplicates(key)
+    most = marks.agg(F.sum("n") / HOT_SHARE).first()[0] or 0
+    hot = marks.where((F.col("n") > most) & (F.col("n") > 1)).select(F.coalesce("doc_id", F.lit(0)).alias("d_"), F.col("doc_id").isNull().alias("z_"), F.col("text_hash").alias("h_"))
+    if not hot.isEmpty():  # HOT_SHARE keys at most
+        hot = F.broadcast(materialize(hot, "hot-rows"))
+        some = keyed.join(hot, key, "left_semi").dropDuplicates(key).join(first, key, "left_semi")
+        kept = keyed.join(hot, key, "left_anti").join(first, key, "left_semi").dropDuplicates(key).unionAll(some)
+    return kept.drop(*key).toDF(*names)
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:

@@ -9,25 +9,30 @@ File layout (the public zstd seekable format, so `zstd -d` gives the plain id st
 A set of files in shard order, with each shard's first position, is the corpus as one id stream in ascending doc_id order.
 
 Defined results: null text is the empty text (the end id alone); null doc_id comes first; repeated doc_id keep one entry
-for each row, ordered by their ids; an empty table makes no file and an empty result; further columns are ignored.
+for each row, in a file ordered by their ids (rows of one doc_id, or of none, may fill several files); strings of added tokens,
+such as <|endoftext|>, are what the library makes of them; an empty table makes no file and an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
 import functools
+import re
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, batch_rows, materialize, new_dir, open_fs, own_columns, partitions, write_atomically
+from .common import batch_of, materialize, new_dir, open_fs, own_columns, partitions, slices, temporary, write_atomically
 
 # Fixed values of the zstd seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -37,6 +42,8 @@ CHECKSUM_FLAG = 0x80
 
 #: Words whose ids a worker remembers (some 200 bytes each), and the longest of them in characters.
 REMEMBERED, REMEMBERED_CHARS = 1_800_000, 40
+#: Characters of a text that are cut into words at once, and of all texts together.
+PIECE_CHARS, PIECES_CHARS = 1 << 18, 1 << 21
 
 
 class CorruptFrame(ValueError):
@@ -46,7 +53,7 @@ class CorruptFrame(ValueError):
 class TokenFileWriter:
     """Writes documents to a binary stream; close() adds index and seek table."""
 
-    def __init__(self, stream, *, id_bytes: int = 4, frame_bytes: int = 1 << 17, level: int = 1):
+    def __init__(self, stream, *, id_bytes: int = 4, frame_bytes: int = 1 << 17, level: int = 3):
         self.stream, self.dtype, self.frame_bytes = stream, np.dtype(f"<u{id_bytes}"), frame_bytes
         self.compress = zstandard.ZstdCompressor(level=level, write_checksum=True).compress
         self.waiting: list[bytes] = []
@@ -146,15 +153,13 @@ class TokenFileReader:
 
 @functools.lru_cache(maxsize=2)
 def _words(path: str):
-    """The tokenizer; packed ids of words; those among the words that don't end in a letter or number."""
+    """The tokenizer, as the library reads it; packed ids of words; those among the words that don't end in a letter or number."""
     import os
 
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer, {}, set()
+    return Tokenizer.from_file(path), {}, set()
 
 
 @functools.lru_cache(maxsize=2)
@@ -166,13 +171,23 @@ def _last_tokens(path: str) -> np.ndarray:
     return ends
 
 
+@functools.lru_cache(maxsize=2)
+def _added(path: str) -> list[str]:
+    """Strings that stand for one id of their own, wherever they are in a text."""
+    return [t.content for t in _words(path)[0].get_added_tokens_decoder().values()]
+
+
+#: Words that are one pre-token and that no normal form or lower-casing changes: small letters of Latin-1.
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+
+
 def _ends_in_letter(word: str) -> bool:
-    """True if punctuation behind the word begins a pre-token of its own, before and after lower-casing."""
-    last = word[-1:].lower()
-    return len(last) == 1 and last.isalnum()
+    """True if the last character is a letter or number of Latin-1: it composes with nothing behind it, so punctuation there
+    begins a pre-token of its own, before and after lower-casing."""
+    return word[-1:] < "\u0100" and word[-1:].isalnum()
 
 
-def _cut(text: str) -> list[str] | None:
+def _cut(text: str, added: list[str]) -> list[str] | None:
     """The text's words in lower case, with the points and commas behind them apart; None if that could part what belongs together."""
     t = text.replace("\n", " ")
     try:
@@ -181,6 +196,8 @@ def _cut(text: str) -> list[str] | None:
         pass
     else:
         t = t.lower()
+        if any(x in t for x in added):
+            return None
     t = t.replace(". ", " . ").replace(", ", " , ")
     if t[-1:] in (".", ","):
         t = f"{t[:-1]} {t[-1]}"
@@ -189,27 +206,66 @@ def _cut(text: str) -> list[str] | None:
     return t.split(" ")
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A text in parts of about PIECE_CHARS characters, cut at blanks and line feeds, which are left out there."""
+    at = 0
+    while len(text) - at > PIECE_CHARS:
+        end = at + PIECE_CHARS
+        cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
+        if cut < 0:
+            later = [x for x in (text.find(" ", end), text.find("\n", end)) if x >= 0]
+            if not later:
+                break
+            cut = min(later)
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:]
+
+
 def encode_packed(texts: list[str], path: str, end_id: int | None, id_bytes: int) -> list[bytes]:
     """Packed ids of each text by the library's tokenizer, add_special_tokens=False, then the end id.
 
-    The tokenizer's pre-tokens never span a blank or line feed, nor a letter or number and the punctuation behind it, and its
-    normalizer changes no character because of those; so text is cut there and each distinct part goes through the
-    library once. `separable` says whether a tokenizer is so. A text in which a point or comma was set apart behind
-    a word that doesn't end in a letter or number is cut at blanks only.
+    The tokenizer's pre-tokens and added tokens never span a blank or line feed, and its normalizer treats what stands on each
+    side of one alone; so a text is cut there, and each distinct word goes through the library once. `separable` says whether
+    a tokenizer is so; by any other one whole texts are encoded. A long text is encoded in pieces.
     """
-    tokenizer, known, joined = _words(path)
     dtype = np.dtype(f"<u{id_bytes}")
     end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
     if not separable(path):
-        return [np.array(e.ids, dtype).tobytes() + end for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    cut = [_cut(t) or t.replace("\n", " ").split(" ") for t in texts]
+        return [np.array(_words(path)[0].encode(t, add_special_tokens=False).ids, dtype).tobytes() + end for t in texts]
+    out: list[list[bytes]] = [[] for _ in texts]
+    held, size = [], 0
+
+    def close() -> None:
+        for (i, _), ids in zip(held, _packed_words([p for _, p in held], path, dtype), strict=True):
+            out[i].append(ids)
+
+    for i, text in enumerate(texts):
+        for piece in _pieces(text):
+            held.append((i, piece))
+            size += len(piece)
+            if size > PIECES_CHARS:
+                close()
+                held, size = [], 0
+    close()
+    return [b"".join(parts) + end for parts in out]
+
+
+def _packed_words(texts: list[str], path: str, dtype: np.dtype) -> list[bytes]:
+    """Packed ids of texts that are cut into words.
+
+    A point or comma behind a letter or number is a pre-token of its own and is cut off. A text in which one would be cut off
+    another character goes by blanks alone; so does one that in lower case holds an added token's string.
+    """
+    tokenizer, known, joined = _words(path)
+    added = _added(path)
+    cut = [_cut(t, added) or t.replace("\n", " ").split(" ") for t in texts]
     new = set().union(*cut).difference(known)
     if len(known) + len(new) > REMEMBERED:
         known.clear()
         joined.clear()
         new = set().union(*cut)
-    # Words of lower-case letters are one pre-token each, so many can share a call: a word ends where a token says so.
-    plain = [w for w in new if w.isalpha() and w.islower()]
+    plain = [w for w in new if PLAIN.fullmatch(w)]
     rest = new.difference(plain)
     joined.update(w for w in rest if not _ends_in_letter(w) and w not in ("", ".", ","))
     for i, words in enumerate(cut):
@@ -217,24 +273,28 @@ def encode_packed(texts: list[str], path: str, end_id: int | None, id_bytes: int
             cut[i] = texts[i].replace("\n", " ").split(" ")
             rest |= set(cut[i]).difference(known)
     rest.difference_update(plain)
+    # Many plain words share a call: a word ends where a token says so. Should the counts differ, each word has a call of its own.
     many = [plain[i : i + 500] for i in range(0, len(plain), 500)]
     for some, e in zip(many, tokenizer.encode_batch_fast([" ".join(p) for p in many], add_special_tokens=False), strict=True):
         ids = np.array(e.ids, dtype)
-        stops = ((np.flatnonzero(_last_tokens(path)[ids]) + 1) * id_bytes).tolist()
-        known.update(zip(some, map(ids.tobytes().__getitem__, map(slice, [0, *stops], stops)), strict=True))
+        stops = ((np.flatnonzero(_last_tokens(path)[ids]) + 1) * dtype.itemsize).tolist()
+        if len(stops) == len(some):
+            known.update(zip(some, map(ids.tobytes().__getitem__, map(slice, [0, *stops], stops))))
+        else:
+            rest.update(some)
     single = list(rest)
     for w, e in zip(single, tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
         known[w] = np.array(e.ids, dtype).tobytes()
-    packed = [b"".join(map(known.__getitem__, words)) + end for words in cut]
+    packed = [b"".join(map(known.__getitem__, words)) for words in cut]
     for w in [w for w in (*plain, *single) if len(w) > REMEMBERED_CHARS]:
-        del known[w]
+        known.pop(w, None)
         joined.discard(w)
     return packed
 
 
 @functools.lru_cache(maxsize=8)
 def separable(path: str) -> bool:
-    """True for a normalizer of NFC, blanks and lower case, and pre-tokens that drop white space."""
+    """True for a normalizer of NFC, blanks and lower case, pre-tokens that drop white space, and added tokens without any."""
     import json
 
     with open(path, encoding="utf-8") as f:
@@ -252,6 +312,7 @@ def separable(path: str) -> bool:
         and all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") for x in before[1:])
         and not spec.get("post_processor")
         and spec.get("model", {}).get("end_of_word_suffix") == "</w>"
+        and all(t["content"].split() == [t["content"]] and not t.get("single_word") and not t.get("normalized") for t in spec.get("added_tokens", []))
     )
 
 
@@ -259,7 +320,7 @@ def id_width(path: str) -> int:
     return 2 if _words(path)[0].get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
-PACKED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+PACKED = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("ids", pa.binary())])
 MANIFEST = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
 
 
@@ -272,15 +333,18 @@ def write_token_files(docs: DataFrame, path: str, out_dir: str, *, end_id: int |
     """
     spark = docs.sparkSession
     n = shards or partitions(spark)
-    batch_rows(spark)
     own = own_columns(docs, doc_id=id_col, text=text_col).selectExpr("CAST(doc_id AS BIGINT) doc_id", "text")
-    bounds = own.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n).alias("b")).first().b
-    bounds = sorted(set(bounds or []))
+    said = own.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n).alias("b"), F.count("*").alias("rows"), F.count("doc_id").alias("ids")).first()
+    bounds = sorted(said.b or [])
+    nulls = -(-n * (said.rows - said.ids) // said.rows) if said.rows else 0  # shards of rows without id, before all others
+    own = own.withColumn("shard", _shard_of(F.col("doc_id"), bounds, nulls, F.xxhash64("text", F.monotonically_increasing_id())))
     width = id_width(path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch_of({"doc_id": batch.column(0), "ids": encode_packed([t or "" for t in batch.column(1).to_pylist()], path, end_id, width)}, PACKED)
+            for part in slices(batch, 1):
+                ids = encode_packed([t or "" for t in part.column(1).to_pylist()], path, end_id, width)
+                yield batch_of({"doc_id": part.column(0), "shard": part.column(2), "ids": ids}, PACKED)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((s, d, x.as_py()) for b in batches for s, d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)))
@@ -297,24 +361,35 @@ def write_token_files(docs: DataFrame, path: str, out_dir: str, *, end_id: int |
             size = write_atomically(name, fill)
             yield batch_of({"shard": [shard], "path": [name], "docs": [said["docs"]], "tokens": [said["tokens"]], "bytes": [size]}, MANIFEST)
 
-    packed = own.mapInArrow(encode, "doc_id long, ids binary")
-    placed = packed.withColumn("shard", _shard_of(F.col("doc_id"), bounds))
-    dealt = placed.repartitionById(len(bounds) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    manifest = materialize(dealt.select("shard", "doc_id", "ids").mapInArrow(write, "shard long, path string, docs long, tokens long, bytes long"), "token-manifest")
+    packed = own.mapInArrow(encode, "doc_id long, shard int, ids binary")
+    dealt = packed.repartitionById(len(bounds) + 1 + nulls, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    manifest = materialize(dealt.select(F.col("shard").cast("long"), "doc_id", "ids").mapInArrow(write, "shard long, path string, docs long, tokens long, bytes long"), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long")))
 
 
-def _shard_of(doc_id, bounds: list[int]):
-    """How many bounds are at or below doc_id, as a balanced tree of comparisons; null is 0."""
+def _shard_of(doc_id: Column, bounds: list[int], nulls: int, deal: Column) -> Column:
+    """`nulls` more than the number of ascending bounds at or below doc_id, as a balanced tree of comparisons; rows without id fill
+    the shards before.
+
+    A bound that occurs r times is an id of so many rows that they fill shards: these are dealt over the r shards that end there, by
+    `deal`. Larger ids come no earlier than the last of them, so shards stay in order.
+    """
+    counts = Counter(bounds)
+    values = sorted(counts)
+    upto = [0, *accumulate(counts[v] for v in values)]
 
-    def tree(lo: int, hi: int):
+    def tree(lo: int, hi: int) -> Column:
         if lo == hi:
-            return F.lit(lo).cast("long")
+            return F.lit(upto[lo] + nulls)
         mid = (lo + hi) // 2
-        return F.when(doc_id >= F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+        return F.when(doc_id >= F.lit(values[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
-    return tree(0, len(bounds))
+    times = F.lit(1)
+    for v in (v for v in values if counts[v] > 1):
+        times = F.when(doc_id == v, counts[v]).otherwise(times)
+    known = tree(0, len(values)) - F.pmod(deal, times)
+    return F.when(doc_id.isNull(), F.pmod(deal, F.lit(max(1, nulls)))).otherwise(known).cast("int")
 
 
 def _runs(rows: Iterable[tuple]) -> Iterator[tuple[int, Iterator[tuple]]]:
@@ -352,5 +427,6 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
 
 def token_files(docs: DataFrame, path: str, *, end_id: int | None = 1, **options) -> DataFrame:
-    """Write the token files of `docs` to the shared folder and read every document back."""
-    return read_token_files(write_token_files(docs, path, new_dir(docs.sparkSession, "tokens"), end_id=end_id, **options))
+    """Write the token files of `docs` to the shared folder, where they stay until the application ends, and read every document back."""
+    out_dir = temporary(docs.sparkSession, new_dir(docs.sparkSession, "tokens"))
+    return read_token_files(write_token_files(docs, path, out_dir, end_id=end_id, **options))

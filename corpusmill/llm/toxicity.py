@@ -4,17 +4,20 @@ Features of a document: its distinct words, pairs of neighbours and pairs with o
 words are lower-case runs of letters, digits and underscores. FTRL-proximal keeps a learning rate for each coordinate, and its
 L1 term leaves most weights exactly zero, so what is broadcast is the short list of the others. Only the texts are inputs of a score.
 
-Training takes at most `TRAIN_DOCS` labelled documents, those with the smallest hash of their doc_id, a documented bound;
-their features (distinct 32-bit numbers) come to the driver. Scoring covers every whole text.
+Training takes a bounded sample: at most `TRAIN_DOCS` labelled documents, those with the smallest hash of their doc_id, and of
+these, in that order, the whole texts that fit into `TRAIN_BYTES` bytes together; a text of over `TRAIN_BYTES` / `LARGEST` is left
+out alone. How many are left out is logged. Their features (distinct 32-bit numbers) come to the driver. Scoring covers every
+whole text.
 
 Defined results: null text is the empty text, which gets the bias's score; null labels are left out; a doc_id that the labels
-repeat counts once for each label; without both labels the score is the same for all, the share of label 1 (0 without any
+repeat counts once for each label; of a doc_id that the documents repeat, the text with the smallest hash is learned from; without both labels the score is the same for all, the share of label 1 (0 without any
 label); null or repeated doc_id are kept, one row for each input row (null is never held out); an empty table gives an empty
 table; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, batch_rows, own_columns
+from .common import batch_of, kept_rows, own_columns, slices
 from .words import joined, mix, odd, word_hashes
 
 BITS = 22
-TRAIN_DOCS = 8000
+TRAIN_DOCS, TRAIN_BYTES = 10_000, 32 << 20
+LARGEST = 64  # one text has at most this part of the bytes
 GAP = 2
 BATCH_WORDS = 400_000
 
@@ -92,66 +96,102 @@ def fit(examples: list[tuple[np.ndarray, int]], epochs: int = 12) -> tuple[np.nd
     return model.compact()
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """text, label of at most `most` documents outside the held-out fold, by the smallest hash of their doc_id."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int) -> DataFrame:
+    """doc_id, label, text_hash, text of the sample that is learned from: one row for each doc_id and label, `most` at most, of
+    `most_bytes` together. A text that several input rows hold may come once from each task that reads it.
+
+    Only numbers are shuffled and, for `most` documents at most, come to the driver.
+    """
     known = own_columns(labels, doc_id="doc_id", label=label).selectExpr("CAST(doc_id AS BIGINT) doc_id", "CAST(label AS INT) label").where("doc_id IS NOT NULL AND label IN (0, 1)")
     own = own_columns(docs, doc_id="doc_id", text="text").selectExpr("CAST(doc_id AS BIGINT) doc_id", "text")
-    picked = known.where(~held_out(F.col("doc_id"))).join(own.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
-    return own.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")  # `most` pairs of numbers
-
-
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray, float]:
-    batch_rows(docs.sparkSession)
+    first = known.where(~held_out(F.col("doc_id"))).distinct().join(own.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
+    sizes = own.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(F.broadcast(first), "doc_id")  # `most` pairs of numbers
+    rows = sizes.groupBy("doc_id", "label").agg(F.min(F.struct("h", "size")).alias("k")).select("doc_id", "label", "k.h", "k.size").orderBy(F.xxhash64("doc_id"), "doc_id", "label").collect()
+    fits, held = [], 0
+    for r in rows:
+        if r.size * LARGEST <= most_bytes and held + r.size <= most_bytes:
+            held += r.size
+            fits.append((r.doc_id, r.label, r.h))
+    if len(fits) < len(rows):
+        logging.getLogger(__name__).warning("%d of %d labelled texts are too long to learn from", len(rows) - len(fits), len(rows))
+    picked = docs.sparkSession.createDataFrame(fits, "doc_id long, label int, text_hash long")
+    return own.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "text_hash"]).select("doc_id", "label", "text_hash", "text")
+
+
+def once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str | None]]:
+    """doc_id, label, text of the rows of labelled(), each document once a task."""
+    seen = set()
+    for batch in batches:
+        for part in slices(batch, 3):
+            for doc_id, label, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3)):
+                if (doc_id, label) not in seen:
+                    seen.add((doc_id, label))
+                    yield doc_id, label, text.as_py()
+
+
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> tuple[np.ndarray, np.ndarray, float]:
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("at", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch_of({"doc_id": batch.column(0), "label": batch.column(2), "at": [features(t.as_py()).tobytes() for t in batch.column(1)]}, schema)
+        for doc_id, y, text in once(batches):
+            yield batch_of({"doc_id": [doc_id], "label": [y], "at": [features(text).tobytes()]}, schema)
 
-    rows = labelled(docs, labels, label, most).mapInArrow(run, "doc_id long, label int, at binary").toArrow()
+    rows = labelled(docs, labels, label, most, most_bytes).mapInArrow(run, "doc_id long, label int, at binary").dropDuplicates(["doc_id", "label"]).toArrow()
     examples = [(i.as_py(), y.as_py(), np.frombuffer(at.as_buffer(), np.uint32)) for i, y, at in zip(*rows.columns)]  # views, no copies
-    examples.sort(key=lambda e: (e[0], e[1], len(e[2]), e[2].tobytes()))
+    examples.sort(key=lambda e: e[:2])
     return fit([(at, y) for _, y, at in examples])
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("score", pa.float64())])
 
 
+class Scorer:
+    """Scores of texts by a model."""
+
+    def __init__(self, model: tuple[np.ndarray, np.ndarray, float]):
+        at, weights, self.bias = model
+        self.dense = np.zeros(1 << BITS, np.float32)
+        self.dense[at] = weights
+
+    def _met(self, words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Document << BITS | coordinate of the features that have a weight, each once."""
+        found = []
+        for at in range(0, len(words), BATCH_WORDS):
+            for step, coordinates in enumerate(hashed(words[at : at + BATCH_WORDS + GAP])):
+                where = np.flatnonzero(self.dense[coordinates[:BATCH_WORDS]])
+                doc = np.searchsorted(begins, where + at, "right") - 1
+                inside = where + at + step < ends[doc]
+                found.append(np.unique(doc[inside] << BITS | coordinates[where[inside]].astype(np.int64)))
+        return np.unique(np.concatenate([*found, np.empty(0, np.int64)]))
+
+    def of_words(self, parts: list[np.ndarray]) -> np.ndarray:
+        words, begins = joined(parts, GAP)
+        pairs = self._met(words, begins, begins[:-1] + np.array([len(p) for p in parts], np.int64))
+        total = np.bincount(pairs >> BITS, self.dense[pairs & ((1 << BITS) - 1)], len(parts))
+        return 1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30)))
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(word_hashes(text.as_py()))
+            size += len(held[-1])
+            if size >= BATCH_WORDS:
+                out.append(self.of_words(held))
+                held, size = [], 0
+        if held:
+            out.append(self.of_words(held))
+        return np.concatenate([*out, np.empty(0)])
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, score: one row for each row of `docs`."""
-    batch_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, weights, bias = shared.value
-        dense = np.zeros(1 << BITS, np.float32)
-        dense[at] = weights
-
-        def scores(parts: list[np.ndarray]) -> np.ndarray:
-            words, begins = joined(parts, GAP)
-            ends = begins[:-1] + np.array([len(p) for p in parts], np.int64)
-            of, which = [], []
-            for step, found in enumerate(hashed(words)):
-                place = np.flatnonzero(dense[found])
-                doc = np.searchsorted(begins, place, "right") - 1
-                inside = place + step < ends[doc]
-                of.append(doc[inside])
-                which.append(found[place[inside]].astype(np.int64))
-            pairs = np.unique(np.concatenate(of) << BITS | np.concatenate(which))
-            total = np.bincount(pairs >> BITS, dense[pairs & ((1 << BITS) - 1)], len(parts))
-            return 1 / (1 + np.exp(-np.clip(total + bias, -30, 30)))
-
+        scorer = Scorer(shared.value)
         for batch in batches:
-            out, held, size = [], [], 0
-            for text in batch.column(2):
-                held.append(word_hashes(text.as_py()))
-                size += len(held[-1])
-                if size >= BATCH_WORDS:
-                    out.append(scores(held))
-                    held, size = [], 0
-            if held:
-                out.append(scores(held))
-            yield batch_of({"doc_id": batch.column(0), "text_hash": batch.column(1), "score": np.concatenate([*out, np.empty(0)])}, SCORED)
+            for part in slices(batch, 2):
+                yield batch_of({"doc_id": part.column(0), "text_hash": part.column(1), "score": scorer(part.column(2))}, SCORED)
 
     own = own_columns(docs, doc_id=id_col, text=text_col).selectExpr("CAST(doc_id AS BIGINT) doc_id", "xxhash64(text) text_hash", "text")
     return own.mapInArrow(run, "doc_id long, text_hash long, score double")
@@ -166,10 +206,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5
     return predictions(score(docs, train(docs, labels)), threshold)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """`docs` without the rows that score at least `threshold`."""
-    names = docs.columns
-    bad = score(docs, train(docs, labels), id_col=id_col, text_col=text_col).where(F.col("score") >= threshold).select(F.col("doc_id").alias("d_"), F.col("text_hash").alias("h_")).distinct()
-    plain = docs.toDF(*[f"c{i}_" for i in range(len(names))])
-    doc_id, text = F.col(f"c{names.index(id_col)}_"), F.col(f"c{names.index(text_col)}_")
-    return plain.join(bad, doc_id.cast("long").eqNullSafe(F.col("d_")) & (F.xxhash64(text) == F.col("h_")), "left_anti").toDF(*names)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def judge():
+        scorer = Scorer(shared.value)
+        return lambda texts: scorer(texts) < threshold
+
+    return kept_rows(docs, text_col, judge)

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, batch_rows, materialize, new_dir, open_fs, own_columns, partitions, write_atomically
+from .common import batch_of, materialize, new_dir, open_fs, own_columns, partitions, temporary, write_atomically
 
 SKIPPABLE_DICTIONARY = 0x184D2A5D  # fixed value of the format
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of WARC 1.1
@@ -156,7 +156,6 @@ def write_warc(pages: DataFrame, out_dir: str, *, least_bytes: int = 1000, date:
 
     Each html is shuffled at most once, by page_id, to meet its page's decision. A repeated task writes the same name anew.
     """
-    batch_rows(pages.sparkSession)
     own = own_columns(pages, page_id=id_col, url=url_col, html=html_col).selectExpr("CAST(page_id AS BIGINT) page_id", "url", "html")
     revisits = decide(own, least_bytes).select(F.col("page_id").alias("of"), F.col("digest").alias("same"), F.col("size").alias("long"), "keeper")
     keyed = own.withColumn("digest", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))).withColumn("size", F.coalesce(F.octet_length("html"), F.lit(0)).cast("long"))
@@ -230,5 +229,5 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def archive(pages: DataFrame, **options) -> DataFrame:
-    """Archive `pages` in the shared folder and read every record back."""
-    return read_warc(write_warc(pages, new_dir(pages.sparkSession, "warc"), **options))
+    """Archive `pages` in the shared folder, where the files stay until the application ends, and read every record back."""
+    return read_warc(write_warc(pages, temporary(pages.sparkSession, new_dir(pages.sparkSession, "warc")), **options))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
 
 WORD = re.compile(r"\w+")
 REMEMBERED = 200_000  # words whose hash a worker remembers, some 200 bytes each
+PART = 1 << 20  # characters of a text that are cut into words at once
 
 
 class _Hashes(dict):
@@ -24,10 +26,28 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of about PART characters, cut at blanks and line feeds: no word, and no letter's case, spans them."""
+    at = 0
+    while len(text) - at > PART:
+        cut = max(text.rfind(" ", at, at + PART), text.rfind("\n", at, at + PART))
+        if cut < 0:
+            later = [x for x in (text.find(" ", at + PART), text.find("\n", at + PART)) if x >= 0]
+            if not later:
+                break
+            cut = min(later)
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:]
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """XXH64 of each lower-case word (a run of letters, digits and underscores)."""
-    found = WORD.findall((text or "").lower())
-    return np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    out = []
+    for part in _parts(text or ""):
+        found = WORD.findall(part.lower())
+        out.append(np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found)))
+    return out[0] if len(out) == 1 else np.concatenate(out)
 
 
 def joined(parts: list[np.ndarray], gap: int) -> tuple[np.ndarray, np.ndarray]:

@@ -64,3 +64,27 @@ def test_edges(spark):
     assert ann.nearest(df.where("vec_id = 500")).count() == 0
     few = ann.nearest(df.where("vec_id IN (500, 700)")).collect()
     assert sorted((x.query_id, x.rank, x.vec_id) for x in few) == [(500, 1, 700), (700, 1, 500)]
+
+
+def test_tiny_and_huge_components(spark):
+    """Finite, non-zero vectors take part, whatever their size."""
+    a, b, c = [1.0, 2.0, 3.0, 4.0], [4.0, 3.0, 2.0, 1.5], [1.0, -1.0, 1.0, -1.0]
+    rows = [(0, [x * 1e-200 for x in a]), (1, [x * 1e200 for x in a]), (2, [x * 1e-310 for x in b]), (3, [x * 1e300 for x in b]), (50, c), (51, [5e-324, 0.0, 0.0, 0.0])]
+    got = {}
+    for x in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    cos = lambda x, y: float(np.dot(x, y) / np.sqrt(np.dot(x, x) * np.dot(y, y)))
+    assert [(i, pytest.approx(s, abs=1e-6)) for _, i, s in sorted(got[0])] == [(1, cos(a, a)), (2, cos(a, b)), (3, cos(a, b))] or [i for _, i, _ in sorted(got[0])] == [1, 3, 2]
+    assert len(got[50]) == 3 and all(np.isfinite(s) for _, _, s in got[50])
+
+
+def test_blocks_and_shards_find_as_much(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 300)
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    r = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in r.normal(size=16)]) for i in range(2000)]
+    want = brute(rows)
+    got = {}
+    for x in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    assert sum(len(got[q] & {i for i, _ in w}) for q, w in want.items()) >= 0.9 * 5 * len(want)

@@ -1,8 +1,12 @@
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.llm import quality, toxicity
 from corpusmill.llm.words import word_hashes
@@ -149,3 +153,58 @@ def test_chunks_cover_the_whole_text():
     net = quality.fit([(bytes(r.integers(32, 127, 300).astype(np.uint8)), k % 2) for k in range(8)], epochs=1)
     texts = [bytes(r.integers(32, 127, n).astype(np.uint8)) for n in (0, 1, 119, 120, 121, 500, 640, 2000, 5001)]
     assert quality.forward(net, texts) == pytest.approx([plain_forward(net, t) for t in texts], abs=1e-4)
+
+
+def test_pieces_of_a_long_text_change_nothing(monkeypatch):
+    r = np.random.default_rng(3)
+    net = quality.fit([(bytes(r.integers(32, 127, 300).astype(np.uint8)), k % 2) for k in range(8)], epochs=1)
+    texts = [bytes(r.integers(32, 127, n).astype(np.uint8)) for n in (3000, 0, 700, 128 * 5 - 8, 128 * 5 - 7)]
+    want = [plain_forward(net, t) for t in texts]
+    for blocks in (1, 2, 3, 7):
+        monkeypatch.setattr(quality, "PIECE", blocks)
+        assert quality.forward(net, texts) == pytest.approx(want, abs=1e-4)
+
+
+def test_long_text_is_scored_alike_in_any_blocks(monkeypatch):
+    r = random.Random(1)
+    texts = [" ".join(r.choices(["vile", "a", "b", "c", "nasty"], k=n)) for n in (500, 0, 7, 300)]
+    model = np.unique(np.concatenate([toxicity.features(t)[::3] for t in texts])), None, -0.5
+    model = model[0], np.linspace(-1, 1, len(model[0])).astype(np.float32), -0.5
+    for words in (3, 10, 64, 10_000):
+        monkeypatch.setattr(toxicity, "BATCH_WORDS", words)
+        assert toxicity.Scorer(model).of_words([word_hashes(t) for t in texts]) == pytest.approx([brute_score(t, model) for t in texts], abs=1e-5)
+
+
+def test_bounds_of_the_sample_hold(spark):
+    """A doc_id that very many rows repeat, and a text of 24 MB among the first: neither fills nor empties the sample."""
+    docs = spark.range(50_000).selectExpr("7L doc_id", "'repeated words here' text")
+    docs = docs.unionAll(spark.range(200).selectExpr("id doc_id", "IF(id % 2 = 0, repeat('fine prose of some kind. ', 40), repeat('zz!!## ', 60)) text"))
+    docs = docs.unionAll(spark.range(1000, 1010).selectExpr("id doc_id", "repeat('a very long text ', 1500000) text").where("doc_id = 1001"))
+    labels = spark.range(1, 200).selectExpr("id doc_id", "CAST(id % 2 AS INT) toxic", "CAST((id + 1) % 2 AS INT) quality").unionAll(spark.sql("SELECT 1001L, 1, 1"))
+    labels = labels.unionAll(labels)
+    rows = toxicity.labelled(docs, labels, "toxic", 100, 1 << 20).select("doc_id", "label", "text_hash", F.octet_length("text").alias("n")).distinct().collect()
+    assert 90 <= len(rows) <= 100 and len({(r.doc_id, r.label) for r in rows}) == len(rows)
+    assert sum(r.n for r in rows) <= 1 << 20 and max(r.n for r in rows) <= (1 << 20) // toxicity.LARGEST
+    net = quality.train(docs, labels)
+    assert not isinstance(net, float)
+    held = quality.score_quality(docs.where("doc_id < 200 OR doc_id = 1001"), labels).where("doc_id NOT IN (7, 1001)").collect()
+    assert sum(r.predicted == (r.doc_id + 1) % 2 for r in held) > 0.95 * len(held)
+    assert toxicity.score_toxicity(docs.where("doc_id = 1001"), labels).count() == 1
+
+
+def test_memory_of_a_text_of_50_mb():
+    """Scores of one very long text, in a process of its own: peak memory less that of the text itself."""
+    code = """
+import resource, numpy as np, pyarrow as pa
+from corpusmill.llm import quality, toxicity
+from corpusmill.llm.words import word_hashes
+net = quality.fit([(b'abc' * 50, 0), (b'xyz' * 50, 1)], epochs=1)
+text = pa.array(['some words of a long text, ' * 1_900_000])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert 0 <= quality.scores(net, text)[0] <= 1
+model = toxicity.features('some words')[:2], np.ones(2, np.float32), 0.0
+assert 0 <= toxicity.Scorer(model)(text)[0] <= 1
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    used = int(subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, cwd=str(Path(__file__).parents[2])).stdout)
+    assert used < 900, used

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.llm import linededup
 
@@ -80,3 +81,38 @@ def test_main_path_is_native(spark):
     rows = [(1, "a a a"), (2, "a a a")]
     plan = deduplicated(spark, rows, 2)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_suffix_array_order_and_common_prefixes(spark):
+    """Ranks against sorted suffixes, common prefixes against a comparison line by line."""
+    r = random.Random(6)
+    islands = [[r.choice([0, 10, 20]) for _ in range(r.randrange(1, 30))] for _ in range(40)]
+    first = {0: 0, 10: 1000, 20: 2000}  # any numbers in the lines' order, with room for the positions
+    rows = [(d, 0, p, 0, first[x]) for d, own in enumerate(islands) for p, x in enumerate(own)]
+    frame = spark.createDataFrame(rows, "d long, h long, p int, i int, r long")
+    depth = 8
+    array = linededup.suffix_array(frame, depth)
+    got = {(x.d, x.p): x.r for x in array.collect()}
+    suffix = {(d, p): tuple(own[p:]) for d, own in enumerate(islands) for p in range(len(own))}
+    order = sorted(got, key=got.get)
+    for a, b in zip(order, order[1:]):
+        assert suffix[a][:depth] <= suffix[b][:depth]
+        assert (got[a] == got[b]) == (suffix[a][:depth] == suffix[b][:depth])
+    lines = linededup._first_lines(frame, array.select("d", "h", "p", "i"), depth)
+    next_lines = {(x.d, x.p): tuple(x.lines) for x in lines.collect()}
+    assert next_lines == {k: tuple(first[x] for x in s[:depth]) for k, s in suffix.items()}
+    pairs = spark.createDataFrame([(list(next_lines[a]), list(next_lines[b])) for a, b in zip(order, order[1:])], "a array<long>, b array<long>")
+    common = lambda x, y: next((i for i, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+    for x in pairs.select("a", "b", linededup.common_prefix(F.col("a"), F.col("b")).alias("n")).collect():
+        assert x.n == common(x.a, x.b)
+
+
+def test_intervals_within_a_document_and_over_islands(spark):
+    """Runs that repeat with overlap, end at an island's end, or stand on both sides of a line that is alone."""
+    a, b = "x " * 20, "y " * 20
+    for rows in (
+        [(1, "\n".join([a, b] * 6)), (2, "\n".join([b, a] * 4))],
+        [(1, f"{a}\n{b}\n{a}\nalone\n{a}\n{b}\n{a}"), (2, f"{a}\n{b}\n{a}\n{b}")],
+        [(1, f"{a}\n{b}\n{a}\nend"), (2, f"{a}\n{b}\n{a}\nshort"), (3, f"{a}\n{b}\n{a}\nshort")],
+    ):
+        check(spark, rows, 50)

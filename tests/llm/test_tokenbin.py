@@ -1,5 +1,6 @@
 import io
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -16,9 +17,14 @@ TEXTS = ["The CAT's hat.", "", "x" * 3000, "é ñ ΑΣ İ!  ..,", "<|endoftext|>
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    """The library's tokenizer as it is read, nothing set."""
+    return Tokenizer.from_file(PATH)
+
+
+def letters_that_change():
+    """Letters whose normal form isn't all letters."""
+    every = map(chr, [*range(0xD800), *range(0xE000, 0x110000)])
+    return [c for c in every if c.isalpha() and not unicodedata.normalize("NFC", c).isalpha()]
 
 
 def test_encoding_by_words_equals_the_library(library):
@@ -26,12 +32,34 @@ def test_encoding_by_words_equals_the_library(library):
 
     r = random.Random(3)
     pool = ["a", "The", "ing", "é", "é", "́", "\n", " ", "  ", "1", "!", ".", ",", " ", "　", "'S", "'ll", "Σ", "İ", "ß", "\t", "\x1c", "ǅ", "..."]
-    texts = TEXTS + ["".join(r.choice(pool) for _ in range(r.randrange(25))) for _ in range(2000)]
+    odd = letters_that_change()
+    assert len(odd) > 50
+    pool += ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", *r.sample(odd, 6)]
+    texts = TEXTS + ["".join(r.choice(pool) for _ in range(r.randrange(25))) for _ in range(3000)]
+    texts += [f"{a}{c}{b}" for c in odd for a in ("", "a", " ") for b in ("", "a", ".", ". b", ", ")]
+    texts += ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>.", "A <|EndOfText|> b, c."]
     assert tokenbin.separable(PATH)
     for text, packed in zip(texts, tokenbin.encode_packed(texts, PATH, 1, 2)):
         assert np.frombuffer(packed, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids + [1], repr(text)
 
 
+def test_long_texts_go_in_pieces(library, monkeypatch):
+    monkeypatch.setattr(tokenbin, "PIECE_CHARS", 50)
+    monkeypatch.setattr(tokenbin, "PIECES_CHARS", 120)
+    texts = ["word, " * 100 + "end.", "x" * 300, "a b\nc " * 40 + "y" * 200 + " z", "", "one. " * 30 + "<|endoftext|> two"]
+    for text, packed in zip(texts, tokenbin.encode_packed(texts, PATH, 1, 2)):
+        assert np.frombuffer(packed, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_one_id_may_fill_several_shards(spark):
+    rows = [(7, f"text {i}") for i in range(300)] + [(None, "none")] * 200 + [(i, "x") for i in range(100, 200)] + [(-5, "first")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    manifest = tokenbin.write_token_files(docs, PATH, tokenbin.new_dir(spark, "tokens"), shards=8)
+    assert max(r.docs for r in manifest.collect()) < 300
+    got = sorted(tokenbin.read_token_files(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+
+
 @pytest.mark.parametrize("frame_bytes", [1, 64, 1 << 20])
 def test_file_round_trip(frame_bytes):
     docs = [(None, [7]), (-3, []), (5, list(range(100))), (5, [1]), (9, [65_535] * 10)]
