@@ -1,8 +1,10 @@
+import hashlib
 import itertools
 import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.llm import sharding
 
@@ -64,6 +66,30 @@ def test_documents(spark):
     assert max(sums.values()) <= sum(sums.values()) / 7 + max(groups.values())
 
 
+def sizes_of(groups):
+    by = {}
+    for digest, size in groups:
+        by[digest] = by.get(digest, 0) + size
+    return [by[d] for d in sorted(by)]
+
+
+@pytest.mark.parametrize("seed,digits,groups,shards", [(0, 1, 1500, 13), (1, 1, 400, 40), (2, 2, 3000, 5), (3, 1, 30, 40)])
+def test_ranges_find_the_capacity_over_groups(spark, seed, digits, groups, shards, monkeypatch):
+    monkeypatch.setattr(sharding, "HEX", digits)
+    r = random.Random(seed)
+    rows = [(hashlib.md5(str(r.randrange(groups)).encode()).hexdigest(), r.choice([16, 20, 50, 4000, r.randrange(16, 90_000)])) for _ in range(groups * 2)]
+    found = sharding.ranges_of(spark.createDataFrame(rows, "digest string, size long"), shards)
+    assert sharding.smallest_capacity([size for _, size, _ in found.rows], shards) == sharding.smallest_capacity(sizes_of(rows), shards)
+    assert [p for p, _, _ in found.rows] == sorted(p for p, _, _ in found.rows) and found.ends[-1] == sum(s for _, s in rows)
+
+
+def test_more_groups_than_prefixes(spark):
+    docs = spark.range(90_000).selectExpr("id doc_id", "repeat(CAST(id AS STRING), 1 + CAST(pmod(hash(id), 60) AS INT)) text")
+    sums = sorted(r.s for r in sharding.shard_documents(docs, 40).groupBy("shard").agg(F.sum("size").alias("s")).collect())
+    groups = [(hashlib.md5(r.text.encode()).hexdigest(), len(r.text) + 16) for r in docs.collect()]
+    assert sums[-1] <= sharding.smallest_capacity(sizes_of(groups), 40)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "a", 0, "")], [(i, "hot", 0, "") for i in range(50)]])
 def test_small_tables(spark, rows):
     got = rows_of(spark, rows, 40)
