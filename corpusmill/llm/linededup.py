@@ -31,7 +31,7 @@ from .common import discard, materialize, place
 
 DOC = ["d", "h"]
 SALTS = 16
-RANGES = 4096  # of the order of lines, and of the ranks behind one rank
+RANGES, RANGES_BEHIND = 4096, 256  # of the order of lines; of the ranks behind one rank
 
 
 def _lines(own: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def _doubled(level: DataFrame, k: int, width: int) -> DataFrame:
 def suffix_array(islands: DataFrame, depth: int) -> DataFrame:
     """d, h, p, i, r, path: r orders the suffixes by their first `depth` lines at least and is equal where these are equal; path has
     the ranks by 1, 2, 4 ... lines, up to the one that sorts the suffix."""
-    width = islands.agg(F.max("r")).first()[0] // RANGES + 1
+    width = islands.agg(F.max("r")).first()[0] // RANGES_BEHIND + 1
     level = materialize(islands.select(*DOC, "p", "i", "r", F.lit(False).alias("done"), F.array("r").alias("path")), "line-ranks")
     k = 0
     while 2**k < depth:
