@@ -61,10 +61,11 @@ def test_prefixes_of_linked_sets_meet():
             assert len(np.intersect1d(neardup.prefix(a, often, count), neardup.prefix(b, often, count))) >= min(neardup.K, both)
 
 
-@pytest.mark.parametrize("often, small", [(1, 64), (3, 2)])
-def test_stage_equals_brute_force(spark, often, small, monkeypatch):
+@pytest.mark.parametrize("often, small, group", [(1, 64, 50_000), (3, 2, 50_000), (3, 2, 7)])
+def test_stage_equals_brute_force(spark, often, small, group, monkeypatch):
     monkeypatch.setattr(neardup, "OFTEN", often)
     monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "GROUP", group)
     rows = texts(often, 400)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
@@ -85,3 +86,34 @@ def test_given_documents_equal_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == brute(rows)
+
+
+@pytest.mark.parametrize("at_once", [5, 1 << 20])
+def test_runs_of_keys_over_batches(at_once, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(neardup, "AT_ONCE", at_once)
+    r = np.random.default_rng(2)
+    rows = sorted((int(k), int(x)) for k, x in zip(r.integers(0, 12, 200), r.integers(0, 30, 200)))
+    rows += [(50, i) for i in range(40)]
+    batches = [pa.record_batch([pa.array([k for k, _ in rows[i : i + 7]]), pa.array([x for _, x in rows[i : i + 7]])], ["key", "rep"]) for i in range(0, len(rows), 7)]
+    got = {}
+    for (key, rep), starts, ends, goes_on in neardup._runs(iter(batches)):
+        for i, (s, e) in enumerate(zip(starts, ends)):
+            assert (key[s] in got) == (goes_on and i == 0)
+            got.setdefault(int(key[s]), []).append(rep[s:e].tolist())
+    want = {}
+    for k, x in sorted(set(rows)):
+        want.setdefault(k, []).append(x)
+    assert {k: sorted({x for part in v for x in part}) for k, v in got.items()} == want
+    if at_once > 1000:
+        assert all(len(v) == 1 and len(v[0]) == len(want[k]) for k, v in got.items())
+
+
+def test_parities_bound_the_difference():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        a = np.unique(r.integers(0, 1 << 63, r.integers(0, 300)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[r.random(len(a)) < 0.9], r.integers(0, 1 << 63, r.integers(0, 30)).astype(np.uint64)]))
+        apart = int(np.bitwise_count((neardup.parity(a) ^ neardup.parity(b)).view(np.uint64)).sum())
+        assert apart <= len(np.setxor1d(a, b))

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 
 import corpus_pipeline
-from corpusmill.llm import bpe, simhash
+from corpusmill.llm import bpe
 
 DATA = "/root/testdata/sf0.001"
 
@@ -25,7 +25,8 @@ def test_names_and_columns(steps):
 
 def test_stages_against_brute_force(spark, steps):
     from corpusmill.llm import toxicity
-    from tests_llm_helpers import brute_lines, brute_near, brute_overlaps
+    from test_neardup import brute
+    from tests_llm_helpers import brute_lines, brute_overlaps
 
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
@@ -37,7 +38,7 @@ def test_stages_against_brute_force(spark, steps):
     want = brute_lines([(r.doc_id, r.text) for r in steps[1]], 50)
     assert {r.doc_id: r.text for r in steps[2]} == {d: t for (d, _), (t, left) in want.items() if left}
     assert all(r.n_chars == len(r.text) for r in steps[2])
-    assert ids(steps[3]) == brute_near([(r.doc_id, simhash.fingerprint(r.text)) for r in steps[2]])
+    assert ids(steps[3]) == brute([(r.doc_id, r.text) for r in steps[2]])
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     bad = {d for d, _ in brute_overlaps([(r.doc_id, r.text) for r in steps[3]], items)}
     assert ids(steps[4]) == sorted(r.doc_id for r in steps[3] if r.doc_id not in bad)

@@ -23,21 +23,6 @@ def brute_lines(docs, need):
     return {k: ("\n".join(x for i, x in enumerate(own) if i not in gone.get(k, ())), len(gone.get(k, ())) < len(own)) for k, own in lines.items()}
 
 
-def brute_near(prints):
-    """The smallest id of each component of fingerprints at most 3 bits apart."""
-    left, first = dict(prints), []
-    for d in sorted(left):
-        if d not in left:
-            continue
-        first.append(d)
-        todo = [left.pop(d)]
-        while todo:
-            p = todo.pop()
-            for k in [k for k, x in left.items() if (x ^ p).bit_count() <= 3]:
-                todo.append(left.pop(k))
-    return first
-
-
 def brute_overlaps(docs, items, least=13, similarity=0.8):
     found = set()
     for i, u in items:
@@ -49,7 +34,7 @@ def brute_overlaps(docs, items, least=13, similarity=0.8):
         for d, t in docs:
             a = WORD.findall(t.lower())
             diagonals = {k - j for k, w in enumerate(a) for j in places.get(w, ())}
-            for diagonal in diagonals if len(b) >= 5 else ():
+            for diagonal in diagonals:
                 low, high = max(0, -diagonal), min(len(b), len(a) - diagonal)
                 same = [a[diagonal + j] == b[j] for j in range(low, high)]
                 if any(sum(same[k : k + need]) >= similarity * need - 1e-9 for k in range(len(same) - need + 1)):
