@@ -11,16 +11,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import discard, materialize
+from .names import reserve
 
 
 #: Distinct words that one task's memory holds with ease (some 500 bytes each).
 MOST_WORDS = 5_000_000
+#: Pre-tokens whose ids a task remembers.
+REMEMBERED = 500_000
 
 
 def word_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -63,19 +69,33 @@ def apply_deltas(counts: DataFrame, deltas: DataFrame) -> DataFrame:
     return counts.unionAll(deltas).groupBy("l", "r").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def train_by_steps(docs: DataFrame, merges: int, text_col: str = "text") -> list[tuple[str, str, int]]:
-    """(left, right, count) of the first merges, each one a distributed step: for corpora whose distinct words don't fit in a
-    task. The word table is checkpointed every few merges so that lineage stays short."""
-    spelled = spelled_words(word_table(docs, text_col)).persist()
-    found: list[tuple[str, str, int]] = []
+def train_by_steps(docs: DataFrame, merges: int, text_col: str = "text", keep: int = 10) -> list[tuple[str, str, int]]:
+    """(left, right, count) of the first merges, each one a distributed step: for corpora whose distinct words don't fit in a task.
+
+    Pairs are counted once. A merge changes only the counts of pairs in the words that it touches; those changes are added to
+    the counts. Words stay distinct under merges, so their table needs no shuffle. Both tables are written to the shared folder
+    every `keep` merges, and the older ones removed.
+    """
+    words = materialize(spelled_words(word_table(docs, text_col)), "bpe-words")
+    counts = materialize(pair_counts(words), "bpe-pairs")
+    base, found, old = [words, counts], [], []
     for i in range(merges):
-        top = best_pair(pair_counts(spelled)).collect()  # one row
+        top = best_pair(counts).collect()  # one row
         if not top:
             break
-        found.append((top[0].l, top[0].r, top[0].n))
-        spelled = merge_step(spelled, top[0].l, top[0].r)
-        if i % 10 == 9:
-            spelled = spelled.checkpoint()
+        left, right, n = top[0].l, top[0].r, top[0].n
+        found.append((left, right, n))
+        deltas = materialize(merge_deltas(words, left, right), "bpe-deltas")
+        old.append(deltas)
+        words = words.select(T.merge_pair(F.col("toks"), F.lit(left), F.lit(right)).alias("toks"), "n")
+        counts = apply_deltas(counts, deltas)
+        if i % keep == keep - 1:
+            words, counts = materialize(words, "bpe-words"), materialize(counts, "bpe-pairs")
+            for table in (*base, *old):
+                discard(table)
+            base, old = [words, counts], []
+    for table in (*base, *old):
+        discard(table)
     return found
 
 
@@ -177,67 +197,97 @@ class Tokenizer:
         return cls.from_merges([(bytes.fromhex(r.l), bytes.fromhex(r.r)) for r in rows], specials)
 
     def __post_init__(self):
-        self.ids = {token: i for i, token in self.vocab.items()}  # of repeated bytes the last id counts
-        self.rank = {pair: i for i, pair in enumerate(self.merges)}  # of a repeated pair the last rank counts
-        self.find = regex.compile(T.PRETOKEN).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
+        # Of repeated bytes the last id counts, of a repeated pair the last rank.
+        self.ids = dict(zip(self.vocab.values(), self.vocab))
+        self.rank = dict(zip(self.merges, range(len(self.merges))))
+        self.words = regex.compile(T.PRETOKEN)
+        self.special = regex.compile("|".join(regex.escape(s) for s in self.specials if s) or r"(?!)")
 
     @property
     def vocab_size(self) -> int:
         return len(self.vocab)
 
-    def merged(self, piece: str) -> list[bytes]:
-        """Tokens of a pre-token: the pair of the lowest rank is merged everywhere, until none is left."""
-        tokens = [bytes([b]) for b in piece.encode()]
-        while len(tokens) > 1:
-            rank, pair = min(((self.rank.get(p, len(self.merges)), p) for p in zip(tokens, tokens[1:])), key=lambda x: x[0])
-            if rank == len(self.merges):
-                break
-            out: list[bytes] = []
-            k = 0
-            while k < len(tokens):
-                if tokens[k : k + 2] == list(pair):
-                    out.append(pair[0] + pair[1])
-                    k += 2
-                else:
-                    out.append(tokens[k])
-                    k += 1
-            tokens = out
-        return tokens
-
-    def encode(self, text: str, known: dict | None = None) -> list[int]:
-        """Ids of a text; `known` remembers pre-tokens."""
-        known = {} if known is None else known
-        ids: list[int] = []
-        for part in self.cut.split(text) if self.cut else [text]:
-            if self.cut and part in self.specials:
-                ids.append(self.ids[part.encode()])
-                continue
-            for piece in self.find(part):
-                if piece not in known:
-                    if len(known) >= 500_000:
-                        known.clear()
-                    known[piece] = [self.ids[t] for t in self.merged(piece)]
-                ids += known[piece]
-        return ids
-
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(self.vocab[i] for i in ids).decode("utf-8", "replace")
+    def merged(self, piece: bytes) -> list[bytes]:
+        """Tokens of a pre-token, in n log n steps: rank by rank, all places that had the rank's pair when its turn came.
+
+        Tokens are a chain over the places where they begin; a place that an earlier merge changed has another pair and is passed over.
+        """
+        token: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
+        after, before = list(range(1, len(piece) + 1)), list(range(-1, len(piece) - 1))
+        waiting: defaultdict = defaultdict(list)
+        ranks: list[int] = []
+
+        def wait(at: int) -> None:
+            if at >= 0 and after[at] < len(token):
+                rank = self.rank.get((token[at], token[after[at]]))
+                if rank is not None:
+                    if rank not in waiting:
+                        heappush(ranks, rank)
+                    waiting[rank].append(at)
+
+        for at in range(len(token) - 1):
+            wait(at)
+        while ranks:
+            rank = heappop(ranks)
+            pair = self.merges[rank]
+            for at in sorted(set(waiting.pop(rank))):
+                right = after[at]
+                if right < len(token) and (token[at], token[right]) == pair:
+                    token[at], token[right] = pair[0] + pair[1], None
+                    after[at] = after[right]
+                    if after[at] < len(token):
+                        before[after[at]] = at
+                    wait(before[at])
+                    wait(at)
+        return [t for t in token if t is not None]
+
+    def packed(self, text: str, known: dict[str, bytes]) -> bytes:
+        """Ids of a text without specials as 32-bit integers; `known` remembers pre-tokens."""
+        pieces = self.words.findall(text)
+        new = set(pieces).difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = set(pieces)
+        known.update((piece, self._ids(piece)) for piece in new)
+        return b"".join(map(known.__getitem__, pieces))
+
+    def _ids(self, piece: str) -> bytes:
+        return np.array([self.ids[t] for t in self.merged(piece.encode())], np.int32).tobytes()
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text. Where two specials begin at one place, the first of the list is meant."""
+        return self.encoded(text, {}).tolist()
+
+    def encoded(self, text: str, known: dict[str, bytes]) -> np.ndarray:
+        """The same as an array; `known` remembers pre-tokens."""
+        parts, at = [], 0
+        for special in self.special.finditer(text):
+            parts += [self.packed(text[at : special.start()], known), np.array([self.ids[special.group().encode()]], np.int32).tobytes()]
+            at = special.end()
+        parts.append(self.packed(text[at:], known))
+        return np.frombuffer(b"".join(parts), np.int32)
+
+    def decode(self, ids) -> str:
+        return b"".join(self.vocab[i] for i in map(int, ids)).decode("utf-8", "replace")
 
 
 def encode_documents(docs: DataFrame, tokenizer: Tokenizer, *, end: str | None = None, text_col: str = "text") -> DataFrame:
     """`docs` with ids (array<int>) in place of the text, ending with the id of the special token `end` if one is named.
 
-    Null text counts as empty. The tokenizer (one row an id) is broadcast; equal pre-tokens are merged once a task.
+    Null text counts as empty. An input column `ids` would clash and raises. The tokenizer (one row an id) is broadcast; equal
+    pre-tokens are merged once a task.
     """
+    reserve(docs, "ids")
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
-    tail = [] if end is None else [tokenizer.ids[end.encode()]]
+    tail = np.array([] if end is None else [tokenizer.ids[end.encode()]], np.int32)
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, known = shared.value, {}
         for part in texts:
-            yield pd.Series([own.encode(t or "", known) + tail for t in part], dtype=object)
+            found = [x for t in part for x in (own.encoded(t.as_py() or "", known), tail)]
+            ends = np.cumsum([0, *(len(found[i]) + len(tail) for i in range(0, len(found), 2))], dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, tail[:0]])))
 
     return docs.withColumn("ids", ids(F.col(text_col))).drop(text_col)
 

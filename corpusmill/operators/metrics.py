@@ -7,12 +7,15 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .names import reserve
+
 
 def running_best(log: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:
     """`log` with best (the least value so far, this row's included) and improved (strictly less than all before).
 
     NaN never improves; it doesn't count for the best.
     """
+    reserve(log, "improved", "best")
     before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     number = F.when(~F.isnan(value), F.col(value))
     prior = F.min(number).over(before)
@@ -22,6 +25,7 @@ def running_best(log: DataFrame, value: str, order: list[str], by: list[str]) ->
 
 def early_stop(log: DataFrame, patience: int, order: list[str], by: list[str]) -> DataFrame:
     """A running_best() log up to and with the row where `patience` rows in a row didn't improve (0: all), and `stale`, their number."""
+    reserve(log, "rn_", "stale", "hit_")
     rows = Window.partitionBy(*by).orderBy(*order)
     upto = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = log.withColumn("rn_", F.row_number().over(rows))

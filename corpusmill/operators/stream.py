@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import byte_ids
+from .names import reserve
 
 
 def head(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
@@ -32,7 +33,9 @@ def offsets(sizes: DataFrame, key: str = "doc_id", buckets: int | None = None) -
     """`sizes` (key, n) with `offset`, the sum of n over all smaller keys.
 
     Two levels: sums of key ranges (one row a range, a window over those), then a window inside each range; no task sees all rows.
+    The names that it adds may not be in `sizes`.
     """
+    reserve(sizes, "range_", "start_", "within_", "offset", "n_")
     buckets = buckets or int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = sizes.select(F.percentile_approx(key, [i / buckets for i in range(1, buckets)] or [0.5], 10_000).alias("b")).first().b or []
     placed = sizes.withColumn("range_", _place(F.col(key), sorted(set(bounds))))
@@ -96,6 +99,16 @@ def split_sizes(offset: DataFrame, border: Column | int) -> DataFrame:
     return offset.withColumn("train", train).withColumn("val", F.col("n") - train)
 
 
+def _touched(placed: DataFrame, block: int) -> DataFrame:
+    """`placed` (n, offset) with a row for each chunk that a document touches: chunk_id, begin_ and size_ of its part in the document."""
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("offset") - block) / F.lit(block)).cast("long"))
+    last = F.floor((F.col("offset") + F.col("n") - 1) / F.lit(block)).cast("long")
+    cut = placed.withColumn("chunk_id", F.explode(F.sequence(first, last)))
+    begin = F.greatest(F.lit(0).cast("long"), F.col("chunk_id") * block - F.col("offset"))
+    end = F.least(F.col("n"), F.col("chunk_id") * block + block + 1 - F.col("offset"))
+    return cut.withColumn("begin_", begin.cast("int")).withColumn("size_", (end - begin).cast("int")).where("size_ > 0")
+
+
 def chunks(tokens: DataFrame, block: int, key: str = "doc_id") -> DataFrame:
     """chunk_id, x, y of the stream of `tokens` (key, ids): non-overlapping inputs of `block` ids and the same shifted by one.
 
@@ -103,19 +116,31 @@ def chunks(tokens: DataFrame, block: int, key: str = "doc_id") -> DataFrame:
     """
     sized = tokens.withColumn("n", F.size("ids").cast("long")).where("n > 0")
     placed = sized.join(offsets(sized.select(key, "n"), key).select(key, "offset"), key)
-    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("offset") - block) / F.lit(block)).cast("long"))
-    last = F.floor((F.col("offset") + F.col("n") - 1) / F.lit(block)).cast("long")
-    cut = placed.withColumn("chunk_id", F.explode(F.sequence(first, last)))
-    begin = F.greatest(F.lit(0).cast("long"), F.col("chunk_id") * block - F.col("offset"))
-    end = F.least(F.col("n"), F.col("chunk_id") * block + block + 1 - F.col("offset"))
-    part = F.slice("ids", (begin + 1).cast("int"), F.greatest(F.lit(0), (end - begin).cast("int")))
-    parts = cut.select("chunk_id", F.struct("offset", part.alias("ids")).alias("part")).where("size(part.ids) > 0")
+    parts = _touched(placed, block).select("chunk_id", F.struct("offset", F.slice("ids", F.col("begin_") + 1, F.col("size_")).alias("ids")).alias("part"))
     whole = parts.groupBy("chunk_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["ids"])).alias("w"))
     return whole.where(F.size("w") == block + 1).select("chunk_id", F.slice("w", 1, block).alias("x"), F.slice("w", 2, block).alias("y"))
 
 
+def packed_bytes(docs: DataFrame, end_id: int, text_col: str = "text") -> DataFrame:
+    """doc_id, n, ids: UTF-8 bytes and an end id as big-endian 16-bit integers in one binary; n comes without spelling the ids."""
+    spelled = F.regexp_replace(F.hex(F.encode(F.col(text_col), "UTF-8")), "(..)", "00$1")
+    ids = F.unhex(F.concat(spelled, F.lit(f"{end_id:04X}")))
+    return docs.select("doc_id", (F.octet_length(text_col) + 1).cast("long").alias("n"), ids.alias("ids"))
+
+
+def packed_chunks(tokens: DataFrame, block: int, width: int = 2, key: str = "doc_id") -> DataFrame:
+    """chunk_id, x, y as of chunks(), for `tokens` (key, n, ids) whose ids are packed, `width` bytes each: binaries all the way."""
+    sized = tokens.where("n > 0")
+    placed = sized.join(offsets(sized.select(key, "n"), key).select(key, "offset"), key)
+    ids = F.substring("ids", F.col("begin_") * width + 1, F.col("size_") * width)
+    parts = _touched(placed, block).select("chunk_id", F.struct("offset", ids.alias("ids")).alias("part"))
+    whole = parts.groupBy("chunk_id").agg(F.aggregate(F.array_sort(F.collect_list("part")), F.lit(b""), lambda w, p: F.concat(w, p["ids"])).alias("w"))
+    return whole.where(F.octet_length("w") == (block + 1) * width).select("chunk_id", F.substring("w", 1, block * width).alias("x"), F.substring("w", width + 1, block * width).alias("y"))
+
+
 def shuffled_batches(samples: DataFrame, size: int, seed: int = 42, key: str = "chunk_id") -> DataFrame:
     """`samples` (key) with place and batch_id in a permutation that the seed fixes; the last batch may be short."""
+    reserve(samples, "order_", "range_", "start_", "place", "batch_id")
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     prefix = F.conv(F.substring(order, 1, 4), 16, 10).cast("int")
     ranged = samples.withColumn("order_", order).withColumn("range_", prefix)

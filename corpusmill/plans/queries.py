@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import bpe, metrics, model, scaling, stream
-from ..sources import sweeps
+from ..sources import artifacts, shared, sweeps
 
 END = "<|endoftext|>"
 BLOCK = 256
@@ -82,25 +82,25 @@ def word_freq_by_lang(spark, sf_dir):
     return words.groupBy("lang", "word").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT b AS byte, count(*) AS n FROM (SELECT unnest({_bytes('text')}) AS b FROM benchmark) GROUP BY b")
+@query(f"SELECT b AS byte, count(*) AS n FROM (SELECT unnest({_bytes('text')}) AS b FROM documents) GROUP BY b")
 def byte_hist(spark, sf_dir):
-    return read(spark, sf_dir, "benchmark").select(F.explode(T.byte_hex(F.col("text"))).alias("byte")).groupBy("byte").agg(F.count("*").alias("n"))
+    return read(spark, sf_dir, "documents").select(F.explode(T.byte_hex(F.col("text"))).alias("byte")).groupBy("byte").agg(F.count("*").alias("n"))
 
 
 # --- byte-pair encoding
 
-_SPELLED = f"SELECT '<' || array_to_string({_bytes('word')}, '><') || '>' AS toks, n FROM ({_of(_WORDS, 'benchmark')})"
+_SPELLED = f"SELECT '<' || array_to_string({_bytes('word')}, '><') || '>' AS toks, n FROM ({_of(_WORDS, 'documents')})"
 _LIST = "regexp_extract_all(toks, '[0-9a-f]+')"
 _PAIRS = f"SELECT p[1] AS l, p[2] AS r, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest(list_transform(range(1, len({_LIST})), lambda i: [{_LIST}[i], {_LIST}[i + 1]])) AS p, n FROM ({{0}})) GROUP BY ALL"
 
 
-def _benchmark_words(spark, sf_dir):
-    return bpe.spelled_words(bpe.word_table(read(spark, sf_dir, "benchmark")))
+def _words(spark, sf_dir):
+    return bpe.spelled_words(bpe.word_table(read(spark, sf_dir, "documents")))
 
 
 @query(_of(_PAIRS, _SPELLED))
 def pair_counts(spark, sf_dir):
-    return bpe.pair_counts(_benchmark_words(spark, sf_dir))
+    return bpe.pair_counts(_words(spark, sf_dir))
 
 
 _BEST = f"SELECT * FROM ({_of(_PAIRS, _SPELLED)}) ORDER BY n DESC, l, r LIMIT 1"
@@ -108,24 +108,7 @@ _BEST = f"SELECT * FROM ({_of(_PAIRS, _SPELLED)}) ORDER BY n DESC, l, r LIMIT 1"
 
 @query(_BEST)
 def pair_best(spark, sf_dir):
-    return bpe.best_pair(bpe.pair_counts(_benchmark_words(spark, sf_dir)))
-
-
-_SPELLED_DOCUMENTS = f"SELECT '<' || array_to_string({_bytes('word')}, '><') || '>' AS toks, n FROM ({_of(_WORDS, 'documents')})"
-
-
-def _document_words(spark, sf_dir):
-    return bpe.spelled_words(bpe.word_table(read(spark, sf_dir, "documents")))
-
-
-@query(_of(_PAIRS, _SPELLED_DOCUMENTS))
-def pair_counts_documents(spark, sf_dir):
-    return bpe.pair_counts(_document_words(spark, sf_dir))
-
-
-@query(f"SELECT * FROM ({_of(_PAIRS, _SPELLED_DOCUMENTS)}) ORDER BY n DESC, l, r LIMIT 1")
-def pair_best_documents(spark, sf_dir):
-    return bpe.best_pair(bpe.pair_counts(_document_words(spark, sf_dir)))
+    return bpe.best_pair(bpe.pair_counts(_words(spark, sf_dir)))
 
 
 _MERGED = f"SELECT replace(toks, '<' || l || '><' || r || '>', '<' || l || r || '>') AS toks, s.n FROM ({_SPELLED}) s, ({_BEST}) b"
@@ -133,7 +116,7 @@ _MERGED = f"SELECT replace(toks, '<' || l || '><' || r || '>', '<' || l || r ||
 
 @query(f"SELECT toks, CAST(sum(n) AS BIGINT) AS n FROM ({_MERGED}) GROUP BY toks")
 def merge_once(spark, sf_dir):
-    words = _benchmark_words(spark, sf_dir)
+    words = _words(spark, sf_dir)
     top = bpe.best_pair(bpe.pair_counts(words)).first()
     return bpe.merge_step(words, top.l, top.r)
 
@@ -141,7 +124,7 @@ def merge_once(spark, sf_dir):
 @query(_of(_PAIRS, _MERGED))
 def pair_deltas(spark, sf_dir):
     """Pair counts after the first merge, by deltas of the words that it touches."""
-    words = _benchmark_words(spark, sf_dir)
+    words = _words(spark, sf_dir)
     counts = bpe.pair_counts(words)
     top = bpe.best_pair(counts).first()
     return bpe.apply_deltas(counts, bpe.merge_deltas(words, top.l, top.r))
@@ -149,25 +132,25 @@ def pair_deltas(spark, sf_dir):
 
 @query()
 def bpe_train(spark, sf_dir):
-    return bpe.train(read(spark, sf_dir, "benchmark"), 256 + 1 + 200, [END])
+    return bpe.train(read(spark, sf_dir, "documents"), 256 + 1 + 200, [END])
 
 
 @query()
 def bpe_vocab(spark, sf_dir):
-    tokenizer = bpe.Tokenizer.train(read(spark, sf_dir, "benchmark"), 256 + 1 + 200, [END])
+    tokenizer = bpe.Tokenizer.train(read(spark, sf_dir, "documents"), 256 + 1 + 200, [END])
     return bpe.vocab_frame(spark, tokenizer).select("id", F.lower(F.hex("token")).alias("token"))
 
 
 @query()
 def bpe_encode(spark, sf_dir):
-    tokenizer = bpe.Tokenizer.train(read(spark, sf_dir, "benchmark"), 256 + 1 + 200, [END])
+    tokenizer = bpe.Tokenizer.train(read(spark, sf_dir, "documents"), 256 + 1 + 200, [END])
     return bpe.encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, end=END)
 
 
 @query(f"SELECT doc_id, text || '{END}' AS text FROM documents")
 def bpe_decode(spark, sf_dir):
     """Decoded ids of every document, which are its text and the end token."""
-    tokenizer = bpe.Tokenizer.train(read(spark, sf_dir, "benchmark"), 256 + 1 + 200, [END])
+    tokenizer = bpe.Tokenizer.train(read(spark, sf_dir, "documents"), 256 + 1 + 200, [END])
     ids = bpe.encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, end=END)
     return bpe.decode_documents(ids, bpe.vocab_frame(spark, tokenizer), "doc_id")
 
@@ -226,32 +209,14 @@ def split_share(spark, sf_dir):
     return _split(spark, sf_dir, stream.split_share)
 
 
-# The stream as two hex digits a token ("zz" ends a document), cut into chunks.
-_STREAM = "SELECT string_agg(lower(hex(encode(text))) || 'zz', '' ORDER BY doc_id) AS s FROM documents"
-
-
-def _spell(ids):
-    return F.array_join(F.transform(ids, lambda i: F.when(i == 256, F.lit("zz")).otherwise(F.lower(F.lpad(F.hex(i.cast("long")), 2, "0")))), "")
+# The stream as four hex digits a token (0100 ends a document), cut into chunks.
+_STREAM = "SELECT string_agg(regexp_replace(lower(hex(encode(text))), '(..)', '00\\1', 'g') || '0100', '' ORDER BY doc_id) AS s FROM documents"
 
 
-@query(f"SELECT CAST(c AS BIGINT) AS chunk_id, substr(s, 2 * {BLOCK} * c + 1, 2 * {BLOCK}) AS x, substr(s, 2 * {BLOCK} * c + 3, 2 * {BLOCK}) AS y FROM ({_STREAM}), LATERAL (SELECT unnest(range((length(s) // 2 - 1) // {BLOCK})) AS c)")
+@query(f"SELECT CAST(c AS BIGINT) AS chunk_id, substr(s, 4 * {BLOCK} * c + 1, 4 * {BLOCK}) AS x, substr(s, 4 * {BLOCK} * c + 5, 4 * {BLOCK}) AS y FROM ({_STREAM}), LATERAL (SELECT unnest(range((length(s) // 4 - 1) // {BLOCK})) AS c)")
 def chunks(spark, sf_dir):
-    cut = stream.chunks(stream.byte_tokens(read(spark, sf_dir, "documents"), 256), BLOCK)
-    return cut.select("chunk_id", _spell(F.col("x")).alias("x"), _spell(F.col("y")).alias("y"))
-
-
-@query(
-    "WITH t AS (SELECT item_id, unnest(range(octet_length(encode(text)))) AS i, lower(hex(encode(text))) AS h FROM benchmark), "
-    "p AS (SELECT item_id, i, substr(h, 2 * i + 1, 2) AS token FROM t) "
-    "SELECT token, target, count(*) AS n FROM (SELECT token, lead(token) OVER (ORDER BY item_id, i) AS target FROM p) WHERE target IS NOT NULL GROUP BY ALL"
-)
-def next_token_pairs(spark, sf_dir):
-    """How often a byte follows another in the stream of the benchmark items: each item's own pairs, and those over its border."""
-    items = read(spark, sf_dir, "benchmark").select("item_id", T.byte_hex(F.col("text")).alias("toks")).where("size(toks) > 0")
-    own = items.select(F.explode(T.pairs(F.col("toks"))).alias("p")).select(F.col("p.l").alias("token"), F.col("p.r").alias("target"))
-    over = Window.orderBy("item_id")  # first and last byte of an item, not its text
-    border = items.select("item_id", F.element_at("toks", -1).alias("token"), F.element_at("toks", 1).alias("first")).select("token", F.lead("first").over(over).alias("target")).where("target IS NOT NULL")
-    return own.unionAll(border).groupBy("token", "target").agg(F.count("*").alias("n"))
+    cut = stream.packed_chunks(stream.packed_bytes(read(spark, sf_dir, "documents"), 256), BLOCK)
+    return cut.select("chunk_id", F.lower(F.hex("x")).alias("x"), F.lower(F.hex("y")).alias("y"))
 
 
 @query(
@@ -259,7 +224,8 @@ def next_token_pairs(spark, sf_dir):
     "p AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS token FROM t) "
     "SELECT token, target, count(*) AS n FROM (SELECT token, lead(token) OVER (ORDER BY doc_id, i) AS target FROM p) WHERE target IS NOT NULL GROUP BY ALL"
 )
-def next_token_pairs_documents(spark, sf_dir):
+def next_token_pairs(spark, sf_dir):
+    """How often a byte follows another in the stream of the documents: each one's own pairs, and those over its border."""
     return stream.next_byte_counts(read(spark, sf_dir, "documents"))
 
 
@@ -405,19 +371,22 @@ def linear_relu(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(y).alias("dim", "y")).select("vec_id", "dim", F.round("y", 6).alias("y"))
 
 
-@query(f"SELECT seq, t, CAST(d - 1 AS INT) AS dim, round(CAST(a.embedding[d] AS DOUBLE) + CAST(b.embedding[d] AS DOUBLE), 6) AS x FROM (SELECT event_id // 16 AS seq, event_id % 16 AS t, user_id % 50 AS id FROM events) e JOIN embeddings a ON a.vec_id = e.id JOIN embeddings b ON b.vec_id = e.t + 100, unnest(range(1, 9)) AS u(d)")
-def embedding_gather(spark, sf_dir):
-    tokens = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 16).alias("seq"), (F.col("event_id") % 16).alias("t"), (F.col("user_id") % 50).alias("id"))
-    vectors = read(spark, sf_dir, "embeddings")
-    by_id = vectors.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).alias("v"))
-    by_place = vectors.select((F.col("vec_id") - 100).alias("t"), F.slice("embedding", 1, 8).alias("v"))
-    found = model.embed(tokens, by_id, by_place).select("seq", "t", F.posexplode("x").alias("dim", "x"))
-    return found.select("seq", "t", "dim", F.round("x", 6).alias("x"))
+_DOWN = [[((2 * i + 3 * j) % 5 - 2) / 4 for i in range(3)] for j in range(64)]
+_HIDDEN = ", ".join(f"greatest(0, {_DOT.format('embedding', str(w))} + {b}) AS h{i}" for i, (w, b) in enumerate(zip(_WEIGHTS, _BIAS)))
+_DOWN_SQL = " + ".join(f"h{i} * ((2 * {i} + 3 * (d - 1)) % 5 - 2) / 4" for i in range(3))
+
+
+@query(f"SELECT vec_id, CAST(d - 1 AS INT) AS dim, round(CAST(embedding[d] AS DOUBLE) + 0.125 + {_DOWN_SQL}, 6) AS x FROM (SELECT vec_id, embedding, {_HIDDEN} FROM embeddings), unnest(range(1, 65)) AS u(d)")
+def feed_forward(spark, sf_dir):
+    """The second half of a block: linear, ReLU, linear, and the input added."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    y = model.residual(x, model.feed_forward(F.col("embedding"), _WEIGHTS, _BIAS, _DOWN, [0.125] * 64))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(y).alias("dim", "x")).select("vec_id", "dim", F.round("x", 6).alias("x"))
 
 
 @query("SELECT seq, t, list_transform(list_zip(a.embedding, b.embedding), lambda z: round(CAST(z[1] AS DOUBLE) + CAST(z[2] AS DOUBLE), 6)) AS x FROM (SELECT event_id // 16 AS seq, event_id % 16 AS t, user_id AS id FROM events) e JOIN embeddings a ON a.vec_id = e.id JOIN embeddings b ON b.vec_id = e.t + 100")
-def embedding_gather_whole(spark, sf_dir):
-    """embedding_gather on whole vectors, for the token ids themselves."""
+def embedding_gather(spark, sf_dir):
+    """Whole vectors of the token ids and of their places (a table of 16 places)."""
     tokens = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 16).alias("seq"), (F.col("event_id") % 16).alias("t"), F.col("user_id").alias("id"))
     vectors = read(spark, sf_dir, "embeddings")
     by_id = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
@@ -528,6 +497,83 @@ def sweep_runs(spark, sf_dir):
     return scaling.valid(seen).select("run", "c", "d", "l", "tokens_m", "valid")
 
 
+# --- files of a run, written to the shared folder and read again
+
+
+def _written(spark, name: str) -> str:
+    return shared.temporary(spark, shared.new_dir(spark, name))
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY n DESC, l, r) - 1 AS INT) AS rank, l, r FROM (SELECT * FROM ({_of(_PAIRS, _SPELLED)}) ORDER BY n DESC, l, r LIMIT 50)")
+def tokenizer_file(spark, sf_dir):
+    """The 50 most frequent pairs as merges, through a tokenizer's JSON file; the loaded tokenizer is the saved one."""
+    top = bpe.pair_counts(_words(spark, sf_dir)).orderBy(F.desc("n"), "l", "r").limit(50).collect()
+    tokenizer = bpe.Tokenizer.from_merges([(bytes.fromhex(r.l), bytes.fromhex(r.r)) for r in top], [END])
+    path = _written(spark, "tokenizer")
+    artifacts.save_tokenizer(spark, tokenizer, path)
+    if artifacts.fingerprint(artifacts.load_tokenizer(spark, path)) != artifacts.fingerprint(tokenizer):
+        raise ValueError("the loaded tokenizer isn't the saved one")
+    return artifacts.merges_frame(spark, path)
+
+
+@query("SELECT doc_id, CAST(octet_length(encode(text)) + 1 AS INT) AS n FROM documents")
+def token_cache(spark, sf_dir):
+    """Byte ids of all documents, written by the tokenizer's name and read from there the second time."""
+    base = artifacts.token_cache_path(_written(spark, "tokens"), bpe.Tokenizer.from_merges([], [END]), 0)
+    made = lambda: stream.byte_tokens(read(spark, sf_dir, "documents"), 256)
+    artifacts.cached(spark, base, made)
+    return artifacts.cached(spark, base, made).select("doc_id", F.size("ids").alias("n"))
+
+
+@query("SELECT CAST(event_id AS INT) AS step, 10000 AS total_steps, CAST(printf('%.6f', value / 100) AS DOUBLE) AS loss, CAST(printf('%.4f', exp(value / 100)) AS DOUBLE) AS train_ppl, CAST(printf('%.4f', exp(value / 200)) AS DOUBLE) AS val_ppl, CAST(printf('%.6e', 0.5 * event_id) AS DOUBLE) AS lr FROM events WHERE event_id % 100 = 0")
+def log_file(spark, sf_dir):
+    log = read(spark, sf_dir, "events").select(F.col("event_id").alias("step"), (F.col("value") / 100).alias("loss"), (F.col("value") / 200).alias("val_loss"), (0.5 * F.col("event_id")).alias("lr"))
+    path = _written(spark, "log")
+    artifacts.write_log(metrics.eval_records(log, 100, 10_000).select("step", "total_steps", "loss", "train_ppl", "val_ppl", "lr"), path)
+    return artifacts.read_log(spark, path)
+
+
+@query(f"SELECT row_number() OVER (ORDER BY c, tokens_m) AS seed, d AS d_model, l AS num_layers, h AS num_heads, ff AS d_ff, CAST(tokens_m * 1000000 AS BIGINT) AS token_budget, val_ppl AS best_val_ppl FROM {_CAL}")
+def run_configs(spark, sf_dir):
+    """A configuration file for each calibrated run, and all of them scanned by one glob and one schema."""
+    base = _written(spark, "runs")
+    runs = scaling.numbered(sweeps.sweep(spark, sweeps.CALIBRATED), ["c", "tokens_m"])
+    config = runs.select(
+        F.col("run").cast("int").alias("seed"),
+        F.struct(F.col("d").alias("d_model"), F.col("ff").alias("d_ff"), F.col("h").alias("num_heads"), F.col("l").alias("num_layers")).alias("model"),
+        F.struct((F.col("tokens_m") * 1_000_000).cast("long").alias("token_budget"), F.col("val_ppl").alias("best_val_ppl")).alias("training"),
+    )
+    for variant, part in enumerate((config.where("seed <= 11"), config.where("seed > 11"))):
+        artifacts.write_run_config(part, f"{base}/run{variant}")
+    rows = spark.read.schema(artifacts.RUN_CONFIG).json(f"{base}/run*")
+    return rows.select(F.col("seed").cast("long").alias("seed"), "model.d_model", "model.num_layers", "model.num_heads", "model.d_ff", "training.token_budget", "training.best_val_ppl")
+
+
+def _sweep_lines(spark, text: str, heading: str, with_results: bool):
+    """A sweep as its script writes it: quoted, blank-separated rows below a heading, with remarks."""
+    lines = [f"# {heading}", "echo start"]
+    for r in sweeps.rows(text):
+        c, d, l, h, ff, tokens_m, lr, _, _, loss, ppl = r
+        fields = [d, l, h, ff, int(tokens_m * 1_000_000), f"{lr:.1e}", *([loss, ppl] if with_results else [])]
+        lines.append('    "' + "   ".join(map(str, fields)) + '"   # run')
+    return spark.createDataFrame(list(enumerate(lines)), "pos int, value string")
+
+
+@query(f"SELECT d, l, h, ff, CAST(tokens_m * 1000000 AS BIGINT) AS tokens, lr FROM {_CAL}")
+def sweep_configs(spark, sf_dir):
+    return sweeps.parse_configs(_sweep_lines(spark, sweeps.CALIBRATED, "runs", False))
+
+
+@query(f"SELECT 'Rates' AS section, d, l, h, ff, CAST(tokens_m * 1000000 AS BIGINT) AS tokens, lr, loss, val_ppl FROM {sweeps.values_sql(sweeps.RATES)}")
+def sweep_results(spark, sf_dir):
+    return sweeps.parse_results(_sweep_lines(spark, sweeps.RATES, "Rates", True))
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS run FROM events")
+def run_names(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", artifacts.run_name(F.col("ts")).alias("run"))
+
+
 # --- an extra: a corpus filtered by its labels
 
 

@@ -1,14 +1,17 @@
+import time
 from collections import Counter
 
 import pytest
 import regex
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from corpusmill.functions import text as T
 from corpusmill.operators import bpe
 from corpusmill.sources import artifacts
 
 SENTENCES = [
-    "The quick brown fox jumps over the lazy dog.", "A tokenizer cuts text into pieces.", "Most common pairs are merged first.", "Rare words need more pieces than common ones.",
+    "Nine grey herons waded past the old mill.", "A tokenizer cuts text into pieces.", "Most common pairs are merged first.", "Rare words need more pieces than common ones.",
     "Numbers such as 12345 count too!", "It's what we'd say, isn't it?", "Spark deals the words out.", "aaaa aaa aa a", "abab abab ab", "Ünïcödé wörds, 日本語 and 😀.",
 ]
 SPECIALS = ["<|endoftext|>", "<|padding|>"]
@@ -100,13 +103,13 @@ def test_round_trip(tokenizer, text):
 
 
 def test_documents_round_trip(spark, tokenizer):
-    docs = spark.createDataFrame([(1, "The quick fox"), (2, None), (3, ""), (4, "é <|padding|> ü")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "The grey heron"), (2, None), (3, ""), (4, "é <|padding|> ü")], "doc_id long, text string")
     ids = bpe.encode_documents(docs, tokenizer, end=SPECIALS[0])
     assert {r.doc_id: r.ids for r in ids.collect()} == {r.doc_id: tokenizer.encode(r.text or "") + [0] for r in docs.collect()}
     back = {r.doc_id: r.text for r in bpe.decode_documents(ids, bpe.vocab_frame(spark, tokenizer), "doc_id").collect()}
-    assert back == {1: "The quick fox<|endoftext|>", 2: "<|endoftext|>", 3: "<|endoftext|>", 4: "é <|padding|> ü<|endoftext|>"}
+    assert back == {1: "The grey heron<|endoftext|>", 2: "<|endoftext|>", 3: "<|endoftext|>", 4: "é <|padding|> ü<|endoftext|>"}
     plain = bpe.decode_documents(bpe.encode_documents(docs, tokenizer), bpe.vocab_frame(spark, tokenizer), "doc_id").collect()
-    assert {r.doc_id: r.text for r in plain} == {1: "The quick fox", 2: "", 3: "", 4: "é <|padding|> ü"}
+    assert {r.doc_id: r.text for r in plain} == {1: "The grey heron", 2: "", 3: "", 4: "é <|padding|> ü"}
 
 
 def test_unknown_id_raises(spark, tokenizer):
@@ -130,3 +133,100 @@ def test_save_and_load(spark, tokenizer, tmp_path):
 def test_repeated_bytes_take_the_last_id():
     t = bpe.Tokenizer.from_merges([], ["a"])
     assert t.encode("a") == [1 + ord("a")]
+
+
+def plain_encode(tokenizer, text):
+    """Ids by going through all merges in their order, over the whole token list of each pre-token."""
+    rest, ids = text, []
+    while rest:
+        at = [(rest.find(s), i) for i, s in enumerate(tokenizer.specials) if s in rest]
+        begin, special = min(at, default=(len(rest), None))
+        for piece in regex.findall(T.PRETOKEN, rest[:begin]):
+            toks = [bytes([b]) for b in piece.encode()]
+            for left, right in tokenizer.merges:
+                i = 0
+                while i < len(toks) - 1:
+                    if toks[i] == left and toks[i + 1] == right:
+                        toks[i : i + 2] = [left + right]
+                    i += 1
+            ids += [max(i for i, t in tokenizer.vocab.items() if t == tok) for tok in toks]
+        if special is not None:
+            ids.append(special)
+            begin += len(tokenizer.specials[special])
+        rest = rest[begin:]
+    return ids
+
+
+@settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.sampled_from(["the", " the", "aaaa", "ab", " ", "\n", "é", "日", "12", "<|endoftext|>", "<|padding|>", "<|", "'s", "herons", "x" * 30]), max_size=12))
+def test_encoding_equals_merges_in_order(tokenizer, parts):
+    text = "".join(parts)
+    assert tokenizer.encode(text) == plain_encode(tokenizer, text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([b"a", b"b", b"ab", b"aa", b"ba", b"aab"]), st.sampled_from([b"a", b"b", b"ab", b"aa", b"bb"])), max_size=6), st.text("ab", max_size=14))
+def test_any_merges_take_the_lowest_rank_first(merges, text):
+    """Also merges in an order that no training gives, against the rule round by round."""
+    t = bpe.Tokenizer.from_merges(merges)
+    toks = [c.encode() for c in text]
+    while True:
+        ranks = [t.rank[p] for p in zip(toks, toks[1:]) if p in t.rank]
+        if not ranks:
+            break
+        left, right = merges[min(ranks)]
+        i = 0
+        while i < len(toks) - 1:
+            if (toks[i], toks[i + 1]) == (left, right):
+                toks[i : i + 2] = [left + right]
+            i += 1
+    assert t.merged(text.encode()) == toks
+
+
+def test_a_long_run_of_one_letter_is_no_square(tokenizer):
+    began = time.time()
+    assert tokenizer.decode(tokenizer.encode("a" * 200_000)) == "a" * 200_000
+    assert time.time() - began < 20
+
+
+def test_queries_equal_brute_force(spark):
+    """bpe_train, bpe_vocab and bpe_encode on the given documents."""
+    import __spark_entry__ as entry
+
+    data = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    words = Counter(w for t in docs.values() for w in regex.findall(T.PRETOKEN, t or ""))
+    table = {w: [bytes([b]) for b in w.encode()] for w in words}
+    counts, merges = Counter(), []
+    for w, toks in table.items():
+        for p in zip(toks, toks[1:]):
+            counts[p] += words[w]
+    for _ in range(200):
+        pair = min(counts, key=lambda p: (-counts[p], p))
+        merges.append((*pair, counts[pair]))
+        for w, toks in table.items():
+            if any(p == pair for p in zip(toks, toks[1:])):
+                for p in zip(toks, toks[1:]):
+                    counts[p] -= words[w]
+                i = 0
+                while i < len(toks) - 1:
+                    if (toks[i], toks[i + 1]) == pair:
+                        toks[i : i + 2] = [pair[0] + pair[1]]
+                    i += 1
+                for p in zip(toks, toks[1:]):
+                    counts[p] += words[w]
+        counts = +counts
+    queries = entry.queries()
+    got = sorted(queries["bpe_train"](spark, data).collect())
+    assert [(r.rank, bytes.fromhex(r.l), bytes.fromhex(r.r), r.n) for r in got] == [(i, *m) for i, m in enumerate(merges)]
+    vocab = [b"<|endoftext|>", *(bytes([b]) for b in range(256)), *(a + b for a, b, _ in merges)]
+    assert {r.id: r.token for r in queries["bpe_vocab"](spark, data).collect()} == {i: t.hex() for i, t in enumerate(vocab)}
+    number = {t: i for i, t in enumerate(vocab)}
+    for r in queries["bpe_encode"](spark, data).collect():
+        assert r.ids == [number[t] for w in regex.findall(T.PRETOKEN, docs[r.doc_id]) for t in table[w]] + [0]
+
+
+def test_clashing_names_raise(spark, tokenizer):
+    docs = spark.createDataFrame([(1, "a", [1])], "doc_id long, text string, IDS array<int>")
+    with pytest.raises(ValueError, match="ids"):
+        bpe.encode_documents(docs, tokenizer)

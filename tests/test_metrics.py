@@ -53,3 +53,9 @@ def test_counts(spark):
     n = spark.createDataFrame([(1, 5), (2, 4)], "doc_id long, n long")
     assert tuple(metrics.counts(n, 4, 32).first()) == (2, 9, 2, 1)
     assert tuple(metrics.counts(n.where("false"), 4, 32).first()) == (0, 0, 0, 0)
+
+
+@pytest.mark.parametrize("f,name", [(lambda d: metrics.running_best(d, "loss", ["step"], ["run"]), "BEST"), (lambda d: metrics.early_stop(d, 2, ["step"], ["run"]), "stale")])
+def test_clashing_names_raise(spark, f, name):
+    with pytest.raises(ValueError, match="adds itself"):
+        f(spark.createDataFrame([(1, 1, 2.0, 3)], f"run int, step int, loss double, {name} int"))

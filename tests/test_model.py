@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +66,82 @@ def test_generation_is_repeatable(spark):
     one = {r.key: r.output for r in model.generate(prompts, params, 2, steps=9).collect()}
     assert one == {r.key: r.output for r in model.generate(prompts.repartition(3), params, 2, steps=9).collect()}
     assert one[1][:2] == [1, 2] and len(one[1]) == 11
+
+
+def plain_decoder(params, ids, n_heads):
+    """One number after another: embeddings, blocks of attention and feed-forward, logits."""
+    def norm(v):
+        mean = sum(v) / len(v)
+        return [(a - mean) / math.sqrt(sum((b - mean) ** 2 for b in v) / len(v) + 1e-5) for a in v]
+
+    def lin(name, v):
+        return [sum(w * a for w, a in zip(row, v)) + b for row, b in zip(params[name], params[f"{name}_b"])]
+
+    x = [[a + b for a, b in zip(params["tokens"][i], params["positions"][t])] for t, i in enumerate(ids)]
+    d = len(x[0])
+    width, layer = d // n_heads, 0
+    while f"{layer}.q" in params:
+        h = [norm(v) for v in x]
+        q, k, v = ([lin(f"{layer}.{n}", a) for a in h] for n in "qkv")
+        for t in range(len(x)):
+            mixed = []
+            for head in range(n_heads):
+                cut = slice(head * width, (head + 1) * width)
+                scores = [sum(a * b for a, b in zip(q[t][cut], k[s][cut])) / math.sqrt(width) for s in range(t + 1)]
+                e = [math.exp(s - max(scores)) for s in scores]
+                mixed += [sum(e[s] / sum(e) * v[s][cut][j] for s in range(t + 1)) for j in range(width)]
+            x[t] = [a + b for a, b in zip(x[t], lin(f"{layer}.o", mixed))]
+        x = [[a + b for a, b in zip(y, lin(f"{layer}.down", [max(0.0, u) for u in lin(f"{layer}.up", norm(y))]))] for y in x]
+        layer += 1
+    return [lin("head", norm(v)) for v in x]
+
+
+def test_decoder_equals_plain_loops():
+    params = model.random_decoder(11, 6, 8, 2, 12, seed=3)
+    ids = [3, 10, 0, 7, 7]
+    assert model.decoder(params, np.array(ids), 2)[0] == pytest.approx(np.array(plain_decoder(params, ids, 2)))
+
+
+def test_generation_equals_plain_loops(spark):
+    params = model.random_decoder(11, 6, 8, 1, 12, seed=4)
+    prompts = spark.createDataFrame([(5, [1, 2]), (9, [3, 3, 3, 3, 3, 3, 3, 3])], "key long, ids array<int>")
+    for row in model.generate(prompts, params, 2, steps=5, temperature=0.7, seed=1).collect():
+        r, now = np.random.default_rng([1, row.key]), {5: [1, 2], 9: [3] * 8}[row.key]
+        for _ in range(5):
+            z = [v / 0.7 for v in plain_decoder(params, now[-6:], 2)[-1]]
+            e = [math.exp(v - max(z)) for v in z]
+            u, total, at = r.random(), 0.0, 0
+            for at, v in enumerate(e):
+                total += v / sum(e)
+                if total >= u:
+                    break
+            now.append(at)
+        assert list(row.output) == now
+
+
+def test_feed_forward_and_residual(spark):
+    up, down = [[1.0, -1.0], [0.5, 0.5], [-2.0, 0.0]], [[1.0, 2.0, 3.0], [0.0, -1.0, 1.0]]
+    df = spark.createDataFrame([([2.0, 5.0],), ([-1.0, 0.5],)], "x array<double>")
+    got = [r.y for r in df.select(model.residual(F.col("x"), model.feed_forward(F.col("x"), up, [0.1, 0.2, 0.3], down, [1.0, -1.0])).alias("y")).collect()]
+    for x, y in zip(([2.0, 5.0], [-1.0, 0.5]), got):
+        h = np.maximum(np.array(up) @ x + [0.1, 0.2, 0.3], 0)
+        assert y == pytest.approx(np.array(x) + np.array(down) @ h + [1.0, -1.0])
+
+
+def test_generated_texts_reach_the_configuration(spark, tmp_path):
+    from corpusmill.operators import bpe
+    from corpusmill.plans import report
+    from corpusmill.sources import artifacts
+
+    tokenizer = bpe.Tokenizer.from_merges([(b"t", b"h"), (b"th", b"e")], ["<|endoftext|>"])
+    params = model.random_decoder(tokenizer.vocab_size, 8, 8, 1, 8)
+    prompts = spark.createDataFrame([(1, "the end"), (2, "A then"), (3, "x")], "key long, prompt string")
+    texts = report.generated(prompts, tokenizer, params, 2, steps=4)
+    config = report.with_generation(spark.sql("SELECT 42 AS seed"), texts)
+    artifacts.write_run_config(config, f"file://{tmp_path}/run")
+    row = artifacts.read_run_configs(spark, f"file://{tmp_path}/run").first()
+    want = []
+    for key, prompt in ((1, "the end"), (2, "A then"), (3, "x")):
+        one = spark.createDataFrame([(key, tokenizer.encode(prompt))], "key long, ids array<int>")
+        want.append((prompt, tokenizer.decode(model.generate(one, params, 2, steps=4).first().output)))
+    assert row.seed == 42 and [(g.prompt, g.output) for g in row.generation] == want

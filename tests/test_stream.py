@@ -42,3 +42,36 @@ def test_batches(spark):
 def test_join_documents(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "doc_id long, text string")
     assert [r.text for r in stream.join_documents(docs, "|").orderBy("doc_id").collect()] == ["a|", "|", "|"]
+
+
+def packed(spark, lists):
+    rows = [(i, len(x), bytearray(b"".join(v.to_bytes(2, "big") for v in x))) for i, x in enumerate(lists)]
+    return spark.createDataFrame(rows, "doc_id long, n long, ids binary")
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 8, 9, 19])
+@pytest.mark.parametrize("cut", [1, 2, 7, 100])
+def test_packed_chunks_and_both_splits_of_n_tokens(spark, n, cut):
+    """n = 0, 1, a block, one more, 19 tokens in documents of different lengths."""
+    flat = list(range(250, 250 + n))
+    lists = [flat[i : i + cut] for i in range(0, n, cut)] + [[]]
+    want = {i: (flat[i * 4 : i * 4 + 4], flat[i * 4 + 1 : i * 4 + 5]) for i in range(max(0, (n - 1) // 4))}
+    unpack = lambda b: [int.from_bytes(b[i : i + 2], "big") for i in range(0, len(b), 2)]
+    got = {r.chunk_id: (unpack(r.x), unpack(r.y)) for r in stream.packed_chunks(packed(spark, lists), 4).collect()}
+    assert got == want
+    sizes = spark.createDataFrame([(i, len(x)) for i, x in enumerate(lists)], "doc_id long, n long")
+    for border in (n - min(5, n // 10), int(0.9 * n)):
+        rows = stream.split_sizes(stream.offsets(sizes), border).collect()
+        assert sum(r.train for r in rows) == border and sum(r.val for r in rows) == n - border
+
+
+def test_packed_bytes(spark):
+    docs = spark.createDataFrame([(1, "aé"), (2, ""), (3, None)], "doc_id long, text string")
+    rows = {r.doc_id: (r.n, None if r.ids is None else bytes(r.ids).hex()) for r in stream.packed_bytes(docs, 256).collect()}
+    assert rows == {1: (4, "006100c300a90100"), 2: (1, "0100"), 3: (None, None)}
+
+
+@pytest.mark.parametrize("f,name", [(lambda d: stream.offsets(d), "range_"), (lambda d: stream.offsets(d), "OFFSET"), (lambda d: stream.shuffled_batches(d, 2, key="doc_id"), "place")])
+def test_clashing_names_raise(spark, f, name):
+    with pytest.raises(ValueError, match="adds itself"):
+        f(spark.createDataFrame([(1, 2, 3)], f"doc_id long, n long, {name} int"))

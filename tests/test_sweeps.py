@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.operators import scaling
 from corpusmill.sources import artifacts, sweeps
@@ -57,3 +58,8 @@ def test_artifacts(spark, tmp_path):
     make = lambda: made.append(1) or spark.range(3)
     assert artifacts.cached(spark, f"{base}/kept", make).count() == artifacts.cached(spark, f"{base}/kept", make).count() == 3 and len(made) == 1
     assert artifacts.overridden({"a": 1, "b": 2}, {"a": None, "b": 3}) == {"a": 1, "b": 3}
+
+
+def test_run_name(spark):
+    row = spark.sql("SELECT TIMESTAMP'2024-03-09 07:05:01.9' AS at").select(artifacts.run_name(F.col("at")).alias("n")).first()
+    assert row.n == "20240309_070501"
