@@ -245,14 +245,17 @@ def _cosine(a: str, b: str) -> tuple[Column, Column, Column]:
 def nearest(vectors: DataFrame, *, every: int = 50, k: int = 5, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by `every`."""
     spark = vectors.sparkSession
-    members = usable(vectors, id_col, vector_col).distinct()
-    # The smallest ids of each distinct vector (a limit that each task applies before the shuffle), and its queries.
-    first = Window.partitionBy("v").orderBy("id")
-    small = members.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
-    grouped = materialize(small.groupBy("v").agg(F.min("id").alias("c"), F.array_sort(F.collect_list("id")).alias("ids")), "ann-classes")
-    asking = members.where(F.col("id") % every == 0)
-    named = grouped.select("v", "c").join(asking.groupBy("v").agg(F.count("*").alias("n")), "v")
-    asked = materialize(join_hot(asking.select(F.col("id").alias("q"), "v"), named, "v").select("q", "c"), "ann-queries")
+    # A vector is known by two hashes of its components (128 bits), which are cheaper to sort by.
+    same = [F.xxhash64("v").alias("h1"), F.xxhash64(F.reverse("v"), F.lit(1)).alias("h2")]
+    members = usable(vectors, id_col, vector_col).select("id", "v", *same)
+    # Each distinct vector once, with its smallest ids (a limit that each task applies before the shuffle); and the queries.
+    first = Window.partitionBy("h1", "h2").orderBy("id")
+    few = members.select("id", "h1", "h2").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
+    few = few.groupBy("h1", "h2").agg(F.min("id").alias("c"), F.array_sort(F.collect_list("id")).alias("ids"))
+    grouped = materialize(members.groupBy("h1", "h2").agg(F.first("v").alias("v")).join(few, ["h1", "h2"]), "ann-classes")
+    asking = materialize(members.where(F.col("id") % every == 0).select(F.col("id").alias("q"), "h1", "h2").distinct(), "ann-asking")
+    named = grouped.select("h1", "h2", "c").join(asking.groupBy("h1", "h2").agg(F.count("*").alias("n")), ["h1", "h2"])
+    asked = materialize(join_hot(asking, named, ["h1", "h2"]).select("q", "c"), "ann-queries")
     # The forest and the queries, each written once.
     shards = max(1, -(-grouped.count() // SHARD))
     dealt = grouped.select("c", "v", F.pmod(F.xxhash64("c"), F.lit(shards)).cast("int").alias("shard"))
@@ -279,7 +282,7 @@ def nearest(vectors: DataFrame, *, every: int = 50, k: int = 5, recall: float =
     scored = scored.select("c", "ids", x, y).select("c", cosine.alias("score"), F.explode("ids").alias("vec_id"))
     best = Window.partitionBy("c").orderBy(F.desc("score"), "vec_id")
     lists = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).groupBy("c").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
-    answered = join_hot(asked, classes.select("c", "n").join(lists, "c"), "c")
+    answered = join_hot(asked, materialize(classes.select("c", "n").join(lists, "c"), "ann-near"), "c")
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("q")), 1, k)
     rows = answered.select(F.col("q").alias("query_id"), F.posexplode(others).alias("at", "x"))
     return rows.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,60 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local master may do without the setting; then one temporary folder a session is made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A folder name below the shared folder that nobody else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def _file_system(spark: SparkSession, uri: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
-def temporary(spark: SparkSession, uri: str) -> str:
-    """`uri`, a folder (made if it isn't there) that is removed when the application ends."""
-    filesystem, path = _file_system(spark, uri)
-    filesystem.mkdirs(path)
-    filesystem.deleteOnExit(path)
-    return uri
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it again: cuts lineage, survives lost executors.
-
-    The table is there until discard() or the application's end.
-    """
-    spark = df.sparkSession
-    path = new_dir(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    temporary(spark, path)
-    written = spark.read.schema(schema).parquet(path)
-    written.written_to_ = path
-    return written
-
-
-def discard(df: DataFrame) -> None:
-    """Remove a table of materialize() that nothing will read any more."""
-    filesystem, path = _file_system(df.sparkSession, df.written_to_)
-    filesystem.delete(path, True)
+from ..sources.shared import discard, materialize, new_dir, shared_dir, temporary  # noqa: F401  for the operators
 
 
 def partitions(spark: SparkSession) -> int:
@@ -129,7 +75,7 @@ def kept_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[pa.A
     return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
-def join_hot(rows: DataFrame, by_key: DataFrame, key: str, share: int = 1024) -> DataFrame:
+def join_hot(rows: DataFrame, by_key: DataFrame, key: str | list[str], share: int = 1024) -> DataFrame:
     """`rows` joined with `by_key`, which has each key once and says how many rows `n` have it.
 
     Keys of over one row in `share` are `share` at most; their part of `by_key` is broadcast, so that no task gets a key's rows.
@@ -138,7 +84,8 @@ def join_hot(rows: DataFrame, by_key: DataFrame, key: str, share: int = 1024) ->
     hot = F.col("n") * share > total
     by_key = by_key.withColumn("n", F.when(F.col("n") > 1, F.col("n")).otherwise(0))
     few = F.broadcast(by_key.where(hot).drop("n"))
-    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(by_key.where(~hot).drop("n"), key))
+    names = [key] if isinstance(key, str) else key
+    return rows.join(few, names).unionByName(rows.join(few.select(*names), names, "left_anti").join(by_key.where(~hot).drop("n"), names))
 
 
 def batch_of(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
