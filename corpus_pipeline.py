@@ -24,7 +24,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that with the smallest doc_id; texts link at 0.8 of their five-word shingles."""
+    """One document of each component stays, that with the smallest doc_id; texts link at 0.8 of their five-word shingles, found by
+    SimHash keys and, where 64 bits can't see them, by a prefix filter."""
     return neardup.deduplicate(docs)
 
 
