@@ -57,6 +57,11 @@ def split_specials(text: Column, specials: list[str]) -> Column:
     return F.filter(found, lambda p: p != "")
 
 
+def is_special(part: Column, specials: list[str]) -> Column:
+    """Whether a part of split_specials() is a special token itself."""
+    return part.isin(*specials) if specials else F.lit(False)
+
+
 def decoded(token_bytes: Column) -> Column:
     """Text of bytes; invalid UTF-8 becomes U+FFFD."""
     return F.make_valid_utf8(token_bytes.cast("string"))

@@ -163,9 +163,10 @@ def _conversations(spark, sf_dir):
     return turns.select("conv_id", F.array_join(F.transform("t", lambda t: F.concat(t["text"], F.lit(END))), "").alias("text"))
 
 
-@query(f"SELECT conv_id, CAST(i - 1 AS INT) AS at, p[i] AS part FROM (SELECT conv_id, list_filter(flatten(list_transform(string_split(text, '{END}'), lambda s, k: CASE WHEN k = 1 THEN [s] ELSE ['{END}', s] END)), lambda s: s <> '') AS p FROM ({_TALK})) q, unnest(range(1, len(p) + 1)) AS u(i)")
+@query(f"SELECT conv_id, CAST(i - 1 AS INT) AS at, p[i] AS part, p[i] = '{END}' AS special FROM (SELECT conv_id, list_filter(flatten(list_transform(string_split(text, '{END}'), lambda s, k: CASE WHEN k = 1 THEN [s] ELSE ['{END}', s] END)), lambda s: s <> '') AS p FROM ({_TALK})) q, unnest(range(1, len(p) + 1)) AS u(i)")
 def special_split(spark, sf_dir):
-    return _conversations(spark, sf_dir).select("conv_id", F.posexplode(T.split_specials(F.col("text"), [END])).alias("at", "part"))
+    parts = _conversations(spark, sf_dir).select("conv_id", F.posexplode(T.split_specials(F.col("text"), [END])).alias("at", "part"))
+    return parts.withColumn("special", T.is_special(F.col("part"), [END]))
 
 
 @query(f"SELECT doc_id, text || '{END}' AS text FROM documents")
