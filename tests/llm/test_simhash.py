@@ -120,3 +120,46 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {k: 100 for k in range(100, 140)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("part", [1, 10, 64])
+def test_fingerprint_of_a_long_text_in_parts(part, monkeypatch):
+    r = random.Random(part)
+    texts = [r.choice(["", " ", "\n "]).join(r.choice(["a", "B", "word ", " \t", "é "]) for _ in range(120)) for _ in range(20)] + ["one", "one two", "x" * 200]
+    monkeypatch.setattr(simhash, "PART", part)
+    assert [simhash.fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]
+
+
+def test_texts_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(i, f"text number {i % 50} of several", "x") for i in range(200)], "doc_id long, text string, lang string")
+    kept = simhash.deduplicate(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    with_text = [line for line in plan.splitlines() if "Exchange hashpartitioning(d_" in line]
+    sides = [line for line in plan.splitlines() if re.search(r"Exchange", line)]
+    assert len(with_text) <= 2 and len(sides) <= 6  # the documents once, the short list of first rows once, and that list's own
+    assert kept.count() == 50
+
+
+def test_settings_of_the_session_stay(spark):
+    from corpusmill.llm import neardup, toxicity
+
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.shuffle.partitions"]
+    before = [spark.conf.get(n, None) for n in names]
+    docs = spark.createDataFrame([(i, f"some words {i % 3} to read here") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    simhash.near_duplicates(docs).count()
+    neardup.deduplicate(docs).count()
+    toxicity.score_toxicity(docs, labels).count()
+    assert [spark.conf.get(n, None) for n in names] == before
+
+
+def test_hot_rows(spark):
+    """A third of all rows with one doc_id and text, another third of rows without both."""
+    rows = [(5, "the same words again")] * 300 + [(None, None)] * 300 + [(i, f"words that differ {i} {i * 7} {i * 13}") for i in range(10, 310)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    near = simhash.near_duplicates(docs)
+    assert near.count() == 900
+    want = {(r.doc_id, r.text_hash): r.component for r in near.collect()}
+    assert len(want) == 302
+    kept = sorted(str(r.doc_id) for r in simhash.deduplicate(docs).collect())
+    assert len(kept) == len(set(want.values())) and "5" in kept and "None" in kept
