@@ -24,7 +24,7 @@ from .names import reserve
 
 
 #: Distinct words that one task's memory holds with ease (some 500 bytes each).
-MOST_WORDS = 5_000_000
+MOST_WORDS = 2_000_000
 #: Pre-tokens whose ids a task remembers.
 REMEMBERED = 500_000
 
@@ -69,14 +69,14 @@ def apply_deltas(counts: DataFrame, deltas: DataFrame) -> DataFrame:
     return counts.unionAll(deltas).groupBy("l", "r").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def train_by_steps(docs: DataFrame, merges: int, text_col: str = "text", keep: int = 10) -> list[tuple[str, str, int]]:
-    """(left, right, count) of the first merges, each one a distributed step: for corpora whose distinct words don't fit in a task.
+def train_by_steps(counted: DataFrame, merges: int, keep: int = 10) -> list[tuple[str, str, int]]:
+    """(left, right, count) of the first merges of a word_table(), each one a distributed step: for distinct words that don't fit in a task.
 
     Pairs are counted once. A merge changes only the counts of pairs in the words that it touches; those changes are added to
     the counts. Words stay distinct under merges, so their table needs no shuffle. Both tables are written to the shared folder
     every `keep` merges, and the older ones removed.
     """
-    words = materialize(spelled_words(word_table(docs, text_col)), "bpe-words")
+    words = materialize(spelled_words(counted), "bpe-words")
     counts = materialize(pair_counts(words), "bpe-pairs")
     base, found, old = [words, counts], [], []
     for i in range(merges):
@@ -163,9 +163,9 @@ def train(docs: DataFrame, vocab_size: int, specials: list[str] = (), text_col:
     beyond that each merge is a distributed step. Both give the same merges.
     """
     wanted = max(0, vocab_size - 256 - len(specials))
-    counted = word_table(docs, text_col).persist()
+    counted = materialize(word_table(docs, text_col), "bpe-words")
     if counted.count() > most_words:
-        found = train_by_steps(docs, wanted, text_col)
+        found = train_by_steps(counted, wanted)
         return docs.sparkSession.createDataFrame([(i, *m) for i, m in enumerate(found)], "rank int, l string, r string, n long")
 
     def run(words: pd.DataFrame) -> pd.DataFrame:

@@ -33,7 +33,7 @@ def offsets(sizes: DataFrame, key: str = "doc_id", buckets: int | None = None) -
     """`sizes` (key, n) with `offset`, the sum of n over all smaller keys.
 
     Two levels: sums of key ranges (one row a range, a window over those), then a window inside each range; no task sees all rows.
-    The names that it adds may not be in `sizes`.
+    Keys name rows uniquely, as ids do. The names that it adds may not be in `sizes`.
     """
     reserve(sizes, "range_", "start_", "within_", "offset", "n_")
     buckets = buckets or int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
