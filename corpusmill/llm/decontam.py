@@ -12,8 +12,9 @@ document unchanged, and are hashed whole. (Tests enumerate all of these; other s
 Words that repeat make hits by the product of their places. Places with equal surroundings, as far as one of the masks and the
 words needed reach, are verified alike, so only the first of them counts, in a document and in an item.
 
-The benchmark is a stated query set. It is read in blocks of about `BLOCK_BYTES` of text; each block's hashes are broadcast
-and all documents pass once. Nothing of the documents is shuffled or collected.
+The benchmark is a stated query set. It is read in blocks of about `BLOCK_BYTES` of text; each block's hashes are a file in the
+shared folder. All documents pass once, whatever the benchmark's size: their words are hashed once, and a task holds one block
+(or two) beside them. Nothing of the documents is shuffled or collected.
 
 Defined results: null or empty text has no words and no overlap; null ids are kept; each row of a repeated doc_id or item_id has
 its own result, and equal results of equal (doc_id, text, item_id) are one row; where several places of a document overlap an
@@ -23,15 +24,17 @@ are ignored (overlaps) or kept (decontaminate).
 
 from __future__ import annotations
 
+import functools
+import pickle
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, kept_rows, own_columns, slices
+from .common import batch_of, kept_rows, new_dir, open_fs, own_columns, slices, temporary, write_atomically
 from .words import joined, mix, odd, word_hashes
 
 MASKS = ("11111", "110111", "11010011", "1011100101", "110010100111")
@@ -183,57 +186,64 @@ def _grouped(texts: pa.Array) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def _search(own: DataFrame, items: list[tuple], least_words: int, similarity: float) -> DataFrame:
-    shared = own.sparkSession.sparkContext.broadcast(Index(items, least_words))
+@functools.lru_cache(maxsize=2)
+def _searcher(uri: str, least_words: int, similarity: float) -> Searcher:
+    filesystem, path = open_fs(uri)
+    with filesystem.open_input_stream(path, compression=None) as stream:
+        return Searcher(pickle.loads(stream.read()), least_words, similarity)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Searcher(shared.value, least_words, similarity)
-        for batch in batches:
-            for part in slices(batch, 2):
-                at, ids, hashes = 0, part.column(0).to_pylist(), part.column(1).to_pylist()
-                for docs in _grouped(part.column(2)):
-                    rows = [(ids[at + d], hashes[at + d], find.index.ids[i], b[2], b[3], b[1], b[0]) for (d, i), b in sorted(find(docs).items())]
-                    at += len(docs)
-                    if rows:
-                        yield batch_of(dict(zip(FOUND.names, map(list, zip(*rows)))), FOUND)
 
-    return own.mapInArrow(run, FOUND_DDL)
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """item_id, text of the benchmark's rows, some BLOCK_BYTES at once."""
-    items = own_columns(benchmark, item_id="item_id", text="text").selectExpr("CAST(item_id AS BIGINT) item_id", "text").where("text IS NOT NULL")
+def _blocks(benchmark: DataFrame, least_words: int) -> list[str]:
+    """Files of the hashes of the benchmark's rows, some BLOCK_BYTES of text in each."""
+    items = own_columns(benchmark, item_id="item_id", text="text").selectExpr("CAST(CAST(item_id AS BIGINT) AS STRING) item_id", "text").where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        yield [tuple(r) for r in part.orderBy("item_id", "text").collect()]
+    out_dir = temporary(benchmark.sparkSession, new_dir(benchmark.sparkSession, "decontam"))
+
+    def write(own: pd.DataFrame) -> pd.DataFrame:
+        items = [(None if i is None else int(i), t) for i, t in zip(own["item_id"], own["text"])]  # ids came as text: exact beside nulls
+        items.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        uri = f"{out_dir}/block-{int(own['block'].iloc[0]):08d}"
+        made = pickle.dumps(Index(items, least_words))
+        write_atomically(uri, lambda stream: stream.write(made))
+        return pd.DataFrame({"uri": [uri]})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    return sorted(r.uri for r in dealt.groupBy("block").applyInPandas(write, "uri string").collect())  # a name a block
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, least_words: int = 13, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document and item that overlap: doc_id, text_hash, item_id, doc_word and item_word (where the overlap
     begins), n_words, n_equal."""
     own = own_columns(docs, doc_id=id_col, text=text_col).selectExpr("CAST(doc_id AS BIGINT) doc_id", "xxhash64(text) text_hash", "text")
-    found = [_search(own, block, least_words, similarity) for block in _blocks(benchmark)]
-    return reduce(DataFrame.unionAll, found).distinct()
+    blocks = _blocks(benchmark, least_words)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in slices(batch, 2)):
+            at, ids, hashes = 0, part.column(0).to_pylist(), part.column(1).to_pylist()
+            for docs in _grouped(part.column(2)):
+                for uri in blocks:
+                    find = _searcher(uri, least_words, similarity)
+                    rows = [(ids[at + d], hashes[at + d], find.index.ids[i], b[2], b[3], b[1], b[0]) for (d, i), b in sorted(find(docs).items())]
+                    if rows:
+                        yield batch_of(dict(zip(FOUND.names, map(list, zip(*rows)))), FOUND)
+                at += len(docs)
+
+    return own.mapInArrow(run, FOUND_DDL).distinct()
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, least_words: int = 13, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
-    """`docs` without the rows whose text overlaps a benchmark item; a block's pass gets what the one before kept."""
-    for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block, least_words))
 
-        def judge(shared=shared):
-            find = Searcher(shared.value, least_words, similarity)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, least_words: int = 13, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
+    """`docs` without the rows whose text overlaps a benchmark item."""
+    blocks = _blocks(benchmark, least_words)
 
-            def keep(texts: pa.Array) -> list[bool]:
-                out: list[bool] = []
-                for words in _grouped(texts):
-                    bad = {d for d, _ in find(words)}
-                    out += [d not in bad for d in range(len(words))]
-                return out
+    def judge():
+        def keep(texts: pa.Array) -> list[bool]:
+            out: list[bool] = []
+            for words in _grouped(texts):
+                bad = {d for uri in blocks for d, _ in _searcher(uri, least_words, similarity)(words)}
+                out += [d not in bad for d in range(len(words))]
+            return out
 
-            return keep
+        return keep
 
-        docs = kept_rows(docs, text_col, judge)
-    return docs
+    return kept_rows(docs, text_col, judge)

@@ -329,7 +329,8 @@ def write_token_files(docs: DataFrame, path: str, out_dir: str, *, end_id: int |
     tokens, bytes, start (ids of all shards before it).
 
     Shard bounds are quantiles of doc_id alone (a scan of one column), so each text is encoded once, and what is shuffled
-    are packed ids. A repeated task writes the same bytes to the same name.
+    are packed ids. A repeated task writes the same bytes to the same name, if `docs` gives its rows in the same order again, as
+    files do (rows of one doc_id that fill several shards are dealt by their place).
     """
     spark = docs.sparkSession
     n = shards or partitions(spark)

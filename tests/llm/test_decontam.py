@@ -84,6 +84,12 @@ def test_blocks_give_the_same_rows(spark, tables, monkeypatch):
     assert {tuple(r) for r in decontam.overlaps(d, b).collect()} == one
 
 
+def test_null_and_large_item_ids(spark):
+    d = spark.createDataFrame([(1, "a b c d e f g"), (2, "nothing of it")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, "a b c d e f g"), (2**62 + 1, "b c d e f g")], "item_id long, text string")
+    assert sorted((r.doc_id, str(r.item_id)) for r in decontam.overlaps(d, b).collect()) == [(1, str(2**62 + 1)), (1, "None")]
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
