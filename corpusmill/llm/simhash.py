@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of = components(links(classes))
     named = classes.join(of.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "component").select("fp", "n", "component_id", "component")
+    by_fp = materialize(named.join(least, "component").select("fp", "n", "component_id", "component"), "simhash-named")
     return join_hot(marked, by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "component")
 
 
