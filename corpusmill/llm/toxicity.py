@@ -6,8 +6,8 @@ L1 term leaves most weights exactly zero, so what is broadcast is the short list
 
 Training takes a bounded sample: at most `TRAIN_DOCS` labelled documents, those with the smallest hash of their doc_id, and of
 these, in that order, the whole texts that fit into `TRAIN_BYTES` bytes together; a text of over `TRAIN_BYTES` / `LARGEST` is left
-out alone. How many are left out is logged. Their features (distinct 32-bit numbers) come to the driver. Scoring covers every
-whole text.
+out alone. How many are left out is logged. Their features (distinct 32-bit numbers) meet in one task. Scoring covers every whole
+text.
 
 Defined results: null text is the empty text, which gets the bias's score; null labels are left out; a doc_id that the labels
 repeat counts once for each label; of a doc_id that the documents repeat, the text with the smallest hash is learned from; without both labels the score is the same for all, the share of label 1 (0 without any
@@ -130,16 +130,25 @@ def once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str | No
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> tuple[np.ndarray, np.ndarray, float]:
-    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("at", pa.binary())])
+    """Weights of the sample's documents. They are learned in one task, which the sample's bounds keep small; the driver gets the weights."""
+    examples_schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("at", pa.binary())])
+    model_schema = pa.schema([("at", pa.binary()), ("weights", pa.binary()), ("bias", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, y, text in once(batches):
-            yield batch_of({"doc_id": [doc_id], "label": [y], "at": [features(text).tobytes()]}, schema)
-
-    rows = labelled(docs, labels, label, most, most_bytes).mapInArrow(run, "doc_id long, label int, at binary").dropDuplicates(["doc_id", "label"]).toArrow()
-    examples = [(i.as_py(), y.as_py(), np.frombuffer(at.as_buffer(), np.uint32)) for i, y, at in zip(*rows.columns)]  # views, no copies
-    examples.sort(key=lambda e: e[:2])
-    return fit([(at, y) for _, y, at in examples])
+            yield batch_of({"doc_id": [doc_id], "label": [y], "at": [features(text).tobytes()]}, examples_schema)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(i.as_py(), y.as_py(), np.frombuffer(at.as_buffer(), np.uint32)) for b in batches for i, y, at in zip(*b.columns)]  # views, no copies
+        rows.sort(key=lambda e: e[:2])
+        at, weights, bias = fit([(at, y) for _, y, at in rows])
+        yield batch_of({"at": [at.tobytes()], "weights": [weights.tobytes()], "bias": [bias]}, model_schema)
+
+    examples = labelled(docs, labels, label, most, most_bytes).mapInArrow(run, "doc_id long, label int, at binary").dropDuplicates(["doc_id", "label"])
+    found = examples.repartition(1).mapInArrow(learn, "at binary, weights binary, bias double").collect()
+    if not found:  # no examples, no task
+        return fit([])
+    return np.frombuffer(bytes(found[0].at), np.uint32), np.frombuffer(bytes(found[0].weights), np.float32), found[0].bias
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("score", pa.float64())])
