@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import batch_of, own_columns, slices
 
 #: Longest pre-token (bytes) and most pre-tokens whose ids a worker remembers; memory stays near 250 bytes times the latter.
-REMEMBERED_BYTES, REMEMBERED = 48, 900_000
+REMEMBERED_BYTES, REMEMBERED = 48, 700_000
 LONG_TEXT = 1 << 20  # characters of a text, or ids, that are worked on at once
 
 

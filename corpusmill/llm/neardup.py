@@ -55,7 +55,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word, 42)
         if len(word) < 64:
-            if len(self) >= 200_000:
+            if len(self) >= 100_000:
                 self.clear()
             self[word] = value
         return value

@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 
 WORD = re.compile(r"\w+")
-REMEMBERED = 200_000  # words whose hash a worker remembers, some 200 bytes each
+REMEMBERED = 100_000  # words whose hash a worker remembers, some 200 bytes each
 PART = 1 << 20  # characters of a text that are cut into words at once
 
 
