@@ -83,7 +83,13 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
-OPERATORS = (op1_byte_bpe, op2_decontamination, op3_sharding, op4_toxicity, op5_quality, op6_nearest, op7_simhash, op8_line_dedup, op9_token_files, op10_warc, op12_fill_in_middle)
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damaged, repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
+OPERATORS = (op1_byte_bpe, op2_decontamination, op3_sharding, op4_toxicity, op5_quality, op6_nearest, op7_simhash, op8_line_dedup, op9_token_files, op10_warc, op12_fill_in_middle, op13_conversations)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
