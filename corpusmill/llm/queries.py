@@ -75,6 +75,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digests, find_personal_data
+
+    return digests(find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fim import fill_in_middle, restored
 
@@ -89,7 +95,7 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(table(spark, sf_dir, "conversations")))
 
 
-OPERATORS = (op1_byte_bpe, op2_decontamination, op3_sharding, op4_toxicity, op5_quality, op6_nearest, op7_simhash, op8_line_dedup, op9_token_files, op10_warc, op12_fill_in_middle, op13_conversations)
+OPERATORS = (op1_byte_bpe, op2_decontamination, op3_sharding, op4_toxicity, op5_quality, op6_nearest, op7_simhash, op8_line_dedup, op9_token_files, op10_warc, op11_personal_data, op12_fill_in_middle, op13_conversations)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
