@@ -153,13 +153,13 @@ class TokenFileReader:
 
 @functools.lru_cache(maxsize=2)
 def _words(path: str):
-    """The tokenizer, as the library reads it; packed ids of words; those among the words that don't end in a letter or number."""
+    """The tokenizer, as the library reads it, and packed ids of words."""
     import os
 
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
-    return Tokenizer.from_file(path), {}, set()
+    return Tokenizer.from_file(path), {}
 
 
 @functools.lru_cache(maxsize=2)
@@ -171,41 +171,10 @@ def _last_tokens(path: str) -> np.ndarray:
     return ends
 
 
-@functools.lru_cache(maxsize=2)
-def _added(path: str) -> list[str]:
-    """Strings that stand for one id of their own, wherever they are in a text."""
-    return [t.content for t in _words(path)[0].get_added_tokens_decoder().values()]
-
-
 #: Words that are one pre-token and that no normal form or lower-casing changes: small letters of Latin-1.
 PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
 
 
-def _ends_in_letter(word: str) -> bool:
-    """True if the last character is a letter or number of Latin-1: it composes with nothing behind it, so punctuation there
-    begins a pre-token of its own, before and after lower-casing."""
-    return word[-1:] < "\u0100" and word[-1:].isalnum()
-
-
-def _cut(text: str, added: list[str]) -> list[str] | None:
-    """The text's words in lower case, with the points and commas behind them apart; None if that could part what belongs together."""
-    t = text.replace("\n", " ")
-    try:
-        t.encode("latin-1")  # here lower-casing goes letter by letter and keeps the normal form
-    except UnicodeEncodeError:
-        pass
-    else:
-        t = t.lower()
-        if any(x in t for x in added):
-            return None
-    t = t.replace(". ", " . ").replace(", ", " , ")
-    if t[-1:] in (".", ","):
-        t = f"{t[:-1]} {t[-1]}"
-    if ". ," in t or ", ." in t or ". ." in t or ", ," in t:
-        return None
-    return t.split(" ")
-
-
 def _pieces(text: str) -> Iterator[str]:
     """A text in parts of about PIECE_CHARS characters, cut at blanks and line feeds, which are left out there."""
     at = 0
@@ -252,27 +221,16 @@ def encode_packed(texts: list[str], path: str, end_id: int | None, id_bytes: int
 
 
 def _packed_words(texts: list[str], path: str, dtype: np.dtype) -> list[bytes]:
-    """Packed ids of texts that are cut into words.
-
-    A point or comma behind a letter or number is a pre-token of its own and is cut off. A text in which one would be cut off
-    another character goes by blanks alone; so does one that in lower case holds an added token's string.
-    """
-    tokenizer, known, joined = _words(path)
-    added = _added(path)
-    cut = [_cut(t, added) or t.replace("\n", " ").split(" ") for t in texts]
+    """Packed ids of texts that are cut at blanks and line feeds. A word's ids are the library's for that word alone, so they
+    depend on nothing that the worker has met before."""
+    tokenizer, known = _words(path)
+    cut = [t.replace("\n", " ").split(" ") for t in texts]
     new = set().union(*cut).difference(known)
     if len(known) + len(new) > REMEMBERED:
         known.clear()
-        joined.clear()
         new = set().union(*cut)
     plain = [w for w in new if PLAIN.fullmatch(w)]
     rest = new.difference(plain)
-    joined.update(w for w in rest if not _ends_in_letter(w) and w not in ("", ".", ","))
-    for i, words in enumerate(cut):
-        if not joined.isdisjoint(words):
-            cut[i] = texts[i].replace("\n", " ").split(" ")
-            rest |= set(cut[i]).difference(known)
-    rest.difference_update(plain)
     # Many plain words share a call: a word ends where a token says so. Should the counts differ, each word has a call of its own.
     many = [plain[i : i + 500] for i in range(0, len(plain), 500)]
     for some, e in zip(many, tokenizer.encode_batch_fast([" ".join(p) for p in many], add_special_tokens=False), strict=True):
@@ -286,9 +244,9 @@ def _packed_words(texts: list[str], path: str, dtype: np.dtype) -> list[bytes]:
     for w, e in zip(single, tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
         known[w] = np.array(e.ids, dtype).tobytes()
     packed = [b"".join(map(known.__getitem__, words)) for words in cut]
-    for w in [w for w in (*plain, *single) if len(w) > REMEMBERED_CHARS]:
-        known.pop(w, None)
-        joined.discard(w)
+    for w in new:
+        if len(w) > REMEMBERED_CHARS:
+            del known[w]
     return packed
 
 

@@ -43,6 +43,33 @@ def test_encoding_by_words_equals_the_library(library):
         assert np.frombuffer(packed, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids + [1], repr(text)
 
 
+HISTORY = ["He met (Maria) and (Eva).", "(Maria), Łucja", 'She said "Yes" and "No".', '"Yes", she said, and didn’t go', "(A). Ł", "A) b", "x), y). Ω", "“Oui”, dit-il.", "“Oui”. Non", "it's (it's), Ł", "é), É), ñ!. Ł", "!? ., ?!"]
+
+
+@pytest.mark.parametrize("order", range(6))
+def test_ids_do_not_depend_on_what_came_before(library, order):
+    import random
+
+    r = random.Random(order)
+    words = ["Maria", "yes", "(Eva", "no)", '"Hm"', "Ł", "Ω", "é", "İ", "'s", "1", "..", ",,", "a.b", "“q”"]
+    texts = HISTORY + [" ".join(r.choice(words) + r.choice(["", "", ".", ",", ")", "),", "!."]) for _ in range(r.randrange(1, 9))) for _ in range(400)]
+    r.shuffle(texts)
+    tokenbin._words.cache_clear()
+    for text in texts:  # a call each
+        (packed,) = tokenbin.encode_packed([text], PATH, 1, 2)
+        assert np.frombuffer(packed, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids + [1], repr(text)
+
+
+def test_files_have_the_same_bytes_in_any_order(spark):
+    rows = [(i, t) for i, t in enumerate(HISTORY * 3)]
+    read = lambda m: [open(r.path.removeprefix("file://"), "rb").read() for r in m.orderBy("shard").collect()]
+    made = []
+    for some in (rows, rows[::-1]):
+        docs = spark.createDataFrame(some, "doc_id long, text string").repartition(2)
+        made.append(read(tokenbin.write_token_files(docs, PATH, tokenbin.new_dir(spark, "tokens"), shards=3)))
+    assert made[0] == made[1]
+
+
 def test_long_texts_go_in_pieces(library, monkeypatch):
     monkeypatch.setattr(tokenbin, "PIECE_CHARS", 50)
     monkeypatch.setattr(tokenbin, "PIECES_CHARS", 120)
