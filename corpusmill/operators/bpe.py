@@ -6,13 +6,10 @@ Tokens are lower-case hex in DataFrames (two digits a byte); hex sorts as the by
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +18,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.shared import discard, materialize
 from .names import reserve
+from .pieces import merged
+from .trainer import train_merges
 
 
-#: Distinct words that one task's memory holds with ease (some 500 bytes each).
-MOST_WORDS = 2_000_000
 #: Pre-tokens whose ids a task remembers.
 REMEMBERED = 500_000
 
@@ -69,113 +66,16 @@ def apply_deltas(counts: DataFrame, deltas: DataFrame) -> DataFrame:
     return counts.unionAll(deltas).groupBy("l", "r").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def train_by_steps(counted: DataFrame, merges: int, keep: int = 10) -> list[tuple[str, str, int]]:
-    """(left, right, count) of the first merges of a word_table(), each one a distributed step: for distinct words that don't fit in a task.
-
-    Pairs are counted once. A merge changes only the counts of pairs in the words that it touches; those changes are added to
-    the counts. Words stay distinct under merges, so their table needs no shuffle. Both tables are written to the shared folder
-    every `keep` merges, and the older ones removed.
-    """
-    words = materialize(spelled_words(counted), "bpe-words")
-    counts = materialize(pair_counts(words), "bpe-pairs")
-    base, found, old = [words, counts], [], []
-    for i in range(merges):
-        top = best_pair(counts).collect()  # one row
-        if not top:
-            break
-        left, right, n = top[0].l, top[0].r, top[0].n
-        found.append((left, right, n))
-        deltas = materialize(merge_deltas(words, left, right), "bpe-deltas")
-        old.append(deltas)
-        words = words.select(T.merge_pair(F.col("toks"), F.lit(left), F.lit(right)).alias("toks"), "n")
-        counts = apply_deltas(counts, deltas)
-        if i % keep == keep - 1:
-            words, counts = materialize(words, "bpe-words"), materialize(counts, "bpe-pairs")
-            for table in (*base, *old):
-                discard(table)
-            base, old = [words, counts], []
-    for table in (*base, *old):
-        discard(table)
-    return found
-
-
-class WordMerger:
-    """Merges over a table of distinct words, with pair counts kept up to date and an index from pairs to the words they occur in."""
-
-    def __init__(self, words: dict[bytes, int]):
-        self.tokens = [[bytes([b]) for b in w] for w in words]
-        self.times = list(words.values())
-        self.count: Counter = Counter()
-        self.places: defaultdict = defaultdict(set)
-        for i, tokens in enumerate(self.tokens):
-            for pair in zip(tokens, tokens[1:]):
-                self.count[pair] += self.times[i]
-                self.places[pair].add(i)
-        self.queue = [(-n, pair) for pair, n in self.count.items()]
-        heapify(self.queue)
-
-    def next_merge(self) -> tuple[bytes, bytes, int] | None:
-        """Do the most frequent merge (the smallest pair of equal ones); None if no pair is left."""
-        while self.queue:
-            n, pair = heappop(self.queue)
-            if self.count.get(pair) == -n:
-                self._merge(pair)
-                return *pair, -n
-        return None
-
-    def _merge(self, pair: tuple[bytes, bytes]) -> None:
-        left, right = pair
-        changed: Counter = Counter()
-        for i in self.places.pop(pair):
-            old = self.tokens[i]
-            new, k = [], 0
-            while k < len(old):
-                if k + 1 < len(old) and old[k] == left and old[k + 1] == right:
-                    new.append(left + right)
-                    k += 2
-                else:
-                    new.append(old[k])
-                    k += 1
-            if len(new) == len(old):
-                continue
-            for p in zip(old, old[1:]):
-                changed[p] -= self.times[i]
-            for p in zip(new, new[1:]):
-                changed[p] += self.times[i]
-                self.places[p].add(i)
-            self.tokens[i] = new
-        for p, by in changed.items():
-            if not by:
-                continue
-            now = self.count[p] + by
-            if now > 0:
-                self.count[p] = now
-                heappush(self.queue, (-now, p))
-            else:
-                del self.count[p]
-                self.places.pop(p, None)
-
-
-def train(docs: DataFrame, vocab_size: int, specials: list[str] = (), text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
+def train(docs: DataFrame, vocab_size: int, specials: list[str] = (), text_col: str = "text") -> DataFrame:
     """rank, l, r (hex), n of the merges up to a vocabulary of `vocab_size` (specials and the 256 bytes included).
 
-    Words are counted over the cluster. Up to `most_words` distinct ones, which grow far slower than the corpus, meet in one task;
-    beyond that each merge is a distributed step. Both give the same merges.
+    Words are counted over the cluster and stay there; see trainer.train_merges. Null and empty texts have no words; without
+    pairs there are no merges. The result has a row for each merge.
     """
-    wanted = max(0, vocab_size - 256 - len(specials))
     counted = materialize(word_table(docs, text_col), "bpe-words")
-    if counted.count() > most_words:
-        found = train_by_steps(counted, wanted)
-        return docs.sparkSession.createDataFrame([(i, *m) for i, m in enumerate(found)], "rank int, l string, r string, n long")
-
-    def run(words: pd.DataFrame) -> pd.DataFrame:
-        merger = WordMerger({w.encode(): int(n) for w, n in zip(words["word"], words["n"])})
-        rows = []
-        while len(rows) < wanted and (merge := merger.next_merge()):
-            rows.append((len(rows), merge[0].hex(), merge[1].hex(), merge[2]))
-        return pd.DataFrame(rows, columns=["rank", "l", "r", "n"])
-
-    return counted.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "rank int, l string, r string, n long")
+    found = train_merges(counted, vocab_size - 256 - len(specials))
+    discard(counted)
+    return docs.sparkSession.createDataFrame([(i, left.hex(), right.hex(), n) for i, (left, right, n) in enumerate(found)], "rank int, l string, r string, n long")
 
 
 @dataclass
@@ -208,38 +108,8 @@ class Tokenizer:
         return len(self.vocab)
 
     def merged(self, piece: bytes) -> list[bytes]:
-        """Tokens of a pre-token, in n log n steps: rank by rank, all places that had the rank's pair when its turn came.
-
-        Tokens are a chain over the places where they begin; a place that an earlier merge changed has another pair and is passed over.
-        """
-        token: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
-        after, before = list(range(1, len(piece) + 1)), list(range(-1, len(piece) - 1))
-        waiting: defaultdict = defaultdict(list)
-        ranks: list[int] = []
-
-        def wait(at: int) -> None:
-            if at >= 0 and after[at] < len(token):
-                rank = self.rank.get((token[at], token[after[at]]))
-                if rank is not None:
-                    if rank not in waiting:
-                        heappush(ranks, rank)
-                    waiting[rank].append(at)
-
-        for at in range(len(token) - 1):
-            wait(at)
-        while ranks:
-            rank = heappop(ranks)
-            pair = self.merges[rank]
-            for at in sorted(set(waiting.pop(rank))):
-                right = after[at]
-                if right < len(token) and (token[at], token[right]) == pair:
-                    token[at], token[right] = pair[0] + pair[1], None
-                    after[at] = after[right]
-                    if after[at] < len(token):
-                        before[after[at]] = at
-                    wait(before[at])
-                    wait(at)
-        return [t for t in token if t is not None]
+        """Tokens of a pre-token."""
+        return merged(piece, self.rank, self.merges)
 
     def packed(self, text: str, known: dict[str, bytes]) -> bytes:
         """Ids of a text without specials as 32-bit integers; `known` remembers pre-tokens."""

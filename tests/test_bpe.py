@@ -66,11 +66,6 @@ def test_training_equals_brute_force(docs):
     assert [(bytes.fromhex(r.l), bytes.fromhex(r.r), r.n) for r in rows] == brute_train(SENTENCES * 10, 330, SPECIALS)
 
 
-def test_stepwise_training_agrees(docs):
-    rows = sorted(bpe.train(docs, 256 + 12).collect())
-    assert [(r.l, r.r, r.n) for r in rows] == bpe.train_by_steps(bpe.word_table(docs), 12)
-
-
 @pytest.mark.parametrize("texts,size", [([], 300), (["a b c"], 400), (["x"], 100), (["ab ab"], 257), (["ba ab"], 257), (["aaaa"], 400), ([None, "", "zz"], 300)])
 def test_training_edges(spark, texts, size):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
