@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +21,8 @@ from .pieces import merged
 from .trainer import train_merges
 
 
-#: Pre-tokens whose ids a task remembers.
-REMEMBERED = 500_000
+#: Words of the dictionary that are broadcast, and the bytes of the longest of them: 32 MB at most, with their ids.
+HOT_WORDS, HOT_BYTES = 65_536, 64
 
 
 def word_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -72,7 +71,8 @@ def train(docs: DataFrame, vocab_size: int, specials: list[str] = (), text_col:
     Words are counted over the cluster and stay there; see trainer.train_merges. Null and empty texts have no words; without
     pairs there are no merges. The result has a row for each merge.
     """
-    counted = materialize(word_table(docs, text_col), "bpe-words")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = materialize(word_table(docs, text_col).repartition(parts), "bpe-words")  # even parts: a round is as long as its longest
     found = train_merges(counted, vocab_size - 256 - len(specials))
     discard(counted)
     return docs.sparkSession.createDataFrame([(i, left.hex(), right.hex(), n) for i, (left, right, n) in enumerate(found)], "rank int, l string, r string, n long")
@@ -111,55 +111,76 @@ class Tokenizer:
         """Tokens of a pre-token."""
         return merged(piece, self.rank, self.merges)
 
-    def packed(self, text: str, known: dict[str, bytes]) -> bytes:
-        """Ids of a text without specials as 32-bit integers; `known` remembers pre-tokens."""
-        pieces = self.words.findall(text)
-        new = set(pieces).difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = set(pieces)
-        known.update((piece, self._ids(piece)) for piece in new)
-        return b"".join(map(known.__getitem__, pieces))
-
-    def _ids(self, piece: str) -> bytes:
-        return np.array([self.ids[t] for t in self.merged(piece.encode())], np.int32).tobytes()
+    def piece_ids(self, piece: str) -> list[int]:
+        """Ids of a pre-token, or of a special token, which is one id."""
+        return [self.ids[piece.encode()]] if piece in self.specials else [self.ids[t] for t in self.merged(piece.encode())]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text. Where two specials begin at one place, the first of the list is meant."""
-        return self.encoded(text, {}).tolist()
-
-    def encoded(self, text: str, known: dict[str, bytes]) -> np.ndarray:
-        """The same as an array; `known` remembers pre-tokens."""
-        parts, at = [], 0
-        for special in self.special.finditer(text):
-            parts += [self.packed(text[at : special.start()], known), np.array([self.ids[special.group().encode()]], np.int32).tobytes()]
-            at = special.end()
-        parts.append(self.packed(text[at:], known))
-        return np.frombuffer(b"".join(parts), np.int32)
+        out, at = [], 0
+        for special in (*self.special.finditer(text), None):
+            for piece in self.words.findall(text[at : special.start() if special else len(text)]):
+                out += [self.ids[t] for t in self.merged(piece.encode())]
+            if special:
+                out.append(self.ids[special.group().encode()])
+                at = special.end()
+        return out
 
     def decode(self, ids) -> str:
         return b"".join(self.vocab[i] for i in map(int, ids)).decode("utf-8", "replace")
 
 
-def encode_documents(docs: DataFrame, tokenizer: Tokenizer, *, end: str | None = None, text_col: str = "text") -> DataFrame:
-    """`docs` with ids (array<int>) in place of the text, ending with the id of the special token `end` if one is named.
+def _pieces(text: Column, specials: list[str]) -> Column:
+    """array<string>: pre-tokens and special tokens of a text, in order."""
+    specials = [s for s in specials if s]
+    if not specials:
+        return T.pretokens(text)
+    parts = F.transform(T.split_specials(text, specials), lambda p: F.when(T.is_special(p, specials), F.array(p)).otherwise(T.pretokens(p)))
+    return F.when(F.greatest(*[F.contains(text, F.lit(s)) for s in specials], F.lit(False)), F.flatten(parts)).otherwise(T.pretokens(text))
 
-    Null text counts as empty. An input column `ids` would clash and raises. The tokenizer (one row an id) is broadcast; equal
-    pre-tokens are merged once a task.
-    """
-    reserve(docs, "ids")
+
+def dictionary(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> DataFrame:
+    """word, n, code: each distinct pre-token (and special token) of the documents, how often it occurs, and its ids; written to the
+    shared folder. Each is encoded once in the whole cluster."""
+    words = docs.select(F.explode(_pieces(F.col(text_col), tokenizer.specials)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
-    tail = np.array([] if end is None else [tokenizer.ids[end.encode()]], np.int32)
 
-    @F.arrow_udf("array<int>")
-    def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own, known = shared.value, {}
-        for part in texts:
-            found = [x for t in part for x in (own.encoded(t.as_py() or "", known), tail)]
-            ends = np.cumsum([0, *(len(found[i]) + len(tail) for i in range(0, len(found), 2))], dtype=np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, tail[:0]])))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            codes = pa.array([own.piece_ids(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, codes], ["word", "n", "code"])
 
-    return docs.withColumn("ids", ids(F.col(text_col))).drop(text_col)
+    return materialize(words.mapInArrow(run, "word string, n long, code array<int>"), "bpe-dictionary")
+
+
+def encode_documents(docs: DataFrame, tokenizer: Tokenizer, *, end: str | None = None, text_col: str = "text", key: str = "doc_id", hot_words: int = HOT_WORDS) -> DataFrame:
+    """`docs` with ids (array<int>) in place of the text, ending with the id of the special token `end` if one is named.
+
+    A dictionary join: the most frequent words of at most HOT_BYTES (a bounded table) are broadcast, so that their occurrences get
+    their ids where they are; a document's other words are joined with the dictionary and put in their places. What is shuffled
+    are ids and rare words. Rows are known by hashes of key and text, so keys may repeat or be null, and rows too; null text
+    counts as empty. An input column `ids` would clash and raises.
+    """
+    reserve(docs, "ids", "g_", "t_")
+    table = dictionary(docs, tokenizer, text_col)
+    hot = table.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(hot_words)
+    named = [F.xxhash64(key, text_col).alias("g_"), F.xxhash64(text_col).alias("t_")]
+    found = docs.select(*named, F.posexplode(_pieces(F.col(text_col), tokenizer.specials)).alias("at", "word"))
+    coded = found.join(F.broadcast(hot.select("word", "code")), "word", "left")
+    part = F.struct("at", "code", F.when(F.col("code").isNull(), F.col("word")).alias("word"))
+    parts = coded.groupBy("g_", "t_").agg(F.collect_list(part).alias("parts"))
+    rare = parts.select("g_", "t_", F.explode(F.filter("parts", lambda p: p["word"].isNotNull())).alias("p")).select("g_", "t_", "p.at", "p.word")
+    filled = rare.join(table.select("word", "code"), "word").groupBy("g_", "t_").agg(F.collect_list(F.struct("at", "code")).alias("rare"))
+    known = F.transform(F.filter("parts", lambda p: p["word"].isNull()), lambda p: F.struct(p["at"].alias("at"), p["code"].alias("code")))
+    both = F.array_sort(F.concat(known, F.coalesce("rare", F.array().cast("array<struct<at:int,code:array<int>>>"))))
+    copies = F.greatest(F.lit(1), F.size(F.filter("parts", lambda p: p["at"] == 0)))  # rows that are equal have all places as often
+    ids = parts.join(filled, ["g_", "t_"], "left").withColumn("copies", copies).withColumn("both", both)
+    ids = ids.select("g_", "t_", F.flatten(F.transform(F.filter("both", lambda p, i: i % F.col("copies") == 0), lambda p: p["code"])).alias("ids"))
+    tail = F.array(*[F.lit(tokenizer.ids[end.encode()])] if end is not None else []).cast("array<int>")
+    rows = docs.select(*named, *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    joined = rows.join(ids, ["g_", "t_"], "left").drop("g_", "t_")
+    return joined.withColumn("ids", F.concat(F.coalesce("ids", F.array().cast("array<int>")), tail))
 
 
 def vocab_frame(spark: SparkSession, tokenizer: Tokenizer) -> DataFrame:

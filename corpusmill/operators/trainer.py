@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .pieces import Pair, merged
 
 #: Merges that a round proposes, and pairs that the driver follows.
-ROW, CANDIDATES = 256, 8192
+ROW, CANDIDATES = 256, 2048
 #: The most frequent words, on which the driver makes its first guess.
 GUESS_WORDS = 20_000
 #: Changes that a task adds up before it hands them on.
@@ -166,14 +166,14 @@ class Followed:
     """What a round measured of the pairs with the highest counts: enough to say which of its merges are right."""
 
     def __init__(self, rows: list, turns: int):
-        """`rows`: l, r, highest, changes, by highest count, then bytes; all pairs, or one more than CANDIDATES."""
+        """`rows`: l, r, highest, turns, changes, by highest count, then bytes; all pairs, or one more than CANDIDATES."""
         self.cut = (rows[-1].highest, (bytes(rows[-1].l), bytes(rows[-1].r))) if len(rows) > CANDIDATES else (0, (b"", b""))
         rows = sorted(rows[:CANDIDATES], key=lambda r: (bytes(r.l), bytes(r.r)))
         self.pairs = [(bytes(r.l), bytes(r.r)) for r in rows]
         self.count = np.zeros(len(rows), np.int64)  # before the merge whose turn it is
         self.change = np.zeros((turns, len(rows)), np.int64)
         for k, r in enumerate(rows):
-            for turn, n in r.changes:
+            for turn, n in zip(r.turns, r.changes):
                 if turn < 0:
                     self.count[k] = n
                 else:
@@ -235,7 +235,7 @@ def train_merges(words: DataFrame, wanted: int) -> list[tuple[bytes, bytes, int]
     while len(found) < wanted:
         known = [m[:2] for m in found]
         top = measured(words, known, row).withColumn("highest", running).orderBy(F.desc("highest"), "l", "r").limit(CANDIDATES + 1)
-        followed = Followed(top.select("l", "r", "highest", "changes").collect(), len(row))
+        followed = Followed(top.select("l", "r", "highest", "changes.turn", "changes.n").toDF("l", "r", "highest", "turns", "changes").collect(), len(row))
         proven = followed.proven(row)
         found += proven[: wanted - len(found)]
         if followed.exhausted():

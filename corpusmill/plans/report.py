@@ -12,7 +12,7 @@ from ..operators import bpe, model
 def generated(prompts: DataFrame, tokenizer: bpe.Tokenizer, params: dict[str, np.ndarray], n_heads: int, **options) -> DataFrame:
     """key, prompt, output of `prompts` (key, prompt): encoded, continued by the decoder, and decoded again, the prompt included."""
     spark = prompts.sparkSession
-    ids = bpe.encode_documents(prompts.select("key", F.col("prompt").alias("text")), tokenizer)
+    ids = bpe.encode_documents(prompts.select("key", F.col("prompt").alias("text")), tokenizer, key="key")
     drawn = model.generate(ids, params, n_heads, **options).select("key", F.col("output").alias("ids"))
     texts = bpe.decode_documents(drawn, bpe.vocab_frame(spark, tokenizer), "key")
     return prompts.select("key", "prompt").join(texts.withColumnRenamed("text", "output"), "key")

@@ -39,7 +39,7 @@ def test_equal_to_brute_force_on_random_corpora(spark, seed):
     assert trainer.train_merges(table(spark, texts), 120) == brute_train(texts, 256 + 120, [])
 
 
-@pytest.mark.parametrize("row, candidates", [(1, 8192), (3, 8192), (7, 5), (40, 1), (40, 30)])
+@pytest.mark.parametrize("row, candidates", [(1, 2048), (3, 2048), (7, 5), (40, 1), (40, 30)])
 def test_any_row_and_few_followed_pairs_give_the_same(spark, monkeypatch, row, candidates):
     monkeypatch.setattr(trainer, "ROW", row)
     monkeypatch.setattr(trainer, "CANDIDATES", candidates)
