@@ -25,10 +25,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batch_of, own_columns, slices
+from .common import batch_of, only, own_columns, slices
 
 #: Longest pre-token (bytes) and most pre-tokens whose ids a worker remembers; memory stays near 250 bytes times the latter.
-REMEMBERED_BYTES, REMEMBERED = 48, 700_000
+REMEMBERED_BYTES, REMEMBERED = 48, 500_000
 LONG_TEXT = 1 << 20  # characters of a text, or ids, that are worked on at once
 
 
@@ -217,6 +217,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
     """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers), one row for each row of `docs`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("bpe", codec.cache_clear)
         own = codec(path, pattern)
         for batch in batches:
             for part in slices(batch, 1):
@@ -231,6 +232,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("bpe", codec.cache_clear)
         own = codec(path, pattern)
         for batch in batches:
             texts = [own.decode(unpack(x.as_py() or b"")).decode("utf-8", "replace") for x in batch.column(1)]
@@ -247,6 +249,7 @@ def digest_documents(docs: DataFrame, path: str, pattern: str, *, keep_ids: bool
     schema = DIGEST.append(pa.field("ids", pa.binary())) if keep_ids else DIGEST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("bpe", codec.cache_clear)
         own = codec(path, pattern)
         for part in (p for batch in batches for p in slices(batch, 1)):
             out: dict[str, list] = {name: [] for name in schema.names}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -34,6 +36,26 @@ def slices(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 8 <<
         yield batch.slice(begin)
 
 
+_forgets: dict[str, Callable[[], None]] = {}
+
+
+def only(owner: str, forget: Callable[[], None]) -> None:
+    """Called where a task begins: what other operators remember in this worker process is dropped (by the `forget` that each gave).
+
+    Spark keeps worker processes from stage to stage; so one holds the memory of one operator, however many ran before.
+    """
+    others = [name for name in _forgets if name != owner]
+    for name in others:
+        _forgets.pop(name)()
+    _forgets[owner] = forget
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+        if trim:
+            trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, kept_rows, new_dir, open_fs, own_columns, slices, temporary, write_atomically
-from .words import joined, mix, odd, word_hashes
+from .common import batch_of, kept_rows, new_dir, only, open_fs, own_columns, slices, temporary, write_atomically
+from .words import forget, joined, mix, odd, word_hashes
 
 MASKS = ("11111", "110111", "11010011", "1011100101", "110010100111")
 SHORT_MASKS = ("111", "1101", "1011")  # for items of 5 to 7 words
@@ -82,18 +82,27 @@ class Index:
         self.ids = [i for i, _ in kept]
         self.words = [w for _, w in kept]
         self.reach = least_words - 1
-        entries: dict[str, list[tuple]] = {}
-        for number, w in enumerate(self.words):
-            for shape in masks_of(len(w)):
-                key = seed_keys(w, shape)
-                around = surroundings(w, np.arange(len(key)), len(shape), self.reach)
-                first = np.sort(np.unique(np.stack([key, around]), axis=1, return_index=True)[1])
-                entries.setdefault(shape, []).append((key[first], np.full(len(first), number, np.int32), first.astype(np.int32)))
         self.parts = {}
-        for shape, held in sorted(entries.items()):
-            key, item, at = map(np.concatenate, zip(*held))
-            order = np.argsort(key, kind="stable")
-            self.parts[shape] = key[order], item[order], at[order]
+        for shape in sorted({*MASKS, *SHORT_MASKS, *WHOLE_MASKS}):
+            numbers = np.array([i for i, w in enumerate(self.words) if shape in masks_of(len(w))], np.int64)
+            if len(numbers):
+                self.parts[shape] = self._entries(numbers, shape)
+
+    def _entries(self, numbers: np.ndarray, shape: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, item and place of a mask's windows in some items, by key; all items at once, side by side and too far apart to meet."""
+        flat, begins = joined([self.words[i] for i in numbers], self.reach + len(shape))
+        key = seed_keys(flat, shape)
+        place = np.arange(len(key))
+        item = np.searchsorted(begins, place, "right") - 1
+        at = place - begins[item]
+        inside = at + len(shape) <= np.array([len(self.words[i]) for i in numbers])[item]
+        key, item, at = key[inside], item[inside], at[inside]
+        around = surroundings(flat, place[inside], len(shape), self.reach)
+        order = np.lexsort((at, around, item, key))
+        same = (np.diff(key[order]) == 0) & (np.diff(item[order]) == 0) & (np.diff(around[order]) == 0)
+        kept = order[np.concatenate([[True], ~same])] if len(order) else order
+        kept = kept[np.lexsort((at[kept], item[kept], key[kept]))]
+        return key[kept], numbers[item[kept]].astype(np.int32), at[kept].astype(np.int32)
 
     def filters(self) -> dict[str, np.ndarray]:
         """For each mask, which low bits of a hash occur: most windows end here."""
@@ -173,6 +182,24 @@ class Searcher:
         return best
 
 
+def _forget() -> None:
+    _searcher.cache_clear()
+    forget()
+
+
+def _gathered(groups: Iterator[list[np.ndarray]], most: int = 4_000_000) -> Iterator[list[list[np.ndarray]]]:
+    """Groups together, of some `most` words: each block of the benchmark is read once for all of them."""
+    held, size = [], 0
+    for group in groups:
+        held.append(group)
+        size += sum(map(len, group))
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _grouped(texts: pa.Array) -> Iterator[list[np.ndarray]]:
     """The words of the texts, some BATCH_WORDS at once."""
     held, size = [], 0
@@ -219,15 +246,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, least_words: int = 13, si
     blocks = _blocks(benchmark, least_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for batch in batches for p in slices(batch, 2)):
-            at, ids, hashes = 0, part.column(0).to_pylist(), part.column(1).to_pylist()
-            for docs in _grouped(part.column(2)):
+        only("decontam", _forget)
+        for part in (p for batch in batches for p in slices(batch, 2, rows=1 << 16, size=32 << 20)):
+            done, ids, hashes = 0, part.column(0).to_pylist(), part.column(1).to_pylist()
+            for groups in _gathered(_grouped(part.column(2))):
                 for uri in blocks:
-                    find = _searcher(uri, least_words, similarity)
-                    rows = [(ids[at + d], hashes[at + d], find.index.ids[i], b[2], b[3], b[1], b[0]) for (d, i), b in sorted(find(docs).items())]
-                    if rows:
-                        yield batch_of(dict(zip(FOUND.names, map(list, zip(*rows)))), FOUND)
-                at += len(docs)
+                    find, at = _searcher(uri, least_words, similarity), done
+                    for docs in groups:
+                        rows = [(ids[at + d], hashes[at + d], find.index.ids[i], b[2], b[3], b[1], b[0]) for (d, i), b in sorted(find(docs).items())]
+                        if rows:
+                            yield batch_of(dict(zip(FOUND.names, map(list, zip(*rows)))), FOUND)
+                        at += len(docs)
+                done += sum(map(len, groups))
 
     return own.mapInArrow(run, FOUND_DDL).distinct()
 
@@ -237,11 +267,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, least_words: int = 1
     blocks = _blocks(benchmark, least_words)
 
     def judge():
+        only("decontam", _forget)
+
         def keep(texts: pa.Array) -> list[bool]:
             out: list[bool] = []
-            for words in _grouped(texts):
-                bad = {d for uri in blocks for d, _ in _searcher(uri, least_words, similarity)(words)}
-                out += [d not in bad for d in range(len(words))]
+            for groups in _gathered(_grouped(texts)):
+                bad: list[set[int]] = [set() for _ in groups]
+                for uri in blocks:
+                    find = _searcher(uri, least_words, similarity)
+                    for known, docs in zip(bad, groups):
+                        known |= {d for d, _ in find(docs)}
+                out += [d not in known for known, docs in zip(bad, groups) for d in range(len(docs))]
             return out
 
         return keep

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import batch_of, join_hot, materialize, own_columns, partitions, slices
+from .common import batch_of, join_hot, materialize, only, own_columns, partitions, slices
 from .components import components
 from .words import mix
 
@@ -228,6 +228,7 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many texts of a sample hold, sorted, and how many hold each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("neardup", _hashes.clear)
         for batch in batches:
             for t in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], ["key"])
@@ -244,6 +245,7 @@ def _keyed(texts: DataFrame) -> DataFrame:
     common = texts.sparkSession.sparkContext.broadcast(_common(texts))  # MOST_OFTEN numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("neardup", _hashes.clear)
         often, count = common.value
         seen, held, size = set(), [], 0
 
@@ -289,6 +291,7 @@ def _sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     wanted = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("neardup", _hashes.clear)
         bits, seen = wanted.value, set()
         for batch in batches:
             for part in slices(batch, 1):

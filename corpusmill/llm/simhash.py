@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, join_hot, materialize, own_columns, partitions, place, slices
+from .common import batch_of, join_hot, materialize, only, own_columns, partitions, place, slices
 from .components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -190,6 +190,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """doc_id, text_hash, fp (the fingerprint's bits as a signed long), one row for each row of `docs`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("simhash", lambda: None)
         for batch in batches:
             for part in slices(batch, 2):
                 found = np.array([fingerprint(t.as_py(), words) for t in part.column(2)], np.uint64).view(np.int64)

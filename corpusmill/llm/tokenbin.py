@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialize, new_dir, open_fs, own_columns, partitions, slices, temporary, write_atomically
+from .common import batch_of, materialize, new_dir, only, open_fs, own_columns, partitions, slices, temporary, write_atomically
 
 # Fixed values of the zstd seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -300,6 +300,7 @@ def write_token_files(docs: DataFrame, path: str, out_dir: str, *, end_id: int |
     width = id_width(path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("tokenbin", _words.cache_clear)
         for batch in batches:
             for part in slices(batch, 1):
                 ids = encode_packed([t or "" for t in part.column(1).to_pylist()], path, end_id, width)

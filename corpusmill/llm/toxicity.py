@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, kept_rows, own_columns, slices
-from .words import joined, mix, odd, word_hashes
+from .common import batch_of, kept_rows, only, own_columns, slices
+from .words import forget, joined, mix, odd, word_hashes
 
 BITS = 22
 TRAIN_DOCS, TRAIN_BYTES = 10_000, 32 << 20
@@ -105,7 +105,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, most_byt
     known = own_columns(labels, doc_id="doc_id", label=label).selectExpr("CAST(doc_id AS BIGINT) doc_id", "CAST(label AS INT) label").where("doc_id IS NOT NULL AND label IN (0, 1)")
     own = own_columns(docs, doc_id="doc_id", text="text").selectExpr("CAST(doc_id AS BIGINT) doc_id", "text")
     first = known.where(~held_out(F.col("doc_id"))).distinct().join(own.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
-    sizes = own.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(F.broadcast(first), "doc_id")  # `most` pairs of numbers
+    sizes = own.join(F.broadcast(first), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))  # `most` pairs of numbers
     rows = sizes.groupBy("doc_id", "label").agg(F.min(F.struct("h", "size")).alias("k")).select("doc_id", "label", "k.h", "k.size").orderBy(F.xxhash64("doc_id"), "doc_id", "label").collect()
     fits, held = [], 0
     for r in rows:
@@ -115,7 +115,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, most_byt
     if len(fits) < len(rows):
         logging.getLogger(__name__).warning("%d of %d labelled texts are too long to learn from", len(rows) - len(fits), len(rows))
     picked = docs.sparkSession.createDataFrame(fits, "doc_id long, label int, text_hash long")
-    return own.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "text_hash"]).select("doc_id", "label", "text_hash", "text")
+    return own.join(F.broadcast(picked), "doc_id").where(F.xxhash64("text") == F.col("text_hash")).select("doc_id", "label", "text_hash", "text")
 
 
 def once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str | None]]:
@@ -135,10 +135,12 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int
     model_schema = pa.schema([("at", pa.binary()), ("weights", pa.binary()), ("bias", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("words", forget)
         for doc_id, y, text in once(batches):
             yield batch_of({"doc_id": [doc_id], "label": [y], "at": [features(text).tobytes()]}, examples_schema)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("learning", lambda: None)
         rows = [(i.as_py(), y.as_py(), np.frombuffer(at.as_buffer(), np.uint32)) for b in batches for i, y, at in zip(*b.columns)]  # views, no copies
         rows.sort(key=lambda e: e[:2])
         at, weights, bias = fit([(at, y) for _, y, at in rows])
@@ -197,6 +199,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, id_co
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("words", forget)
         scorer = Scorer(shared.value)
         for batch in batches:
             for part in slices(batch, 2):
@@ -220,6 +223,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, te
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def judge():
+        only("words", forget)
         scorer = Scorer(shared.value)
         return lambda texts: scorer(texts) < threshold
 

@@ -24,6 +24,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+forget = _hashes.clear
 
 
 def _parts(text: str) -> Iterator[str]:
