@@ -4,37 +4,71 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .names import reserve
+from .stream import range_of
 
 
-def running_best(log: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:
+def _blocks(log: DataFrame, by: list[str], order: list[str], buckets: int | None) -> DataFrame:
+    """`log` with run_ (all of `by`; nulls are a value) and block_: the rows' first order column cut at its quantiles, nulls first.
+
+    A run's rows of one block are what a task sees at once; so a run of most rows is many tasks' work. `order[0]` is a number or a time.
+    """
+    buckets = buckets or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = log.agg(F.percentile_approx(order[0], [i / buckets for i in range(1, buckets)] or [0.5], 100 * buckets).alias("b")).first().b or []
+    block = F.coalesce(range_of(F.col(order[0]), sorted(set(bounds))) + F.lit(1), F.lit(0)) if bounds else F.lit(0)
+    return log.withColumn("run_", F.struct(*by)).withColumn("block_", F.when(F.col(order[0]).isNull(), 0).otherwise(block))
+
+
+def _inside(order: list[str]) -> WindowSpec:
+    return Window.partitionBy("run_", "block_").orderBy(*order)
+
+
+def _blocks_before() -> WindowSpec:
+    return Window.partitionBy("run_").orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running_best(log: DataFrame, value: str, order: list[str], by: list[str], buckets: int | None = None) -> DataFrame:
     """`log` with best (the least value so far, this row's included) and improved (strictly less than all before).
 
-    NaN never improves; it doesn't count for the best.
+    NaN and null never improve; they don't count for the best. A prefix minimum in two levels: a row for each run and block with
+    what comes before the block, and a window inside it.
     """
-    reserve(log, "improved", "best")
-    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    reserve(log, "improved", "best", "run_", "block_", "prior_", "carry_", "least_")
+    rows = _blocks(log, by, order, buckets)
     number = F.when(~F.isnan(value), F.col(value))
-    prior = F.min(number).over(before)
+    least = rows.groupBy("run_", "block_").agg(F.min(number).alias("least_"))
+    carry = least.select("run_", "block_", F.min("least_").over(_blocks_before()).alias("carry_"))
+    before = _inside(order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.withColumn("prior_", F.min(number).over(before)).join(carry, ["run_", "block_"])
+    prior = F.least("prior_", "carry_")
     improved = F.coalesce(number.isNotNull() & (prior.isNull() | (number < prior)), F.lit(False))
-    return log.withColumn("improved", improved).withColumn("best", F.when(improved, F.col(value)).otherwise(prior))
+    found = joined.withColumn("improved", improved).withColumn("best", F.when(F.col("improved"), F.col(value)).otherwise(prior))
+    return found.drop("run_", "block_", "prior_", "carry_")
 
 
-def early_stop(log: DataFrame, patience: int, order: list[str], by: list[str]) -> DataFrame:
-    """A running_best() log up to and with the row where `patience` rows in a row didn't improve (0: all), and `stale`, their number."""
-    reserve(log, "rn_", "stale", "hit_")
-    rows = Window.partitionBy(*by).orderBy(*order)
-    upto = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = log.withColumn("rn_", F.row_number().over(rows))
-    counted = counted.withColumn("stale", F.col("rn_") - F.coalesce(F.max(F.when(F.col("improved"), F.col("rn_"))).over(upto), F.lit(0)))
+def early_stop(log: DataFrame, patience: int, order: list[str], by: list[str], buckets: int | None = None) -> DataFrame:
+    """A running_best() log up to and with the row where `patience` rows in a row didn't improve (0: all), and `stale`, their number.
+
+    Row numbers and the last improvement's number come in two levels, as in running_best(); the first row that stops a run is a
+    minimum by run.
+    """
+    reserve(log, "rn_", "stale", "run_", "block_", "in_", "last_", "rows_", "start_", "before_", "stop_")
+    rows = _blocks(log, by, order, buckets).withColumn("in_", F.row_number().over(_inside(order)).cast("long"))
+    better = F.when(F.col("improved"), F.col("in_"))
+    sums = rows.groupBy("run_", "block_").agg(F.count("*").alias("rows_"), F.max(better).alias("last_"))
+    started = sums.withColumn("start_", F.coalesce(F.sum("rows_").over(_blocks_before()), F.lit(0)))
+    carry = started.select("run_", "block_", "start_", F.max(F.col("start_") + F.col("last_")).over(_blocks_before()).alias("before_"))
+    upto = _inside(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = rows.withColumn("last_", F.max(better).over(upto)).join(carry, ["run_", "block_"])
+    last = F.coalesce(F.col("start_") + F.col("last_"), "before_", F.lit(0))
+    counted = joined.withColumn("rn_", F.col("start_") + F.col("in_")).withColumn("stale", F.col("rn_") - last).drop("block_", "in_", "last_", "start_", "before_")
     if patience:
-        before = rows.rowsBetween(Window.unboundedPreceding, -1)
-        hit = F.coalesce(F.max(F.col("stale")).over(before), F.lit(0)) >= patience
-        counted = counted.withColumn("hit_", hit).where(~F.col("hit_")).drop("hit_")
-    return counted.drop("rn_")
+        stops = counted.where(F.col("stale") >= patience).groupBy("run_").agg(F.min("rn_").alias("stop_"))
+        counted = counted.join(stops, "run_", "left").where(F.col("stop_").isNull() | (F.col("rn_") <= F.col("stop_"))).drop("stop_")
+    return counted.drop("run_", "rn_")
 
 
 def batch_means(losses: DataFrame, value: str, batch: Column, by: list[str]) -> DataFrame:

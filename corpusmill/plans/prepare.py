@@ -39,4 +39,4 @@ def prepare(
     cut = F.col("train").cast("int")
     train = sides.select("doc_id", F.slice("ids", F.lit(1), cut).alias("ids"))
     val = sides.select("doc_id", F.slice("ids", cut + 1, F.greatest(F.lit(0), F.size("ids") - cut)).alias("ids"))
-    return Prepared(tokenizer, tokens, stream.shuffled_batches(stream.chunks(train, block), batch, seed), stream.chunks(val, block))
+    return Prepared(tokenizer, tokens, stream.permuted_batches(stream.chunks(train, block), batch, seed), stream.chunks(val, block))

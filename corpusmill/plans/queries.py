@@ -116,7 +116,7 @@ _MERGED = f"SELECT replace(toks, '<' || l || '><' || r || '>', '<' || l || r ||
 
 @query(f"SELECT toks, CAST(sum(n) AS BIGINT) AS n FROM ({_MERGED}) GROUP BY toks")
 def merge_once(spark, sf_dir):
-    words = _words(spark, sf_dir)
+    words = shared.materialize(_words(spark, sf_dir), "words")  # read twice
     top = bpe.best_pair(bpe.pair_counts(words)).first()
     return bpe.merge_step(words, top.l, top.r)
 
@@ -124,33 +124,48 @@ def merge_once(spark, sf_dir):
 @query(_of(_PAIRS, _MERGED))
 def pair_deltas(spark, sf_dir):
     """Pair counts after the first merge, by deltas of the words that it touches."""
-    words = _words(spark, sf_dir)
+    words = shared.materialize(_words(spark, sf_dir), "words")  # read twice
     counts = bpe.pair_counts(words)
     top = bpe.best_pair(counts).first()
     return bpe.apply_deltas(counts, bpe.merge_deltas(words, top.l, top.r))
 
 
+MERGES = 200
+_trained: dict[tuple[str, str], list[tuple]] = {}  # an application's merges by table: trained once, for all queries
+
+
+def _merges(spark, sf_dir) -> list[tuple]:
+    at = spark.sparkContext.applicationId, sf_dir
+    if at not in _trained:
+        _trained[at] = sorted(tuple(r) for r in bpe.train(read(spark, sf_dir, "documents"), 256 + 1 + MERGES, [END]).collect())
+    return _trained[at]
+
+
+def _tokenizer(spark, sf_dir) -> bpe.Tokenizer:
+    return bpe.Tokenizer.from_merges([(bytes.fromhex(left), bytes.fromhex(right)) for _, left, right, _ in _merges(spark, sf_dir)], [END])
+
+
 @query()
 def bpe_train(spark, sf_dir):
-    return bpe.train(read(spark, sf_dir, "documents"), 256 + 1 + 200, [END])
+    return spark.createDataFrame(_merges(spark, sf_dir), "rank int, l string, r string, n long")
 
 
 @query()
 def bpe_vocab(spark, sf_dir):
-    tokenizer = bpe.Tokenizer.train(read(spark, sf_dir, "documents"), 256 + 1 + 200, [END])
+    tokenizer = _tokenizer(spark, sf_dir)
     return bpe.vocab_frame(spark, tokenizer).select("id", F.lower(F.hex("token")).alias("token"))
 
 
 @query()
 def bpe_encode(spark, sf_dir):
-    tokenizer = bpe.Tokenizer.train(read(spark, sf_dir, "documents"), 256 + 1 + 200, [END])
+    tokenizer = _tokenizer(spark, sf_dir)
     return bpe.encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, end=END)
 
 
 @query(f"SELECT doc_id, text || '{END}' AS text FROM documents")
 def bpe_decode(spark, sf_dir):
     """Decoded ids of every document, which are its text and the end token."""
-    tokenizer = bpe.Tokenizer.train(read(spark, sf_dir, "documents"), 256 + 1 + 200, [END])
+    tokenizer = _tokenizer(spark, sf_dir)
     ids = bpe.encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, end=END)
     return bpe.decode_documents(ids, bpe.vocab_frame(spark, tokenizer), "doc_id")
 
@@ -176,12 +191,12 @@ def join_docs(spark, sf_dir):
 
 # --- the token stream (ids are bytes, 256 ends a document)
 
-_SIZES = "SELECT doc_id, octet_length(encode(text)) + 1 AS n FROM documents"
+_SIZES = "SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS n FROM documents"
 _OFFSETS = f"SELECT doc_id, CAST(n AS BIGINT) AS n, CAST(coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM ({_SIZES})"
 
 
 def _sizes(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", (F.octet_length("text") + 1).cast("long").alias("n"))
+    return read(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("n"))
 
 
 @query(_OFFSETS)
@@ -210,11 +225,16 @@ def split_share(spark, sf_dir):
     return _split(spark, sf_dir, stream.split_share)
 
 
-# The stream as four hex digits a token (0100 ends a document), cut into chunks.
-_STREAM = "SELECT string_agg(regexp_replace(lower(hex(encode(text))), '(..)', '00\\1', 'g') || '0100', '' ORDER BY doc_id) AS s FROM documents"
+# Each document's ids as four hex digits a token (0100 ends it), cut where chunks begin and end; a chunk's parts joined in order.
+_CUTS = (
+    f"WITH d AS (SELECT doc_id, n, \"offset\" AS o, regexp_replace(lower(hex(encode(coalesce(text, '')))), '(..)', '00\\1', 'g') || '0100' AS h FROM ({_OFFSETS}) JOIN (SELECT doc_id, text FROM documents) USING (doc_id)), "
+    f"c AS (SELECT *, unnest(range(greatest(0, (o - 1) // {BLOCK}), (o + n - 1) // {BLOCK} + 1)) AS c FROM d), "
+    f"p AS (SELECT c, o, substr(h, 4 * greatest(0, c * {BLOCK} - o) + 1, 4 * (least(n, c * {BLOCK} + {BLOCK + 1} - o) - greatest(0, c * {BLOCK} - o))) AS h FROM c), "
+    "w AS (SELECT c, string_agg(h, '' ORDER BY o) AS w FROM p WHERE h <> '' GROUP BY c) "
+)
 
 
-@query(f"SELECT CAST(c AS BIGINT) AS chunk_id, substr(s, 4 * {BLOCK} * c + 1, 4 * {BLOCK}) AS x, substr(s, 4 * {BLOCK} * c + 5, 4 * {BLOCK}) AS y FROM ({_STREAM}), LATERAL (SELECT unnest(range((length(s) // 4 - 1) // {BLOCK})) AS c)")
+@query(f"{_CUTS}SELECT CAST(c AS BIGINT) AS chunk_id, substr(w, 1, {4 * BLOCK}) AS x, substr(w, 5, {4 * BLOCK}) AS y FROM w WHERE length(w) = {4 * BLOCK + 4}")
 def chunks(spark, sf_dir):
     cut = stream.packed_chunks(stream.packed_bytes(read(spark, sf_dir, "documents"), 256), BLOCK)
     return cut.select("chunk_id", F.lower(F.hex("x")).alias("x"), F.lower(F.hex("y")).alias("y"))
@@ -235,6 +255,28 @@ def shuffle_batches(spark, sf_dir):
     return stream.shuffled_batches(read(spark, sf_dir, "documents").select("doc_id"), 32, key="doc_id").select("doc_id", "place", "batch_id")
 
 
+def _rounds_sql(source: str) -> str:
+    """number, n, a, b, y: one pass of the permutation's rounds over x of `source` (number, n, a, b, x)."""
+    rows = f"SELECT number, n, a, b, x // b AS l, x % b AS r FROM ({source})"
+    for k in range(stream.ROUNDS):
+        drawn = f"CAST('0x' || substr(md5('42:{k}:' || {'l' if k % 2 else 'r'}), 1, 8) AS BIGINT)"
+        rows = f"SELECT number, n, a, b, {'l' if k % 2 else f'(l + {drawn}) % a AS l'}, {f'(r + {drawn}) % b AS r' if k % 2 else 'r'} FROM ({rows})"
+    return f"SELECT number, n, a, b, l * b + r AS y FROM ({rows})"
+
+
+_COUNTED = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number, count(*) OVER () AS n FROM documents"
+_SIDED = f"SELECT number, n, a, CAST(ceil(n / a) AS BIGINT) AS b, number AS x FROM (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM ({_COUNTED}))"
+
+
+@query(
+    f"WITH RECURSIVE w AS ({_rounds_sql(_SIDED)} UNION ALL {_rounds_sql('SELECT number, n, a, b, y AS x FROM w WHERE y >= n')}) "
+    f"SELECT doc_id, c.number, y AS place, y // 32 AS batch_id FROM ({_COUNTED}) c JOIN (SELECT * FROM w WHERE y < n) w ON w.number = c.number"
+)
+def permuted_batches(spark, sf_dir):
+    """Documents in a permutation that is computed from their row numbers, in batches of 32."""
+    return stream.permuted_batches(read(spark, sf_dir, "documents").select("doc_id"), 32, key="doc_id").select("doc_id", "number", "place", "batch_id")
+
+
 @query(f"SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens, CAST((sum(n) - 1) // {BLOCK} AS BIGINT) AS samples, CAST(ceil(((sum(n) - 1) // {BLOCK}) / 32) AS BIGINT) AS batches FROM ({_SIZES})")
 def corpus_counts(spark, sf_dir):
     return metrics.counts(_sizes(spark, sf_dir), BLOCK, 32)
@@ -385,14 +427,14 @@ def feed_forward(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(y).alias("dim", "x")).select("vec_id", "dim", F.round("x", 6).alias("x"))
 
 
-@query("SELECT seq, t, list_transform(list_zip(a.embedding, b.embedding), lambda z: round(CAST(z[1] AS DOUBLE) + CAST(z[2] AS DOUBLE), 6)) AS x FROM (SELECT event_id // 16 AS seq, event_id % 16 AS t, user_id AS id FROM events) e JOIN embeddings a ON a.vec_id = e.id JOIN embeddings b ON b.vec_id = e.t + 100")
+@query("SELECT seq, t, list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) + CAST(z[2] AS DOUBLE)) AS x FROM (SELECT event_id // 16 AS seq, event_id % 16 AS t, user_id AS id FROM events) e JOIN embeddings a ON a.vec_id = e.id JOIN embeddings b ON b.vec_id = e.t + 100")
 def embedding_gather(spark, sf_dir):
     """Whole vectors of the token ids and of their places (a table of 16 places)."""
     tokens = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 16).alias("seq"), (F.col("event_id") % 16).alias("t"), F.col("user_id").alias("id"))
     vectors = read(spark, sf_dir, "embeddings")
     by_id = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     by_place = vectors.where("vec_id BETWEEN 100 AND 115").select((F.col("vec_id") - 100).alias("t"), F.col("embedding").alias("v"))
-    return model.embed(tokens, by_id, by_place).select("seq", "t", F.transform("x", lambda x: F.round(x, 6)).alias("x"))
+    return model.embed(tokens, by_id, by_place).select("seq", "t", "x")
 
 
 @query(f"SELECT seq, arg_max(x, t) AS x FROM ({_SEQ}) GROUP BY seq")

@@ -28,6 +28,32 @@ def test_early_stop(spark, values, patience):
     assert [(r.improved, r.stale) for r in rows] == brute(values, patience)
 
 
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_blocks_change_nothing(spark, buckets):
+    """Random logs with NaN, nulls, ties, null runs and null steps; one run holds most rows; against the definition, row by row."""
+    import random
+
+    r = random.Random(buckets)
+    rows = [(r.choice(["a", "a", "a", "a", "b", None]), i if r.random() < 0.97 else None, i, r.choice([NAN, None, *(float(r.randrange(1000 - i)) for _ in range(6))])) for i in range(900)]
+    log = spark.createDataFrame(rows, "run string, step int, id int, v double").repartition(5)
+    order = ["step", "id"]
+    found = metrics.running_best(log, "v", order, ["run"], buckets)
+    for patience in (0, 4):
+        got = {row.id: (row.improved, row.best, row.stale) for row in metrics.early_stop(found, patience, order, ["run"], buckets).collect()}
+        want = {}
+        for run in ("a", "b", None):
+            best, stale = None, 0
+            for _, _, i, v in sorted((x for x in rows if x[0] == run), key=lambda x: (x[1] is not None, x[1] or 0, x[2])):
+                better = v is not None and v == v and (best is None or v < best)
+                best, stale = (v, 0) if better else (best, stale + 1)
+                want[i] = (better, best, stale)
+                if patience and stale >= patience:
+                    break
+        assert got == want
+    spread = metrics._blocks(log, ["run"], order, buckets).where("run = 'a'").groupBy("block_").count().collect()
+    assert len(spread) >= buckets and max(x["count"] for x in spread) < 900 / buckets
+
+
 def test_perplexity_weighs_batches_equally(spark):
     losses = spark.createDataFrame([("a", i, float(i)) for i in range(5)], "g string, i int, v double")
     got = metrics.perplexity(metrics.batch_means(losses, "v", F.floor(F.col("i") / 2), ["g"]), ["g"]).first().ppl
