@@ -166,17 +166,16 @@ def encode_documents(docs: DataFrame, tokenizer: Tokenizer, *, end: str | None =
     table = dictionary(docs, tokenizer, text_col)
     hot = table.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(hot_words)
     named = [F.xxhash64(key, text_col).alias("g_"), F.xxhash64(text_col).alias("t_")]
-    found = docs.select(*named, F.posexplode(_pieces(F.col(text_col), tokenizer.specials)).alias("at", "word"))
+    cut = docs.select(*named, _pieces(F.col(text_col), tokenizer.specials).alias("pieces"))  # hashed once a document, before it is exploded
+    found = cut.select("g_", "t_", F.posexplode("pieces").alias("at", "word"))
     coded = found.join(F.broadcast(hot.select("word", "code")), "word", "left")
     part = F.struct("at", "code", F.when(F.col("code").isNull(), F.col("word")).alias("word"))
-    parts = coded.groupBy("g_", "t_").agg(F.collect_list(part).alias("parts"))
+    parts = coded.groupBy("g_", "t_").agg(F.collect_set(part).alias("parts"))  # of rows that are equal one set
     rare = parts.select("g_", "t_", F.explode(F.filter("parts", lambda p: p["word"].isNotNull())).alias("p")).select("g_", "t_", "p.at", "p.word")
     filled = rare.join(table.select("word", "code"), "word").groupBy("g_", "t_").agg(F.collect_list(F.struct("at", "code")).alias("rare"))
     known = F.transform(F.filter("parts", lambda p: p["word"].isNull()), lambda p: F.struct(p["at"].alias("at"), p["code"].alias("code")))
     both = F.array_sort(F.concat(known, F.coalesce("rare", F.array().cast("array<struct<at:int,code:array<int>>>"))))
-    copies = F.greatest(F.lit(1), F.size(F.filter("parts", lambda p: p["at"] == 0)))  # rows that are equal have all places as often
-    ids = parts.join(filled, ["g_", "t_"], "left").withColumn("copies", copies).withColumn("both", both)
-    ids = ids.select("g_", "t_", F.flatten(F.transform(F.filter("both", lambda p, i: i % F.col("copies") == 0), lambda p: p["code"])).alias("ids"))
+    ids = parts.join(filled, ["g_", "t_"], "left").select("g_", "t_", F.flatten(F.transform(both, lambda p: p["code"])).alias("ids"))
     tail = F.array(*[F.lit(tokenizer.ids[end.encode()])] if end is not None else []).cast("array<int>")
     rows = docs.select(*named, *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     joined = rows.join(ids, ["g_", "t_"], "left").drop("g_", "t_")
