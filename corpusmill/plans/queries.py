@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bpe, metrics, model, scaling, stream
+from ..operators import blocks, bpe, metrics, model, scaling, stream
 from ..sources import artifacts, shared, sweeps
 
 END = "<|endoftext|>"
@@ -382,6 +382,13 @@ def causal_attention(spark, sf_dir):
     return model.attend(model.attention(model.attention_scores(x)), x).select("seq", "head", "t", "dim", F.round("o", 6).alias("o"))
 
 
+@query(ORACLES["causal_attention"])
+def blockwise_attention(spark, sf_dir):
+    """The same by blocks of five positions and an online softmax."""
+    o = blocks.blockwise_attention(model.heads(_sequences(spark, sf_dir), 4), 5)
+    return o.select("seq", "head", "t", F.posexplode("o").alias("dim", "o")).select("seq", "head", "t", "dim", F.round("o", 6).alias("o"))
+
+
 _LONG = "SELECT vec_id, CAST(i - 1 AS INT) AS dim, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i)"
 
 
@@ -427,6 +434,18 @@ def feed_forward(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(y).alias("dim", "x")).select("vec_id", "dim", F.round("x", 6).alias("x"))
 
 
+_WEIGHT_ROWS = "SELECT vec_id AS o, CAST(i - 1 AS BIGINT) AS i, CAST(embedding[i] AS DOUBLE) AS w FROM embeddings, unnest(range(1, 65)) AS u(i) WHERE vec_id < 200"
+
+
+@query(f"SELECT e.vec_id, CAST(w.o AS INT) AS dim, round(sum(CAST(e.embedding[w.i + 1] AS DOUBLE) * w.w), 6) AS y FROM embeddings e, ({_WEIGHT_ROWS}) w GROUP BY e.vec_id, w.o")
+def tiled_linear(spark, sf_dir):
+    """All vectors times the first 200 of them, whose numbers are a table of weights."""
+    vectors = read(spark, sf_dir, "embeddings")
+    weights = vectors.where("vec_id < 200").select(F.col("vec_id").alias("o"), F.posexplode("embedding").alias("i", "w"))
+    y = blocks.tiled_linear(vectors.select(F.col("vec_id").alias("key"), F.col("embedding").alias("x")), weights, 200, tile=32)
+    return y.select(F.col("key").alias("vec_id"), F.posexplode("y").alias("dim", "y")).select("vec_id", "dim", F.round("y", 6).alias("y"))
+
+
 @query("SELECT seq, t, list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) + CAST(z[2] AS DOUBLE)) AS x FROM (SELECT event_id // 16 AS seq, event_id % 16 AS t, user_id AS id FROM events) e JOIN embeddings a ON a.vec_id = e.id JOIN embeddings b ON b.vec_id = e.t + 100")
 def embedding_gather(spark, sf_dir):
     """Whole vectors of the token ids and of their places (a table of 16 places)."""
