@@ -54,6 +54,22 @@ def cross_entropy(logits: Column, target: Column) -> Column:
     return let(_doubles(logits), lambda n: let(F.array_max(n), lambda top: F.ln(_sum(F.transform(n, lambda v: F.exp(v - top)))) + top - F.get(n, target)))
 
 
+def split_cross_entropy(slices: DataFrame, targets: DataFrame, key: str = "key") -> DataFrame:
+    """key, loss: cross_entropy() of positions whose logits are spread over rows of `slices` (key, first, z): z holds the logits from
+    number `first` on. `targets` (key, target) says which one counts; a target in no slice gives null.
+
+    A slice gives its largest logit, its sum of exp(z - largest), and the target's logit if it has it; these are merged by position,
+    so that no row ever holds a position's whole vocabulary. Empty slices add nothing.
+    """
+    at = slices.join(targets.select(key, "target"), key).where(F.size("z") > 0)
+    inside = (F.col("target") >= F.col("first")) & (F.col("target") < F.col("first") + F.size("z"))
+    own = F.when(inside, F.get("z", (F.col("target") - F.col("first")).cast("int")).cast("double"))
+    part = let(_doubles(F.col("z")), lambda n: let(F.array_max(n), lambda top: F.struct(top.alias("m"), _sum(F.transform(n, lambda v: F.exp(v - top))).alias("s"))))
+    merged = at.select(key, part.alias("p"), own.alias("z_")).groupBy(key).agg(F.collect_list("p").alias("p"), F.max("z_").alias("z_"))
+    total = let(F.col("p"), lambda p: let(F.array_max(F.transform(p, lambda q: q["m"])), lambda top: F.ln(_sum(F.transform(p, lambda q: q["s"] * F.exp(q["m"] - top)))) + top))
+    return merged.select(key, (total - F.col("z_")).alias("loss"))
+
+
 def heads(x: DataFrame, count: int, value: str = "x") -> DataFrame:
     """`x` (seq, t, value: array) with a row for each head: head, and its slice of the value; the width must divide evenly."""
     width = F.size(value)

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions import text as T
 from ..operators import blocks, bpe, metrics, model, scaling, stream
-from ..sources import artifacts, shared, sweeps
+from ..sources import artifacts, formats, shared, sweeps
 
 END = "<|endoftext|>"
 BLOCK = 256
@@ -76,6 +77,13 @@ def word_frequency(spark, sf_dir):
     return bpe.word_table(read(spark, sf_dir, "documents"))
 
 
+@query(_of(_WORDS, "documents"))
+def pretokens_from_sql(spark, sf_dir):
+    """The same in SQL, by the table function."""
+    tables.register(spark)
+    return spark.sql("SELECT t.word, count(*) AS n FROM {docs}, LATERAL pretokens(text) t GROUP BY t.word", docs=read(spark, sf_dir, "documents"))
+
+
 @query(f"SELECT lang, w AS word, count(*) AS n FROM (SELECT lang, unnest({_pieces('text')}) AS w FROM documents) GROUP BY ALL")
 def word_freq_by_lang(spark, sf_dir):
     words = read(spark, sf_dir, "documents").select("lang", F.explode(T.pretokens(F.col("text"))).alias("word"))
@@ -407,6 +415,15 @@ def cross_entropy(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").agg(F.round(F.avg(model.cross_entropy(F.col("embedding"), F.col("label"))), 6).alias("loss"))
 
 
+@query(ORACLES["cross_entropy"])
+def split_cross_entropy(spark, sf_dir):
+    """The same with each vector's logits in seven slices, of ten and of four."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding", F.col("label").alias("target"))
+    cut = vectors.select("key", "embedding", F.explode(F.array(*[F.lit(10 * k) for k in range(7)])).alias("first"))
+    slices = cut.select("key", "first", F.slice("embedding", F.col("first") + 1, F.lit(10)).alias("z"))
+    return model.split_cross_entropy(slices, vectors.select("key", "target")).agg(F.round(F.avg("loss"), 6).alias("loss"))
+
+
 _WEIGHTS = [[((3 * i + 5 * j) % 7 - 3) / 4 for j in range(64)] for i in range(3)]
 _BIAS = [0.5, -0.25, 0.125]
 
@@ -587,6 +604,17 @@ def token_cache(spark, sf_dir):
     return artifacts.cached(spark, base, made).select("doc_id", F.size("ids").alias("n"))
 
 
+@query("SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS INT) AS n, md5(lower(hex(encode(coalesce(text, ''))))) AS ids FROM documents")
+def token_source(spark, sf_dir):
+    """Byte ids of all documents through the data source of tokens."""
+    formats.register(spark)
+    path, name = _written(spark, "token-source"), artifacts.fingerprint(bpe.Tokenizer.from_merges([], [END]))
+    stream.byte_tokens(read(spark, sf_dir, "documents"), 256).write.format("corpusmill_tokens").mode("append").option("tokenizer", name).save(path)
+    ids = spark.read.format("corpusmill_tokens").option("tokenizer", name).load(path)
+    text = F.array_join(F.transform(F.filter("ids", lambda i: i < 256), lambda i: F.lower(F.lpad(F.hex(i), 2, "0"))), "")
+    return ids.select("doc_id", F.size("ids").alias("n"), F.md5(text).alias("ids"))
+
+
 @query("SELECT CAST(event_id AS INT) AS step, 10000 AS total_steps, CAST(printf('%.6f', value / 100) AS DOUBLE) AS loss, CAST(printf('%.4f', exp(value / 100)) AS DOUBLE) AS train_ppl, CAST(printf('%.4f', exp(value / 200)) AS DOUBLE) AS val_ppl, CAST(printf('%.6e', 0.5 * event_id) AS DOUBLE) AS lr FROM events WHERE event_id % 100 = 0")
 def log_file(spark, sf_dir):
     log = read(spark, sf_dir, "events").select(F.col("event_id").alias("step"), (F.col("value") / 100).alias("loss"), (F.col("value") / 200).alias("val_loss"), (0.5 * F.col("event_id")).alias("lr"))

@@ -87,3 +87,17 @@ def test_real_widths_and_a_plan_that_does_not_grow(spark):
     narrow = blocks.tiled_linear(rows, table.where("o < 3 AND i < 2"), 3)
     size = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("\n")
     assert abs(size(wide) - size(narrow)) <= 3
+
+
+@pytest.mark.parametrize("size", [1, 3, 50])
+def test_loss_over_slices_equals_the_whole(spark, size):
+    r = np.random.default_rng(size)
+    z = r.normal(0, 200, (9, 40))
+    target = r.integers(0, 40, 9)
+    slices = spark.createDataFrame([(k, i, z[k, i : i + size].tolist()) for k in range(9) for i in range(0, 40, size)] + [(0, 40, [])], "key long, first long, z array<double>").repartition(4)
+    targets = spark.createDataFrame([(k, int(t)) for k, t in enumerate(target)] + [(99, 1)], "key long, target long")
+    got = {x.key: x.loss for x in model.split_cross_entropy(slices, targets).collect()}
+    top = z.max(axis=1)
+    want = np.log(np.exp(z - top[:, None]).sum(axis=1)) + top - z[np.arange(9), target]
+    assert got.keys() == set(range(9)) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert model.split_cross_entropy(slices, spark.createDataFrame([(1, 77)], "key long, target long")).first().loss is None
