@@ -130,13 +130,13 @@ class Rewritten:
 
 # Letters of other scripts that look like ASCII letters, script by script.
 LOOK_ALIKE_LETTERS = {
-    "Cyrillic": "аa еe іi јj кk мm оo рp сc тt уy хx ѕs һh ԁd ԛq ԝw ѵv ӏl АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ԚQ ԜW",
+    "Cyrillic": "аa еe іi јj кk мm оo рp сc тt уy хx ѕs һh ԁd ԛq ԝw ѵv ӏl З3 б6 АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ԚQ ԜW",
     "Greek": "αa εe ηn ιi κk νv οo ρp τt υu χx ωw ϲc ϳj ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX",
     "Armenian": "հh ոn սu օo յj",
     "Latin": "ıi ɑa ɡg ɩi ʏY",
 }
-# What looks like a point, a hyphen or a plus sign.
-LOOK_ALIKE_SIGNS = {".": "·∙⋅。｡․", "-": "‐‑‒–—―−﹣", "+": "﬩➕"}
+# What looks like an at sign, a point, a hyphen or a plus sign.
+LOOK_ALIKE_SIGNS = {"@": "ⓐⒶ", ".": "·∙⋅。｡․", "-": "‐‑‒–—―−﹣", "+": "﬩➕"}
 # Characters that aren't seen.
 INVISIBLE = "­͏᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤﻿"
 
@@ -181,10 +181,13 @@ SPELLED_DIGITS = {
     "fr": "zéro un deux trois quatre cinq six sept huit neuf",
     "es": "cero uno dos tres cuatro cinco seis siete ocho nueve",
 }
-OTHER_ZEROS = ("oh", "o")
+OTHER_ZEROS = ("oh", "o", "nought", "naught")
 TIMES = {"double": 2, "triple": 3}
-AT_WORDS = ("at", "arroba", "arobase")
+AT_WORDS = ("at", "ät", "arroba", "arobase")
 DOT_WORDS = ("dot", "punkt", "point", "punto")
+SIGN_WORDS = {"underscore": "_", "hyphen": "-", "dash": "-"}
+AT_CODES = ("&#64;", "&#x40;", "&commat;", "%40")
+DOT_CODES = ("&#46;", "&#x2e;", "&period;", "%2e")
 
 DIGIT_OF = {w: str(i) for words in SPELLED_DIGITS.values() for i, w in enumerate(words.split())}
 _AT, _DOT = "|".join(AT_WORDS), "|".join(DOT_WORDS)
@@ -194,8 +197,9 @@ BETWEEN = re.compile(rf" {{0,2}}[,()-]? {{0,2}}|( {{0,2}}\. {{0,2}}| {{1,3}}(?:{
 PLUS = re.compile(r"(?:(?<![^\W_])plus|\+) {0,2}\(?\Z", re.I)
 #: Fewer spelled digits than this in a row are words.
 LEAST_SPELLED = 3
-LETTER_DIGITS = str.maketrans("OoIl|", "00111")
-NUMBER_LIKE = re.compile(r"(?<![A-Za-z0-9|])[0-9OoIl|]++(?![A-Za-z0-9|])(?:[.() -]{1,3}[0-9OoIl|]++(?![A-Za-z0-9|]))*+")
+LETTERS = "OoIl|SBZ"
+LETTER_DIGITS = str.maketrans(LETTERS, "00111582")
+NUMBER_LIKE = re.compile(rf"(?<![A-Za-z0-9|])[0-9{LETTERS}]++(?![A-Za-z0-9|])(?:[.() -]{{1,3}}[0-9{LETTERS}]++(?![A-Za-z0-9|]))*+")
 
 
 def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
@@ -241,7 +245,7 @@ def letter_digits(text: str) -> Rewritten:
     if DIGIT.search(text):
         for m in NUMBER_LIKE.finditer(text):
             digits = len(DIGIT.findall(m.group()))
-            letters = [i for i in range(m.start(), m.end()) if text[i] in "OoIl|"]
+            letters = [i for i in range(m.start(), m.end()) if text[i] in LETTERS]
             if letters and digits >= len(letters):
                 edits += [(i, i + 1, text[i].translate(LETTER_DIGITS)) for i in letters]
     return Rewritten(text, edits)
@@ -257,10 +261,11 @@ def points_in_numbers(text: str) -> Rewritten:
 
 BRACKETED_AT = re.compile(rf"[\[({{<] {{0,2}}(?:{_AT}|@) {{0,2}}[\])}}>]", re.I)
 BRACKETED_DOT = re.compile(rf"[\[({{<] {{0,2}}(?:{_DOT}|\.) {{0,2}}[\])}}>]", re.I)
-#: Groups: a bracketed or spaced at sign, a spelled one, a bracketed point, a spelled or spaced one.
+#: Groups: an at sign in brackets, spaces or as a code; a spelled one; a point in brackets or as a code; a spelled or spaced one; another sign's name.
 MARK = re.compile(
-    rf"( {{0,3}}[\[({{<] {{0,2}}(?:{_AT}|@) {{0,2}}[\])}}>] {{0,3}}| {{1,3}}@ {{1,3}})|((?<=[A-Za-z0-9])(?: {{1,3}}(?:{_AT}) {{1,3}}|([_-])(?:{_AT})\3)(?=[A-Za-z0-9]))"
-    rf"|( {{0,3}}[\[({{<] {{0,2}}(?:{_DOT}|\.) {{0,2}}[\])}}>] {{0,3}})|((?<=[A-Za-z0-9])(?: {{1,3}}(?:{_DOT}|\.) {{1,3}}|([_-])(?:{_DOT})\6)(?=[A-Za-z0-9]))",
+    rf"( {{0,3}}[\[({{<] {{0,2}}(?:{_AT}|@) {{0,2}}[\])}}>] {{0,3}}| {{1,3}}@ {{1,3}}|{'|'.join(AT_CODES)})|((?<=[A-Za-z0-9])(?: {{1,3}}(?:{_AT}) {{1,3}}| {{0,3}}([_*~-])(?:{_AT})\3 {{0,3}})(?=[A-Za-z0-9]))"
+    rf"|( {{0,3}}[\[({{<] {{0,2}}(?:{_DOT}|\.) {{0,2}}[\])}}>] {{0,3}}|{'|'.join(DOT_CODES)})|((?<=[A-Za-z0-9])(?: {{1,3}}(?:{_DOT}|\.) {{1,3}}| {{0,3}}([_*~-])(?:{_DOT})\6 {{0,3}})(?=[A-Za-z0-9]))"
+    rf"|(?<=[A-Za-z0-9]) {{1,3}}({'|'.join(SIGN_WORDS)}) {{1,3}}(?=[A-Za-z0-9])",
     re.I,
 )
 
@@ -276,8 +281,8 @@ class Marked:
 
 def marked(text: str) -> Marked:
     found = list(MARK.finditer(text))
-    out = Rewritten(text, [(*m.span(), "@" if m[1] or m[2] else ".") for m in found])
-    upper = lambda m: m[2] and m[2].strip(" _-").isupper()  # noqa: E731  AT among small letters is meant
+    out = Rewritten(text, [(*m.span(), "@" if m[1] or m[2] else SIGN_WORDS[m[7].lower()] if m[7] else ".") for m in found])
+    upper = lambda m: m[2] and m[2].strip(" _*~-").isupper()  # noqa: E731  AT among small letters is meant
     return Marked(out, {b for b, m in zip(out.begins, found) if m[2] and not (upper(m) and text[m.start() - 1].islower())}, {b for b, m in zip(out.begins, found) if m[4] or m[5]})
 
 
@@ -285,7 +290,9 @@ def _may_hide_email(text: str, changed: bool) -> bool:
     if BRACKETED_AT.search(text):
         return True
     lower = text.lower()
-    dots = any(w in lower for w in DOT_WORDS)
+    if any(x in lower for x in AT_CODES):
+        return True
+    dots = any(w in lower for w in (*DOT_WORDS, *DOT_CODES))
     if "@" in text:
         return changed or dots or " @ " in text or " . " in text or bool(BRACKETED_DOT.search(text))
     return dots and any(w in lower for w in AT_WORDS) or any(f" {w.upper()} " in text for w in AT_WORDS)

@@ -68,6 +68,13 @@ def test_base_of_numbers_near_the_limits():
         ("email", "john @ example . com", "john@example.com"),
         ("email", "john@example[.]com", "john@example.com"),
         ("email", "juan arroba ejemplo punto es", "juan@ejemplo.es"),
+        ("email", "john *at* example *dot* com", "john@example.com"),
+        ("email", "john -at- example -dot- com", "john@example.com"),
+        ("email", "john_doe (ät) example (punkt) de", "john_doe@example.de"),
+        ("email", "john&#64;example&#46;com", "john@example.com"),
+        ("email", "john%40example.com", "john@example.com"),
+        ("email", "johnⓐexample.com", "john@example.com"),
+        ("email", "john underscore doe at example dash mail dot com", "john_doe@example-mail.com"),
         ("email", "jоhn@exаmple.com", "john@example.com"),
         ("email", "ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ", "john@example.com"),
         ("email", "j​ohn@exam­ple.com", "john@example.com"),
@@ -81,6 +88,7 @@ def test_base_of_numbers_near_the_limits():
         ("card", "four one one one " + "one one one one " * 2 + "one one one one", "4111111111111111"),
         ("card", "four-one-one-one, " + "one-one-one-one, " * 2 + "one-one-one-one", "4111111111111111"),
         ("card", "4lll 1111 1111 1111", CARD),
+        ("card", "4S39 S7B9 OOOO 9991", "4539 5789 0000 9991"),
         ("card", "4111–1111–1111–1111", CARD.replace(" ", "-")),
         ("card", "٤١١١ ١١١١ ١١١١ ١١١١", CARD),
         ("phone", "plus four four seven seven zero zero nine zero zero one two three", "+447700900123"),
