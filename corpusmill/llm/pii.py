@@ -197,9 +197,10 @@ BETWEEN = re.compile(rf" {{0,2}}[,()-]? {{0,2}}|( {{0,2}}\. {{0,2}}| {{1,3}}(?:{
 PLUS = re.compile(r"(?:(?<![^\W_])plus|\+) {0,2}\(?\Z", re.I)
 #: Fewer spelled digits than this in a row are words.
 LEAST_SPELLED = 3
-LETTERS = "OoIl|SBZ"
-LETTER_DIGITS = str.maketrans(LETTERS, "00111582")
-NUMBER_LIKE = re.compile(rf"(?<![A-Za-z0-9|])[0-9{LETTERS}]++(?![A-Za-z0-9|])(?:[.() -]{{1,3}}[0-9{LETTERS}]++(?![A-Za-z0-9|]))*+")
+LETTERS = "OoIlSBZ"
+LETTER_DIGITS = str.maketrans(LETTERS, "0011582")
+GROUP = re.compile(rf"[0-9{LETTERS}]+")
+NUMBER_LIKE = re.compile(rf"(?<![A-Za-z0-9])[0-9{LETTERS}]++(?![A-Za-z0-9])(?:[.() -]{{1,3}}[0-9{LETTERS}]++(?![A-Za-z0-9]))*+")
 
 
 def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
@@ -239,14 +240,19 @@ def spelled_digits(text: str) -> Rewritten:
     return Rewritten(text, _spelled_edits(text) if sum(lower.count(w) for w in DIGIT_OF) >= LEAST_SPELLED else [])
 
 
+def _belongs(text: str, start: int, end: int) -> bool:
+    """Whether a group of letters alone is part of a number: signs tie it to one, or it is as long as a card's groups. (`I` and `Il` are words.)"""
+    return end - start == 4 or text[start - 1 : start] in ("+", ".", "-", "(") or text[end : end + 1] in (".", "-", ")") and GROUP.match(text, end + 1) is not None
+
+
 def letter_digits(text: str) -> Rewritten:
     """O and l and their like as digits, in numbers of which at least half the characters are digits."""
     edits = []
     if DIGIT.search(text):
         for m in NUMBER_LIKE.finditer(text):
-            digits = len(DIGIT.findall(m.group()))
-            letters = [i for i in range(m.start(), m.end()) if text[i] in LETTERS]
-            if letters and digits >= len(letters):
+            groups = [g for g in GROUP.finditer(text, m.start(), m.end()) if DIGIT.search(g.group()) or _belongs(text, *g.span())]
+            letters = [i for g in groups for i in range(*g.span()) if text[i] in LETTERS]
+            if letters and sum(g.end() - g.start() for g in groups) >= 2 * len(letters):
                 edits += [(i, i + 1, text[i].translate(LETTER_DIGITS)) for i in letters]
     return Rewritten(text, edits)
 

@@ -116,6 +116,7 @@ def test_disguises_are_mapped_back(kind, hidden, value, before, after):
         "Привет, мир. Это текст о том, как жить.",
         "x² + y² = 1, ½, № 5, 10–12, «deux points»",
         "un deux trois nous irons au bois quatre cinq six",
+        "The end | 10 | 20 | 30 | I.",
         "version 1.2.3 of (a) and [b]; f(at) = 3.",
     ],
 )
@@ -123,6 +124,12 @@ def test_clean_texts_stay_clean(text):
     assert spans(text) == brute_base(text) == []
 
 
+@pytest.mark.parametrize("after", [" I am", " Il est", " | x", " O, no", " l'eau", " un six", " one"])
+def test_words_behind_a_number_are_no_part_of_it(after):
+    text = "+1 (599) 555-3756" + after
+    assert spans(text) == brute_base(text) == [("phone", 0, 17)]
+
+
 def test_base_spans_stay_beside_added_ones():
     text = "jоhn@example.com and ann@example.com, 10.0.0.1"
     assert spans(text) == [("email", 0, 16), ("email", 2, 16), ("email", 21, 36), ("ip", 38, 46)]
