@@ -101,11 +101,17 @@ def next_byte_counts(docs: DataFrame, key: str = "doc_id", text_col: str = "text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+        total, held, size = np.zeros(1 << 16, np.int64), [], 0
         for batch in batches:
             for text in batch.column(0):
-                own = np.frombuffer((text.as_py() or "").encode(), np.uint8).astype(np.int64)
-                total += np.bincount(own[:-1] << 8 | own[1:], minlength=1 << 16)
+                own = np.frombuffer((text.as_py() or "").encode(), np.uint8).astype(np.uint16)
+                held.append(own[:-1] << 8 | own[1:])
+                size += len(own)
+                if size > 1 << 20:  # many texts at once
+                    total += np.bincount(np.concatenate(held), minlength=1 << 16)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=1 << 16)
         at = np.flatnonzero(total)
         names = [f"{i:02x}" for i in range(256)]
         yield pa.RecordBatch.from_pydict({"token": pa.array([names[i >> 8] for i in at], pa.string()), "target": pa.array([names[i & 255] for i in at], pa.string()), "n": total[at]})
