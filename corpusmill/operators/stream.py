@@ -31,6 +31,10 @@ def join_documents(docs: DataFrame, separator: str, key: str = "doc_id", text_co
     return docs.select(key, F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit(separator)).alias("text"))
 
 
+#: Ranges at most: their bounds are literals of one expression.
+MOST_RANGES = 8192
+
+
 def ranged(rows: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
     """`rows` with `range_` and `order_`: ranges that ascend in the order of key (nulls first), then a hash of the whole row.
 
@@ -39,7 +43,7 @@ def ranged(rows: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
     stay together.
     """
     reserve(rows, "range_", "order_")
-    buckets = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(MOST_RANGES, buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     said = rows.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)] or [0.5], 100 * buckets).alias("b"), F.count("*").alias("n"), F.count(key).alias("keys")).first()
     bounds = sorted(said.b or [])
     nulls = -(-buckets * (said.n - said.keys) // said.n) if said.n else 0
