@@ -110,6 +110,33 @@ def join_hot(rows: DataFrame, by_key: DataFrame, key: str | list[str], share: in
     return rows.join(few, names).unionByName(rows.join(few.select(*names), names, "left_anti").join(by_key.where(~hot).drop("n"), names))
 
 
+def often(rows: DataFrame, keys: list[str], share: int = 1024) -> DataFrame | None:
+    """The values of `keys` (none of them null) that over one row in `share`, and more than one, has; `share` values at most, written. None: no such value.
+
+    The first key is counted alone, for which a scan reads nothing else; the others only where the first repeats so often.
+    """
+    total = rows.count()
+
+    def repeated(some: DataFrame, by: list[str]) -> DataFrame:
+        return some.groupBy(*by).agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") * share > total)).select(*by)
+
+    first = repeated(rows, keys[:1])
+    if first.isEmpty():
+        return None
+    found = materialize(repeated(rows.join(F.broadcast(first), keys[:1], "left_semi"), keys), "often")
+    return None if found.isEmpty() else found
+
+
+def left_join_often(rows: DataFrame, by_key: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """`rows` with what `by_key`, which has a value of `keys` once, says of them (or null). Values that `often` found meet
+    theirs by broadcast, so that no task gets all rows of one."""
+    if hot is None:
+        return rows.join(by_key, keys, "left")
+    few = F.broadcast(hot)
+    near = rows.join(few, keys, "left_semi").join(F.broadcast(by_key.join(few, keys, "left_semi")), keys, "left")
+    return near.unionByName(rows.join(few, keys, "left_anti").join(by_key, keys, "left"))
+
+
 def batch_of(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

@@ -27,11 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, place
+from .common import discard, left_join_often, materialize, often, place
 
 DOC = ["d", "h"]
 SALTS = 16
 RANGES, RANGES_BEHIND = 4096, 256  # of the order of lines; of the ranks behind one rank
+SPAN = 65_536  # places of the suffix array that one task walks
 
 
 def _lines(own: DataFrame) -> DataFrame:
@@ -147,13 +148,7 @@ def _copies(islands: DataFrame, array: DataFrame, runs: DataFrame, depth: int) -
     flat = classes.select("r", "n", "first.*")
     asked = flat.join(runs.select(*DOC, F.col("s").alias("p"), "m"), [*DOC, "p"])
     known = _first_lines(islands, asked, depth).withColumn("share", F.element_at("path", F.least(F.size("path"), F.floor(F.log2("m")).cast("int") + 1)))
-    order = Window.partitionBy("m", "share").orderBy("r")
-    placed = known.withColumn("above", F.lag("lines").over(order)).withColumn("lcp", F.when(F.col("above").isNull(), 0).otherwise(common_prefix(F.col("above"), F.col("lines"))))
-    placed = placed.select("m", "share", "r", "n", F.struct(*DOC, "p").alias("first"), "lcp")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    interval = Window.partitionBy("m", "share", "interval")
-    named = placed.withColumn("interval", F.sum((F.col("lcp") < F.col("m")).cast("int")).over(upto)).withColumn("earliest", F.min("first").over(interval))
-    several = named.groupBy("r").agg(
+    several = _earliest(known.select("m", "share", "r", "n", F.struct(*DOC, "p").alias("first"), "lines")).groupBy("r").agg(
         F.first("first").alias("first"),
         F.max(F.when(F.col("first") != F.col("earliest"), F.col("m"))).alias("own"),
         F.max(F.when(F.col("n") > 1, F.col("m"))).alias("others"),
@@ -161,6 +156,39 @@ def _copies(islands: DataFrame, array: DataFrame, runs: DataFrame, depth: int) -
     return several.select("r", "first", "own", F.greatest("own", "others").alias("all")).where("all IS NOT NULL")
 
 
+def _earliest(known: DataFrame) -> DataFrame:
+    """m, r, n, first and `earliest`: the first position of the interval of m common lines that r lies in.
+
+    The places of one (m, share) are walked in ranges of `SPAN`. An interval is called by the rank that it begins with. In a
+    range, the piece before its first new interval (`begin` -1) may go on from the range before; that is decided over one row a
+    range, and only pieces at a range's ends meet those of other ranges.
+    """
+    at = ["m", "share", "g"]
+    inside = Window.partitionBy(*at).orderBy("r")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = known.withColumn("g", F.floor(F.col("r") / SPAN)).withColumn("above", F.lag("lines").over(inside)).withColumn("last", F.lead("r").over(inside).isNull())
+    new = F.col("above").isNotNull() & (common_prefix(F.col("above"), F.col("lines")) < F.col("m"))
+    placed = placed.withColumn("begin", F.coalesce(F.max(F.when(new, F.col("r"))).over(upto), F.lit(-1).cast("long")))
+    placed = placed.withColumn("least", F.min("first").over(Window.partitionBy(*at, "begin")))
+    # Ranks of one share are its own rank or larger: a range behind that of the share goes on from another one.
+    behind = F.col("g") > F.floor(F.col("share") / SPAN)
+    head, tail = F.when(F.col("above").isNull() & behind, F.col("lines")), F.when(F.col("last"), F.col("lines"))
+    placed = materialize(placed.select(*at, "r", "n", "first", "begin", "least", head.alias("head"), tail.alias("tail")), "line-places")
+    groups = placed.where(behind).select("m", "share").distinct()
+    ranges = placed.join(groups, ["m", "share"], "left_semi").groupBy(*at).agg(
+        F.min("r").alias("low"), F.max("begin").alias("end"), F.first("head", ignorenulls=True).alias("head"), F.first("tail", ignorenulls=True).alias("tail")
+    )
+    order = Window.partitionBy("m", "share").orderBy("g")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("above", F.lag("tail").over(order))
+    ranges = ranges.withColumn("own", F.when(F.col("above").isNull() | (common_prefix(F.col("above"), F.col("head")) < F.col("m")), F.col("low")))
+    ranges = ranges.withColumn("open", F.coalesce("own", F.max(F.greatest("end", "own")).over(earlier))).select(*at, "end", "open")
+    ends = placed.select(*at, "begin", "least").join(ranges, at).where("begin = -1 OR begin = end").groupBy(*at, "begin", "open").agg(F.first("least").alias("least"))
+    whole = Window.partitionBy("m", "share", F.when(F.col("begin") < 0, F.col("open")).otherwise(F.col("begin")))
+    ends = ends.withColumn("whole", F.min("least").over(whole)).select(*at, "begin", "whole")
+    return placed.join(ends, [*at, "begin"], "left").select("m", "r", "n", "first", F.coalesce("whole", "least").alias("earliest"))
+
+
 def removed_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """d, h, removed (ascending places of lines that go) of the documents (d, h, text) that lose lines."""
     lines = materialize(_lines(docs), "lines")
@@ -183,9 +211,12 @@ def _deduplicated(docs: DataFrame, min_words: int, id_col: str, text_col: str) -
     at_id, at_text = place(names, id_col), place(names, text_col)
     plain = docs.toDF(*[f"c{i}_" for i in range(len(names))])
     keyed = plain.withColumn("d", F.coalesce(F.col(f"c{at_id}_").cast("long"), F.lit(-(2**63)).cast("long"))).withColumn("text", F.col(f"c{at_text}_")).withColumn("h", F.xxhash64("text"))
-    removed = removed_lines(keyed.where("text IS NOT NULL").select("d", "h", "text"), min_words)
-    removed = removed.select(F.col("d").alias("d_"), F.col("h").alias("h_"), "removed")
-    joined = keyed.join(removed, (F.col("d") == F.col("d_")) & (F.col("h") == F.col("h_")), "left")
+    hot = often(keyed, DOC)
+    own = keyed.where("text IS NOT NULL").select(*DOC, "text")
+    if hot is not None:  # rows that repeat one document very often are one from here on; tasks put theirs together first
+        few = F.broadcast(hot)
+        own = own.join(few, DOC, "left_anti").unionByName(own.join(few, DOC, "left_semi").groupBy(*DOC).agg(F.first("text").alias("text")))
+    joined = left_join_often(keyed, removed_lines(own, min_words), DOC, hot)
     lines, gone = F.split("text", "\n"), F.col("removed")
     before = lambda i: F.when(i == 0, -1).otherwise(F.get(gone, i - 1))  # noqa: E731  the removed line before the i-th
     kept = F.flatten(

@@ -116,3 +116,30 @@ def test_intervals_within_a_document_and_over_islands(spark):
         [(1, f"{a}\n{b}\n{a}\nend"), (2, f"{a}\n{b}\n{a}\nshort"), (3, f"{a}\n{b}\n{a}\nshort")],
     ):
         check(spark, rows, 50)
+
+
+@pytest.mark.parametrize("seed,need,span", [(0, 2, 1), (1, 3, 3), (2, 5, 2), (3, 8, 7), (4, 4, 5)])
+def test_array_in_ranges(spark, monkeypatch, seed, need, span):
+    """Intervals over several ranges of the suffix array, and ranges without a new interval."""
+    monkeypatch.setattr(linededup, "SPAN", span)
+    r = random.Random(seed)
+    pool = ["a", "b b", "c c c", ""]
+    check(spark, [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(1, 12)))) for i in range(40)], need)
+
+
+def test_one_header_before_many_lines(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SPAN", 16)
+    header = "h " * 30 + "\n" + "i " * 30
+    check(spark, [(i, f"{header}\nown {i // 2}\nmore {i // 2}") for i in range(300)], 50)
+
+
+def test_one_document_in_very_many_rows(spark):
+    """Rows without an id that repeat one text, or have none, are a third of all each."""
+    line = " ".join(["w"] * 60)
+    n = 100_000
+    text = F.when(F.col("id") % 3 == 0, F.lit(f"{line}\nend")).when(F.col("id") % 3 == 1, F.concat(F.lit(f"{line}\nown "), "id"))
+    docs = spark.range(n).select(F.when(F.col("id") % 3 == 1, F.col("id")).alias("doc_id"), text.alias("text"))
+    out = linededup.deduplicate_lines(docs, 50)
+    got = {tuple(r) for r in out.groupBy(F.col("doc_id").isNull(), F.length("text") > 100, "n_lines_", "n_removed_").count().collect()}
+    third = [len(range(i, n, 3)) for i in range(3)]
+    assert got == {(True, True, 2, 0, third[0]), (False, False, 2, 1, third[1]), (True, None, 0, 0, third[2])}
