@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialize, new_dir, open_fs, own_columns, partitions, temporary, write_atomically
+from .common import batch_of, left_join_often, materialize, new_dir, often, open_fs, own_columns, partitions, temporary, write_atomically
 
 SKIPPABLE_DICTIONARY = 0x184D2A5D  # fixed value of the format
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of WARC 1.1
@@ -141,26 +141,31 @@ PAGES = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("pay
 def decide(pages: DataFrame, least_bytes: int) -> DataFrame:
     """page_id, digest, keeper of the pages that are to be revisits of the response `keeper`.
 
-    Digests are grouped with partial sums, and only those of several pages are joined back; both sides are some dozens of
-    bytes a page, and a digest that very many pages share is dealt over `salts` keys.
+    Rows that repeat a page are one from the first step on. Digests are grouped with partial sums, and only those of several pages
+    are joined back; both sides are some dozens of bytes a page, and a digest that very many pages share is dealt over `salts` keys.
     """
     salts = 16
-    known = pages.select("page_id", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("digest"), F.octet_length("html").cast("long").alias("size")).where(F.col("size") >= least_bytes)
+    known = pages.select("page_id", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("digest"), F.octet_length("html").cast("long").alias("size")).where(F.col("size") >= least_bytes).distinct()
     shared = known.groupBy("digest", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("keeper")).where("n > 1").drop("n")
     salted = shared.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return known.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(salted, ["digest", "size", "salt"]).where("page_id IS DISTINCT FROM keeper").select("page_id", "digest", "size", "keeper").distinct()
+    return known.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(salted, ["digest", "size", "salt"]).where("page_id IS DISTINCT FROM keeper").select("page_id", "digest", "size", "keeper")
 
 
 def write_warc(pages: DataFrame, out_dir: str, *, least_bytes: int = 1000, date: str = "2020-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
     """Archive `pages` in files below `out_dir`; returns the manifest: path, records, bytes.
 
-    Each html is shuffled at most once, by page_id, to meet its page's decision. A repeated task writes the same name anew.
+    Each html is shuffled at most once, by page_id, to meet its page's decision; pages that very many rows repeat (no id, one payload)
+    meet theirs where they are. A repeated task writes the same name anew.
     """
     own = own_columns(pages, page_id=id_col, url=url_col, html=html_col).selectExpr("CAST(page_id AS BIGINT) page_id", "url", "html")
-    revisits = decide(own, least_bytes).select(F.col("page_id").alias("of"), F.col("digest").alias("same"), F.col("size").alias("long"), "keeper")
-    keyed = own.withColumn("digest", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))).withColumn("size", F.coalesce(F.octet_length("html"), F.lit(0)).cast("long"))
-    joined = keyed.join(revisits, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("same")) & (F.col("size") == F.col("long")), "left")
-    rows = joined.select("page_id", "url", "html", "digest", "keeper", F.col("same").isNotNull().alias("revisit"))
+    page = F.coalesce("page_id", F.lit(-(2**63)).cast("long")).alias("page")
+    no_id = F.col("page_id").isNull().alias("no_id")
+    revisits = decide(own, least_bytes).select(page, no_id, "digest", "size", "keeper", F.lit(True).alias("revisit"))
+    digest, size = F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("digest"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("size")
+    keys = ["page", "no_id", "digest", "size"]
+    keyed = own.select("page_id", "url", "html", page, no_id, digest, size)
+    joined = left_join_often(keyed, revisits, keys, often(keyed, keys))
+    rows = joined.select("page_id", "url", "html", "digest", "keeper", F.coalesce("revisit", F.lit(False)).alias("revisit"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -4,6 +4,7 @@ import random
 import struct
 
 import zstandard
+from pyspark.sql import functions as F
 
 from corpusmill.llm import warc
 
@@ -49,3 +50,13 @@ def test_pages(spark):
         8: [of(other, "response")], None: [of(other, "revisit", 8)], 9: [of("x" * 1000, "response")], 10: [of("x" * 999, "response")], 11: [of("x" * 999, "response")],
     }
     assert warc.archive(pages.where("false")).count() == 0
+
+
+def test_one_page_in_very_many_rows(spark):
+    """A third of all rows without an id and with one payload; as many repeat one id."""
+    n, big = 6000, "<p>" + "word " * 300
+    page = F.when(F.col("id") % 3 == 1, F.lit(7)).when(F.col("id") % 3 == 2, F.col("id"))
+    html = F.when(F.col("id") % 3 == 2, F.concat(F.lit(big), "id")).otherwise(F.lit(big))
+    pages = spark.range(n).select(page.alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
+    got = {tuple(r) for r in warc.archive(pages).groupBy(F.col("page_id").isNull(), "record_type", "refers_to").count().collect()}
+    assert got == {(True, "revisit", 7, n // 3), (False, "response", None, 2 * n // 3)}
