@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions import text as T
 from ..sources.shared import discard, materialize
@@ -23,6 +26,8 @@ from .trainer import train_merges
 
 #: Words of the dictionary that are broadcast, and the bytes of the longest of them: 32 MB at most, with their ids.
 HOT_WORDS, HOT_BYTES = 65_536, 64
+#: Ids that are decoded at once.
+DECODED_IDS = 1 << 22
 
 
 def word_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -187,12 +192,36 @@ def vocab_frame(spark: SparkSession, tokenizer: Tokenizer) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """key, text: a lookup join of ids to bytes, put together in order; an unknown id raises.
+    """key, text: ids looked up in the vocabulary (id, token), which is broadcast (a row an id), in their order; an unknown id raises.
 
-    `key` names each row of `encoded` uniquely. The vocabulary is broadcast only below the session's broadcast threshold.
+    A row's ids are decoded where they are: nothing is shuffled. Null ids are left out; a row without ids has the empty text.
     """
-    ids = encoded.select(key, F.posexplode_outer("ids").alias("at", "id"))
-    found = ids.join(vocab, "id", "left").withColumn("token", F.when(F.col("id").isNotNull() & F.col("token").isNull(), F.raise_error(F.concat(F.lit("unknown id "), F.col("id").cast("string")))).otherwise(F.col("token")))
-    parts = found.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", F.hex("token").alias("token"))))).alias("parts"))
-    text: Column = F.unhex(F.array_join(F.transform("parts", lambda p: p["token"]), ""))
-    return parts.select(key, T.decoded(text).alias("text"))
+    rows = sorted((r.id, bytes(r.token)) for r in vocab.select("id", "token").where("id IS NOT NULL AND token IS NOT NULL").collect())
+    shared = encoded.sparkSession.sparkContext.broadcast((np.array([i for i, _ in rows], np.int64), pa.array([*(t for _, t in rows), b""], pa.large_binary())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy())])
+            begin = 0
+            while begin < batch.num_rows:
+                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + DECODED_IDS, "right")) - 1)
+                texts = _decoded(batch.column(1).slice(begin, end - begin).flatten(), ends[begin : end + 1] - ends[begin], *shared.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), texts], ["key", "text"])
+                begin = end
+
+    named = encoded.select(F.col(key).alias("key"), "ids")
+    found = named.mapInArrow(run, StructType([named.schema["key"], StructField("text", BinaryType())]))
+    return found.select(F.col("key").alias(key), T.decoded(F.col("text")).alias("text"))
+
+
+def _decoded(ids: pa.Array, ends: np.ndarray, known: np.ndarray, tokens: pa.Array) -> pa.Array:
+    """The bytes of rows that have ids[ends[i] : ends[i + 1]]; the last of `tokens` is empty, for null."""
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    wanted = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+    at = np.searchsorted(known, wanted)
+    lost = ~null & (np.append(known, -1)[at] != wanted) | ~null & (at == len(known))
+    if lost.any():
+        raise ValueError(f"unknown id {wanted[lost][0]}")
+    taken = tokens.take(pa.array(np.where(null, len(known), at)))
+    offsets = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) if len(taken) else np.zeros(1, np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets[ends])), taken.buffers()[2] or pa.py_buffer(b"")]).cast(pa.binary())

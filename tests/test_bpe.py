@@ -225,3 +225,14 @@ def test_clashing_names_raise(spark, tokenizer):
     docs = spark.createDataFrame([(1, "a", [1])], "doc_id long, text string, IDS array<int>")
     with pytest.raises(ValueError, match="ids"):
         bpe.encode_documents(docs, tokenizer)
+
+
+def test_decoding_shuffles_nothing(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "DECODED_IDS", 3)
+    rows = [(1, [5, None, 70, 71]), (2, None), (3, []), (None, [0]), (4, [None]), (4, [256, 226])]
+    encoded = spark.createDataFrame(rows, "k long, ids array<int>").coalesce(1)
+    vocab = bpe.vocab_frame(spark, tokenizer)
+    made = bpe.decode_documents(encoded, vocab, "k")
+    text = lambda ids: tokenizer.decode([i for i in ids or [] if i is not None])
+    assert [tuple(r) for r in made.collect()] == [(k, text(ids)) for k, ids in rows]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
