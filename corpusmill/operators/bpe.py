@@ -26,8 +26,8 @@ from .trainer import train_merges
 
 #: Words of the dictionary that are broadcast, and the bytes of the longest of them: 32 MB at most, with their ids.
 HOT_WORDS, HOT_BYTES = 65_536, 64
-#: Ids that are decoded at once.
-DECODED_IDS = 1 << 22
+#: Words of a partition that is put together in one task (some 80 bytes each), and ids that are decoded at once.
+PARTITION_WORDS, DECODED_IDS = 2_000_000, 1 << 22
 
 
 def word_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -162,29 +162,31 @@ def dictionary(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") ->
 def encode_documents(docs: DataFrame, tokenizer: Tokenizer, *, end: str | None = None, text_col: str = "text", key: str = "doc_id", hot_words: int = HOT_WORDS) -> DataFrame:
     """`docs` with ids (array<int>) in place of the text, ending with the id of the special token `end` if one is named.
 
-    A dictionary join: the most frequent words of at most HOT_BYTES (a bounded table) are broadcast, so that their occurrences get
-    their ids where they are; a document's other words are joined with the dictionary and put in their places. What is shuffled
-    are ids and rare words. Rows are known by hashes of key and text, so keys may repeat or be null, and rows too; null text
+    A dictionary join: texts are dealt out by document once, then cut where they lie; the most frequent words of at most HOT_BYTES (a
+    bounded table) are broadcast, so that their occurrences get their ids there and are put together without a shuffle; a document's
+    other words are joined with the dictionary and put in their places. What is shuffled are texts and rare words. A partition has
+    about PARTITION_WORDS words. Rows are known by hashes of key and text, so keys may repeat or be null, and rows too; null text
     counts as empty. An input column `ids` would clash and raises.
     """
-    reserve(docs, "ids", "g_", "t_")
+    reserve(docs, "ids", "g_", "t_", "known", "rare")
     table = dictionary(docs, tokenizer, text_col)
     hot = table.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(hot_words)
     named = [F.xxhash64(key, text_col).alias("g_"), F.xxhash64(text_col).alias("t_")]
-    cut = docs.select(*named, _pieces(F.col(text_col), tokenizer.specials).alias("pieces"))  # hashed once a document, before it is exploded
-    found = cut.select("g_", "t_", F.posexplode("pieces").alias("at", "word"))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = max(least, (table.agg(F.sum("n")).first()[0] or 0) // PARTITION_WORDS)
+    texts = docs.select(*named, F.col(text_col).alias("text")).where("text <> ''").repartition(dealt, "g_", "t_")  # hashed once a document, before it is cut
+    found = texts.select("g_", "t_", F.posexplode(_pieces(F.col("text"), tokenizer.specials)).alias("at", "word"))
     coded = found.join(F.broadcast(hot.select("word", "code")), "word", "left")
-    part = F.struct("at", "code", F.when(F.col("code").isNull(), F.col("word")).alias("word"))
-    parts = coded.groupBy("g_", "t_").agg(F.collect_set(part).alias("parts"))  # of rows that are equal one set
-    rare = parts.select("g_", "t_", F.explode(F.filter("parts", lambda p: p["word"].isNotNull())).alias("p")).select("g_", "t_", "p.at", "p.word")
-    filled = rare.join(table.select("word", "code"), "word").groupBy("g_", "t_").agg(F.collect_list(F.struct("at", "code")).alias("rare"))
-    known = F.transform(F.filter("parts", lambda p: p["word"].isNull()), lambda p: F.struct(p["at"].alias("at"), p["code"].alias("code")))
-    both = F.array_sort(F.concat(known, F.coalesce("rare", F.array().cast("array<struct<at:int,code:array<int>>>"))))
-    ids = parts.join(filled, ["g_", "t_"], "left").select("g_", "t_", F.flatten(F.transform(both, lambda p: p["code"])).alias("ids"))
+    known = coded.where("code IS NOT NULL").groupBy("g_", "t_").agg(F.collect_set(F.struct("at", "code")).alias("known"))  # of rows that are equal one set
+    rare = coded.where("code IS NULL").select("g_", "t_", "at", "word").join(table.select("word", "code"), "word")
+    filled = rare.groupBy("g_", "t_").agg(F.collect_set(F.struct("at", "code")).alias("rare"))
+    none = F.array().cast("array<struct<at:int,code:array<int>>>")
+    both = F.array_sort(F.concat(F.coalesce("known", none), F.coalesce("rare", none)))
     tail = F.array(*[F.lit(tokenizer.ids[end.encode()])] if end is not None else []).cast("array<int>")
     rows = docs.select(*named, *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
-    joined = rows.join(ids, ["g_", "t_"], "left").drop("g_", "t_")
-    return joined.withColumn("ids", F.concat(F.coalesce("ids", F.array().cast("array<int>")), tail))
+    joined = rows.join(known, ["g_", "t_"], "left").join(filled, ["g_", "t_"], "left")
+    ids = F.concat(F.flatten(F.transform(both, lambda p: p["code"])), tail)
+    return joined.withColumn("ids", ids).drop("g_", "t_", "known", "rare")
 
 
 def vocab_frame(spark: SparkSession, tokenizer: Tokenizer) -> DataFrame:

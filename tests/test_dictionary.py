@@ -66,3 +66,21 @@ def test_plan_broadcasts_a_bounded_table_and_shuffles_occurrences_once(spark):
 def test_other_columns_may_have_odd_names(spark, tokenizer):
     docs = spark.createDataFrame([(1, "the", 2)], "doc_id long, text string, `a.b` int")
     assert bpe.encode_documents(docs, tokenizer).select(F.col("`a.b`"), "ids").first() == (2, tokenizer.encode("the"))
+
+
+def test_occurrences_of_frequent_words_are_not_shuffled(spark, tokenizer):
+    """What is dealt out by document are texts; of words only those that are not broadcast, for their ids and back."""
+    docs = spark.createDataFrame([(i, "the herons waded") for i in range(50)], "doc_id long, text string")
+    plan = bpe.encode_documents(docs, tokenizer)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if " Exchange hashpartitioning(" in line and "g_" in line]
+    assert sum("REPARTITION_BY_NUM" in line for line in exchanges) == 2  # one, used twice
+    assert len(exchanges) <= 4, plan  # and keys, and ids of rare words
+
+
+def test_partitions_grow_with_the_words(spark, tokenizer, rows, monkeypatch):
+    monkeypatch.setattr(bpe, "PARTITION_WORDS", 100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other int")
+    got = bpe.encode_documents(docs, tokenizer)
+    words = bpe.dictionary(docs, tokenizer).agg(F.sum("n")).first()[0]
+    assert f", {words // 100}), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString() and words > 400
+    assert sorted(str((r.doc_id, r.other, r.ids)) for r in got.collect()) == sorted(str((d, o, tokenizer.encode(t or ""))) for d, t, o in rows)
