@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import Pair, merged
+from .pieces import Pair
 
 #: Merges that a round proposes, and pairs that the driver follows.
 ROW, CANDIDATES = 256, 2048
@@ -29,7 +29,7 @@ GUESS_WORDS = 20_000
 #: Changes that a task adds up before it hands them on.
 HELD = 1 << 20
 #: Bytes of words that a task works on at once, a word at least.
-PART_BYTES = 1 << 19
+PART_BYTES = 1 << 20
 
 DELTA = pa.schema([("l", pa.binary()), ("r", pa.binary()), ("turn", pa.int32()), ("n", pa.int64())])
 
@@ -48,41 +48,77 @@ class Numbers(dict):
 
 
 class Words:
-    """Words as one array of token numbers, -1 behind each word, with each token's weight: how often its word occurs."""
+    """Words as one array of token numbers, -1 behind each word, with each token's weight: how often its word occurs.
 
-    def __init__(self, words: list[list[int]], times: list[int]):
-        sizes = np.array([len(w) + 1 for w in words], np.int64)
-        self.token = np.array([t for w in words for t in (*w, -1)], np.int64)
-        self.weight = np.repeat(np.array(times, np.int64), sizes)
+    Tokens are a chain over the places where they began; a merged one leaves -2. Places are indexed by their pair, so that a merge
+    touches its own occurrences, not the array.
+    """
 
-    def _pairs(self, at: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and signed weights of the pairs that begin at some places; -1 is no token."""
-        at = at[(at >= 0) & (at < len(self.token) - 1)]
-        left, right = self.token[at], self.token[at + 1]
-        real = (left >= 0) & (right >= 0)
-        return left[real] << 32 | right[real], sign * self.weight[at[real]]
+    def __init__(self, words: list[list[int]], times: list[int]):
+        self._chain(np.array([t for w in words for t in (*w, -1)], np.int32), np.array([len(w) + 1 for w in words], np.int64), np.array(times, np.int64))
+
+    @classmethod
+    def of_bytes(cls, raw: np.ndarray, sizes: np.ndarray, times: np.ndarray) -> Words:
+        """Words of `sizes` bytes each, one after another in `raw`."""
+        own, token = cls.__new__(cls), np.full(len(raw) + len(sizes), -1, np.int32)
+        token[np.arange(len(raw)) + np.repeat(np.arange(len(sizes)), sizes)] = raw
+        own._chain(token, sizes + 1, times)
+        return own
+
+    def _chain(self, token: np.ndarray, sizes: np.ndarray, times: np.ndarray) -> None:
+        self.token, self.weight = token, np.repeat(times, sizes)
+        self.after = np.arange(1, len(token) + 1, dtype=np.int32)
+        self.before = np.arange(-1, len(token) - 1, dtype=np.int32)
+        self.after[-1:] = len(token) - 1  # the last is no token
+        self.sorted: tuple[np.ndarray, np.ndarray] | None = None  # pairs as they were before the first merge, and their places
+        self.added: dict[int, list[np.ndarray]] = {}  # places of pairs that merges made
+
+    def _keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the pairs that begin at some places, and these places; -1 and -2 are no tokens."""
+        left, right = self.token[at], self.token[self.after[at]]
+        real = (at >= 0) & (left >= 0) & (right >= 0)
+        return left[real].astype(np.int64) << 32 | right[real], at[real]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """All pairs and their counts."""
-        return added_up(*self._pairs(np.arange(len(self.token)), 1))
-
-    def merge(self, left: int, right: int, new: int) -> tuple[np.ndarray, np.ndarray]:
-        """Merge a pair from left to right, without overlap; the pairs whose counts change, and by how much."""
-        at = np.flatnonzero((self.token[:-1] == left) & (self.token[1:] == right))
+        key, at = self._keys(np.arange(len(self.token)))
+        return added_up(key, self.weight[at])
+
+    def _places(self, key: int) -> np.ndarray:
+        if self.sorted is None:
+            keys, at = self._keys(np.arange(len(self.token)))
+            short = len(keys) and max(int(keys.max()) >> 32, int((keys & 0xFFFFFFFF).max())) < 256
+            order = np.argsort((keys >> 24 | keys & 0xFF).astype(np.uint16) if short else keys, kind="stable")
+            self.sorted = keys[order], at[order]
+        keys, at = self.sorted
+        return np.concatenate([at[np.searchsorted(keys, key) : np.searchsorted(keys, key, "right")], *self.added.pop(key, ())])
+
+    def merge(self, left: int, right: int, new: int, counted: bool = True) -> tuple[np.ndarray, np.ndarray] | None:
+        """Merge a pair from left to right, without overlap; the pairs whose counts change, and by how much, if that is `counted`."""
+        at = self._places(left << 32 | right)
+        at = once(at[(self.token[at] == left) & (self.token[self.after[at]] == right)])
         if left == right and len(at) > 1:  # in a run, every other one
-            begins = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+            begins = np.flatnonzero(np.concatenate([[True], at[1:] != self.after[at[:-1]]]))
             at = at[(np.arange(len(at)) - np.repeat(begins, np.diff(begins, append=len(at)))) % 2 == 0]
         if not len(at):
-            return at, at
-        around = np.unique(np.concatenate([at - 1, at, at + 1]))
-        before = self._pairs(around, -1)
-        self.token[at] = new
-        keep = np.ones(len(self.token), bool)
-        keep[at + 1] = False
-        self.token, self.weight = self.token[keep], self.weight[keep]
-        at -= np.arange(len(at))
-        after = self._pairs(np.unique(np.concatenate([at - 1, at])), 1)
-        return added_up(np.concatenate([before[0], after[0]]), np.concatenate([before[1], after[1]]))
+            return (at, at) if counted else None
+        gone = self.after[at]
+        old, began = self._keys(once(np.concatenate([self.before[at], at, gone]))) if counted else (at, at)
+        end = self.after[gone]
+        self.token[at], self.token[gone] = new, -2
+        self.after[at], self.before[end] = end, at
+        key, begin = self._keys(once(np.concatenate([self.before[at], at])))
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        for k, places in zip(key[order][first].tolist(), np.split(begin[order], first[1:])):
+            self.added.setdefault(k, []).append(places)
+        return added_up(np.concatenate([old, key]), np.concatenate([-self.weight[began], self.weight[begin]])) if counted else None
+
+
+def once(places: np.ndarray) -> np.ndarray:
+    """Each place once, in order."""
+    places = np.sort(places)
+    return places[np.diff(places, prepend=-2) != 0]
 
 
 def added_up(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +136,7 @@ def measured(words: DataFrame, known: list[Pair], row: list[Pair]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Numbers()
-        rank = {pair: i for i, pair in enumerate(known)}
-        numbers = [(number[l], number[r], number[l + r]) for l, r in row]
+        done, numbers = ([(number[l], number[r], number[l + r]) for l, r in some] for some in (known, row))
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -115,15 +150,16 @@ def measured(words: DataFrame, known: list[Pair], row: list[Pair]) -> DataFrame:
             tokens = pa.array(number.tokens, pa.binary())
             return pa.RecordBatch.from_arrays([tokens.take(pa.array(key >> 32)), tokens.take(pa.array(key & 0xFFFFFFFF)), pa.array(turn, pa.int32()), pa.array(n, pa.int64())], schema=DELTA)
 
-        for batch in batches:
-            for some, times in _parts(batch):
-                own = Words([[number[t] for t in merged(w, rank, known)] if known else list(w) for w in some], times)
-                for turn, (key, n) in enumerate((own.pairs(), *(own.merge(*m) for m in numbers)), -1):
-                    held.append((np.full(len(key), turn, np.int32), key, n))
-                    size += len(key)
-                if size > HELD:
-                    yield handed()
-                    held, size = [], 0
+        for part in _parts(batches):
+            own = Words.of_bytes(*part)
+            for m in done:
+                own.merge(*m, counted=False)
+            for turn, (key, n) in enumerate((own.pairs(), *(own.merge(*m) for m in numbers)), -1):
+                held.append((np.full(len(key), turn, np.int32), key, n))
+                size += len(key)
+            if size > HELD:
+                yield handed()
+                held, size = [], 0
         if held:
             yield handed()
 
@@ -132,24 +168,32 @@ def measured(words: DataFrame, known: list[Pair], row: list[Pair]) -> DataFrame:
     return each.groupBy("l", "r").agg(F.array_sort(F.collect_list(F.struct("turn", "n"))).alias("changes"))
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[int]]]:
-    """Words and counts in parts of about PART_BYTES, a word at least."""
-    words, times, size = [], [], 0
-    for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        words.append(word.encode())
-        times.append(n)
-        size += len(words[-1])
-        if size > PART_BYTES:
-            yield words, times
-            words, times, size = [], [], 0
-    if words:
-        yield words, times
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes, sizes and counts of words, in parts of about PART_BYTES, a word at least; small batches are put together."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        words = batch.column(0).cast(pa.large_binary())
+        ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset) if len(words) else np.zeros(1, np.int64)
+        raw, times = np.frombuffer(words.buffers()[2] or b"", np.uint8), batch.column(1).to_numpy(zero_copy_only=False)
+        begin = 0
+        while begin < len(words):
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + max(0, PART_BYTES - size), "right")) - 1)
+            held.append((raw[ends[begin] : ends[end]], np.diff(ends[begin : end + 1]), times[begin:end]))
+            size += int(ends[end] - ends[begin])
+            begin = end
+            if size >= PART_BYTES or begin < len(words):
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
 
 
 def guessed(words: list[tuple[str, int]], known: list[Pair], most: int) -> list[Pair]:
     """The merges that some words alone would choose."""
-    number, rank = Numbers(), {pair: i for i, pair in enumerate(known)}
-    own = Words([[number[t] for t in merged(w.encode(), rank, known)] for w, _ in words], [n for _, n in words])
+    number, own = Numbers(), Words([list(w.encode()) for w, _ in words], [n for _, n in words])
+    for left, right in known:
+        own.merge(number[left], number[right], number[left + right], counted=False)
     count, row = Counter(dict(zip(*(x.tolist() for x in own.pairs())))), []
     while len(row) < most and count:
         highest = max(count.values())

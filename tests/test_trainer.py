@@ -106,3 +106,27 @@ def test_changes_equal_a_recount(words, merges):
         after = recount()
         assert changes == {p: after[p] - counts[p] for p in {*after, *counts} if after[p] != counts[p]}
         counts = after
+
+
+def test_small_batches_are_measured_together(spark, monkeypatch):
+    """A round's work is by parts of PART_BYTES, not by Arrow batch; parts hold all words, and no more than that and a word."""
+    import pyarrow as pa
+
+    words = [f"w{i}é" * (i % 5) for i in range(1000)] + ["long" * 500]
+    table = pa.table({"word": words, "n": list(range(len(words)))})
+    for most in (50, 300, 1 << 20):
+        monkeypatch.setattr(trainer, "PART_BYTES", most)
+        parts = list(trainer._parts(iter(table.to_batches(max_chunksize=7))))
+        assert b"".join(raw.tobytes() for raw, _, _ in parts) == "".join(words).encode()
+        assert [n for _, sizes, _ in parts for n in sizes] == [len(w.encode()) for w in words]
+        assert [n for _, _, times in parts for n in times] == list(range(len(words)))
+        assert all(len(raw) <= most or len(sizes) == 1 or len(raw) - sizes[-1] < most for raw, sizes, _ in parts)
+        assert len(parts) <= 2 * sum(len(w.encode()) for w in words) // most + 2
+
+
+def test_known_merges_are_done_in_their_order(spark):
+    """Also where two of them give one token: each pass has the words as training left them."""
+    words = spark.createDataFrame([("aab", 3), ("aaab", 2), ("baab", 1)], "word string, n long")
+    known = [(b"a", b"b"), (b"a", b"a"), (b"aa", b"b"), (b"a", b"ab")]
+    got = {(bytes(r.l), bytes(r.r)): [tuple(c) for c in r.changes] for r in trainer.measured(words, known, []).collect()}
+    assert got == {(b"aa", b"ab"): [(-1, 2)], (b"b", b"aab"): [(-1, 1)]}
