@@ -17,18 +17,24 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 COMMITTED = "_committed.json"
+#: Bytes of ids that a task of the tokens' writer or reader holds at once, a row at least.
+GROUP_BYTES = 8 << 20
 
 
 class Folder:
@@ -43,20 +49,25 @@ class Folder:
         store, at = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
         return store, f"{at.rstrip('/')}/{name}"
 
-    def write(self, name: str, body: bytes) -> None:
-        """The whole file appears at once, by a rename."""
+    def write(self, name: str, body: bytes | Callable[[BinaryIO], None]) -> None:
+        """The whole file appears at once, by a rename. What `body` writes to a stream isn't held."""
         store, at = self._at(name)
         store.create_dir(at.rsplit("/", 1)[0], recursive=True)
         temporary = f"{at}.{uuid.uuid4().hex}.tmp"
         try:
             with store.open_output_stream(temporary, compression=None) as out:
-                out.write(body)
+                body(out) if callable(body) else out.write(body)
             store.move(temporary, at)
         except BaseException:
             if store.get_file_info(temporary).type.name == "File":
                 store.delete_file(temporary)
             raise
 
+    def open(self, name: str) -> pa.NativeFile:
+        """For reading at any place."""
+        store, at = self._at(name)
+        return store.open_input_file(at)
+
     def read(self, name: str) -> bytes:
         store, at = self._at(name)
         with store.open_input_stream(at, compression=None) as stream:
@@ -118,7 +129,7 @@ class Committer:
         """What else a commit says; it must agree with the commits before, unless these are overwritten."""
         return {}
 
-    def task_file(self, body: bytes, rows: int) -> Written:
+    def task_file(self, body: bytes | Callable[[BinaryIO], None], rows: int) -> Written:
         name = f"part-{uuid.uuid4().hex}.{self.kind}"
         self.folder.write(name, body)
         return Written(name, rows)
@@ -163,14 +174,32 @@ class TokenWriter(Committer, DataSourceArrowWriter):
         return {"tokenizer": self.options.get("tokenizer", "")}
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        out, rows, writer = io.BytesIO(), 0, None
-        for batch in batches:
-            writer = writer or pq.ParquetWriter(out, batch.schema)
-            writer.write_batch(batch)
-            rows += batch.num_rows
-        if writer:
-            writer.close()
-        return self.task_file(out.getvalue(), rows) if rows else Written("", 0)
+        """A batch is written when it comes, in row groups of about GROUP_BYTES: a task holds one, however long its file is."""
+        parts = (part for batch in batches for part in _groups(batch))
+        first = next(parts, None)
+        if first is None:
+            return Written("", 0)
+        rows = 0
+
+        def fill(out: BinaryIO) -> None:
+            nonlocal rows
+            with pq.ParquetWriter(out, first.schema) as writer:
+                for part in itertools.chain([first], parts):
+                    writer.write_batch(part)
+                    rows += part.num_rows
+
+        name = self.task_file(fill, 0).name
+        return Written(name, rows)
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about GROUP_BYTES of ids, a row at least."""
+    ends = np.concatenate([[0], np.cumsum(4 * pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy())])
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + GROUP_BYTES, "right")) - 1)
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 class TokenReader(Reader):
@@ -181,7 +210,11 @@ class TokenReader(Reader):
             raise ValueError(f"the ids belong to tokenizer {self.said['note']['tokenizer']!r}, not to {wanted!r}")
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        yield from pq.ParquetFile(io.BytesIO(self.folder.read(part.name))).iter_batches(4096)
+        """A row group at a time."""
+        with self.folder.open(part.name) as file:
+            tokens = pq.ParquetFile(file, pre_buffer=False)
+            for k in range(tokens.num_row_groups):
+                yield from tokens.iter_batches(4096, row_groups=[k])
 
 
 class Tokens(DataSource):

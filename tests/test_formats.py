@@ -84,3 +84,30 @@ def test_logs_with_and_without_a_rate(spark, tmp_path):
     full.drop("lr").where("step = 1").write.format("corpusmill_log").mode("append").save(where)
     got = sorted(map(str, map(tuple, spark.read.format("corpusmill_log").load(where).collect())))
     assert got == sorted(map(str, [(1, 9, 1.234568, 3.0, 2.5, 0.00123), (2, 9, float("nan"), 1e9, float("inf"), None), (1, 9, 1.234568, 3.0, 2.5, None)]))
+
+
+def test_a_task_of_many_tokens_holds_few(tmp_path):
+    """Writing and reading 400 MB of ids in one task each takes little memory beside a batch."""
+    import subprocess
+    import sys
+
+    code = f"""
+import resource, numpy as np, pyarrow as pa
+from corpusmill.sources import formats
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+r = np.random.default_rng(1)
+def batches():
+    for i in range(25):
+        ids = pa.array(r.integers(0, 1 << 31, 4_000_000, dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.ListArray.from_arrays(np.arange(0, 4_000_001, 4000, dtype=np.int32), ids)], ["doc_id", "ids"])
+writer = formats.TokenWriter({{"path": "{tmp_path}/t"}}, True)
+before = peak()
+said = writer.write(batches())
+writer.commit([said])
+reader = formats.TokenReader({{"path": "{tmp_path}/t"}})
+rows = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+print(said.rows, rows, peak() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=str(__import__("pathlib").Path(__file__).resolve().parent.parent)).stdout
+    wrote, read, grown = map(int, out.split()[-3:])
+    assert wrote == read == 25_000 and grown < 250, out
