@@ -75,3 +75,17 @@ def test_documents(spark, own):
     back = bpe.decode_documents(bpe.encode_documents(docs, PATH, PATTERN), PATH, PATTERN)
     assert sorted((str(r.doc_id), r.text) for r in back.collect()) == sorted((str(d), t or "") for d, t, _ in rows)
     assert bpe.digest_documents(docs.where("false"), PATH, PATTERN).count() == 0
+
+
+def test_words_that_come_up_again_stay_remembered(own, monkeypatch):
+    """A full memory forgets its older half alone; what is frequent is merged once."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    made = bpe._Packed(own)
+    merged, plain = [], own.merge
+    monkeypatch.setattr(own, "merge", lambda raw: merged.append(raw) or plain(raw))
+    for i in range(200):
+        for w in ("qxheron", "qxmillrace", f"qxrare{i}"):
+            assert bpe.unpack(made[w]) == plain(w.encode())
+        assert len(made) + len(made.older) <= 20
+    assert merged.count(b"qxheron") == merged.count(b"qxmillrace") == 1
+    assert len(merged) == 202
