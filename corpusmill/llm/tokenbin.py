@@ -171,8 +171,10 @@ def _last_tokens(path: str) -> np.ndarray:
     return ends
 
 
-#: Words that are one pre-token and that no normal form or lower-casing changes: small letters of Latin-1.
-PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+#: Words that are one pre-token, which no normal form changes and lower-casing only letter by letter: letters of Latin-1.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Such a word and points or commas behind it, which are the next pre-token and change nothing in the word.
+TAILED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]+)")
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -225,10 +227,10 @@ def _packed_words(texts: list[str], path: str, dtype: np.dtype) -> list[bytes]:
     depend on nothing that the worker has met before."""
     tokenizer, known = _words(path)
     cut = [t.replace("\n", " ").split(" ") for t in texts]
-    new = set().union(*cut).difference(known)
-    if len(known) + len(new) > REMEMBERED:
+    new, tailed = _unknown(cut, known, path)
+    if len(known) + len(new) + len(tailed) > REMEMBERED:
         known.clear()
-        new = set().union(*cut)
+        new, tailed = _unknown(cut, known, path)
     plain = [w for w in new if PLAIN.fullmatch(w)]
     rest = new.difference(plain)
     # Many plain words share a call: a word ends where a token says so. Should the counts differ, each word has a call of its own.
@@ -243,13 +245,33 @@ def _packed_words(texts: list[str], path: str, dtype: np.dtype) -> list[bytes]:
     single = list(rest)
     for w, e in zip(single, tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
         known[w] = np.array(e.ids, dtype).tobytes()
+    for w, (stem, tail) in tailed.items():
+        known[w] = known[stem] + known[tail]
     packed = [b"".join(map(known.__getitem__, words)) for words in cut]
-    for w in new:
+    for w in (*new, *tailed):
         if len(w) > REMEMBERED_CHARS:
             del known[w]
     return packed
 
 
+def _unknown(cut: list[list[str]], known: dict[str, bytes], path: str) -> tuple[set[str], dict[str, tuple[str, str]]]:
+    """Words for the library that aren't known, and words that are a plain one (known or among these) and a tail of points and commas."""
+    new = set().union(*cut).difference(known)
+    tailed = {w: m.groups() for w in new if w[-1:] in (".", ",") and (m := TAILED.fullmatch(w))} if _tails_part(path) else {}
+    new.difference_update(tailed)
+    new.update(p for pair in tailed.values() for p in pair if p not in known)
+    return new, tailed
+
+
+@functools.lru_cache(maxsize=8)
+def _tails_part(path: str) -> bool:
+    """Whether no added token can lie in a plain word and its tail."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        return not any(re.fullmatch(r"[A-Za-zÀ-ÖØ-öø-ÿ]*[.,]*", t["content"]) for t in json.load(f).get("added_tokens", []))
+
+
 @functools.lru_cache(maxsize=8)
 def separable(path: str) -> bool:
     """True for a normalizer of NFC, blanks and lower case, pre-tokens that drop white space, and added tokens without any."""

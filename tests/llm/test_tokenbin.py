@@ -136,3 +136,15 @@ def test_documents(spark, library):
     crc = lambda t: zlib.crc32(np.array(library.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes())
     assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == sorted((str(d), crc(t)) for d, t, _ in rows)
     assert tokenbin.token_files(docs.where("false"), PATH, end_id=1).count() == 0
+
+
+def test_points_and_commas_behind_words_need_no_encoding_of_their_own(library, monkeypatch):
+    """One word with many tails, and capitals, goes through the library once for each spelling; ids stay the library's."""
+    stems = ["Heron", "heron", "ÉTÉ", "Straße", "millrace"]
+    words = [s + t for s in stems for t in ("", ".", ",", "..", ".,", ",,.")] + ["it's.", "1.5,", "a.b.", ".", ",.", "é.", "é.", "ǅ.", "İ,", "ΣΑΣ.", "<|endoftext|>.", "x<|endoftext|>,"]
+    tokenbin._words.cache_clear()
+    new, tailed = tokenbin._unknown([words], {}, PATH)
+    assert len(tailed) == 5 * len(stems) + 1 and {*stems, "é", ".", ",", "..", ".,", ",,."} <= new
+    for some in (words, words[::-1], [" ".join(words)]):
+        got = tokenbin.encode_packed(some, PATH, None, 4)
+        assert [list(memoryview(x).cast("I")) if x else [] for x in got] == [library.encode(w, add_special_tokens=False).ids for w in some]
